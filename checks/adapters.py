@@ -12,6 +12,7 @@ from flowtide.operators.flows import flows
 from flowtide.plans.detect import score_flows
 from flowtide.schemas import ALERT, FLOW_KEY
 from flowtide.sources.registry import Model
+from flowtide.storage import fresh_dir
 
 WINDOW = 86_400
 AS_OF = "2024-02-01T00:00:00.000000+00:00"
@@ -139,8 +140,8 @@ FIXED_NODES = [
     (1, 5, -1, 0.0, -1, -1, 70, 2),
     (1, 6, -1, 0.0, -1, -1, 6, 2),
 ]
-FIXED_OFFSET = -0.45
-FIXED_RED, FIXED_YELLOW = -0.02, 0.0
+FIXED_OFFSET = -0.55
+FIXED_RED, FIXED_YELLOW = -0.07, 0.0
 
 
 def fixed_model() -> Model:
@@ -230,11 +231,18 @@ END"""
 
 
 def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """packets -> decoded text lines with rejects and status lines among them; ``seq`` is the arrival number."""
+    """packets -> decoded text lines with rejects and status lines among them."""
     p = packets(spark, sf_dir).withColumnRenamed("seq", "event_id")
     secs = F.expr("concat(ts_us div 1000000, '.', lpad(cast(ts_us % 1000000 as string), 6, '0'))")
     text = p.withColumns({"secs": secs, "sp": F.col("src_port").cast("string"), "dp": F.col("dst_port").cast("string"), "len": F.col("frame_len").cast("string")})
-    return text.select(F.col("event_id").alias("seq"), F.expr(LINE_EXPR_SPARK).alias("value"))
+    return text.select(F.expr(LINE_EXPR_SPARK).alias("value"))
+
+
+def packet_files(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as text files in the shared folder."""
+    path = fresh_dir(spark, "packet-lines")
+    packet_lines(spark, sf_dir).write.text(path)
+    return path
 
 
 LINES = f"""{PACKETS}, lines AS (

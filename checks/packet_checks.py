@@ -17,7 +17,7 @@ from flowtide.operators.flows import (
     with_window,
 )
 from flowtide.schemas import FLOW_KEY
-from flowtide.sources.packets import ingest_stats, parse_packets, transport_packets, valid_packets
+from flowtide.sources.packets import ingest_stats, parse_packets, read_packet_lines, read_packets, transport_packets
 from flowtide.sources.tables import read_flows, write_flows
 from flowtide.storage import fresh_dir
 
@@ -34,7 +34,7 @@ from .adapters import (
     WINDOW,
     flow_id_sql,
     flows_cte,
-    packet_lines,
+    packet_files,
     packets,
     raw_labelled,
     uni_flows,
@@ -43,12 +43,13 @@ from .adapters import (
 from .adapters import RAW
 from .registry import check, r4, rounded
 
-PACKET_COLUMNS = ["seq", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "frame_len", "syn", "fin", "rst"]
+PACKET_COLUMNS = ["ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "frame_len", "syn", "fin", "rst"]
 
 
 @check("packet_parse", f"WITH {LINES} SELECT {', '.join(PACKET_COLUMNS)} FROM judged WHERE valid")
 def packet_parse(spark, sf):
-    return valid_packets(parse_packets(packet_lines(spark, sf))).select(*PACKET_COLUMNS)
+    """Lines written as text files and read back as packets."""
+    return read_packets(spark, packet_files(spark, sf)).select(*PACKET_COLUMNS)
 
 
 @check(
@@ -57,7 +58,7 @@ def packet_parse(spark, sf):
         CAST(sum(CAST(NOT valid AS BIGINT)) AS BIGINT) AS skipped FROM judged""",
 )
 def packet_ingest_stats(spark, sf):
-    return ingest_stats(parse_packets(packet_lines(spark, sf)))
+    return ingest_stats(parse_packets(read_packet_lines(spark, packet_files(spark, sf))))
 
 
 @check(
@@ -151,7 +152,7 @@ def flow_state_merge(spark, sf):
     return rounded(both, ["iat_std", "std_packet_size"])
 
 
-@check("capture_bounded", f"WITH {PACKETS} SELECT seq, ts_us FROM packets WHERE ts_us < (SELECT min(ts_us) FROM packets) + 7 * 24 * 60 * 60000000")
+@check("capture_bounded", f"WITH {PACKETS} SELECT seq, ts_us FROM packets WHERE ts_us < (SELECT min(ts_us) FROM packets) + 604800000000")
 def capture_bounded(spark, sf):
     return bounded(packets(spark, sf), 7 * 24 * 60).select("seq", "ts_us")
 
@@ -173,5 +174,4 @@ def flows_csv_roundtrip(spark, sf):
 
 @check("cic_flow_id", f"WITH {RAW} SELECT row_key, {flow_id_sql('c0')} FROM raw")
 def cic_flow_id(spark, sf):
-    raw = raw_labelled(spark, sf)
-    return raw.select("row_key", *[c.alias(n) for n, c in parse_flow_id(F.col("`Flow ID`")).items()])
+    return parse_flow_id(raw_labelled(spark, sf).select("row_key", "Flow ID"), "Flow ID")

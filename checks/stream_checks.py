@@ -7,15 +7,15 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from flowtide.schemas import ALERT
-from flowtide.sources.packets import IngestListener, observe_ingest, parse_packets, valid_packets
+from flowtide.schemas import ALERT, PACKET
+from flowtide.sources.packets import IngestListener, observe_ingest, parse_packets, read_packet_lines_stream, valid_packets
 from flowtide.sources.tables import read_alerts, with_alert_time
 from flowtide.storage import fresh_dir
 from flowtide.streaming.detect import start_detection, stream_alert_counts
 from flowtide.streaming.flows import stream_flows
 from flowtide.streaming.replay import end_marker, replay
 
-from .adapters import ALERTS, AS_OF, FLOW_SELECT, LINES, PACKETS, ROUNDED, UNI, UNI_SQL, WINDOW, alert_rows, fixed_model, flows_cte, packet_lines, packets, windowed
+from .adapters import ALERTS, AS_OF, FLOW_SELECT, LINES, PACKETS, ROUNDED, UNI, UNI_SQL, WINDOW, alert_rows, fixed_model, flows_cte, packet_files, packets, windowed
 from .model_checks import ALERT_SQL
 from .registry import check, rounded
 
@@ -118,12 +118,15 @@ def stream_alert_counts_query(spark, sf):
     f"WITH {LINES} SELECT protocol, count(*) AS n, CAST(sum(frame_len) AS BIGINT) AS bytes, min(ts_us) AS first_us FROM judged WHERE valid GROUP BY protocol",
 )
 def stream_packet_parse(spark, sf):
-    """Packet lines read as a stream, parsed, counted by the listener and summed up."""
+    """Text files read as a stream, parsed, counted by a listener and stored."""
+    sink, checkpoint = fresh_dir(spark, "parsed"), fresh_dir(spark, "parsed-checkpoint")
     listener = IngestListener()
     spark.streams.addListener(listener)
     try:
-        build = lambda lines: valid_packets(observe_ingest(parse_packets(lines)))
-        out = replay(spark, [packet_lines(spark, sf)], build, name="lines")
+        parsed = observe_ingest(parse_packets(read_packet_lines_stream(spark, packet_files(spark, sf))))
+        writer = valid_packets(parsed).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.format("parquet").start(sink).awaitTermination()
     finally:
         spark.streams.removeListener(listener)
+    out = spark.read.schema(PACKET).parquet(sink)
     return out.groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_len").alias("bytes"), F.min("ts_us").alias("first_us"))

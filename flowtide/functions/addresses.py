@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _V4 = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
@@ -53,22 +53,30 @@ FLOW_ID_IP_IP = r"^([^-]+)-([^-]+)-(\d+)-(\d+)-(.+)$"
 UNKNOWN_IP = "0.0.0.0"
 
 
-def parse_flow_id(flow_id: Column) -> dict[str, Column]:
-    """F2: endpoints from a flow id; each row tries both layouts, unreadable ids give 0.0.0.0 and port 0."""
+_MARK = "\x01"
 
-    def pick(pattern, group):
-        text = F.regexp_extract(flow_id, pattern, group)
-        return F.when(text != "", text)
 
-    def either(first, second):
-        return F.coalesce(pick(FLOW_ID_IP_PORT, first), pick(FLOW_ID_IP_IP, second))
+def flow_id_parts(flow_id: Column) -> Column:
+    """the four endpoint texts of a flow id as an array; each row tries both layouts, null if neither fits."""
+    by_port = F.split(F.regexp_replace(flow_id, FLOW_ID_IP_PORT, f"$1{_MARK}$3{_MARK}$2{_MARK}$4"), _MARK)
+    by_ip = F.split(F.regexp_replace(flow_id, FLOW_ID_IP_IP, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK)
+    return F.coalesce(*[F.get(F.filter(F.array(a), lambda p: F.size(p) == 4), F.lit(0)) for a in (by_port, by_ip)])
 
-    def port(first, second):
-        return F.coalesce(either(first, second).try_cast("int"), F.lit(0))
 
-    return {
-        "src_ip": F.coalesce(either(1, 1), F.lit(UNKNOWN_IP)),
-        "dst_ip": F.coalesce(either(3, 2), F.lit(UNKNOWN_IP)),
-        "src_port": port(2, 3),
-        "dst_port": port(4, 4),
-    }
+def flow_id_endpoints(parts: Column) -> dict[str, Column]:
+    """F2: endpoints from the parts of a flow id; an unreadable id gives 0.0.0.0 and port 0."""
+
+    def text(i):
+        return F.coalesce(F.get(parts, F.lit(i)), F.lit(UNKNOWN_IP))
+
+    def port(i):
+        return F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+
+    return {"src_ip": text(0), "dst_ip": text(1), "src_port": port(2), "dst_port": port(3)}
+
+
+def parse_flow_id(df: DataFrame, column: str) -> DataFrame:
+    """replace a flow id column by its four endpoint columns."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != column]
+    parts = df.select(*rest, flow_id_parts(F.col(f"`{column}`")).alias("_id"))
+    return parts.select(*rest, *[c.alias(n) for n, c in flow_id_endpoints(F.col("_id")).items()])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted spellings of a true flag.
-TRUE_TEXTS = ["1", "true", "t", "yes", "y"]
+# Accepted spellings of a true flag, or a whole number other than zero; blanks around are ignored.
+TRUE_FLAG = r"(?i)^\s*(true|t|yes|y|[+-]?(?=[0-9_]*[1-9])[0-9]+(_[0-9]+)*)\s*$"
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 MIN_DURATION = 1e-6
@@ -19,15 +19,12 @@ def strip(text: Column) -> Column:
 
 def flag_to_int(flag: Column) -> Column:
     """1 for a true spelling or any non-zero whole number, else 0 (also for null)."""
-    text = F.lower(strip(flag.cast("string")))
-    nonzero = text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$") & text.rlike("[1-9]")
-    return F.when(text.isin(TRUE_TEXTS) | nonzero, 1).otherwise(0)
+    return F.coalesce(flag.cast("string").rlike(TRUE_FLAG).cast("int"), F.lit(0))
 
 
 def to_double(text: Column) -> Column:
     """number or null; NaN counts as missing."""
-    number = text.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_double_or_zero(text: Column) -> Column:
@@ -58,15 +55,11 @@ def binary_label(label: Column) -> Column:
     return (F.coalesce(F.upper(strip(label)), F.lit("NAN")) != "BENIGN").cast("int")
 
 
-# Protocol numbers.
-PROTOCOL_NUMBERS = {6: "tcp", 17: "udp"}
+# Names and numbers of the two transport protocols.
+PROTOCOLS = {"tcp": "tcp", "udp": "udp", "6": "tcp", "17": "udp", "6.0": "tcp", "17.0": "udp"}
 
 
 def protocol_name(text: Column) -> Column:
     """Tcp or udp from a name or a number, else ``other``."""
-    name = F.lower(strip(text))
-    number = name.try_cast("double")
-    out = F.when(name.isin("tcp", "udp"), name)
-    for code, proto in PROTOCOL_NUMBERS.items():
-        out = out.when(number == F.lit(float(code)), proto)
-    return out.otherwise("other")
+    known = F.create_map(*[F.lit(x) for pair in PROTOCOLS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(strip(text))), F.lit("other"))

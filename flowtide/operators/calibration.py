@@ -16,9 +16,11 @@ UNLABELLED_MARGIN = 0.05
 RED_FALLBACK = -0.1
 
 
-def decision_offsets(scored: DataFrame, contaminations: list[float], score: str = "raw_score") -> dict[float, float]:
+def decision_offsets(
+    scored: DataFrame, contaminations: list[float], score: str = "raw_score", rows: int | None = None
+) -> dict[float, float]:
     """M5: for each contamination the score quantile that serves as offset; score - offset < 0 is an anomaly."""
-    found = exact_quantiles(scored, {score: list(contaminations)})[score]
+    found = exact_quantiles(scored, {score: list(contaminations)}, rows)[score]
     return dict(zip(contaminations, found))
 
 
@@ -50,10 +52,10 @@ def best_contamination(table: DataFrame) -> float:
     return max(rows, key=rows.get)
 
 
-def red_threshold(decisions: DataFrame, label: str | None = None, score: str = "score") -> float:
+def red_threshold(decisions: DataFrame, label: str | None = None, score: str = "score", rows: int | None = None) -> float:
     """Just below the 1st percentile of benign scores, at most -0.02; without labels below the least score."""
     if label is not None:
-        benign = exact_quantiles(decisions.where(F.col(label) == 0), {score: [BENIGN_QUANTILE]})[score][0]
+        benign = exact_quantiles(decisions.where(F.col(label) == 0), {score: [BENIGN_QUANTILE]}, rows)[score][0]
         if benign is not None:
             return min(benign - RED_MARGIN, RED_CAP)
     least = decisions.agg(F.min(score)).first()[0]

@@ -72,6 +72,11 @@ def feature_quantiles(features: DataFrame, columns: list[str], probabilities=(0.
     return features.sparkSession.createDataFrame(rows, "feature string, probability double, value double")
 
 
+def outlier_count(rows: int, ratio: float) -> int:
+    """M2: outliers added to so many rows."""
+    return max(1, int(rows * ratio)) if ratio > 0 and rows > 0 else 0
+
+
 def outlier_rows(
     spark: SparkSession, n: int, columns: list[str], low: list[float], high: list[float], seed: int = 42
 ) -> DataFrame:
@@ -92,14 +97,12 @@ def inject_outliers(
     Other columns of the input are null in the new rows; ``outlier_id`` is null in the old ones.
     """
     marked = scaled.withColumn("outlier_id", F.lit(None).cast("bigint"))
-    if ratio <= 0:
-        return marked
     rows = scaled.count() if rows is None else rows
-    if rows == 0:
+    if outlier_count(rows, ratio) == 0:
         return marked
-    bounds = exact_quantiles(scaled, {c: [0.05, 0.95] for c in columns})
+    bounds = exact_quantiles(scaled, {c: [0.05, 0.95] for c in columns}, rows)
     low, high = ([bounds[c][i] for c in columns] for i in (0, 1))
-    extra = outlier_rows(scaled.sparkSession, max(1, int(rows * ratio)), columns, low, high, seed)
+    extra = outlier_rows(scaled.sparkSession, outlier_count(rows, ratio), columns, low, high, seed)
     if label is not None:
         kind = scaled.schema[label].dataType if label in scaled.columns else T.IntegerType()
         extra = extra.withColumn(label, F.lit(1).cast(kind))

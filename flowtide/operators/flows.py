@@ -29,17 +29,21 @@ GAP_SUMS = ["gaps", "gap_sum", "gap_sq"]
 
 def canonicalise(packets: DataFrame) -> DataFrame:
     """Order the two endpoints of each packet by (ip version, address, port) and lower-case the protocol."""
-    src, dst = address_key(F.col("src_ip")), address_key(F.col("dst_ip"))
-    swap = (src > dst) | ((src == dst) & (F.col("src_port") > F.col("dst_port")))
-    return packets.withColumns(
-        {
-            "a_ip": F.when(swap, F.col("dst_ip")).otherwise(F.col("src_ip")),
-            "a_port": F.when(swap, F.col("dst_port")).otherwise(F.col("src_port")),
-            "b_ip": F.when(swap, F.col("src_ip")).otherwise(F.col("dst_ip")),
-            "b_port": F.when(swap, F.col("src_port")).otherwise(F.col("dst_port")),
-            "protocol": F.lower("protocol"),
-        }
-    )
+    keyed = packets.withColumns({"_src": address_key(F.col("src_ip")), "_dst": address_key(F.col("dst_ip"))})
+    same = F.col("_src") == F.col("_dst")
+    swap = (F.col("_src") > F.col("_dst")) | (same & (F.col("src_port") > F.col("dst_port")))
+
+    def either(a: str, b: str) -> Column:
+        return F.when(F.col("_swap"), F.col(a)).otherwise(F.col(b))
+
+    ends = {
+        "a_ip": either("dst_ip", "src_ip"),
+        "a_port": either("dst_port", "src_port"),
+        "b_ip": either("src_ip", "dst_ip"),
+        "b_port": either("src_port", "dst_port"),
+        "protocol": F.lower("protocol"),
+    }
+    return keyed.withColumn("_swap", swap).withColumns(ends).drop("_src", "_dst", "_swap")
 
 
 def orient(packets: DataFrame, direction: str = "uni") -> DataFrame:
@@ -96,7 +100,7 @@ def add_up(names: list[str]) -> list[Column]:
 def packet_gaps(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Seconds since the previous packet of the same window and flow; null for the first, never below zero."""
     previous = F.lag("ts_us").over(Window.partitionBy(*keys).orderBy(*order))
-    gap = F.greatest(F.col("ts_us") - previous, F.lit(0).cast("bigint"))
+    gap = F.when(previous.isNotNull(), F.greatest(F.col("ts_us") - previous, F.lit(0).cast("bigint")))
     return packets.withColumn("iat_us", gap).withColumn("iat", F.col("iat_us") / F.lit(1e6))
 
 

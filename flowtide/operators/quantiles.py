@@ -35,10 +35,19 @@ class _Rank:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], direct_rows: int = DIRECT_ROWS, bracket_rows: int = BRACKET_ROWS
+    df: DataFrame,
+    wanted: dict[str, list[float]],
+    rows: int | None = None,
+    direct_rows: int = DIRECT_ROWS,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of each column, ignoring nulls; None for a column without values."""
+    """Quantiles of each column, ignoring nulls; None for a column without values.
+
+    ``rows`` is an upper bound of the row count if the caller knows one; it may save a counting pass.
+    """
     columns = list(wanted)
+    if rows is not None and rows <= direct_rows:
+        return _direct(df, wanted)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     if max(counts.values(), default=0) <= direct_rows:
         return _direct(df, wanted)

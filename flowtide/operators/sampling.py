@@ -1,8 +1,8 @@
 """Exact deterministic samples and splits without sorting a whole group in one task.
 
-Rows are ordered by a hash of their key. A histogram of the leading hash bits finds the bucket in which the wanted
-rank falls: rows below it are in, rows above are out, and only the rows of that one bucket are ranked. Identical rows
-fold into one before that ranking, so neither a large group nor a large set of copies meets in one task.
+Rows are ordered by a hash of their key, and the first so many of each group are wanted. Two narrow passes find where
+that rank lies: a histogram of the leading hash bits gives the bucket, and the rows of that one bucket, copies folded,
+give the last wanted (hash, key) of the group. The choice itself is then a comparison per row: no shuffle of the data.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.hashing import HASH_BITS, hash60
 
 BUCKET_BITS = 18
-# Up to this many groups the table of cuts (one row per group) is broadcast; beyond, it is joined by shuffle.
+# Up to this many groups the table of limits (one row per group) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_GROUPS = 100_000
 # Copies of one row are written out in runs of this length, by different tasks.
 COPY_RUN = 65_536
@@ -32,66 +32,64 @@ def flag_smallest(
     quota: DataFrame | None = None,
     fraction: float | None = None,
     name: str = "chosen",
-    bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Flag the ``quota`` (or ``floor(fraction * n)``) rows of each group that come first in hash order.
 
     ``quota`` has the group columns and ``quota``; groups that it lacks have none. Ties in the hash go by key text.
     """
-    columns = df.columns
-    hashed = df.withColumn("_h", hash60(seed, *_order_text(key)))
-    hashed = hashed.withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-
+    order = {"_h": hash60(seed, *_order_text(key)), "_key": F.concat_ws("\x01", *_order_text(key))}
+    limits, partial = _collect(_limits(df.withColumns(order).select(*group, *order), group, quota, fraction), group)
+    ends = [f"_g_{g}" for g in group]
+    placed = df.withColumns(order).join(limits, _same_group(group), "left")
+    last = (F.col("_h") == F.col("_last_h")) & (F.col("_key") == F.col("_last_key"))
+    first = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col("_key") < F.col("_last_key")))
+    if not partial:
+        return placed.select(*df.columns, F.coalesce(first | last, F.lit(False)).alias(name))
+    shared = F.coalesce(last & (F.col("_take") < F.col("_copies")), F.lit(False))
+    sure = placed.where(~shared).select(*df.columns, F.coalesce(first | last, F.lit(False)).alias(name))
+    return sure.unionByName(_share_copies(placed.where(shared).drop(*ends), df.columns, group, name))
+
+
+def _limits(keyed: DataFrame, group: list[str], quota: DataFrame | None, fraction: float | None) -> DataFrame:
+    """One row per group: the last wanted (hash, key), how many rows have it, and how many of those are wanted."""
+    bucketed = keyed.withColumn("_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
+    counts = bucketed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group)
-    running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = counts.withColumns({"_total": F.sum("_n").over(whole), "_upto": F.sum("_n").over(running)})
+    totals = counts.withColumns({"_total": F.sum("_n").over(whole), "_upto": _running("_n", whole, ["_b"])})
     if quota is not None:
         totals = totals.join(quota.select(*group, F.col("quota").alias("_k")), group)
     else:
         totals = totals.withColumn("_k", F.floor(F.col("_total") * F.lit(fraction)).cast("bigint"))
     totals = totals.withColumn("_k", F.least("_k", "_total"))
-    # One row per group: the bucket that holds rank k, and how many of its rows are wanted.
-    before = F.col("_upto") - F.col("_n")
-    cut = totals.where((F.col("_upto") >= F.col("_k")) & (before < F.col("_k"))).select(
-        *group, F.col("_b").alias("_cut"), (F.col("_k") - before).alias("_need")
+    cut = _hit(totals, "_n", F.col("_k")).select(*group, F.col("_b").alias("_cut"), "_need")
+
+    cut, _ = _collect(cut, group)
+    edge = bucketed.join(cut, _same_group(group) & (F.col("_b") == F.col("_cut")))
+    folded = edge.groupBy(*group, "_h", "_key", "_need").agg(F.count(F.lit(1)).alias("_copies"))
+    placed = folded.withColumn("_upto", _running("_copies", whole, ["_h", "_key"]))
+    return _hit(placed.withColumnRenamed("_need", "_wanted"), "_copies", F.col("_wanted")).select(
+        *group, F.col("_h").alias("_last_h"), F.col("_key").alias("_last_key"), "_copies", F.col("_need").alias("_take")
     )
 
-    cut = _small(cut.withColumnsRenamed({g: f"_g_{g}" for g in group}))
-    placed = hashed.join(cut, _same_group(group), "left").drop(*[f"_g_{g}" for g in group])
-    on_edge = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
-    sure = placed.where(~on_edge).select(*columns, F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)).alias(name))
-
-    edge = placed.where(on_edge).groupBy(*columns, "_h", "_need").agg(F.count(F.lit(1)).alias("_copies"))
-    order = whole.orderBy("_h", *_order_text(key), *_order_text([c for c in columns if c not in key]))
-    upto = F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    take = F.greatest(F.lit(0), F.least(F.col("_copies"), F.col("_need") - (F.col("_upto") - F.col("_copies"))))
-    split = edge.withColumn("_upto", upto).withColumn("_take", take)
-    shares = F.array(
-        F.struct(F.lit(True).alias("flag"), F.col("_take").alias("n")),
-        F.struct(F.lit(False).alias("flag"), (F.col("_copies") - F.col("_take")).alias("n")),
-    )
-    ranked = split.select(*columns, F.explode(F.filter(shares, lambda s: s["n"] > 0)).alias("_s"))
-    ranked = ranked.select(*columns, F.col("_s.flag").alias(name), F.col("_s.n").alias("_n"))
-    return sure.unionByName(repeat_rows(ranked, "_n"))
 
+def _running(count: str, whole: Window, order: list[str]) -> Column:
+    return F.sum(count).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-def repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Each row as often as its ``times`` column says; long repeats are spread over many tasks."""
-    rest = [c for c in df.columns if c != times]
-    last = F.floor((F.col(times) - F.lit(1)) / F.lit(COPY_RUN)).cast("bigint")
-    runs = df.where(F.col(times) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    runs = runs.repartition(*rest, "_run")
-    length = F.least(F.lit(COPY_RUN).cast("bigint"), F.col(times) - F.col("_run") * F.lit(COPY_RUN))
-    return runs.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), length))).select(*rest)
+
+def _hit(running: DataFrame, count: str, wanted: Column) -> DataFrame:
+    """The row of each group in which the running count reaches ``wanted``; ``_need`` is what is wanted of that row."""
+    before = F.col("_upto") - F.col(count)
+    return running.where((F.col("_upto") >= wanted) & (before < wanted)).withColumn("_need", wanted - before)
 
 
-def _small(cut: DataFrame) -> DataFrame:
-    """The cut table, broadcast if its row count is within bounds."""
-    rows = cut.limit(BROADCAST_GROUPS + 1).collect()
+def _collect(table: DataFrame, group: list[str]) -> tuple[DataFrame, bool]:
+    """A table of one row per group, broadcast if its length is within bounds, and whether some copies are shared."""
+    renamed = table.withColumnsRenamed({g: f"_g_{g}" for g in group})
+    rows = renamed.limit(BROADCAST_GROUPS + 1).collect()
     if len(rows) > BROADCAST_GROUPS:
-        return cut
-    return F.broadcast(cut.sparkSession.createDataFrame(rows, cut.schema))
+        return renamed, True
+    small = table.sparkSession.createDataFrame(rows, renamed.schema)
+    return F.broadcast(small), any("_take" in r and r["_take"] < r["_copies"] for r in rows)
 
 
 def _same_group(group: list[str]) -> Column:
@@ -101,6 +99,25 @@ def _same_group(group: list[str]) -> Column:
     return match
 
 
+def _share_copies(last: DataFrame, columns: list[str], group: list[str], name: str) -> DataFrame:
+    """Rows that tie for the last places: equal rows fold, the first ``_take`` of all are flagged, then all unfold."""
+    folded = last.groupBy(*columns, "_take").agg(F.count(F.lit(1)).alias("_n"))
+    placed = folded.withColumn("_upto", _running("_n", Window.partitionBy(*group), _order_text(columns)))
+    chosen = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_take") - (F.col("_upto") - F.col("_n"))))
+    parts = [placed.select(*columns, F.lit(flag).alias(name), n.alias("_times")) for flag, n in ((True, chosen), (False, F.col("_n") - chosen))]
+    return repeat_rows(parts[0].unionByName(parts[1]), "_times")
+
+
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its ``times`` column says; long repeats are spread over many tasks."""
+    rest = [c for c in df.columns if c != times]
+    last = F.floor((F.col(times) - F.lit(1)) / F.lit(COPY_RUN)).cast("bigint")
+    runs = df.where(F.col(times) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    runs = runs.repartition(*rest, "_run")
+    length = F.least(F.lit(COPY_RUN).cast("bigint"), F.col(times) - F.col("_run") * F.lit(COPY_RUN))
+    return runs.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), length))).select(*rest)
+
+
 def smallest_per_group(df: DataFrame, group: list[str], seed: int, key: list[str], **size) -> DataFrame:
     """L1/L2: keep the first rows of each group in hash order, see ``flag_smallest``."""
     return flag_smallest(df, group, seed, key, name="_chosen", **size).where("_chosen").drop("_chosen")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.alerts import DEFAULT_YELLOW
 from ..operators.calibration import CANDIDATES, best_contamination, decision_offsets, f1_table, red_threshold
-from ..operators.features import fit_scaler, inject_outliers, scale_features, select_features
+from ..operators.features import fit_scaler, inject_outliers, outlier_count, scale_features, select_features
 from ..operators.forest import SAMPLE, TREES, Forest, fit_forest, score_rows
 from ..operators.sampling import stratified_split
 from ..schemas import feature_columns
@@ -28,8 +28,8 @@ class TrainParams:
     seed: int = 42
 
 
-def _fit(data: DataFrame, columns: list[str], p: TrainParams) -> Forest:
-    return fit_forest(data, columns, p.trees, p.sample, p.seed, key=["row_id"], rows=data.count())
+def _fit(data: DataFrame, columns: list[str], p: TrainParams, rows: int) -> Forest:
+    return fit_forest(data, columns, p.trees, p.sample, p.seed, key=["row_id"], rows=rows)
 
 
 def calibrate(data: DataFrame, columns: list[str], p: TrainParams, candidates: list[float] | None = None) -> float:
@@ -38,9 +38,11 @@ def calibrate(data: DataFrame, columns: list[str], p: TrainParams, candidates: l
     Contamination only moves the offset, so one forest and one scoring pass serve all candidates.
     """
     split = materialise(stratified_split(data, "label", p.validation, p.seed, key=["row_id"]), "split")
-    forest = _fit(split.where(~F.col("is_val")), columns, p)
+    fitted = split.where(~F.col("is_val"))
+    rows = fitted.count()
+    forest = _fit(fitted, columns, p, rows)
     scored = materialise(score_rows(split, forest).select("raw_score", "label", "is_val"), "calibration")
-    offsets = decision_offsets(scored.where(~F.col("is_val")), candidates or CANDIDATES)
+    offsets = decision_offsets(scored.where(~F.col("is_val")), candidates or CANDIDATES, rows=rows)
     return best_contamination(f1_table(scored.where("is_val"), offsets))
 
 
@@ -64,12 +66,13 @@ def train(flows: DataFrame, params: TrainParams | None = None, label: str | None
     injected = injected.withColumn("row_id", F.coalesce("row_id", -1 - F.col("outlier_id")))
 
     used = calibrate(injected, columns, p) if labelled else p.contamination
-    forest = _fit(injected, columns, p)
+    total = rows + outlier_count(rows, p.outlier_ratio)
+    forest = _fit(injected, columns, p, total)
     kept = ["outlier_id", "raw_score"] + (["label"] if labelled else [])
     scored = materialise(score_rows(injected, forest).select(*kept), "scores")
-    offset = decision_offsets(scored, [used])[used]
+    offset = decision_offsets(scored, [used], rows=total)[used]
     decisions = scored.where("outlier_id IS NULL").withColumn("score", F.col("raw_score") - F.lit(offset))
-    red = red_threshold(decisions, "label" if labelled else None)
+    red = red_threshold(decisions, "label" if labelled else None, rows=rows)
     card = {
         "version": version,
         "feature_set": p.feature_set,

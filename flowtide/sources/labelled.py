@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.addresses import UNKNOWN_IP, parse_flow_id
+from ..functions.addresses import UNKNOWN_IP, flow_id_endpoints, flow_id_parts
 from ..functions.coerce import (
     MIN_DURATION,
     at_least,
@@ -22,6 +22,7 @@ from ..functions.coerce import (
 )
 from ..operators.sampling import smallest_per_group
 from ..schemas import LABELLED_COLUMNS
+from ..storage import materialise
 
 # Accepted header names of each logical field, best first.
 SYNONYMS = {
@@ -87,7 +88,7 @@ def _endpoints(field: dict[str, Column]) -> dict[str, Column]:
         ips = {n: F.coalesce(field[n], F.lit("nan")) for n in ("src_ip", "dst_ip")}
         return {**ips, **explicit}
     if "flow_id" in field:
-        return parse_flow_id(field["flow_id"])
+        return flow_id_endpoints(field["flow_id"])
     return {"src_ip": F.lit(UNKNOWN_IP), "dst_ip": F.lit(UNKNOWN_IP), **explicit}
 
 
@@ -99,7 +100,13 @@ def normalise_labelled(raw: DataFrame, mapping: dict[str, int] | None = None, ke
     keep = keep or []
     data = [c for c in raw.columns if c not in keep]
     mapping = resolve_header(data) if mapping is None else mapping
-    field = {f: raw[f"`{data[i]}`"] for f, i in mapping.items()}
+    source = {f: F.col(f"`{data[i]}`") for f, i in mapping.items()}
+    if "src_ip" in source and "dst_ip" in source:
+        source.pop("flow_id", None)
+    if "flow_id" in source:
+        source["flow_id"] = flow_id_parts(source["flow_id"])
+    raw = raw.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"_{f}") for f, c in source.items()])
+    field = {f: F.col(f"_{f}") for f in source}
 
     def optional(name, convert, default):
         return convert(field[name]) if name in field else F.lit(default)
@@ -107,7 +114,7 @@ def normalise_labelled(raw: DataFrame, mapping: dict[str, int] | None = None, ke
     packets = at_least(whole(to_double_or_zero(field["fwd_pkts"]) + to_double_or_zero(field["bwd_pkts"])), 1)
     size = at_least(whole(to_double_or_zero(field["fwd_bytes"]) + to_double_or_zero(field["bwd_bytes"])), 0)
     base = raw.select(
-        *[raw[f"`{c}`"] for c in keep],
+        *[F.col(f"`{c}`") for c in keep],
         *[c.alias(n) for n, c in _endpoints(field).items()],
         protocol_name(field["protocol"]).alias("protocol"),
         at_least(micros_to_seconds(field["flow_duration_us"]), MIN_DURATION).alias("flow_duration"),
@@ -192,6 +199,8 @@ def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int =
     table = reduce(DataFrame.unionByName, parts)
     if limit <= 0:
         return table.drop("source_file")
+    # Sampling reads its input three times; parsing all files once and reading the table is cheaper.
+    table = materialise(table, "labelled")
     usable = sorted(p for paths in groups.values() for p in paths)
     return quota_sample(table, quotas(limit, usable), "source_file", seed).drop("source_file")
 

@@ -16,8 +16,6 @@ FIELDS = 11
 # Prefixes of capture-tool messages that are not packets.
 STATUS_PREFIXES = ["Capturing on", "tshark:"]
 
-_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-
 
 def read_packet_lines(spark: SparkSession, path) -> DataFrame:
     """The lines of one or many decoded capture files (path, glob or list)."""
@@ -39,8 +37,8 @@ def read_packet_lines_kafka(spark: SparkSession, servers: str, topic: str) -> Da
 
 
 def _epoch_micros(text: Column) -> Column:
-    seconds = F.when(strip(text).rlike(_NUMBER), strip(text).try_cast("decimal(24,6)"))
-    return (seconds * F.lit(1000000)).cast("bigint")
+    """Exact micro-seconds of epoch seconds; text that is no finite number gives null."""
+    return (strip(text).try_cast("decimal(24,6)") * F.lit(1000000)).cast("bigint")
 
 
 def _whole_or_zero(text: Column) -> Column:
@@ -72,7 +70,8 @@ def parse_packets(lines: DataFrame, column: str = "value") -> DataFrame:
     def port(tcp: Column, udp: Column) -> Column:
         return F.when(is_tcp, _whole_or_zero(tcp)).when(is_udp, _whole_or_zero(udp))
 
-    split = data_lines(lines, column).select(*rest, parts.alias("_parts"))
+    # The generator keeps the optimiser from copying the split into every field that uses it.
+    split = data_lines(lines, column).select(*rest, F.explode(F.array(parts)).alias("_parts"))
     typed = split.select(
         *rest,
         _epoch_micros(field[0]).alias("ts_us"),

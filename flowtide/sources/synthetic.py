@@ -30,13 +30,15 @@ def random_ip(seed: int, ident: Column, name: str, private: bool = True) -> Colu
 
     if not private:
         return dotted(*[octet(i, 0, 255) for i in range(4)])
+    # One draw picks the range; equal parts of it stand for 10/8, 172.16/12 and 192.168/16.
     block = uniform_int(seed, 0, 2, ident, f"{name}block")
-    third, fourth = octet(2, 0, 255), octet(3, 1, 254)
-    return (
-        F.when(block == 0, dotted(10, octet(1, 0, 255), third, fourth))
-        .when(block == 1, dotted(172, octet(1, 16, 31), third, fourth))
-        .otherwise(dotted(192, 168, third, fourth))
-    )
+    second = uniform(seed, ident, f"{name}1")
+
+    def spread(low, high):
+        return F.floor(second * F.lit(float(high - low + 1))).cast("bigint") + F.lit(low)
+
+    choice = F.element_at(F.array(*[F.array(F.lit(a).cast("bigint"), b) for a, b in ((10, spread(0, 255)), (172, spread(16, 31)), (192, F.lit(168).cast("bigint")))]), (block + 1).cast("int"))
+    return dotted(F.array_join(choice, "."), octet(2, 0, 255), octet(3, 1, 254))
 
 
 def _base(seed: int, ident: Column, kind: str) -> dict[str, Column]:

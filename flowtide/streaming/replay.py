@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import fresh_dir
 
@@ -30,7 +31,7 @@ def replay(
         schema = stream.schema
         writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema.add("batch_id", "bigint")).parquet(sink)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(sink)
 
 
 def end_marker(packets: DataFrame, beyond_seconds: int) -> DataFrame:
