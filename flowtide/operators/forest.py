@@ -151,32 +151,30 @@ def score_rows(scaled: DataFrame, forest: Forest) -> DataFrame:
     return scaled.withColumn("raw_score", column)
 
 
+def _unit(*parts: Column) -> Column:
+    """Uniform double in [0, 1) from a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 2) / F.lit(float(2**62))
+
+
 def tree_samples(
     data: DataFrame, columns: list[str], rows: int, trees: int, sample: int, seed: int, key: list[str] | None, factor: float
 ) -> DataFrame:
     """Uniform draws for each tree, a little more than needed: (tree, u, features). One pass, no shuffle of the input.
 
+    A row joins ``rate`` trees on average: with n draws the i-th is a random tree of the i-th of n equal spans of trees.
     ``key`` must tell rows apart; without it rows are told apart by their position in the input.
     """
     ident = [F.col(c) for c in key] if key else [F.monotonically_increasing_id()]
-    wanted = factor * sample
-    rate = wanted * trees / rows
-    top = float(2**62)
-    row_hash = F.xxhash64(F.lit(seed), *ident)
-    keyed = data.select(*columns, row_hash.alias("_h"))
-    if rate <= 1.0:
-        u = F.shiftrightunsigned("_h", 2) / F.lit(top)
-        drawn = keyed.withColumn("u", u).where(F.col("u") < F.lit(rate))
-        return drawn.withColumn("tree", F.pmod(F.xxhash64("_h", F.lit("tree")), F.lit(trees)).cast("int")).drop("_h")
-    # Few rows: each tree draws from all of them on its own, and a row emits only the draws that succeed.
-    share = min(1.0, wanted / rows)
-
-    def draw(t: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.col("_h"), t), 2) / F.lit(top)
-
-    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(share))
-    exploded = keyed.select(*columns, "_h", F.explode(hits).alias("tree"))
-    return exploded.withColumn("u", draw(F.col("tree"))).drop("_h")
+    rate = min(float(trees), factor * sample * trees / rows)
+    keyed = data.select(*columns, F.xxhash64(F.lit(seed), *ident).alias("_h"))
+    draws = keyed.withColumn("_n", F.floor(F.lit(rate) + _unit(F.col("_h"), F.lit("draws"))).cast("int")).where(F.col("_n") > 0)
+
+    def pick(i: Column) -> Column:
+        return F.floor((i + _unit(F.col("_h"), i)) * F.lit(float(trees)) / F.col("_n")).cast("int")
+
+    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), pick))
+    drawn = draws.select(*columns, "_h", F.explode(picks).alias("tree"))
+    return drawn.withColumn("u", _unit(F.col("_h"), F.col("tree"), F.lit("order"))).drop("_h")
 
 
 def forest_nodes(
@@ -232,5 +230,5 @@ def fit_forest(
         if len(nodes) and nodes["tree"].nunique() == trees and nodes["node"].min() == 0:
             return Forest.from_nodes(nodes, columns, min(sample, rows))
         if factor * min(sample, rows) >= rows:
-            raise ValueError("the row key is not unique, or the row count is wrong")
+            raise ValueError("there are fewer rows than stated")
         factor *= 2
