@@ -91,7 +91,7 @@ def window_index(spark, sf):
         ts_us - lag(ts_us) OVER (PARTITION BY "window", {KEY} ORDER BY ts_us, seq) AS iat_us FROM windowed""",
 )
 def packet_iat(spark, sf):
-    return packet_gaps(with_window(packets(spark, sf), WINDOW), ["window", *FLOW_KEY], ["ts_us", "seq"]).select("seq", "window", "iat_us")
+    return packet_gaps(with_window(packets(spark, sf), WINDOW), ["window", *FLOW_KEY], "seq").select("seq", "window", "iat_us")
 
 
 @check("flows_unidirectional", UNI_SQL)

@@ -34,11 +34,11 @@ def state_partitions(spark):
         spark.conf.set(name, before)
 
 
-def _halves(rows, marker_source=None):
-    """The rows in two steps by time, and an end marker if wanted."""
+def _halves(rows, marked: bool = False):
+    """The rows in two steps by time, the second with an end marker if wanted."""
     middle = rows.agg(F.expr("(min(ts_us) + max(ts_us)) div 2")).first()[0]
-    steps = [rows.where(F.col("ts_us") < middle), rows.where(F.col("ts_us") >= middle)]
-    return steps + ([end_marker(rows, 3 * WINDOW)] if marker_source else [])
+    late = rows.where(F.col("ts_us") >= middle)
+    return [rows.where(F.col("ts_us") < middle), late.unionByName(end_marker(rows, 3 * WINDOW)) if marked else late]
 
 
 def _base(rows) -> int:
@@ -79,7 +79,7 @@ LATE_SOURCE = f"""{windowed('packets', name='allw')}, windowed AS (
 def stream_late_data(spark, sf):
     """Signups come last: those of closed windows are dropped, those of open windows join their flow."""
     rows = packets(spark, sf)
-    steps = [rows.where(f"NOT ({LATE})"), rows.where(LATE), end_marker(rows, 3 * WINDOW)]
+    steps = [rows.where(f"NOT ({LATE})"), rows.where(LATE).unionByName(end_marker(rows, 3 * WINDOW))]
     build = partial(stream_flows, window_seconds=WINDOW, watermark=DELAY, base_us=_base(rows))
     with state_partitions(spark):
         out = replay(spark, steps, build)
@@ -92,12 +92,10 @@ def stream_detect(spark, sf):
     rows = packets(spark, sf)
     source, out, checkpoint = (fresh_dir(spark, f"live-{n}") for n in ("packets", "out", "checkpoint"))
     base = _base(rows)
+    rows.unionByName(end_marker(rows, 3 * WINDOW)).write.parquet(source)
     with state_partitions(spark):
-        for step in [rows, end_marker(rows, 3 * WINDOW)]:
-            step.write.mode("append").parquet(source)
-            stream = spark.readStream.schema(step.schema).parquet(source)
-            flows = stream_flows(stream, WINDOW, DELAY, base)
-            start_detection(flows, fixed_model(), out, checkpoint, as_of=AS_OF, trigger={"availableNow": True}).awaitTermination()
+        flows = stream_flows(spark.readStream.schema(rows.schema).parquet(source), WINDOW, DELAY, base)
+        start_detection(flows, fixed_model(), out, checkpoint, as_of=AS_OF, trigger={"availableNow": True}).awaitTermination()
     return rounded(read_alerts(spark, f"{out}/alerts_json").select(*ALERT.names), ["score"])
 
 

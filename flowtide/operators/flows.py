@@ -97,11 +97,28 @@ def add_up(names: list[str]) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
-def packet_gaps(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Seconds since the previous packet of the same window and flow; null for the first, never below zero."""
-    previous = F.lag("ts_us").over(Window.partitionBy(*keys).orderBy(*order))
-    gap = F.when(previous.isNotNull(), F.greatest(F.col("ts_us") - previous, F.lit(0).cast("bigint")))
-    return packets.withColumn("iat_us", gap).withColumn("iat", F.col("iat_us") / F.lit(1e6))
+def _stamp_gaps(stamps: DataFrame, inner: list[str]) -> DataFrame:
+    """Gap of each distinct time stamp to the one before it in the same slice; null for the first."""
+    previous = F.lag("ts_us").over(Window.partitionBy(*inner).orderBy("ts_us"))
+    return stamps.withColumn("gap", F.col("ts_us") - previous)
+
+
+def packet_gaps(packets: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Time since the previous packet of the same window and flow, as ``iat_us``; null for the first.
+
+    Of packets with the same time stamp the least ``tie`` comes first and the others have gap 0. Distinct stamps are
+    ordered slice by slice, with the last stamp of the slice before handed on, so no task sorts a whole flow; the join
+    back has one row per stamp on one side, which lets the engine split a hot stamp on the other.
+    """
+    inner = [*keys, "slice"]
+    cut = F.expr(f"ts_us div {SLICE_SECONDS * SECOND}").alias("slice")
+    stamps = packets.groupBy(*keys, cut, "ts_us").agg(F.min(tie).alias("_first"))
+    ends = stamps.groupBy(*inner).agg(F.max("ts_us").alias("ts_us"))
+    following = F.lead("slice").over(Window.partitionBy(*keys).orderBy("slice"))
+    handed = ends.withColumn("slice", following).where("slice IS NOT NULL").withColumn("_first", F.lit(None).cast(stamps.schema["_first"].dataType))
+    gaps = _stamp_gaps(stamps.unionByName(handed), inner).where("_first IS NOT NULL").drop("slice")
+    gap = F.when(F.col(tie) == F.col("_first"), F.col("gap")).otherwise(F.lit(0).cast("bigint"))
+    return packets.join(gaps, [*keys, "ts_us"]).withColumn("iat_us", gap).select(*packets.columns, "iat_us")
 
 
 def flow_states(windowed: DataFrame, window_seconds: int = 5, keys: list[str] | None = None) -> DataFrame:
@@ -109,10 +126,8 @@ def flow_states(windowed: DataFrame, window_seconds: int = 5, keys: list[str] |
     keys = keys or ["window", *FLOW_KEY]
     stamps = windowed.groupBy(*keys, *_slice(window_seconds), "ts_us").agg(*packet_sums())
     inner = keys + (["slice"] if window_seconds > SLICE_SECONDS else [])
-    previous = F.lag("ts_us").over(Window.partitionBy(*inner).orderBy("ts_us"))
-    gap = F.col("ts_us") - previous
     states = (
-        stamps.withColumn("gap", gap)
+        _stamp_gaps(stamps, inner)
         .groupBy(*inner)
         .agg(
             *add_up(STATE_SUMS),

@@ -17,7 +17,7 @@ EULER = 0.5772156649
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 # Rows drawn per tree relative to the rows used, so that a short draw is all but impossible.
 OVERSAMPLE = 1.5
-SCORE_CHUNK = 4096
+SCORE_CHUNK = 8192
 
 
 def average_path(n) -> np.ndarray:
@@ -83,7 +83,7 @@ class Forest:
         depth = max(1, int(nodes["depth"].max()))
         inner, bottom = 2**depth - 1, 2**depth
         trees = sorted(nodes["tree"].unique())
-        feature = np.zeros((len(trees), inner), dtype="int32")
+        feature = np.zeros((len(trees), inner), dtype=np.intp)
         threshold = np.full((len(trees), inner), np.inf)
         path = np.zeros((len(trees), bottom))
         for t, (_, part) in enumerate(nodes.groupby("tree", sort=True)):
@@ -119,15 +119,25 @@ def forest_score(x: np.ndarray, forest: tuple) -> np.ndarray:
 
 def _path_sum(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, path: np.ndarray) -> np.ndarray:
     """Sum over the trees of each row's path length; all rows of the chunk step down one level at a time."""
-    flat, offset = x.ravel(), np.arange(len(x)) * x.shape[1]
-    total, inner = np.zeros(len(x)), feature.shape[1]
+    n, width = x.shape
+    flat, first = x.ravel(), np.arange(n) * width
+    total, inner = np.zeros(n), feature.shape[1]
+    node, at = np.empty(n, np.intp), np.empty(n, np.intp)
+    value, limit, above = np.empty(n), np.empty(n), np.empty(n, bool)
     levels = int(math.log2(path.shape[1]))
     for feat, thr, lengths in zip(feature, threshold, path):
-        node = (x[:, feat[0]] > thr[0]).astype(np.int64) + 1
+        np.add(x[:, feat[0]] > thr[0], 1, out=node)
         for _ in range(levels - 1):
-            above = flat.take(offset + feat.take(node)) > thr.take(node)
-            node = 2 * node + 1 + above
-        total += lengths.take(node - inner)
+            np.take(feat, node, out=at, mode="clip")
+            at += first
+            np.take(flat, at, out=value, mode="clip")
+            np.take(thr, node, out=limit, mode="clip")
+            np.greater(value, limit, out=above)
+            node *= 2
+            node += 1
+            node += above
+        node -= inner
+        total += np.take(lengths, node, out=value, mode="clip")
     return total
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -174,7 +175,7 @@ def header_groups(spark: SparkSession, files: list[str], threads: int = 16) -> d
 
 
 def _split_header(line: str) -> list[str]:
-    return [name.strip('"') for name in line.lstrip("﻿").split(",")]
+    return next(csv.reader([line.removeprefix("\ufeff")]), [])
 
 
 def quotas(limit: int, files: list[str]) -> dict[str, int]:

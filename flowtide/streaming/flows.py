@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.flows import SECOND, SLICE_SECONDS, STATE_SUMS, add_up, orient, packet_sums, state_features
-from ..schemas import FLOW_KEY, FLOW_EXTENDED
+from ..operators.flows import GAP_SUMS, SECOND, SLICE_SECONDS, STATE_SUMS, add_up, orient, packet_sums, state_features
+from ..schemas import FLOW_EXTENDED, FLOW_KEY
 from ..sources.packets import with_event_time
 
 
@@ -40,36 +40,48 @@ def stream_flow_states(packets: DataFrame, window_seconds: int, watermark: str,
     """One state per flow and closed window (append mode).
 
     As in the batch form, packets first fold by exact time stamp with map-side combining, gaps are taken in slices of
-    at most ten seconds (a list of at most 10^7 distinct stamps), and the slices of a flow are joined at their edges.
-    A packet that comes after its window was closed by the watermark is dropped and counted by Spark.
+    at most ten seconds (a list of at most 10^7 distinct stamps), and the slices of a longer window are joined at their
+    edges. A packet that comes after its window was closed by the watermark is dropped and counted by Spark.
     """
     width = window_seconds * SECOND
+    long = window_seconds > SLICE_SECONDS
     keyed = orient(packets, direction)
     keyed = (keyed if "ts" in keyed.columns else with_event_time(keyed)).withWatermark("ts", watermark)
     span = F.window("ts", f"{window_seconds} seconds", startTime=f"{base_us % width} microseconds").alias("span")
-    cut = F.expr(f"ts_us div {SLICE_SECONDS * SECOND}").alias("slice")
-    stamps = keyed.groupBy(span, *FLOW_KEY, cut, "ts_us").agg(*packet_sums())
-
-    sliced = stamps.groupBy("span", *FLOW_KEY, "slice").agg(*add_up(STATE_SUMS), F.sort_array(F.collect_list("ts_us")).alias("stamps"))
-    states = sliced.withColumns({**_gap_state(F.col("stamps")), "gaps": F.col("packets") - 1}).withColumns(
-        {"first_us": F.element_at("stamps", 1), "last_us": F.element_at("stamps", -1)}
+    cut = [F.expr(f"ts_us div {SLICE_SECONDS * SECOND}").alias("slice")] if long else []
+    stamps = keyed.groupBy(span, *FLOW_KEY, *cut, "ts_us").agg(*packet_sums())
+    inner = ["span", *FLOW_KEY, *(["slice"] if long else [])]
+    listed = stamps.groupBy(*inner).agg(*add_up(STATE_SUMS), F.sort_array(F.collect_list("ts_us")).alias("stamps"))
+    states = listed.withColumns(
+        {
+            **_gap_state(F.col("stamps")),
+            "gaps": F.col("packets") - 1,
+            "first_us": F.element_at("stamps", 1),
+            "last_us": F.element_at("stamps", -1),
+        }
     )
+    whole = _join_slices(states) if long else states
+    window = F.call_function("div", F.unix_micros("span.start") - F.lit(base_us), F.lit(width).cast("bigint"))
+    return whole.select(window.alias("window"), *FLOW_KEY, *STATE_SUMS, *GAP_SUMS, "first_us", "last_us")
+
+
+def _join_slices(states: DataFrame) -> DataFrame:
+    """The slices of a flow as one state; the list of their edges has at most window / 10 s entries."""
     ends = F.sort_array(F.collect_list(F.struct("first_us", "last_us")))
     joined = states.groupBy("span", *FLOW_KEY).agg(
         *add_up([*STATE_SUMS, "gaps", "gap_sum"]),
         F.sum(F.col("gap_sq").cast("decimal(28,0)")).cast("decimal(38,0)").alias("gap_sq"),
         ends.alias("ends"),
     )
-    edges = joined.withColumn("edges", _edges(F.col("ends")))
-    return edges.select(
-        F.call_function("div", F.unix_micros("span.start") - F.lit(base_us), F.lit(width).cast("bigint")).alias("window"),
-        *FLOW_KEY,
-        *STATE_SUMS,
-        (F.col("gaps") + F.size("edges")).alias("gaps"),
-        (F.col("gap_sum") + _total(F.col("edges")).cast("bigint")).alias("gap_sum"),
-        (F.col("gap_sq") + _total(F.transform("edges", lambda e: (e * e).cast("decimal(38,0)")))).alias("gap_sq"),
-        F.element_at("ends", 1)["first_us"].alias("first_us"),
-        F.element_at("ends", -1)["last_us"].alias("last_us"),
+    squares = F.transform("edges", lambda e: (e * e).cast("decimal(38,0)"))
+    return joined.withColumn("edges", _edges(F.col("ends"))).withColumns(
+        {
+            "gaps": F.col("gaps") + F.size("edges"),
+            "gap_sum": F.col("gap_sum") + _total(F.col("edges")).cast("bigint"),
+            "gap_sq": F.col("gap_sq") + _total(squares),
+            "first_us": F.element_at("ends", 1)["first_us"],
+            "last_us": F.element_at("ends", -1)["last_us"],
+        }
     )
 
 

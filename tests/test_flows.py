@@ -198,11 +198,17 @@ def test_join_slices_adds_the_edges(make_packets):
     assert (joined.gaps, joined.gap_sum, int(joined.gap_sq)) == (3, 5_000_000, 11 * 10**12)
 
 
-def test_packet_gaps_never_negative_and_null_first(spark):
-    rows = [(T0, 1), (T0 + 5, 2), (T0 + 3, 3)]
-    table = spark.createDataFrame(rows, "ts_us bigint, seq bigint").withColumn("k", F.lit(1))
-    by_arrival = packet_gaps(table, ["k"], ["seq"]).orderBy("seq")
-    assert [r.iat_us for r in by_arrival.collect()] == [None, 5, 0]
+def test_packet_gaps_equal_brute_force(spark):
+    """A third of all packets are copies of one time stamp."""
+    rnd = random.Random(8)
+    rows = [(T0 + rnd.randrange(60_000_000), i, rnd.choice("ab")) for i in range(400)] + [(T0 + 7, 1000 + i, "a") for i in range(200)]
+    table = spark.createDataFrame(rows, "ts_us bigint, seq bigint, k string")
+    got = {r.seq: r.iat_us for r in packet_gaps(table, ["k"], "seq").collect()}
+    want = {}
+    for k in "ab":
+        part = sorted(r for r in rows if r[2] == k)
+        want |= {part[0][1]: None} | {b[1]: b[0] - a[0] for a, b in zip(part, part[1:])}
+    assert got == want
 
 
 def test_bounded(make_packets):
