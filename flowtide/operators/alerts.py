@@ -18,8 +18,9 @@ def level_column(score: Column, red, yellow) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with microseconds and offset (the session time zone is UTC)."""
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    """ISO-8601 text in UTC with microseconds and offset, whatever the session time zone."""
+    wall = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
 def to_alerts(scored: DataFrame, red: float, yellow: float, as_of: Column | str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.alerts import resolve_threshold, score_stats, to_alerts
@@ -14,15 +14,19 @@ from ..sources.tables import write_alerts
 from ..storage import materialise
 
 
+def score_expression(spark: SparkSession, model: Model) -> Column:
+    """M1/M4/M5: the score of a flow as a column; holds the broadcast forest, so it can be used for many tables."""
+    s = model.scaler
+    inputs = [(clean(F.col(c)) - F.lit(m)) / F.lit(d) for c, m, d in zip(s.columns, s.mean, s.scale)]
+    return score_column(spark, model.forest, inputs) - F.lit(model.offset)
+
+
 def score_flows(flows: DataFrame, model: Model) -> DataFrame:
     """M1/M4/M5: add ``score``; below 0 is an anomaly. Uses the features the model was fitted on; no shuffle."""
-    s = model.scaler
-    missing = [c for c in s.columns if c not in flows.columns]
+    missing = [c for c in model.columns if c not in flows.columns]
     if missing:
         raise ValueError(f"flows lack the features {missing}")
-    inputs = [(clean(F.col(c)) - F.lit(m)) / F.lit(d) for c, m, d in zip(s.columns, s.mean, s.scale)]
-    raw = score_column(flows.sparkSession, model.forest, inputs)
-    return flows.withColumn("score", raw - F.lit(model.offset))
+    return flows.withColumn("score", score_expression(flows.sparkSession, model))
 
 
 def detect(flows: DataFrame, model: Model, red=None, yellow=None, as_of=None) -> DataFrame:

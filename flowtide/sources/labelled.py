@@ -198,6 +198,8 @@ def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int =
         raw = raw.select(F.col("_metadata.file_path").alias("source_file"), *names)
         parts.append(normalise_labelled(raw, resolve_header(list(header)), keep=["source_file"]))
     table = reduce(DataFrame.unionByName, parts)
+    if table.isEmpty():
+        raise ValueError(f"no flow in the files of {pattern}")
     if limit <= 0:
         return table.drop("source_file")
     # Sampling reads its input three times; parsing all files once and reading the table is cheaper.

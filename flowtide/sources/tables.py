@@ -67,5 +67,7 @@ def parse_alert_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def with_alert_time(alerts: DataFrame) -> DataFrame:
-    """add ``ts`` from the ISO-8601 text, with or without an offset."""
-    return alerts.withColumn("ts", F.try_to_timestamp("timestamp"))
+    """add ``ts`` from the ISO-8601 text; text without an offset is in UTC."""
+    text = F.col("timestamp")
+    zoned = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("+00:00")))
+    return alerts.withColumn("ts", F.try_to_timestamp(zoned))

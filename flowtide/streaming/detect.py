@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.alerts import resolve_threshold, to_alerts
-from ..plans.detect import score_flows
+from ..plans.detect import score_expression
 from ..schemas import FLOW_KEY
 from ..sources.registry import Model
 from ..sources.tables import write_alerts
@@ -18,12 +18,14 @@ def start_detection(
 ) -> StreamingQuery:
     """Score each micro-batch of flows once and write its alerts as JSON lines and CSV.
 
-    A batch that is run again after a failure replaces its own folder, so alerts are written exactly once.
+    A batch that is run again after a failure replaces its own folder, so alerts are written exactly once. The forest
+    is broadcast once per run. The default trigger is half a five-second window.
     """
     limits = resolve_threshold(model.red, red), resolve_threshold(model.yellow, yellow)
+    score = score_expression(flows.sparkSession, model)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = score_flows(batch, model).select(*FLOW_KEY, "score")
+        scored = batch.select(*FLOW_KEY, score.alias("score"))
         alerts = to_alerts(scored, *limits, as_of).persist()
         try:
             write_alerts(alerts, f"{out}/alerts_json", "json", batch_id)

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.operators.alerts import level_column, log_line, resolve_threshold, score_stats, threshold_columns, to_alerts
+from flowtide.operators.alerts import iso_utc, level_column, log_line, resolve_threshold, score_stats, threshold_columns, to_alerts
 from flowtide.operators.dashboards import alert_rate, avg_score_series, by_level, last_alerts, level_series, rate_series, top_ips
 from flowtide.schemas import ALERT
 from flowtide.sources.tables import (
@@ -55,6 +55,16 @@ def test_detection_time_is_one_and_iso(scored):
     assert datetime.fromisoformat(stamps.pop()).tzinfo is not None
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    text = ["2024-07-01T12:00:00.250000+00:00", "2024-07-01T12:00:00.25", "2024-07-01T14:00:00.25+02:00", "2024-07-01T12:00:00.25Z"]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        table = with_alert_time(spark.createDataFrame([(t,) for t in text], "timestamp string"))
+        assert {r[0] for r in table.select(iso_utc(F.col("ts"))).collect()} == {text[0]}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_stats_and_lines(scored):
     r = score_stats(scored).first()
     assert (r.n, r.min_score, r.max_score) == (3, -0.2, 0.1) and r.mean_score == pytest.approx(-0.17 / 3)
