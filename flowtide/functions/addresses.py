@@ -9,7 +9,8 @@ _V4 = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 
 
 def _octets(ip: Column) -> list[Column]:
-    return [F.split_part(ip, F.lit("."), F.lit(i)) for i in (1, 2, 3, 4)]
+    head, tail = F.substring_index(ip, ".", 2), F.substring_index(ip, ".", -2)
+    return [F.substring_index(part, ".", side) for part in (head, tail) for side in (1, -1)]
 
 
 def _v4_key(ip: Column) -> Column:
@@ -27,7 +28,8 @@ def _v4_tail_as_hex(ip: Column) -> Column:
     tail = F.substring_index(ip, ":", -1)
     octets = [F.lpad(F.hex(o.try_cast("bigint")), 2, "0") for o in _octets(tail)]
     head = F.substring(ip, F.lit(1), F.length(ip) - F.length(tail))
-    return F.when(F.instr(tail, ".") > 0, F.concat(head, octets[0], octets[1], F.lit(":"), octets[2], octets[3])).otherwise(ip)
+    rewritten = F.concat(head, *octets[:2], F.lit(":"), *octets[2:])
+    return F.when(F.instr(tail, ".") > 0, rewritten).otherwise(ip)
 
 
 def _v6_key(ip: Column) -> Column:

@@ -56,7 +56,9 @@ def log_line(alerts: DataFrame) -> DataFrame:
     )
 
 
-def threshold_columns(document: Column, red_override: Column | None = None, yellow_override: Column | None = None) -> list[Column]:
+def threshold_columns(
+    document: Column, red_override: Column | None = None, yellow_override: Column | None = None
+) -> list[Column]:
     """Thresholds of a JSON document held as text.
 
     A valid override wins; a missing key has its default; a document with a bad value is not used at all.

@@ -36,11 +36,11 @@ def f1_table(scored: DataFrame, offsets: dict[float, float], label: str = "label
     for contamination, offset in offsets.items():
         hit = F.col(score) - F.lit(offset) < 0
         counts = {"tp": hit & truth, "fp": hit & clean, "fn": ~hit & truth}
-        rows.append(F.struct(F.lit(contamination).alias("contamination"), *[F.count_if(c).alias(n) for n, c in counts.items()]))
+        named = [F.count_if(test).alias(n) for n, test in counts.items()]
+        rows.append(F.struct(F.lit(contamination).alias("contamination"), *named))
     counted = scored.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    rates = counted.withColumns(
-        {"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn"))}
-    )
+    tp, fp, fn = (F.col(n) for n in ("tp", "fp", "fn"))
+    rates = counted.withColumns({"precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn)})
     both = F.col("precision") + F.col("recall")
     f1 = F.when(both == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(2.0) * F.col("precision") * F.col("recall"), both))
     return rates.withColumn("f1", f1)

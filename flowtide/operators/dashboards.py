@@ -36,7 +36,9 @@ def level_values(alerts: DataFrame) -> DataFrame:
     return alerts.select("level").distinct()
 
 
-def alert_rate(alerts: DataFrame, seconds: int = RANGE_SECONDS, level: str | None = None, as_of: datetime | None = None) -> DataFrame:
+def alert_rate(
+    alerts: DataFrame, seconds: int = RANGE_SECONDS, level: str | None = None, as_of: datetime | None = None
+) -> DataFrame:
     """Alerts per second over the trailing range; the range ends at the newest alert of any level."""
     wanted = F.lit(True) if level is None else F.col("level") == level
     return in_range(alerts, seconds, as_of).agg((F.count_if(wanted) / F.lit(float(seconds))).alias("rate"))
@@ -72,7 +74,9 @@ def rate_series(alerts: DataFrame, seconds: int = RANGE_SECONDS) -> DataFrame:
     return rated.where(F.col("own") == F.col("chunk")).select("level", "second", "rate")
 
 
-def top_ips(alerts: DataFrame, column: str, seconds: int = RANGE_SECONDS, k: int = 10, as_of: datetime | None = None) -> DataFrame:
+def top_ips(
+    alerts: DataFrame, column: str, seconds: int = RANGE_SECONDS, k: int = 10, as_of: datetime | None = None
+) -> DataFrame:
     """The addresses with most alerts in the trailing range; ties by address."""
     counts = in_range(alerts, seconds, as_of).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), column).limit(k)

@@ -90,7 +90,12 @@ def outlier_rows(
 
 
 def inject_outliers(
-    scaled: DataFrame, columns: list[str], ratio: float = 0.02, seed: int = 42, label: str | None = None, rows: int | None = None
+    scaled: DataFrame,
+    columns: list[str],
+    ratio: float = 0.02,
+    seed: int = 42,
+    label: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Append ``max(1, floor(ratio * rows))`` outliers; a label column gets 1 for them.
 

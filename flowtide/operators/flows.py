@@ -115,7 +115,8 @@ def packet_gaps(packets: DataFrame, keys: list[str], tie: str) -> DataFrame:
     stamps = packets.groupBy(*keys, cut, "ts_us").agg(F.min(tie).alias("_first"))
     ends = stamps.groupBy(*inner).agg(F.max("ts_us").alias("ts_us"))
     following = F.lead("slice").over(Window.partitionBy(*keys).orderBy("slice"))
-    handed = ends.withColumn("slice", following).where("slice IS NOT NULL").withColumn("_first", F.lit(None).cast(stamps.schema["_first"].dataType))
+    nothing = F.lit(None).cast(packets.schema[tie].dataType).alias("_first")
+    handed = ends.withColumn("slice", following).where("slice IS NOT NULL").select(*inner, "ts_us", nothing)
     gaps = _stamp_gaps(stamps.unionByName(handed), inner).where("_first IS NOT NULL").drop("slice")
     gap = F.when(F.col(tie) == F.col("_first"), F.col("gap")).otherwise(F.lit(0).cast("bigint"))
     return packets.join(gaps, [*keys, "ts_us"]).withColumn("iat_us", gap).select(*packets.columns, "iat_us")

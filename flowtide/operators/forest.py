@@ -177,7 +177,8 @@ def tree_samples(
     ident = [F.col(c) for c in key] if key else [F.monotonically_increasing_id()]
     rate = min(float(trees), factor * sample * trees / rows)
     keyed = data.select(*columns, F.xxhash64(F.lit(seed), *ident).alias("_h"))
-    draws = keyed.withColumn("_n", F.floor(F.lit(rate) + _unit(F.col("_h"), F.lit("draws"))).cast("int")).where(F.col("_n") > 0)
+    count = F.floor(F.lit(rate) + _unit(F.col("_h"), F.lit("draws"))).cast("int")
+    draws = keyed.withColumn("_n", count).where("_n > 0")
 
     def pick(i: Column) -> Column:
         return F.floor((i + _unit(F.col("_h"), i)) * F.lit(float(trees)) / F.col("_n")).cast("int")

@@ -104,8 +104,9 @@ def _share_copies(last: DataFrame, columns: list[str], group: list[str], name: s
     folded = last.groupBy(*columns, "_take").agg(F.count(F.lit(1)).alias("_n"))
     placed = folded.withColumn("_upto", _running("_n", Window.partitionBy(*group), _order_text(columns)))
     chosen = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_take") - (F.col("_upto") - F.col("_n"))))
-    parts = [placed.select(*columns, F.lit(flag).alias(name), n.alias("_times")) for flag, n in ((True, chosen), (False, F.col("_n") - chosen))]
-    return repeat_rows(parts[0].unionByName(parts[1]), "_times")
+    yes = placed.select(*columns, F.lit(True).alias(name), chosen.alias("_times"))
+    no = placed.select(*columns, F.lit(False).alias(name), (F.col("_n") - chosen).alias("_times"))
+    return repeat_rows(yes.unionByName(no), "_times")
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:

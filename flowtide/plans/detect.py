@@ -35,7 +35,9 @@ def detect(flows: DataFrame, model: Model, red=None, yellow=None, as_of=None) ->
     return to_alerts(score_flows(flows, model), *limits, as_of)
 
 
-def detect_batch(flows: DataFrame, model: Model, out: str, red=None, yellow=None, as_of=None, batch_id: int | None = None) -> dict:
+def detect_batch(
+    flows: DataFrame, model: Model, out: str, red=None, yellow=None, as_of=None, batch_id: int | None = None
+) -> dict:
     """Score once, write the alerts as JSON lines and CSV, and return the score statistics and the alert count.
 
     The scores are written to the shared folder, so that statistics and alerts come from the same pass.

@@ -46,7 +46,9 @@ def calibrate(data: DataFrame, columns: list[str], p: TrainParams, candidates: l
     return best_contamination(f1_table(scored.where("is_val"), offsets))
 
 
-def train(flows: DataFrame, params: TrainParams | None = None, label: str | None = "label", version: str = "unnamed") -> Model:
+def train(
+    flows: DataFrame, params: TrainParams | None = None, label: str | None = "label", version: str = "unnamed"
+) -> Model:
     """Fit scaler and forest on the flows plus injected outliers, calibrate with labels if there are any."""
     p = params or TrainParams()
     columns = feature_columns(p.feature_set)

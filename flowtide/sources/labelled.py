@@ -93,7 +93,9 @@ def _endpoints(field: dict[str, Column]) -> dict[str, Column]:
     return {"src_ip": F.lit(UNKNOWN_IP), "dst_ip": F.lit(UNKNOWN_IP), **explicit}
 
 
-def normalise_labelled(raw: DataFrame, mapping: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
+def normalise_labelled(
+    raw: DataFrame, mapping: dict[str, int] | None = None, keep: list[str] | None = None
+) -> DataFrame:
     """Text columns of one header layout to the normalised schema, tcp and udp only.
 
     ``keep`` names further columns of ``raw`` to carry along in front.
@@ -208,7 +210,9 @@ def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int =
     return quota_sample(table, quotas(limit, usable), "source_file", seed).drop("source_file")
 
 
-def quota_sample(table: DataFrame, quota: dict[str, int], source: str, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+def quota_sample(
+    table: DataFrame, quota: dict[str, int], source: str, seed: int = 42, key: list[str] | None = None
+) -> DataFrame:
     """L1/L2: from each source its quota of rows, a uniform sample that depends on seed and row content only.
 
     A source whose quota is 0 gives no rows. Sources are files, so the quota table is as long as the file list.

@@ -47,11 +47,8 @@ def _whole_or_zero(text: Column) -> Column:
 
 def data_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Drop blank lines and status messages; they are neither data nor counted."""
-    line = strip(F.col(column))
-    keep = line != ""
-    for prefix in STATUS_PREFIXES:
-        keep = keep & ~line.startswith(prefix)
-    return lines.where(keep)
+    ignored = r"^\s*($|" + "|".join(STATUS_PREFIXES) + ")"
+    return lines.where(~F.col(column).rlike(ignored))
 
 
 def parse_packets(lines: DataFrame, column: str = "value") -> DataFrame:

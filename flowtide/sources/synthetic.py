@@ -37,8 +37,8 @@ def random_ip(seed: int, ident: Column, name: str, private: bool = True) -> Colu
     def spread(low, high):
         return F.floor(second * F.lit(float(high - low + 1))).cast("bigint") + F.lit(low)
 
-    choice = F.element_at(F.array(*[F.array(F.lit(a).cast("bigint"), b) for a, b in ((10, spread(0, 255)), (172, spread(16, 31)), (192, F.lit(168).cast("bigint")))]), (block + 1).cast("int"))
-    return dotted(F.array_join(choice, "."), octet(2, 0, 255), octet(3, 1, 254))
+    heads = F.array(dotted(10, spread(0, 255)), dotted(172, spread(16, 31)), dotted(192, 168))
+    return dotted(F.element_at(heads, (block + 1).cast("int")), octet(2, 0, 255), octet(3, 1, 254))
 
 
 def _base(seed: int, ident: Column, kind: str) -> dict[str, Column]:
@@ -114,7 +114,9 @@ def synthetic_kind(ids: DataFrame, kind: str, seed: int = 42, ident: str = "id")
     return table.select(ident, *fields)
 
 
-def synthetic_flows(spark: SparkSession, benign: int = 1000, syn_flood: int = 100, port_scan: int = 100, seed: int = 42) -> DataFrame:
+def synthetic_flows(
+    spark: SparkSession, benign: int = 1000, syn_flood: int = 100, port_scan: int = 100, seed: int = 42
+) -> DataFrame:
     """A shuffled mix of the three kinds."""
     table, start = None, 0
     for kind, n in zip(KINDS, (benign, syn_flood, port_scan)):

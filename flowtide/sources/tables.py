@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from ..schemas import ALERT, FLOW_LABELLED
 
 
-def write_flows(flows: DataFrame, path: str, label: int | None = None, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def write_flows(
+    flows: DataFrame, path: str, label: int | None = None, fmt: str = "parquet", mode: str = "errorifexists"
+) -> None:
     """Write a flow table, CSV with a header or parquet, optionally with a constant label."""
     table = flows if label is None else flows.withColumn("label", F.lit(int(label)))
     table.write.mode(mode).option("header", True).format(fmt).save(path)

@@ -14,7 +14,14 @@ from ..sources.tables import write_alerts
 
 
 def start_detection(
-    flows: DataFrame, model: Model, out: str, checkpoint: str, red=None, yellow=None, as_of=None, trigger: dict | None = None
+    flows: DataFrame,
+    model: Model,
+    out: str,
+    checkpoint: str,
+    red=None,
+    yellow=None,
+    as_of=None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Score each micro-batch of flows once and write its alerts as JSON lines and CSV.
 

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.flows import GAP_SUMS, SECOND, SLICE_SECONDS, STATE_SUMS, add_up, orient, packet_sums, state_features
+from ..functions.coerce import MIN_DURATION
+from ..operators.flows import (
+    GAP_SUMS,
+    SECOND,
+    SLICE_SECONDS,
+    STATE_SUMS,
+    add_up,
+    orient,
+    packet_sums,
+    state_features,
+    window_index,
+)
 from ..schemas import FLOW_EXTENDED, FLOW_KEY
 from ..sources.packets import with_event_time
 
@@ -36,7 +48,9 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
 
 
-def stream_flow_states(packets: DataFrame, window_seconds: int, watermark: str, base_us: int = 0, direction: str = "uni") -> DataFrame:
+def stream_flow_states(
+    packets: DataFrame, window_seconds: int, watermark: str, base_us: int = 0, direction: str = "uni"
+) -> DataFrame:
     """One state per flow and closed window (append mode).
 
     As in the batch form, packets first fold by exact time stamp with map-side combining, gaps are taken in slices of
@@ -61,7 +75,7 @@ def stream_flow_states(packets: DataFrame, window_seconds: int, watermark: str,
         }
     )
     whole = _join_slices(states) if long else states
-    window = F.call_function("div", F.unix_micros("span.start") - F.lit(base_us), F.lit(width).cast("bigint"))
+    window = window_index(F.unix_micros("span.start"), F.lit(base_us).cast("bigint"), window_seconds)
     return whole.select(window.alias("window"), *FLOW_KEY, *STATE_SUMS, *GAP_SUMS, "first_us", "last_us")
 
 
@@ -98,11 +112,35 @@ def stream_flows(
 
 
 LIVE_STATE = (
-    "packets bigint, bytes bigint, bytes_sq double, syn bigint, fin bigint, rst bigint, "
+    "packets bigint, bytes bigint, bytes_sq bigint, syn bigint, fin bigint, rst bigint, "
     "gaps bigint, gap_sum bigint, gap_sq double, first_us bigint, last_us bigint"
 )
 
 
+def _add_packets(state: tuple | None, part: pd.DataFrame, tcp: bool) -> tuple:
+    """The state of a flow after one more batch of its packets, in time order within the batch."""
+    part = part.sort_values("ts_us", kind="stable")
+    ts, size = part["ts_us"].to_numpy("int64"), part["frame_len"].to_numpy("int64")
+    before = ts[:1] if state is None else np.array([state[10]])
+    gaps = np.diff(np.concatenate([before, ts])).clip(min=0)
+    flags = [int(part[f].sum()) if tcp else 0 for f in ("syn", "fin", "rst")]
+    added = [len(ts), int(size.sum()), int((size * size).sum()), *flags]
+    added += [len(ts) - (state is None), int(gaps.sum()), float((gaps.astype("float64") ** 2).sum())]
+    old = state or (0,) * 9 + (int(ts[0]), 0)
+    return (*[a + b for a, b in zip(old, added)], min(old[9], int(ts[0])), int(ts[-1]))
+
+
+def _finished_row(key: tuple, state: tuple) -> list:
+    """The flow row of a state, in the order of the extended flow schema."""
+    n, size, size_sq, syn, fin, rst, gaps, gap_sum, gap_sq, first, last = state
+    duration = max(MIN_DURATION, (last - first) / 1e6)
+    size_std = max(0, n * size_sq - size * size) ** 0.5 / n
+    gap_mean = gap_sum / gaps if gaps else 0.0
+    gap_std = max(0.0, gap_sq / gaps - gap_mean**2) ** 0.5 if gaps else 0.0
+    features = [n, size, size / n, size_std, duration, syn, fin, rst, gap_mean / 1e6, gap_std / 1e6, size / n, n / duration]
+    return [*key, *features]
+
+
 def live_flows(packets: DataFrame, window_seconds: int = 5, base_us: int = 0, idle_seconds: int | None = None) -> DataFrame:
     """Flows given out once they have been idle, by the wall clock, for max(2, window) seconds.
 
@@ -111,41 +149,22 @@ def live_flows(packets: DataFrame, window_seconds: int = 5, base_us: int = 0, id
     given out starts anew, as a second row.
     """
     idle_ms = 1000 * (idle_seconds or max(2, window_seconds))
-    width = window_seconds * SECOND
-    window = F.call_function("div", F.col("ts_us") - F.lit(base_us) - F.pmod(F.col("ts_us") - F.lit(base_us), F.lit(width)), F.lit(width))
-    rows = packets.withColumn("window", window.cast("bigint"))
     names = FLOW_EXTENDED.names
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            n, size, size_sq, syn, fin, rst, gaps, gap_sum, gap_sq, first, last = state.get
+            row = _finished_row(key, state.get)
             state.remove()
-            duration = max(1e-6, (last - first) / 1e6)
-            spread = max(0.0, size_sq / n - (size / n) ** 2) ** 0.5
-            mean_gap = gap_sum / gaps if gaps else 0.0
-            gap_std = max(0.0, gap_sq / gaps - mean_gap**2) ** 0.5 if gaps else 0.0
-            row = [*key, n, size, size / n, spread, duration, syn, fin, rst]
-            row += [mean_gap / 1e6, gap_std / 1e6, size / n, n / duration]
             yield pd.DataFrame([row], columns=names)
             return
-        acc = list(state.get) if state.exists else None
+        known = state.get if state.exists else None
         for part in batches:
-            part = part.sort_values("ts_us", kind="stable")
-            ts, size = part["ts_us"].to_numpy("int64"), part["frame_len"].to_numpy("int64")
-            if acc is None:
-                acc = [0, 0, 0.0, 0, 0, 0, 0, 0, 0.0, int(ts[0]), None]
-            steps = (ts[1:] - ts[:-1]) if acc[10] is None else pd.Series(ts).diff().fillna(ts[0] - acc[10]).to_numpy()
-            steps = steps.clip(min=0)
-            tcp = key[5] == "tcp"
-            flags = [int(part[f].sum()) if tcp else 0 for f in ("syn", "fin", "rst")]
-            added = [len(ts), int(size.sum()), float((size.astype("float64") ** 2).sum()), *flags]
-            added += [len(steps), int(steps.sum()), float((steps.astype("float64") ** 2).sum())]
-            acc[:9] = [a + b for a, b in zip(acc[:9], added)]
-            acc[9], acc[10] = min(acc[9], int(ts[0])), int(ts[-1])
-        if acc is not None:
-            state.update(tuple(acc))
+            known = _add_packets(known, part, key[5] == "tcp")
+        if known is not None:
+            state.update(known)
             state.setTimeoutDuration(idle_ms)
-        yield from ()
 
-    grouped = rows.groupBy("window", *FLOW_KEY)
-    return grouped.applyInPandasWithState(update, FLOW_EXTENDED, LIVE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    window = window_index(F.col("ts_us"), F.lit(base_us).cast("bigint"), window_seconds)
+    grouped = packets.withColumn("window", window).groupBy("window", *FLOW_KEY)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout
+    return grouped.applyInPandasWithState(update, FLOW_EXTENDED, LIVE_STATE, "append", timeout)

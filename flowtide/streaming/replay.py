@@ -12,7 +12,11 @@ from ..storage import fresh_dir
 
 
 def replay(
-    spark: SparkSession, steps: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append", name: str = "replay"
+    spark: SparkSession,
+    steps: list[DataFrame],
+    build: Callable[[DataFrame], DataFrame],
+    mode: str = "append",
+    name: str = "replay",
 ) -> DataFrame:
     """Run a stream over the steps, one after the other, and return all that it gave out.
 
@@ -39,6 +43,6 @@ def end_marker(packets: DataFrame, beyond_seconds: int) -> DataFrame:
 
     Its own window stays open, so it never shows in a result of append mode.
     """
-    last = packets.agg(F.max("ts_us").alias("ts_us")).select((F.col("ts_us") + F.lit(beyond_seconds * 1_000_000)).alias("ts_us"))
+    last = packets.agg((F.max("ts_us") + F.lit(beyond_seconds * 1_000_000)).alias("ts_us"))
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in packets.schema if f.name != "ts_us"]
     return last.select("ts_us", *rest).select(*packets.columns)
