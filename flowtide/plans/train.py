@@ -37,7 +37,7 @@ def calibrate(data: DataFrame, columns: list[str], p: TrainParams, candidates: l
 
     Contamination only moves the offset, so one forest and one scoring pass serve all candidates.
     """
-    split = materialise(stratified_split(data, "label", p.validation, p.seed, key=["row_id"]), "split")
+    split = stratified_split(data, "label", p.validation, p.seed, key=["row_id"])
     fitted = split.where(~F.col("is_val"))
     rows = fitted.count()
     forest = _fit(fitted, columns, p, rows)

@@ -127,11 +127,13 @@ def observe_ingest(parsed: DataFrame, name: str = "ingest") -> DataFrame:
 
 
 class IngestListener(StreamingQueryListener):
-    """Running totals of the ingest counters of a streaming query."""
+    """Running totals of the ingest counters of a streaming query, and of what its state holds and dropped."""
 
     def __init__(self, name: str = "ingest"):
         self.name = name
         self.totals = {"total_lines": 0, "parsed": 0, "skipped": 0}
+        self.state_rows = 0
+        self.late_rows = 0
 
     def onQueryStarted(self, event):
         pass
@@ -141,6 +143,9 @@ class IngestListener(StreamingQueryListener):
         if row is not None:
             for key in self.totals:
                 self.totals[key] += row[key] or 0
+        operators = event.progress.stateOperators
+        self.state_rows = sum(o.numRowsTotal for o in operators)
+        self.late_rows += sum(o.numRowsDroppedByWatermark for o in operators)
 
     def onQueryIdle(self, event):
         pass

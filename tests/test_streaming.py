@@ -13,6 +13,12 @@ from flowtide.streaming.replay import end_marker, replay
 from .test_flows import F1, F3, GOLDEN, T0, packets_of, random_packets
 
 
+def wait_for(done, seconds=20):
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.1)
+
+
 def rounded(df):
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
 
@@ -32,7 +38,14 @@ def test_late_packets_are_dropped(spark, make_packets):
     later = make_packets(packets_of(F1, [70], [], start=T0 + 60_000_000))
     late = make_packets(packets_of(F1, [80], [], start=T0 + 2_000_000) + packets_of(F1, [90], [], start=T0 + 59_000_000))
     steps = [early, later, late, end_marker(later, 600)]
-    out = replay(spark, steps, lambda p: stream_flows(p, 10, "5 seconds", T0)).orderBy("window").collect()
+    listener = IngestListener()
+    spark.streams.addListener(listener)
+    try:
+        out = replay(spark, steps, lambda p: stream_flows(p, 10, "5 seconds", T0)).orderBy("window").collect()
+        wait_for(lambda: listener.late_rows > 0)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.late_rows == 1
     assert [(r.window, r.bidirectional_packets, r.bidirectional_bytes) for r in out] == [(0, 2, 120), (5, 1, 90), (6, 1, 70)]
 
 
@@ -45,10 +58,7 @@ def test_listener_counts_lines(spark, tmp_path):
         parsed = observe_ingest(parse_packets(read_packet_lines_stream(spark, str(tmp_path / "in"))))
         writer = valid_packets(parsed).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
         writer.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-        for _ in range(50):
-            if listener.totals["total_lines"] >= 2:
-                break
-            time.sleep(0.1)
+        wait_for(lambda: listener.totals["total_lines"] >= 2)
     finally:
         spark.streams.removeListener(listener)
     assert listener.totals == {"total_lines": 2, "parsed": 1, "skipped": 1}
@@ -83,9 +93,7 @@ def test_idle_flows_are_given_out(spark, make_packets):
         return (query.lastProgress or {}).get("batchId", -1)
 
     try:
-        end = time.time() + 60
-        while batches_done() < 0 and time.time() < end:
-            time.sleep(0.1)
+        wait_for(lambda: batches_done() >= 0, 60)
         packets.where(F.col("ts_us") >= T0 + 700_000).write.mode("append").parquet(source)
         wait(1)
         make_packets(packets_of(F3, [40], [], start=T0 + 1_000_000)).write.mode("append").parquet(source)
