@@ -12,7 +12,7 @@ from flowtide.sources.packets import IngestListener, observe_ingest, parse_packe
 from flowtide.sources.tables import read_alerts, with_alert_time
 from flowtide.storage import fresh_dir
 from flowtide.streaming.detect import start_detection, stream_alert_counts
-from flowtide.streaming.flows import stream_flows
+from flowtide.streaming.flows import live_flows, stream_flows
 from flowtide.streaming.replay import end_marker, replay
 
 from .adapters import ALERTS, AS_OF, FLOW_SELECT, LINES, PACKETS, ROUNDED, UNI, UNI_SQL, WINDOW, alert_rows, fixed_model, flows_cte, packet_files, packets, windowed
@@ -68,6 +68,32 @@ def stream_flow_append(spark, sf):
     return rounded(out.drop("batch_id"), ROUNDED)
 
 
+@check("stream_idle_flush", UNI_SQL)
+def stream_idle_flush(spark, sf):
+    """All packets arrive at once and then none: every flow is given out by its idle timer."""
+    rows = packets(spark, sf)
+    source, sink, checkpoint = (fresh_dir(spark, f"idle-{n}") for n in ("packets", "flows", "checkpoint"))
+    rows.write.parquet(source)
+    base, total = rows.agg(F.min("ts_us"), F.count(F.lit(1))).first()
+    seen = []
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        done = spark.read.schema(batch.schema).parquet(f"{sink}/batch_id={batch_id}")
+        seen.append(done.agg(F.sum("bidirectional_packets")).first()[0] or 0)
+
+    with state_partitions(spark):
+        flows = live_flows(spark.readStream.schema(rows.schema).parquet(source), WINDOW, base, idle_seconds=3)
+        writer = flows.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        query = writer.trigger(processingTime="1 second").start()
+        try:
+            while sum(seen) < total and not query.awaitTermination(1):
+                pass
+        finally:
+            query.stop()
+    return rounded(spark.read.schema(flows.schema).parquet(f"{sink}/*"), ROUNDED)
+
+
 LATE = "syn = 1"
 LATE_SOURCE = f"""{windowed('packets', name='allw')}, windowed AS (
   SELECT * FROM allw WHERE NOT ({LATE}) OR ("window" + 1) * {WINDOW}000000 + (SELECT min(ts_us) FROM packets)

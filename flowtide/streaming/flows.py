@@ -113,40 +113,51 @@ def stream_flows(
 
 LIVE_STATE = (
     "packets bigint, bytes bigint, bytes_sq bigint, syn bigint, fin bigint, rst bigint, "
-    "gaps bigint, gap_sum bigint, gap_sq double, first_us bigint, last_us bigint"
+    "gaps bigint, gap_sum bigint, gap_spread double, first_us bigint, last_us bigint"
 )
 
 
 def _add_packets(state: tuple | None, part: pd.DataFrame, tcp: bool) -> tuple:
-    """The state of a flow after one more batch of its packets, in time order within the batch."""
+    """The state of a flow after one more batch of its packets, taken in time order within the batch."""
     part = part.sort_values("ts_us", kind="stable")
     ts, size = part["ts_us"].to_numpy("int64"), part["frame_len"].to_numpy("int64")
-    before = ts[:1] if state is None else np.array([state[10]])
-    gaps = np.diff(np.concatenate([before, ts])).clip(min=0)
+    old = state or (0, 0, 0, 0, 0, 0, 0, 0, 0.0, int(ts[0]), 0)
+    gaps = np.diff(ts if state is None else np.concatenate([[old[10]], ts])).clip(min=0)
     flags = [int(part[f].sum()) if tcp else 0 for f in ("syn", "fin", "rst")]
-    added = [len(ts), int(size.sum()), int((size * size).sum()), *flags]
-    added += [len(ts) - (state is None), int(gaps.sum()), float((gaps.astype("float64") ** 2).sum())]
-    old = state or (0,) * 9 + (int(ts[0]), 0)
-    return (*[a + b for a, b in zip(old, added)], min(old[9], int(ts[0])), int(ts[-1]))
+    sums = [a + b for a, b in zip(old, [len(ts), int(size.sum()), int((size * size).sum()), *flags])]
+    moments = _add_gaps(old[6:9], gaps)
+    return (*sums, *moments, min(old[9], int(ts[0])), int(ts[-1]))
+
+
+def _add_gaps(old: tuple, gaps: np.ndarray) -> tuple:
+    """Count, sum and sum of squared deviations of the gaps, joined with those of a new batch."""
+    n, total, spread = old
+    if len(gaps) == 0:
+        return n, total, spread
+    mean = float(gaps.mean())
+    spread += float(((gaps - mean) ** 2).sum())
+    if n:
+        spread += (mean - total / n) ** 2 * n * len(gaps) / (n + len(gaps))
+    return n + len(gaps), total + int(gaps.sum()), spread
 
 
 def _finished_row(key: tuple, state: tuple) -> list:
     """The flow row of a state, in the order of the extended flow schema."""
-    n, size, size_sq, syn, fin, rst, gaps, gap_sum, gap_sq, first, last = state
+    n, size, size_sq, syn, fin, rst, gaps, gap_sum, gap_spread, first, last = state
     duration = max(MIN_DURATION, (last - first) / 1e6)
     size_std = max(0, n * size_sq - size * size) ** 0.5 / n
-    gap_mean = gap_sum / gaps if gaps else 0.0
-    gap_std = max(0.0, gap_sq / gaps - gap_mean**2) ** 0.5 if gaps else 0.0
-    features = [n, size, size / n, size_std, duration, syn, fin, rst, gap_mean / 1e6, gap_std / 1e6, size / n, n / duration]
+    gap_mean = gap_sum / gaps / 1e6 if gaps else 0.0
+    gap_std = (gap_spread / gaps) ** 0.5 / 1e6 if gaps else 0.0
+    features = [n, size, size / n, size_std, duration, syn, fin, rst, gap_mean, gap_std, size / n, n / duration]
     return [*key, *features]
 
 
 def live_flows(packets: DataFrame, window_seconds: int = 5, base_us: int = 0, idle_seconds: int | None = None) -> DataFrame:
     """Flows given out once they have been idle, by the wall clock, for max(2, window) seconds.
 
-    Each flow holds eleven numbers, whatever its length, and its rows are read batch by batch. Gaps follow arrival
-    order across micro-batches and time order within one, and are never below zero. A flow that goes on after it was
-    given out starts anew, as a second row.
+    Each flow holds eleven numbers, whatever its length, and its rows are read Arrow batch by Arrow batch. Gaps follow
+    arrival order across batches and time order within one, and are never below zero. A flow that goes on after it was
+    given out starts anew, as a second row. A source limit per trigger bounds what one flow brings at a time.
     """
     idle_ms = 1000 * (idle_seconds or max(2, window_seconds))
     names = FLOW_EXTENDED.names

@@ -1,5 +1,6 @@
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from flowtide.operators.flows import flows
 from flowtide.schemas import FLOW_EXTENDED
 from flowtide.sources.packets import IngestListener, observe_ingest, parse_packets, read_packet_lines_stream, valid_packets
 from flowtide.storage import fresh_dir, shared_root
-from flowtide.streaming.flows import live_flows, stream_flows
+from flowtide.streaming.flows import _add_packets, _finished_row, live_flows, stream_flows
 from flowtide.streaming.replay import end_marker, replay
 
 from .test_flows import F1, F3, GOLDEN, T0, packets_of, random_packets
@@ -65,45 +66,48 @@ def test_listener_counts_lines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+@pytest.mark.parametrize("cuts", [[], [1], [4], [1, 2, 9], list(range(1, 10))])
+@pytest.mark.parametrize("golden", GOLDEN)
+def test_live_state_adds_up_over_batches(golden, cuts):
+    key, sizes, gaps, flags, want = golden
+    names = ["ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "frame_len", "syn", "fin", "rst"]
+    frame = pd.DataFrame(packets_of(key, sizes, gaps, *flags), columns=names)
+    state, edges = None, [0, *[c for c in cuts if c < len(frame)], len(frame)]
+    for a, b in zip(edges, edges[1:]):
+        state = _add_packets(state, frame.iloc[a:b].sample(frac=1, random_state=1), key[4] == "tcp")
+    row = _finished_row((0, *key), state)
+    assert row[:6] == [0, *key] and row[6:] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_packet_out_of_order_has_gap_zero():
+    part = {"frame_len": [60], "syn": [0], "fin": [0], "rst": [0]}
+    state = None
+    for ts in (T0, T0 + 10, T0 + 4):
+        state = _add_packets(state, pd.DataFrame({"ts_us": [ts], **part}), True)
+    assert state[6:8] == (2, 10) and state[9:] == (T0, T0 + 4)
+
+
 def test_idle_flows_are_given_out(spark, make_packets):
     """A flow is given out when it has been idle; packets of the same window that come after make a second row."""
     source, checkpoint, rows = fresh_dir(spark, "live"), fresh_dir(spark, "live-c"), []
     key, sizes, gaps, flags, want = GOLDEN[0]
     packets = make_packets(packets_of(key, sizes, gaps, *flags))
-    packets.where(F.col("ts_us") < T0 + 700_000).write.parquet(source)
-    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 100).parquet(source)
-    out = live_flows(stream, 5, T0, idle_seconds=6)
+    packets.coalesce(1).write.parquet(source)
+    out = live_flows(spark.readStream.schema(packets.schema).parquet(source), 5, T0, idle_seconds=2)
     assert out.schema == FLOW_EXTENDED
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
-    query = (
-        out.writeStream.foreachBatch(lambda df, _: rows.extend(df.collect()))
-        .option("checkpointLocation", checkpoint)
-        .trigger(processingTime="500 milliseconds")
-        .start()
-    )
-
-    def wait(n):
-        end = time.time() + 90
-        while len(rows) < n and time.time() < end and query.exception() is None:
-            time.sleep(0.2)
-        assert query.exception() is None and len(rows) == n
-
-    def batches_done():
-        return (query.lastProgress or {}).get("batchId", -1)
-
+    writer = out.writeStream.foreachBatch(lambda df, _: rows.extend(df.collect()))
+    query = writer.option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start()
     try:
-        wait_for(lambda: batches_done() >= 0, 60)
-        packets.where(F.col("ts_us") >= T0 + 700_000).write.mode("append").parquet(source)
-        wait(1)
-        make_packets(packets_of(F3, [40], [], start=T0 + 1_000_000)).write.mode("append").parquet(source)
-        make_packets(packets_of(key, [50], [], start=T0 + 2_000_000)).write.mode("append").parquet(source)
-        wait(3)
+        wait_for(lambda: len(rows) >= 1 or query.exception(), 90)
+        later = packets_of(F3, [40], [], start=T0 + 1_000_000) + packets_of(key, [50], [], start=T0 + 2_000_000)
+        make_packets(later).coalesce(1).write.mode("append").parquet(source)
+        wait_for(lambda: len(rows) >= 3 or query.exception(), 90)
     finally:
         query.stop()
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    first = rows[0]
-    assert [first[c] for c in FLOW_EXTENDED.names[6:]] == pytest.approx(want, abs=1e-5)
+    assert [rows[0][c] for c in FLOW_EXTENDED.names[6:]] == pytest.approx(want, abs=1e-5)
     assert sorted((r.src_ip, r.bidirectional_packets, r.packets_per_second) for r in rows[1:]) == [
         ("192.168.1.1", 1, 1e6),
         ("192.168.1.3", 1, 1e6),
