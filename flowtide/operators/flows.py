@@ -80,13 +80,13 @@ def bounded(packets: DataFrame, minutes: float, base_us: int | None = None) -> D
     return packets.where(F.col("ts_us") < base + F.lit(int(minutes * 60 * SECOND)))
 
 
-def packet_sums() -> list[Column]:
-    """The order-free sums of a flow; flags count for tcp only."""
+def packet_sums(counted: Column | None = None) -> list[Column]:
+    """The order-free sums of a flow; flags count for tcp only. Rows count as packets, or those with ``counted``."""
     tcp = F.lower("protocol") == "tcp"
     size = F.col("frame_len").cast("bigint")
     flags = [F.sum(F.when(tcp, F.col(f).cast("bigint")).otherwise(0)).alias(f) for f in ("syn", "fin", "rst")]
     return [
-        F.count(F.lit(1)).alias("packets"),
+        F.count(F.lit(1) if counted is None else counted).alias("packets"),
         F.sum(size).alias("bytes"),
         F.sum(size * size).alias("bytes_sq"),
         *flags,

@@ -41,7 +41,7 @@ def replay(
 def end_marker(packets: DataFrame, beyond_seconds: int) -> DataFrame:
     """T4: one packet far behind the last one; it moves the watermark, so that all windows before it are given out.
 
-    Its own window stays open, so it never shows in a result of append mode.
+    It holds no packet (all other fields are null), so it never shows in a result.
     """
     last = packets.agg((F.max("ts_us") + F.lit(beyond_seconds * 1_000_000)).alias("ts_us"))
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in packets.schema if f.name != "ts_us"]

@@ -8,7 +8,7 @@ from flowtide.operators.flows import flows
 from flowtide.schemas import FLOW_EXTENDED
 from flowtide.sources.packets import IngestListener, observe_ingest, parse_packets, read_packet_lines_stream, valid_packets
 from flowtide.storage import fresh_dir, shared_root
-from flowtide.streaming.flows import _add_packets, _finished_row, live_flows, stream_flows
+from flowtide.streaming.flows import _add_packets, _finished_row, live_flows, stream_flows, with_heartbeat
 from flowtide.streaming.replay import end_marker, replay
 
 from .test_flows import F1, F3, GOLDEN, T0, packets_of, random_packets
@@ -114,6 +114,21 @@ def test_idle_flows_are_given_out(spark, make_packets):
     ]
 
 
+def test_heartbeat_closes_windows_without_packets(spark, make_packets):
+    source, checkpoint, rows = fresh_dir(spark, "beat"), fresh_dir(spark, "beat-c"), []
+    start = int(time.time()) // 4 * 4 * 1_000_000
+    packets = make_packets(packets_of(F1, [60, 70, 80], [0.5, 0.5], start=start))
+    packets.coalesce(1).write.parquet(source)
+    stream = with_heartbeat(spark.readStream.schema(packets.schema).parquet(source))
+    writer = stream_flows(stream, 4, "1 second").writeStream.foreachBatch(lambda df, _: rows.extend(df.collect()))
+    query = writer.option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+    try:
+        wait_for(lambda: rows or query.exception(), 90)
+    finally:
+        query.stop()
+    assert [(r.src_ip, r.bidirectional_packets, r.iat_mean, r.window) for r in rows] == [(F1[0], 3, 0.5, start // 4_000_000)]
+
+
 def test_scratch_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_root(spark) == (named.rstrip("/") if named else shared_root(spark))
