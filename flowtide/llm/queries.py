@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import host_rules, secret_scan, token_counts
+from . import decontaminate, host_rules, license_scan, line_dedup, ngram_join, packing, reply_trees, secret_scan
+from . import token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +36,150 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    book = ", ".join(f"({_quoted(v)}, {_quoted(k)})" for k, v in license_scan.SENTENCES.items())
+    steps, last = [], "ids"
+    for i, (licence, wanted) in enumerate(license_scan.RULES):
+        key = _quoted("".join(f"<{w}>" for w in wanted))
+        n = f"((length(rest) - length(replace(rest, {key}, ''))) // length({key}))"
+        steps.append(
+            f"r{i} AS (SELECT doc_id, replace(rest, {key}, '|') AS rest, "
+            f"list_concat(hits, list_transform(range({n}), lambda k: {_quoted(licence)})) AS hits FROM {last})")
+        last = f"r{i}"
+    normal = "trim(regexp_replace(translate({0}, '{1}', '{2}'), '[^a-z0-9]+', ' ', 'g'))"
+
+    def normalised(x):
+        return normal.format(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    return rf"""
+WITH book(sentence, id) AS (VALUES {book}),
+parts AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS part
+  FROM (SELECT doc_id, string_split_regex(text, '{license_scan.SENTENCE_END}') AS p FROM documents)),
+lines AS (
+  SELECT doc_id, i, 0 AS j, part AS piece FROM parts
+  UNION ALL
+  SELECT doc_id, i, generate_subscripts(string_split(part, chr(10)), 1), unnest(string_split(part, chr(10)))
+  FROM parts),
+known AS (SELECT doc_id, i, j, id FROM lines JOIN book ON sentence = {normalised("piece")}),
+taken AS (
+  SELECT k.* FROM known k
+  WHERE j = 0 OR NOT EXISTS (SELECT 1 FROM known o WHERE o.doc_id = k.doc_id AND o.i = k.i AND o.j = 0)),
+ids AS (
+  SELECT doc_id, coalesce(string_agg('<' || id || '>', '' ORDER BY i, j), '') AS rest, []::VARCHAR[] AS hits,
+  FROM documents LEFT JOIN taken USING (doc_id) GROUP BY doc_id),
+{", ".join(steps)}
+SELECT r.doc_id, (length(ids.rest) - length(replace(ids.rest, '<', '')))::INT AS n_sentences,
+  array_to_string(list_sort(r.hits), ',') AS licences,
+  array_to_string(list_filter(string_split_regex(r.rest, '[<>|]+'), lambda x: x <> ''), ',') AS unmatched
+FROM {last} r JOIN ids USING (doc_id)
+"""
+
+
+@query("op2_license_scan", _license_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").alias("n_sentences"),
+        F.array_join("licences", ",").alias("licences"),
+        F.array_join("unmatched", ",").alias("unmatched"),
+    )
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+facts AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h,
+    len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
+  FROM lines),
+ends AS (
+  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 4 = 0 AS rolled FROM facts
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+starts AS (
+  SELECT *, (i = 0 OR n >= 50 OR lag(n) OVER w >= 50 OR lag(rolled) OVER w)::INT AS s FROM ends
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (
+  SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chunk FROM starts),
+chunks AS (
+  SELECT doc_id, chunk, min(i) AS start, string_agg(line, chr(10) ORDER BY i) AS body,
+    count(*) FILTER (n > 0) AS worded, sum(n) AS n
+  FROM numbered GROUP BY doc_id, chunk HAVING count(*) FILTER (n > 0) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS place FROM chunks),
+judged AS (
+  SELECT *, place > 1 AS copy, place > 1 AND (worded >= 2 OR n >= 50) AS gone FROM ranked),
+whole AS (SELECT doc_id, bool_and(copy) AND bool_or(gone) AS emptied FROM judged GROUP BY doc_id),
+marked AS (
+  SELECT l.*, coalesce(j.gone OR (w.emptied AND j.copy), false) AS removed
+  FROM numbered l LEFT JOIN judged j USING (doc_id, chunk) LEFT JOIN whole w USING (doc_id)),
+texts AS (
+  SELECT doc_id, count(*) FILTER (removed) AS n_removed,
+    string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed) AS text
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0)::INT AS n_removed, coalesce(emptied, false) AS emptied,
+  CASE WHEN d.text IS NULL THEN NULL WHEN emptied THEN '' ELSE coalesce(t.text, '') END AS text
+FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN whole USING (doc_id)
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.size("removed_lines").alias("n_removed"), "emptied", "text")
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def conversation_nodes(rows: DataFrame) -> DataFrame:
+    """Turns as a reply tree: each answers the one before; ties between equal turn numbers by role and text."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = rows.withColumn("node", F.row_number().over(order))
+    return numbered.select(
+        F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
+        "role", "text", F.lit(0.0).alias("score"))
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """The digest columns of op6, from the formatted conversations and their loss spans alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist()):
+                turns = reply_trees.read_turns(text)
+                told = "".join(f"{role}\n{body}\n" for role, body in turns)
+                learned = reply_trees.read_loss(text, [(s["start"], s["end"]) for s in spans])
+                rows.append((len(turns), hashlib.sha256(told.encode()).hexdigest(), len(learned),
+                             hashlib.sha256(learned.encode()).hexdigest(), len(text)))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), *[pa.array(c, t) for c, t in zip(columns, types)]], ["conv_id", *names])
+
+    kind = formatted.schema["tree"].dataType.simpleString()
+    return formatted.select(F.col("tree").alias("conv_id"), "formatted", "loss_spans").mapInArrow(
+        run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+        "formatted_chars bigint")
+
+
+@query("op6_reply_trees")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return read_back(reply_trees.conversations(conversation_nodes(rows.unionByName(extra))))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -82,6 +229,40 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+t AS (SELECT text, any_value(ws) AS ws, min(doc_id) AS least, count(*) AS n FROM w WHERE len(ws) > 0 GROUP BY text),
+s AS (
+  SELECT DISTINCT least, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT least, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t)),
+size AS (SELECT least, count(*) AS n FROM s GROUP BY least),
+pairs AS (
+  SELECT a.least AS a, b.least AS b, count(*) AS n FROM s a JOIN s b USING (g) WHERE a.least <> b.least GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN size x ON a = x.least JOIN size y ON b = y.least
+  WHERE pairs.n * 10 >= 8 * (x.n + y.n - pairs.n)),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (
+    SELECT least, least FROM t UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a)
+  SELECT a, min(b) AS class_id FROM r GROUP BY a),
+linked AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(linked.n, 0) AS n_links, coalesce(t.n, 1) AS n_copies
+FROM w LEFT JOIN t ON w.text = t.text LEFT JOIN reach ON reach.a = t.least LEFT JOIN linked ON linked.a = t.least
+"""
+
+
+@query("op8_ngram_join", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("is_first")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 400_000
 #: Rows of one Arrow batch; long texts make large batches.
 BATCH_ROWS = 500
-#: A cut before a lone blank never falls inside a word of the pre-tokenizer.
+#: A cut before a lone blank never falls inside a word of the pre-tokenizer; other blanks need the slower rule.
 CUT = re.compile(r"(?= \S)")
+ODD_GAP = re.compile(r" (?!\S)")
 
 
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -63,6 +64,17 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
+class _Spaced(dict):
+    """Counts of a blank and a piece."""
+
+    def __init__(self, count):
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.count(" " + piece)
+        return n
+
+
 class TokenCounter(dict):
     """Counts of pieces of text; a piece that is not known yet is cut into words and counted."""
 
@@ -77,23 +89,33 @@ class TokenCounter(dict):
         special = sorted((t["content"] for t in parsed["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.words: dict[str, int] = {}
+        self.spaced = _Spaced(self.pieces)
 
-    def __missing__(self, piece: str) -> int:
+    def pieces(self, piece: str) -> int:
         n = 0
         for word, _ in self.cut_words(piece):
             known = self.words.get(word)
             if known is None:
                 known = self.words[word] = merge_count(list(word), self.ranks)
             n += known
-        self[piece] = n
+        return n
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.pieces(piece)
         return n
 
     def count(self, text: str) -> int:
-        if len(self) > CACHE_WORDS or len(self.words) > CACHE_WORDS:
-            self.clear()
-            self.words.clear()
+        for known in (self, self.spaced, self.words):
+            if len(known) > CACHE_WORDS:
+                known.clear()
         parts = self.special.split(text) if self.special else [text]
-        return len(parts) - 1 + sum(sum(map(self.__getitem__, CUT.split(p))) for p in parts if p)
+        return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
+
+    def plain(self, text: str) -> int:
+        if ODD_GAP.search(text):
+            return sum(map(self.__getitem__, CUT.split(text)))
+        first, *rest = text.split(" ")
+        return (self[first] if first else 0) + sum(map(self.spaced.__getitem__, rest))
 
 
 _COUNTERS: dict[str, TokenCounter] = {}
