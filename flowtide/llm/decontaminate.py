@@ -310,3 +310,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
             ("item", "string"), ("first_word", "bigint"), ("end_word", "bigint"), ("edits", "bigint"))]).limit(0)
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("item").cast(item_kind).alias(item_col),
                       "first_word", "end_word", "edits")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text: str = "text",
+                  item_text: str = "text") -> DataFrame:
+    """The documents whose text leaks no item, with all their columns. No shuffle."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for block in item_blocks(items, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = (words_of(value.as_py() or "") for value in batch.column(text))
+                clean = np.ones(batch.num_rows, bool)
+                clean[[t for t, *_ in shared.value.leaks(texts)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -130,27 +130,43 @@ def host_verdicts(measured: DataFrame, host_key: str) -> DataFrame:
     return rated.withColumn("host_kept", worst <= F.lit(MAX_HOST_RATE))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Per document: id, counts, ``base_failed``, ``host_rate`` (the worst rule's) and ``kept``.
+def _host_key(host: str) -> Column:
+    return F.concat(F.when(F.col(host).isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(host, F.lit("")))
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _judged(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
+    """(id, text hash, host key, counts, rules, host_kept, host_rate), a row for each document.
 
     The counts are written once to the shared folder; the text is read once. Hosts are counted before the shuffle, and
     the join back spreads each host over several partitions.
     """
-    key = F.concat(F.when(F.col(host).isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(host, F.lit("")))
-    slim = docs.select(F.col(id_col), F.col(text).alias("__text"), key.alias("__host"))
-    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    measured = materialise(
-        measure_documents(slim, "__text").select(id_col, "__host", *columns, *RULES), "host-rules"
-    )
+    slim = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), _host_key(host).alias("__host"))
+    measured = measure_documents(slim, "__text").withColumn("__th", F.xxhash64("__text"))
+    measured = materialise(measured.select("__id", "__th", "__host", *COUNTS, *RULES), "host-rules")
     hosts = host_verdicts(measured, "__host")
     verdict = hosts.select(
         "__host", "host_kept", F.greatest(*[F.col(f"rate_{r}") for r in RULES]).alias("host_rate")
     )
-    joined = salted_join(measured, verdict, ["__host"], [id_col, "n_words", "word_chars"])
-    return joined.select(
-        id_col,
-        *columns,
+    return salted_join(measured, verdict, ["__host"], ["__id", "__th"])
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Per document: id, counts, ``base_failed``, ``host_rate`` (the worst rule's) and ``kept``."""
+    return _judged(docs, id_col, text, host).select(
+        F.col("__id").alias(id_col),
+        *COUNTS,
         F.col("rule_base").alias("base_failed"),
         "host_rate",
         (~F.col("rule_base") & F.col("host_kept")).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The documents that pass, with all their columns."""
+    good = _judged(docs, id_col, text, host).where(~F.col("rule_base") & F.col("host_kept"))
+    good = good.select("__id", "__th", "__host").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    return docs.join(good, same & (_host_key(host) == F.col("__host")), "left_semi")

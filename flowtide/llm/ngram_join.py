@@ -257,12 +257,8 @@ def _compare(threshold: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """A row per row of ``docs``: id, ``class_id``, ``n_links`` (other texts it reaches the threshold with), ``n_copies``
-    (rows of its very text) and ``is_first`` (its id is the class id)."""
+def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     slim = slim.withColumn("worded", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     digest = F.sha2("text", 256)
@@ -311,9 +307,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         "sha", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     out = salted_join(ids, judged, ["sha"], ["id"], "left", salts=4)
     return out.select(
-        F.col("id").cast(kind).alias(id_col),
+        "id",
+        "sha",
         F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"),
         (~F.col("worded") | F.col("class_id").eqNullSafe(F.col("id"))).alias("is_first"),
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """A row per row of ``docs``: id, ``class_id``, ``n_links`` (other texts it reaches the threshold with), ``n_copies``
+    (rows of its very text) and ``is_first`` (its id is the class id)."""
+    return _classes(docs, id_col, text, threshold).drop("sha").withColumnRenamed("id", id_col)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The first document of each class, with all its columns; of rows that repeat its id and text, one."""
+    first = _classes(docs, id_col, text, threshold).where("is_first")
+    first = materialise(first.groupBy(F.col("id").alias("__id"), F.col("sha").alias("__sha")).agg(
+        F.count("*").alias("__rows")), "first")
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumn("__digest", F.when(worded, F.sha2(text, 256)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__sha"))
+    kept = keyed.join(first, same, "left_semi")
+    if not first.where("__rows > 1 and __sha is not null").isEmpty():
+        blank = F.col("__digest").isNull()
+        kept = kept.where(~blank).dropDuplicates([id_col, "__digest"]).unionByName(kept.where(blank))
+    return kept.drop("__digest")

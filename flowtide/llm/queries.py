@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, license_scan, line_dedup, ngram_join, packing, reply_trees, secret_scan
-from . import token_counts
+from . import decontaminate, host_rules, license_scan, line_dedup, lm_score, ngram_join, packing, reply_trees
+from . import secret_scan, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def conversation_nodes(rows: DataFrame) -> DataFrame:
     """Turns as a reply tree: each answers the one before; ties between equal turn numbers by role and text."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
