@@ -78,21 +78,22 @@ def root_to_leaf_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
         F.min(F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("n"))
     slim = materialise(slim.select("tree", "node", F.col("n.parent").alias("up"), F.col("n.score").alias("score")), "tree")
     known = slim.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    jump = slim.join(known, _same((F.col("tree"), F.col("t")), (F.col("up"), F.col("n"))), "left")
-    jump = materialise(jump.select("tree", "node", F.col("n").alias("up"), "score"), "jump-0")
-    parents = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = jump.join(parents, _same((F.col("tree"), F.col("t")), (F.col("node"), F.col("n"))), "left_anti")
-    jumps = [jump]
     rounds = max(1, slim.count()).bit_length()
-    while len(jumps) <= rounds and not jump.where("up is not null").isEmpty():
-        above = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"),
-                            F.col("score").alias("more"))
-        jump = jump.join(above, _same((F.col("tree"), F.col("t")), (F.col("up"), F.col("n"))), "left").select(
-            "tree", "node", F.col("far").alias("up"),
-            (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        jump = materialise(jump, f"jump-{len(jumps)}")
-        jumps.append(jump)
-    rooted = jump.where("up is null").select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"))
+    first = slim.join(known, _same((F.col("tree"), F.col("t")), (F.col("up"), F.col("n"))), "left")
+    first = materialise(first.select("tree", "node", F.col("n").alias("up"), "score"), "jump-0")
+    parents = first.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    leaves = first.join(parents, _same((F.col("tree"), F.col("t")), (F.col("node"), F.col("n"))), "left_anti")
+    # Nodes that have reached their root are done, with the score of their whole path; only the others jump on.
+    done, jump, jumps = first.where("up is null"), first.where("up is not null"), []
+    while len(jumps) <= rounds and not jump.isEmpty():
+        jumps.append(jump.select("tree", "node", "up"))
+        above = jump.unionByName(done).select(
+            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("score").alias("more"))
+        moved = jump.join(above, _same((F.col("tree"), F.col("t")), (F.col("up"), F.col("n")))).select(
+            "tree", "node", F.col("far").alias("up"), (F.col("score") + F.col("more")).alias("score"))
+        moved = materialise(moved, f"jump-{len(jumps)}")
+        done, jump = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+    rooted = done.select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"))
     order = Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")
     chosen = rooted.join(leaves.select("tree", F.col("node").alias("leaf")).withColumnRenamed("tree", "t")
                          .withColumnRenamed("leaf", "l"),
@@ -102,11 +103,12 @@ def root_to_leaf_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
         chosen = chosen.where(F.col("rank") <= best)
     paths = chosen.select("tree", "leaf", F.col("path_score").alias("score"), "rank", F.lit(0).alias("depth"),
                           F.col("leaf").alias("node"))
-    for k in range(len(jumps) - 2, -1, -1):
-        step = jumps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    paths = materialise(paths, "leaves")
+    for k in range(len(jumps) - 1, -1, -1):
+        step = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         further = paths.join(step, _same((F.col("tree"), F.col("t")), (F.col("node"), F.col("n")))).select(
             "tree", "leaf", "score", "rank", (F.col("depth") + 2**k).alias("depth"), F.col("up").alias("node"))
-        paths = materialise(paths.unionByName(further), f"paths-{k}")
+        paths = paths.unionByName(materialise(further, f"paths-{k}"))
     return paths
 
 
