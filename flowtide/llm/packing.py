@@ -26,32 +26,58 @@ from flowtide.storage import materialise
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a Python worker remembers; then it forgets all and starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Pieces per bucket that are ranked in one sort, about.
 BUCKET_ROWS = 50_000
 #: A blank that is not followed by a visible character: such texts are cut by the slower rule.
 ODD_GAP = re.compile(r" (?!\S)")
 CUT = re.compile(r"(?= \S)")
+#: Signs that form a word of their own behind a letter (the apostrophe does not).
+SIGNS = ".,;:!?#$%&*|<>()+-/=@[]^_`{}~\"\\"
 #: Letters that are letters in every Unicode version: words of these are one word for the pre-tokenizer too.
 PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ʯ]+")
 
 
-class _Spaced(dict):
-    """Ids of a blank and a piece, as little-endian bytes."""
+class _Cached(dict):
+    """Ids of a piece after a fixed head (a blank or nothing), as little-endian bytes.
 
-    def __init__(self, encode):
-        self.encode = encode
+    Signs behind a letter, and what follows a line end, are separate words for the pre-tokenizer: such pieces are put
+    together from their parts, so that the parts are what is remembered.
+    """
+
+    def __init__(self, encode, head: str, bare=None):
+        self.encode, self.head = encode, head
+        self.bare = self if bare is None else bare
+        self.line_end = encode("\n")
 
     def __missing__(self, piece: str) -> bytes:
-        stem = piece.rstrip(".,")
+        if "\n" in piece:
+            first, *rest = piece.split("\n")
+            if all(p and not p[0].isspace() and not p[-1].isspace() for p in (first, *rest)):
+                return self.line_end.join([self[first], *map(self.bare.__getitem__, rest)])
+        stem = piece.rstrip(SIGNS)
         if stem and len(stem) < len(piece) and stem[-1] < "ʰ" and stem[-1].isalpha():
-            ids = self[stem] + self.encode(piece[len(stem):])
+            known = stem in self
+            ids = self[stem] + self.bare[piece[len(stem):]]
+            if not known:
+                return ids
         else:
-            ids = self.encode(" " + piece)
+            ids = self.encode(self.head + piece)
         self[piece] = ids
         return ids
 
 
+class _Symbols(dict):
+    """The vocabulary's signs for the bytes of a character."""
+
+    def __init__(self, signs):
+        self.signs = signs
+
+    def __missing__(self, code: int) -> str:
+        self[code] = self.signs(chr(code))
+        return self[code]
+
+
 class TokenIds:
     """Ids of whole texts; words that were seen before come from a bounded cache.
 
@@ -65,16 +91,16 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.to_symbols = lambda word: byte_level.pre_tokenize_str(word)[0][0]
+        self.symbols = _Symbols(lambda c: byte_level.pre_tokenize_str(c)[0][0])
         self.straight = self.tokenizer.normalizer is None and "ByteLevel" in repr(self.tokenizer.pre_tokenizer)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.spaced = _Spaced(self.encode)
+        self.bare = _Cached(self.encode, "")
+        self.spaced = _Cached(self.encode, " ", self.bare)
 
     def encode(self, piece: str) -> bytes:
         if self.straight and PLAIN_WORD.fullmatch(piece):
-            symbols = piece.replace(" ", "Ġ") if piece.isascii() else self.to_symbols(piece)
-            ids = [t.id for t in self.model.tokenize(symbols)]
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.symbols))]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -85,15 +111,16 @@ class TokenIds:
         if not self.straight or (self.special and self.special.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.spaced) > CACHE_WORDS:
-            self.spaced.clear()
+        for known in (self.spaced, self.bare):
+            if len(known) > CACHE_WORDS:
+                known.clear()
         if ODD_GAP.search(text):
             parts = CUT.split(text)
             return b"".join([
                 self.spaced[p[1:]] if i and p[0] == " " and p[1:] else self.encode(p) for i, p in enumerate(parts) if p
             ])
         first, *rest = text.split(" ")
-        return (self.encode(first) if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _READERS: dict[str, TokenIds] = {}
