@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm import decontaminate, host_rules, line_dedup, ngram_join, packing
-from flowtide.llm.common import table
+from flowtide.llm.common import table, whole_text, words_of
 from flowtide.storage import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,8 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut from the texts; a document that was nothing but copies goes."""
-    cut = line_dedup.deduplicate(docs).where("not emptied")
+    """Repeated chunks of lines are cut from the texts. A document goes that was nothing but copies, of which the cut took
+    as much as makes a near duplicate, or that it leaves with fewer words than the quality rules ask for."""
+    enough = (F.size(words_of(whole_text())) >= host_rules.MIN_WORDS) & (
+        F.col("cut_share") < F.lit(ngram_join.THRESHOLD))
+    cut = line_dedup.deduplicate(docs).where(~F.col("emptied") & ((F.size("removed_lines") == 0) | enough))
     kind = docs.schema["n_chars"].dataType
     return cut.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 

@@ -8,7 +8,7 @@ with nothing but lines that are repeated elsewhere is emptied: its text was all
 
 Cases: a null text counts as empty and stays null; rows of equal id and text count as one document and stay or change
 alike; ties go to the smaller text hash, then the earlier line; other columns pass through, but for old ones named
-``removed_lines`` or ``emptied``. An empty table gives an empty result. Texts are cut whole.
+``removed_lines``, ``emptied`` or ``cut_share``. An empty table gives an empty result. Texts are cut whole.
 """
 
 from __future__ import annotations
@@ -125,7 +125,8 @@ def repeated_chunks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks cut from the text, ``removed_lines`` (line numbers from 0) and ``emptied``."""
+    """``docs`` with the repeated chunks cut from the text, ``removed_lines`` (line numbers from 0), ``emptied`` and
+    ``cut_share`` (of the text's words)."""
     found = repeated_chunks(docs, id_col, text).select(
         F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("total").alias("__total"),
         F.col("removed").alias("__removed"))
@@ -142,10 +143,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         "__emptied": F.coalesce(all_copies, F.lit(False)),
         "__text": F.when(F.size("__gone") == 0, F.col(text)).otherwise(F.array_join(kept, "\n")),
     })
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "removed_lines", "emptied")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "removed_lines", "emptied", "cut_share")]
+    before, after = _word_count(F.col(text)), _word_count(F.col("__text"))
+    share = F.when(F.col("__emptied"), 1.0).when(F.size("__gone") == 0, 0.0).otherwise(1.0 - after / before)
     return cut.select(
         *others,
         F.when(F.col("__emptied"), F.lit("")).otherwise(F.col("__text")).alias(text),
         F.col("__gone").alias("removed_lines"),
         F.col("__emptied").alias("emptied"),
+        share.alias("cut_share"),
     )
