@@ -218,12 +218,13 @@ CASE WHEN event_id % 31 = 0 THEN 'Capturing on ''eth0'''
      WHEN event_id % 37 = 0 THEN 'tshark: note'
      WHEN event_id % 41 = 0 THEN '   '
      WHEN event_id % 17 = 0 THEN concat_ws(',', secs, src_ip, dst_ip)
-     ELSE concat_ws(',', secs, CASE WHEN event_id % 19 = 0 THEN '' ELSE src_ip END, dst_ip,
+     ELSE concat_ws(',', CASE event_id % 59 WHEN 1 THEN '99999999999999.0' WHEN 2 THEN '1e400' WHEN 3 THEN '-' WHEN 4 THEN 'nan'
+                              WHEN 5 THEN '123456789012345678901234567890' ELSE secs END, CASE WHEN event_id % 19 = 0 THEN '' ELSE src_ip END, dst_ip,
           CASE WHEN protocol = 'udp' OR event_id % 29 = 0 THEN '' ELSE sp END,
           CASE WHEN protocol = 'udp' OR event_id % 29 = 0 OR event_id % 43 = 0 THEN '' ELSE dp END,
           CASE WHEN protocol = 'tcp' OR event_id % 29 = 0 THEN '' ELSE sp END,
           CASE WHEN protocol = 'tcp' OR event_id % 29 = 0 THEN '' ELSE dp END,
-          CASE WHEN event_id % 23 = 0 THEN 'x' WHEN event_id % 47 = 0 THEN '' ELSE len END,
+          CASE WHEN event_id % 23 = 0 THEN 'x' WHEN event_id % 47 = 0 THEN '' WHEN event_id % 53 = 0 THEN '99999999999' ELSE len END,
           CASE WHEN syn = 1 THEN 'True' ELSE 'False' END,
           CASE WHEN fin = 1 THEN ' 42 ' ELSE '' END,
           CASE WHEN rst = 1 THEN 'y' ELSE '0xff' END)
@@ -253,7 +254,7 @@ LINES = f"""{PACKETS}, lines AS (
   SELECT seq, string_split(trim(value), ',') AS f FROM lines
   WHERE trim(value) <> '' AND NOT starts_with(trim(value), 'Capturing on') AND NOT starts_with(trim(value), 'tshark:')
 ), parsed AS (
-  SELECT seq, CAST(CAST(f[1] AS DECIMAL(24,6)) * 1000000 AS BIGINT) AS ts_us, nullif(f[2], '') AS src_ip, nullif(f[3], '') AS dst_ip,
+  SELECT seq, CASE WHEN regexp_full_match(f[1], '[0-9]{{1,11}}[.][0-9]{{6}}') THEN CAST(CAST(f[1] AS DECIMAL(24,6)) * 1000000 AS BIGINT) END AS ts_us, nullif(f[2], '') AS src_ip, nullif(f[3], '') AS dst_ip,
          CASE WHEN f[4] <> '' OR f[5] <> '' THEN 'tcp' WHEN f[6] <> '' OR f[7] <> '' THEN 'udp' END AS protocol,
          CASE WHEN f[4] <> '' OR f[5] <> '' THEN TRY_CAST(coalesce(nullif(f[4], ''), '0') AS INTEGER) ELSE TRY_CAST(coalesce(nullif(f[6], ''), '0') AS INTEGER) END AS src_port,
          CASE WHEN f[4] <> '' OR f[5] <> '' THEN TRY_CAST(coalesce(nullif(f[5], ''), '0') AS INTEGER) ELSE TRY_CAST(coalesce(nullif(f[7], ''), '0') AS INTEGER) END AS dst_port,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.schemas import FLOW_KEY, LABELLED_COLUMNS
-from flowtide.sources.labelled import normalise_labelled, quota_sample, quotas, read_labelled
+from flowtide.sources.labelled import normalise_labelled, quota_sample, quotas, read_labelled, skipped_files
 from flowtide.sources.synthetic import SERVICE_PORTS, synthetic_kind
 from flowtide.operators.sampling import seeded_shuffle
 from flowtide.storage import fresh_dir
@@ -64,6 +64,37 @@ def cic_multi_header(spark, sf):
     return rounded(read_labelled(spark, f"{write_layouts(spark, sf)}/*/*.csv"), LABELLED_ROUNDED)
 
 
+def write_odd_files(spark, sf) -> str:
+    """Files in a folder with a blank: one as text, one compressed, one without a label."""
+    folder = f"{fresh_dir(spark, 'labelled')}/a b"
+    li = table(spark, sf, "lineitem")
+    for flag, options in {"A": {}, "N": {"compression": "gzip"}, "R": {}}.items():
+        names = [n for n in RAW_COLUMNS if n != "Label" or flag != "R"]
+        part = li.where(F.col("l_returnflag") == flag).select(*[F.expr(RAW_COLUMNS[n]).alias(n) for n in names])
+        part.coalesce(1).write.options(header=True, **options).csv(f"{folder}/part {flag}")
+    return f"{folder}/*/*.csv*"
+
+
+@check(
+    "cic_file_limit",
+    f"""WITH {RAW}, {NORMALISED}, counts AS (
+          SELECT substr(split_part(row_key, '-', 6), 1, 1) AS source, count(*) AS n FROM normalised GROUP BY 1)
+        SELECT CAST(sum(least(n, 500)) AS BIGINT) AS n FROM counts WHERE source IN ('A', 'N')""",
+)
+def cic_file_limit(spark, sf):
+    """A limit shares out over the usable files, whatever their paths and codecs."""
+    return read_labelled(spark, write_odd_files(spark, sf), limit=1000).agg(F.count(F.lit(1)).alias("n"))
+
+
+@check(
+    "cic_skipped_files",
+    "SELECT 'R' AS part, 'missing required columns: [''label_raw'']' AS reason FROM lineitem WHERE l_returnflag = 'R' LIMIT 1",
+)
+def cic_skipped_files(spark, sf):
+    part = F.regexp_extract("path", "part(?: |%20)([A-Z])/", 1).alias("part")
+    return skipped_files(spark, write_odd_files(spark, sf)).select(part, "reason")
+
+
 QUOTA = 1000
 
 

@@ -197,7 +197,7 @@ def red_threshold_query(spark, sf):
 
 THRESHOLD_TEXT = {
     "doc": """CASE event_type WHEN 'view' THEN concat('{"red_threshold": -0.', user_id % 10, ', "yellow_threshold": "0.0', user_id % 10, '"}')
-      WHEN 'click' THEN concat('{"red_threshold": ', '-0.1}') WHEN 'error' THEN 'not json' WHEN 'purchase' THEN '{"yellow_threshold": "low"}' END""",
+      WHEN 'click' THEN concat('{"red_threshold": ', '-0.1}') WHEN 'error' THEN 'not json' WHEN 'purchase' THEN '{"yellow_threshold": "low"}' WHEN 'signup' THEN '{"red_threshold": null, "yellow_threshold": 0.5}' END""",
     "red": "CASE user_id % 4 WHEN 0 THEN ' -0.2 ' WHEN 1 THEN 'not_a_number' WHEN 2 THEN '' END",
     "yellow": "CASE user_id % 3 WHEN 0 THEN '-0.15' WHEN 1 THEN 'invalid' END",
 }

@@ -61,15 +61,16 @@ def threshold_columns(
 ) -> list[Column]:
     """Thresholds of a JSON document held as text.
 
-    A valid override wins; a missing key has its default; a document with a bad value is not used at all.
+    A valid override wins; a missing key has its default; a document with a bad value (null too) is not used at all.
     """
     stored = F.from_json(document, "red_threshold string, yellow_threshold string")
     named = [("red_threshold", DEFAULT_RED, red_override), ("yellow_threshold", DEFAULT_YELLOW, yellow_override)]
-    text = {n: F.get_json_object(document, f"$.{n}") for n, _, _ in named}
+    keys = F.json_object_keys(document)
+    present = {n: F.coalesce(F.array_contains(keys, n), F.lit(False)) for n, _, _ in named}
     value = {n: stored[n].try_cast("double") for n, _, _ in named}
     usable = F.lit(True)
-    for n in text:
-        usable = usable & (text[n].isNull() | value[n].isNotNull())
+    for n in present:
+        usable = usable & (~present[n] | value[n].isNotNull())
     out = []
     for name, default, override in named:
         column = F.coalesce(F.when(usable, value[name]), F.lit(default))

@@ -3,11 +3,11 @@
 Sizes and gaps are kept as exact integer sums (count, sum, sum of squares), so a result never depends on how the
 rows were partitioned. Three facts keep hot flows in bounds:
 
-* packets of one flow with the same time stamp have no gap between them, so they fold into one row before the shuffle;
-* gaps are taken inside time slices of at most ten seconds, so a sort group holds at most 10^7 microsecond stamps
-  (and the sum of its squared gaps stays below 10^14);
+* packets are shuffled once, by flow and time slice; those of one time stamp have no gap between them and fold;
+* gaps are taken inside time slices of one second, so a sort group holds at most 10^6 microsecond stamps
+  (and the sum of its squared gaps stays below 10^12);
 * a slice leaves one state, and the gap between two slices is the distance of their edges, so joining the slices of a
-  flow sorts at most window / 10 s rows.
+  flow sorts at most a row for each second of the window.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..functions.coerce import MIN_DURATION
 from ..schemas import FLOW_KEY, feature_columns
 
 SECOND = 1_000_000
-SLICE_SECONDS = 10
+SLICE_SECONDS = 1
 
 STATE_SUMS = ["packets", "bytes", "bytes_sq", "syn", "fin", "rst"]
 GAP_SUMS = ["gaps", "gap_sum", "gap_sq"]
@@ -125,8 +125,10 @@ def packet_gaps(packets: DataFrame, keys: list[str], tie: str) -> DataFrame:
 def flow_states(windowed: DataFrame, window_seconds: int = 5, keys: list[str] | None = None) -> DataFrame:
     """One mergeable state per flow and window from packets that have a ``window``."""
     keys = keys or ["window", *FLOW_KEY]
-    stamps = windowed.groupBy(*keys, *_slice(window_seconds), "ts_us").agg(*packet_sums())
-    inner = keys + (["slice"] if window_seconds > SLICE_SECONDS else [])
+    inner = [*keys, "slice"]
+    sliced = windowed.withColumn("slice", F.expr(f"ts_us div {SLICE_SECONDS * SECOND}"))
+    # Dealt by flow and slice, the rows serve the fold, the gaps and the sums without moving again.
+    stamps = sliced.repartition(*inner).groupBy(*inner, "ts_us").agg(*packet_sums())
     states = (
         _stamp_gaps(stamps, inner)
         .groupBy(*inner)
@@ -139,17 +141,9 @@ def flow_states(windowed: DataFrame, window_seconds: int = 5, keys: list[str] |
             F.max("ts_us").alias("last_us"),
         )
     )
-    if window_seconds <= SLICE_SECONDS:
-        return states
     return join_slices(states.drop("slice"), keys)
 
 
-def _slice(window_seconds: int) -> list[Column]:
-    if window_seconds <= SLICE_SECONDS:
-        return []
-    return [F.expr(f"ts_us div {SLICE_SECONDS * SECOND}").alias("slice")]
-
-
 def join_slices(states: DataFrame, keys: list[str]) -> DataFrame:
     """A3: merge states whose time ranges do not overlap, counting the gap from each to the next."""
     previous = F.lag("last_us").over(Window.partitionBy(*keys).orderBy("first_us"))
@@ -171,17 +165,23 @@ def merge_flow_states(partials: DataFrame, keys: list[str] | None = None) -> Dat
         *add_up(STATE_SUMS),
         F.sum("gaps").alias("gaps"),
         F.sum("gap_sum").alias("gap_sum"),
-        F.sum(F.col("gap_sq").cast("decimal(28,0)")).cast("decimal(38,0)").alias("gap_sq"),
+        F.sum(F.col("gap_sq")).cast("decimal(38,0)").alias("gap_sq"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
     )
 
 
 def population_std(n: Column, total: Column, squares: Column) -> Column:
-    """Population standard deviation from exact sums: sqrt(n * squares - total^2) / n, 0 without values."""
-    wide = total.cast("decimal(19,0)")
-    spread = n.cast("decimal(12,0)") * squares.cast("decimal(26,0)") - wide * wide
-    return F.when(n > 0, F.sqrt(F.greatest(spread, F.lit(0)).cast("double")) / n).otherwise(F.lit(0.0))
+    """Population standard deviation from exact sums: sqrt(n * squares - total^2) / n, 0 without values.
+
+    Where the exact difference has more than 38 digits, doubles do: sqrt(squares / n - mean^2).
+    """
+    wide, count = total.cast("decimal(19,0)"), n.cast("decimal(19,0)")
+    exact = F.try_subtract(F.try_multiply(count, squares.cast("decimal(38,0)")), F.try_multiply(wide, wide))
+    mean = total.cast("double") / n
+    rough = F.sqrt(F.greatest(squares.cast("double") / n - mean * mean, F.lit(0.0)))
+    fine = F.sqrt(F.greatest(exact, F.lit(0)).cast("double")) / n
+    return F.when(n > 0, F.coalesce(fine, rough)).otherwise(F.lit(0.0))
 
 
 def state_features(states: DataFrame, feature_set: str = "extended", keys: list[str] | None = None) -> DataFrame:

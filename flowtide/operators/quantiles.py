@@ -19,7 +19,6 @@ DIRECT_ROWS = 200_000
 # Values of a bracket that may be read by the driver.
 BRACKET_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
-MAX_ROUNDS = 20
 
 
 @dataclass
@@ -41,11 +40,12 @@ def exact_quantiles(
     direct_rows: int = DIRECT_ROWS,
     bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of each column, ignoring nulls; None for a column without values.
+    """Quantiles of each column, ignoring nulls and NaN; None for a column without values.
 
     ``rows`` is an upper bound of the row count if the caller knows one; it may save a counting pass.
     """
     columns = list(wanted)
+    df = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in columns])
     if rows is not None and rows <= direct_rows:
         return _direct(df, wanted)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
@@ -89,15 +89,18 @@ def _inside(r: _Rank) -> Column:
 def _search(df: DataFrame, counts: dict[str, int], ranks: list[_Rank], bracket_rows: int) -> None:
     for r in ranks:
         r.counts = {"below": 0, "inside": counts[r.column], "at_low": 0, "at_high": 0}
-    for _ in range(MAX_ROUNDS):
-        open_ranks = [r for r in ranks if r.value is None]
-        if not open_ranks:
-            return
+    while open_ranks := [r for r in ranks if r.value is None]:
         wide = [r for r in open_ranks if _between(r) > bracket_rows]
         _read(df, [r for r in open_ranks if r not in wide])
-        if wide:
-            _narrow(df, wide)
-    raise RuntimeError("quantile search did not converge")
+        if not wide:
+            continue
+        before = [_between(r) for r in wide]
+        _narrow(df, wide)
+        # A sketch of the bracket has ends inside it, so fewer rows stay between; if ever not, one exact pass ends it.
+        for r, n in zip(wide, before):
+            if _between(r) >= n:
+                at = (r.k - r.counts["below"]) / max(1, r.counts["inside"] - 1)
+                r.value = df.where(_inside(r)).agg(F.percentile(r.column, at)).first()[0]
 
 
 def _between(r: _Rank) -> int:

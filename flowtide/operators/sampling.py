@@ -119,6 +119,20 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     return runs.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), length))).select(*rest)
 
 
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Add a row number that follows from the row's content: a hash of it, and of its place among equal rows.
+
+    Equal rows fold before the shuffle and unfold in runs, so a row that a third of the table repeats is no hot key.
+    """
+    last = F.floor((F.col("_n") - F.lit(1)) / F.lit(COPY_RUN)).cast("bigint")
+    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    runs = folded.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(*df.columns, "_run")
+    length = F.least(F.lit(COPY_RUN).cast("bigint"), F.col("_n") - F.col("_run") * F.lit(COPY_RUN))
+    placed = runs.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), length)))
+    number = F.shiftrightunsigned(F.xxhash64(*df.columns, F.col("_run"), F.col("_i")), 1)
+    return placed.select(*df.columns, number.alias(name))
+
+
 def smallest_per_group(df: DataFrame, group: list[str], seed: int, key: list[str], **size) -> DataFrame:
     """L1/L2: keep the first rows of each group in hash order, see ``flag_smallest``."""
     return flag_smallest(df, group, seed, key, name="_chosen", **size).where("_chosen").drop("_chosen")

@@ -11,8 +11,8 @@ from ..operators.alerts import DEFAULT_YELLOW
 from ..operators.calibration import CANDIDATES, best_contamination, decision_offsets, f1_table, red_threshold
 from ..operators.features import fit_scaler, inject_outliers, outlier_count, scale_features, select_features
 from ..operators.forest import SAMPLE, TREES, Forest, fit_forest, score_rows
-from ..operators.sampling import stratified_split
-from ..schemas import feature_columns
+from ..operators.sampling import number_rows, stratified_split
+from ..schemas import feature_columns, present_features
 from ..sources.registry import Model
 from ..storage import materialise
 
@@ -49,14 +49,18 @@ def calibrate(data: DataFrame, columns: list[str], p: TrainParams, candidates: l
 def train(
     flows: DataFrame, params: TrainParams | None = None, label: str | None = "label", version: str = "unnamed"
 ) -> Model:
-    """Fit scaler and forest on the flows plus injected outliers, calibrate with labels if there are any."""
+    """Fit scaler and forest on the flows plus injected outliers, calibrate with labels if there are any.
+
+    The feature set "adaptive" (P7) is the base features and those extended ones that the table has.
+    """
     p = params or TrainParams()
-    columns = feature_columns(p.feature_set)
+    adaptive = p.feature_set == "adaptive"
+    columns = present_features(flows.columns) if adaptive else feature_columns(p.feature_set)
     labelled = label is not None and label in flows.columns
     keep = [F.col(label).cast("int").alias("label")] if labelled else []
     features = select_features(flows, columns, keep=keep)
-    # The written table fixes the row numbers: they are unique, and the same in every later pass.
-    features = materialise(features.withColumn("row_id", F.monotonically_increasing_id()), "features")
+    # Numbers follow from the rows' content, so the same data give the same model, however they are partitioned.
+    features = materialise(number_rows(features, "row_id"), "features")
     rows = features.count()
     if rows == 0:
         raise ValueError("the flow table is empty, nothing to train on")

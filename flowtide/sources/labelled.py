@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import logging
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,10 @@ from ..operators.sampling import smallest_per_group
 from ..schemas import LABELLED_COLUMNS
 from ..storage import materialise
 
+LOG = logging.getLogger(__name__)
+# Characters that have a meaning in a path pattern.
+_GLOB_SIGNS = re.compile(r"([\[\]{}*?\\])")
+
 # Accepted header names of each logical field, best first.
 SYNONYMS = {
     "flow_id": ["flow id", "flowid"],
@@ -141,41 +148,68 @@ def normalise_labelled(
     ).select(*keep, *LABELLED_COLUMNS)
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths that match a glob, sorted. Only the listing reaches the driver; no content is read."""
-    files = spark.read.format("binaryFile").load(pattern).select("path")
-    return sorted(r.path for r in files.collect())
+def list_files(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """Files that match a glob, sorted: the path to read, by the name that the file column of a scan gives it.
+
+    Both come from one scan, as the two differ where a path holds a blank or another escaped character. Only the listing
+    reaches the driver; no content is read.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("_metadata.file_path", "path")
+    return {r.file_path: r.path for r in sorted(files.collect())}
 
 
 def read_header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of a text file on any file system that Spark can read; the rest of the file is not read."""
-    jvm = spark.sparkContext._jvm
+    """First line of a text file, through the codec that its name tells, on any file system that Spark can read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    stream = target.getFileSystem(conf).open(target)
     try:
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
+        text = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
     finally:
         stream.close()
 
 
-def header_groups(spark: SparkSession, files: list[str], threads: int = 16) -> dict[tuple[str, ...], list[str]]:
-    """Usable files grouped by their exact header; files that lack required columns are left out.
+def header_groups(
+    spark: SparkSession, files: list[str], threads: int = 16, skipped: dict[str, str] | None = None
+) -> dict[tuple[str, ...], list[str]]:
+    """Usable files grouped by their exact header; ``skipped`` takes the reason of each other file.
 
     Reading files with different headers in one CSV scan would map columns by position, without an error.
     """
+
+    def first_line(path: str) -> str | Exception | None:
+        try:
+            return read_header_line(spark, path)
+        except Py4JJavaError as error:
+            return error
+
     with ThreadPoolExecutor(threads) as pool:
-        lines = list(pool.map(lambda f: read_header_line(spark, f), files))
+        lines = list(pool.map(first_line, files))
     groups: dict[tuple[str, ...], list[str]] = {}
+    skipped = {} if skipped is None else skipped
     for path, line in zip(files, lines):
+        if isinstance(line, Exception):
+            skipped[path] = "unreadable header"
+            continue
         header = tuple(_split_header(line or ""))
         try:
             resolve_header(list(header))
-        except KeyError:
+        except KeyError as error:
+            skipped[path] = error.args[0]
             continue
         groups.setdefault(header, []).append(path)
     return groups
 
 
+def skipped_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """P10: (path, reason) of the files of a glob that ``read_labelled`` leaves out."""
+    skipped: dict[str, str] = {}
+    header_groups(spark, list(list_files(spark, pattern).values()), skipped=skipped)
+    return spark.createDataFrame(sorted(skipped.items()), "path string, reason string")
+
+
 def _split_header(line: str) -> list[str]:
     return next(csv.reader([line.removeprefix("\ufeff")]), [])
 
@@ -189,14 +223,18 @@ def quotas(limit: int, files: list[str]) -> dict[str, int]:
 def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int = 42) -> DataFrame:
     """All usable files of a glob in the normalised schema; with a limit, a uniform sample of each file."""
     files = list_files(spark, pattern)
-    groups = header_groups(spark, files)
+    skipped: dict[str, str] = {}
+    groups = header_groups(spark, list(files.values()), skipped=skipped)
+    for path, reason in skipped.items():
+        LOG.warning("skipped %s: %s", path, reason)
     if not groups:
         raise ValueError(f"no usable file matches {pattern}")
     parts = []
     for header, paths in groups.items():
         names = [f"c{i}" for i in range(len(header))]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(
+            [_GLOB_SIGNS.sub(r"\\\1", p) for p in paths])
         raw = raw.select(F.col("_metadata.file_path").alias("source_file"), *names)
         parts.append(normalise_labelled(raw, resolve_header(list(header)), keep=["source_file"]))
     table = reduce(DataFrame.unionByName, parts)
@@ -206,7 +244,8 @@ def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int =
         return table.drop("source_file")
     # Sampling reads its input three times; parsing all files once and reading the table is cheaper.
     table = materialise(table, "labelled")
-    usable = sorted(p for paths in groups.values() for p in paths)
+    paths = {p for group in groups.values() for p in group}
+    usable = [name for name, p in files.items() if p in paths]
     return quota_sample(table, quotas(limit, usable), "source_file", seed).drop("source_file")
 
 
@@ -215,9 +254,14 @@ def quota_sample(
 ) -> DataFrame:
     """L1/L2: from each source its quota of rows, a uniform sample that depends on seed and row content only.
 
-    A source whose quota is 0 gives no rows. Sources are files, so the quota table is as long as the file list.
+    A source whose quota is 0 gives no rows, nor do rows without a source; a named source without a quota is an error.
+    Sources are files, so the quota table
+    is as long as the file list.
     """
     spark = table.sparkSession
     schema = T.StructType([T.StructField(source, T.StringType()), T.StructField("quota", T.LongType())])
     share = spark.createDataFrame([(s, int(q)) for s, q in quota.items()], schema)
+    unknown = table.where(F.col(source).isNotNull()).select(source).distinct().join(share, source, "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"no quota for source {unknown[0][0]!r}")
     return smallest_per_group(table, [source], seed, key or [c for c in table.columns if c != source], quota=share)

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from ..functions.coerce import flag_to_int, strip
 
 FIELDS = 11
+# Packet times lie within the calendar years 1 to 9999; with that, sums of squared gaps stay exact in 38 digits.
+FIRST_US, LAST_US = -62_135_596_800_000_000, 253_402_300_799_999_999
 # Prefixes of capture-tool messages that are not packets.
 STATUS_PREFIXES = ["Capturing on", "tshark:"]
 
@@ -37,8 +39,9 @@ def read_packet_lines_kafka(spark: SparkSession, servers: str, topic: str) -> Da
 
 
 def _epoch_micros(text: Column) -> Column:
-    """Exact micro-seconds of epoch seconds; text that is no finite number gives null."""
-    return (strip(text).try_cast("decimal(24,6)") * F.lit(1000000)).cast("bigint")
+    """Exact micro-seconds of epoch seconds; text that is no number of a calendar time gives null."""
+    micros = F.try_multiply(strip(text).try_cast("decimal(24,6)"), F.lit(1000000)).try_cast("bigint")
+    return F.when(micros.between(FIRST_US, LAST_US), micros)
 
 
 def _whole_or_zero(text: Column) -> Column:

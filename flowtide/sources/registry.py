@@ -68,7 +68,9 @@ def load_model(spark: SparkSession, folder: str, version: str | None = None) ->
         meta = spark.read.schema(META_SCHEMA).parquet(f"{folder}/meta")
         wanted = meta if version is None else meta.where(F.col("version") == version)
         row = wanted.orderBy(F.desc("created_us"), F.desc("version")).limit(1).collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         row = []
     if not row:
         raise FileNotFoundError(f"no model {version or ''} in {folder}; train one first")
@@ -100,7 +102,9 @@ def load_thresholds(spark: SparkSession, home: str, red=None, yellow=None) -> tu
     try:
         text = spark.read.text(f"{home}/thresholds", wholetext=True)
         row = text.select(*threshold_columns(F.col("value"))).first()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         row = None
     stored = (DEFAULT_RED, DEFAULT_YELLOW) if row is None else tuple(row)
     return resolve_threshold(stored[0], red), resolve_threshold(stored[1], yellow)

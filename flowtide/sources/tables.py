@@ -18,23 +18,44 @@ def write_flows(
 
 
 def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Read a flow table; without rows it is an error. CSV columns come in the order of the schema given."""
-    reader = spark.read.format(fmt)
+    """Read a flow table; without rows it is an error. CSV columns are found by name, in any order.
+
+    Columns that a CSV file lacks (the label, the window, the extended features) are left out; others are not read. Text
+    that is no number of its column's kind gives null.
+    """
     if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False).schema(schema or FLOW_LABELLED)
-    table = reader.load(path)
+        text = spark.read.option("header", True).csv(path)
+        found = {c.strip().lower(): c for c in text.columns}
+        table = text.select(*[
+            F.col(f"`{found[f.name]}`").try_cast(f.dataType).alias(f.name)
+            for f in (schema or FLOW_LABELLED) if f.name in found
+        ])
+        if not table.columns:
+            raise ValueError(f"{path} has no flow columns")
+    else:
+        table = spark.read.format(fmt).load(path)
     if table.isEmpty():
         raise ValueError(f"{path} holds no flows")
     return table
 
 
-def write_alerts(alerts: DataFrame, path: str, fmt: str = "json", batch_id: int | None = None) -> None:
+def batch_folder(path: str, batch_id: int | None, run: str | None = None) -> tuple[str, str]:
+    """Folder and write mode: of a batch of a run its own folder, replaced if the batch is run again; else appended."""
+    if batch_id is None:
+        return path, "append"
+    return (f"{path}/run={run}/batch_id={batch_id}" if run else f"{path}/batch_id={batch_id}"), "overwrite"
+
+
+def write_alerts(
+    alerts: DataFrame, path: str, fmt: str = "json", batch_id: int | None = None, run: str | None = None
+) -> None:
     """K2/K3: append alerts as CSV with header or JSON lines.
 
-    With a batch number the rows go to their own folder, replaced as a whole if the batch is run again.
+    With a batch number the rows go to their own folder, replaced as a whole if the batch is run again. Batch numbers
+    start anew with every checkpoint, so a stream also names its run: earlier runs' alerts stay.
     """
     rows = alerts.select([F.col(f.name).cast(f.dataType) for f in ALERT])
-    target, mode = (path, "append") if batch_id is None else (f"{path}/batch_id={batch_id}", "overwrite")
+    target, mode = batch_folder(path, batch_id, run)
     rows.write.mode(mode).option("header", True).format(fmt).save(target)
 
 

@@ -53,9 +53,8 @@ def stream_flow_states(
 ) -> DataFrame:
     """One state per flow and closed window (append mode).
 
-    As in the batch form, packets first fold by exact time stamp with map-side combining, gaps are taken in slices of
-    at most ten seconds (a list of at most 10^7 distinct stamps), and the slices of a longer window are joined at their
-    edges. A packet that comes after its window was closed by the watermark is dropped and counted by Spark.
+    Packets first fold by exact time stamp with map-side combining, gaps are taken in slices of one second (a list of at
+    most 10^6 distinct stamps), and the slices of a longer window are joined at their edges. A packet that comes after its window was closed by the watermark is dropped and counted by Spark.
     """
     width = window_seconds * SECOND
     long = window_seconds > SLICE_SECONDS
@@ -94,11 +93,11 @@ def with_heartbeat(packets: DataFrame) -> DataFrame:
 
 
 def _join_slices(states: DataFrame) -> DataFrame:
-    """The slices of a flow as one state; the list of their edges has at most window / 10 s entries."""
+    """The slices of a flow as one state; the list of their edges has at most an entry for each second of the window."""
     ends = F.sort_array(F.collect_list(F.struct("first_us", "last_us")))
     joined = states.groupBy("span", *FLOW_KEY).agg(
         *add_up([*STATE_SUMS, "gaps", "gap_sum"]),
-        F.sum(F.col("gap_sq").cast("decimal(28,0)")).cast("decimal(38,0)").alias("gap_sq"),
+        F.sum("gap_sq").cast("decimal(38,0)").alias("gap_sq"),
         ends.alias("ends"),
     )
     squares = F.transform("edges", lambda e: (e * e).cast("decimal(38,0)"))
@@ -169,8 +168,8 @@ def _finished_row(key: tuple, state: tuple) -> list:
 def live_flows(packets: DataFrame, window_seconds: int = 5, base_us: int = 0, idle_seconds: int | None = None) -> DataFrame:
     """Flows given out once they have been idle, by the wall clock, for max(2, window) seconds.
 
-    Each flow holds eleven numbers, whatever its length, and its rows are read Arrow batch by Arrow batch. Gaps follow
-    arrival order across batches and time order within one, and are never below zero. A flow that goes on after it was
+    Each flow holds eleven numbers, whatever its length. Its packets of one trigger are put in time order together; gaps
+    follow arrival order across triggers only, and are never below zero. A flow that goes on after it was
     given out starts anew, as a second row. A source limit per trigger bounds what one flow brings at a time.
     """
     idle_ms = 1000 * (idle_seconds or max(2, window_seconds))
@@ -183,8 +182,9 @@ def live_flows(packets: DataFrame, window_seconds: int = 5, base_us: int = 0, id
             yield pd.DataFrame([row], columns=names)
             return
         known = state.get if state.exists else None
-        for part in batches:
-            known = _add_packets(known, part, key[5] == "tcp")
+        parts = list(batches)
+        if parts:
+            known = _add_packets(known, pd.concat(parts, ignore_index=True), key[5] == "tcp")
         if known is not None:
             state.update(known)
             state.setTimeoutDuration(idle_ms)
