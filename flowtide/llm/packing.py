@@ -157,14 +157,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
-def exact_fill(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths with the sum ``gap``; the longest first one that works.
+def exact_fill(gap: int, left: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
+    """One, two or three (at ``most``) available lengths with the sum ``gap``; the longest first one that works.
 
     ``left[n]``: how many pieces of length n are left.
     """
     if gap < len(left) and left[gap]:
         return (gap,)
-    for size in (2, 3):
+    for size in range(2, most + 1):
         for a in range(gap - 1, 0, -1):
             if not left[a]:
                 continue
@@ -185,7 +185,15 @@ def exact_fill(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences) that use up ``counts`` (length to pieces)."""
+    """(lengths of one sequence, how many such sequences) that use up ``counts`` (length to pieces).
+
+    Gaps filled by many short pieces leave few of them for the rest, so plans with complements of up to three, two and one
+    lengths are made, and the shortest one counts.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -193,7 +201,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     for length in range(capacity, 0, -1):
         while left[length]:
             left[length] -= 1
-            fill = () if length == capacity else exact_fill(capacity - length, left)
+            fill = () if length == capacity else exact_fill(capacity - length, left, most)
             left[length] += 1
             if fill is None:
                 break
