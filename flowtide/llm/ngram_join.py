@@ -184,11 +184,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("r").alias("near"))
+        # Hubs and common roots are hot keys of these joins, so they are spread by the other node.
+        named = roots.select(F.col("node").alias("b"), F.col("root").alias("r"))
+        near = salted_join(both, named, ["b"], ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("r").alias("near"))
         hooked = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        moved = hooked.join(jump, "low", "left").select(
+        moved = salted_join(hooked, jump, ["low"], ["node"], "left").select(
             "node", F.coalesce("lower", "low").alias("root"), (F.coalesce("lower", "low") != F.col("root")).alias("moved"))
         moved = materialise(moved, f"{name}-{turn}")
         roots = moved.select("node", "root")
@@ -263,13 +264,13 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
     slim = slim.withColumn("worded", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     digest = F.sha2("text", 256)
 
-    # Nodes are texts: a 64-bit number for each distinct digest, the same in every run.
+    # Nodes are texts, numbered by 64 bits of their digest: at 10^9 texts two meet with a chance of 3 %.
     ids = materialise(slim.select("id", "worded", F.when(F.col("worded"), digest).alias("sha")), "text-ids")
     texts = ids.where("worded").groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"))
-    texts = materialise(texts.withColumn("node", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint")), "texts")
+    texts = materialise(texts.withColumn("node", F.conv(F.substring("sha", 1, 16), 16, -10).cast("bigint")), "texts")
 
     sigs = _signatures(slim.where("worded").select(
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("node"), "text"))
+        F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint").alias("node"), "text"))
     sigs = materialise(sigs, "signatures")
     in_band = sigs.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     least = in_band.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z")
@@ -279,11 +280,11 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
     # Each set of candidates in blocks; a node goes to every pair of blocks that its own is part of.
     sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     bins = max(partitions(spark), 1 + roots.count() // (2 * BLOCK))
-    dealt = roots.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = salted_join(roots, sizes, ["root"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     signed = dealt.join(sigs.select("node", "sig").dropDuplicates(["node"]), "node")
     wanted = dealt.join(texts.select("node", "least"), "node").select(F.col("node").alias("n"), "least")
     held = slim.where("worded").select(
-        "id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("node"), "text")
+        "id", F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint").alias("node"), "text")
     # One row of each text: its least id; the copies' rows spread, as the id is part of the key.
     held = held.join(wanted.hint("shuffle_hash"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("least")),
                      "left_semi").select("node", "text").dropDuplicates(["node"])
@@ -303,7 +304,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
 
     named = texts.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    judged = named.join(lowest, "root").join(links, "node", "left").select(
+    judged = salted_join(named, lowest, ["root"], ["node"]).join(links, "node", "left").select(
         "sha", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     out = salted_join(ids, judged, ["sha"], ["id"], "left", salts=4)
     return out.select(
