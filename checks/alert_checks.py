@@ -9,13 +9,22 @@ from flowtide.operators.dashboards import (
     avg_score_series,
     by_level,
     last_alerts,
+    newest,
     level_series,
     level_values,
     rate_series,
     top_ips,
 )
 from flowtide.schemas import ALERT
-from flowtide.sources.tables import parse_alert_lines, read_alerts, with_alert_time, write_alerts, write_alerts_by_level
+from flowtide.sources.tables import (
+    parse_alert_lines,
+    read_alert_store,
+    read_alerts,
+    store_alerts,
+    with_alert_time,
+    write_alerts,
+    write_alerts_by_level,
+)
 from flowtide.storage import fresh_dir
 
 from .adapters import ALERTS, alert_rows
@@ -30,6 +39,14 @@ def _alerts(spark, sf):
     return with_alert_time(alert_rows(spark, sf))
 
 
+def _stored(spark, sf):
+    """The alerts in the store by day and level, and the time of the newest."""
+    path = fresh_dir(spark, "alert-store")
+    store_alerts(alert_rows(spark, sf), path)
+    log = read_alert_store(spark, path)
+    return log, newest(log)
+
+
 def _shown(alerts):
     return rounded(alerts.withColumn("ts_us", F.unix_micros("ts")).drop("ts"), ["score"])
 
@@ -71,12 +88,14 @@ def trailing(seconds: int) -> str:
 
 @check("dash_alert_rate", f"WITH {ALERTS} SELECT count(*) / 300.0 AS rate FROM alerts WHERE {trailing(300)}")
 def dash_alert_rate(spark, sf):
-    return alert_rate(_alerts(spark, sf))
+    log, now = _stored(spark, sf)
+    return alert_rate(log, as_of=now)
 
 
 @check("dash_red_rate", f"WITH {ALERTS} SELECT count(*) FILTER (level = 'RED') / {DAY}.0 AS rate FROM alerts WHERE {trailing(DAY)}")
 def dash_red_rate(spark, sf):
-    return alert_rate(_alerts(spark, sf), DAY, "RED")
+    log, now = _stored(spark, sf)
+    return alert_rate(log, DAY, "RED", as_of=now)
 
 
 @check("dash_level_series", f"WITH {ALERTS} SELECT ts_us // 3600000000 * 3600 AS step, level, count(*) AS n FROM alerts GROUP BY 1, 2")
@@ -100,12 +119,14 @@ def dash_avg_score_by_label(spark, sf):
 
 @check("dash_top_src", f"WITH {ALERTS} SELECT src_ip, count(*) AS n FROM alerts WHERE {trailing(DAY)} GROUP BY src_ip ORDER BY n DESC, src_ip LIMIT 10")
 def dash_top_src(spark, sf):
-    return top_ips(_alerts(spark, sf), "src_ip", DAY)
+    log, now = _stored(spark, sf)
+    return top_ips(log, "src_ip", DAY, as_of=now)
 
 
 @check("dash_top_dst", f"WITH {ALERTS} SELECT dst_ip, count(*) AS n FROM alerts WHERE {trailing(DAY)} GROUP BY dst_ip ORDER BY n DESC, dst_ip LIMIT 10")
 def dash_top_dst(spark, sf):
-    return top_ips(_alerts(spark, sf), "dst_ip", DAY)
+    log, now = _stored(spark, sf)
+    return top_ips(log, "dst_ip", DAY, as_of=now)
 
 
 @check(
@@ -125,7 +146,8 @@ def dash_rate_series(spark, sf):
 )
 def dash_last_200(spark, sf):
     """The lines without the score, whose text form differs between engines."""
-    last = last_alerts(_alerts(spark, sf))
+    log, now = _stored(spark, sf)
+    last = last_alerts(log, as_of=now)
     head = F.substring_index("line", " score=", 1).alias("head")
     return last.select("timestamp", "level", "src_ip", F.split_part("timestamp", F.lit("+"), F.lit(1)).alias("at"), head, "protocol")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 from functools import partial
 
@@ -16,10 +17,12 @@ from flowtide.streaming.flows import live_flows, stream_flows
 from flowtide.streaming.replay import end_marker, replay
 
 from .adapters import ALERTS, AS_OF, FLOW_SELECT, LINES, PACKETS, ROUNDED, UNI, UNI_SQL, WINDOW, alert_rows, fixed_model, flows_cte, packet_files, packets, windowed
-from .model_checks import ALERT_SQL
-from .registry import check, rounded
+from .model_checks import ALERT_SQL, FIXED_YELLOW, SCORED
+from .registry import check, rounded, sql_r4
 
 DELAY = "1 hour"
+# Seconds after which a stream that should have given out all its flows has failed.
+IDLE_DEADLINE = 600
 
 
 @contextmanager
@@ -87,8 +90,10 @@ def stream_idle_flush(spark, sf):
         writer = flows.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
         query = writer.trigger(processingTime="1 second").start()
         try:
+            deadline = time.monotonic() + IDLE_DEADLINE
             while sum(seen) < total and not query.awaitTermination(1):
-                pass
+                if time.monotonic() > deadline:
+                    raise TimeoutError(f"{sum(seen)} of {total} packets were given out")
         finally:
             query.stop()
     return rounded(spark.read.schema(flows.schema).parquet(f"{sink}/*"), ROUNDED)
@@ -112,17 +117,45 @@ def stream_late_data(spark, sf):
     return rounded(out.drop("batch_id"), ROUNDED)
 
 
-@check("stream_detect", ALERT_SQL)
-def stream_detect(spark, sf):
-    """Packets to flows to alerts in one stream; the alerts equal those of the batch job."""
+def _detected(spark, sf) -> str:
+    """Packets to flows to alerts in one stream of several micro-batches, restarted between two of them."""
     rows = packets(spark, sf)
     source, out, checkpoint = (fresh_dir(spark, f"live-{n}") for n in ("packets", "out", "checkpoint"))
     base = _base(rows)
-    rows.unionByName(end_marker(rows, 3 * WINDOW)).write.parquet(source)
+    first, last = _halves(rows, True)
     with state_partitions(spark):
-        flows = stream_flows(spark.readStream.schema(rows.schema).parquet(source), WINDOW, DELAY, base)
-        start_detection(flows, fixed_model(), out, checkpoint, as_of=AS_OF, trigger={"availableNow": True}).awaitTermination()
-    return rounded(read_alerts(spark, f"{out}/alerts_json").select(*ALERT.names), ["score"])
+        for step in (first, last):
+            step.coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            flows = stream_flows(stream, WINDOW, DELAY, base)
+            query = start_detection(flows, fixed_model(), out, checkpoint, as_of=AS_OF, trigger={"availableNow": True})
+            query.awaitTermination()
+    return out
+
+
+@check("stream_detect", ALERT_SQL)
+def stream_detect(spark, sf):
+    """The alerts of the stream equal those of the batch job."""
+    return rounded(read_alerts(spark, f"{_detected(spark, sf)}/alerts_json").select(*ALERT.names), ["score"])
+
+
+@check("stream_detect_csv", ALERT_SQL)
+def stream_detect_csv(spark, sf):
+    return rounded(read_alerts(spark, f"{_detected(spark, sf)}/alerts_csv", "csv").select(*ALERT.names), ["score"])
+
+
+@check(
+    "stream_score_stats",
+    f"""{UNI}, {SCORED} SELECT count(*) AS n, {sql_r4("min(score)", "min_score")}, {sql_r4("max(score)", "max_score")},
+          count(*) FILTER (score < {FIXED_YELLOW}) AS log_lines FROM scored""",
+)
+def stream_score_stats(spark, sf):
+    """Score statistics and log lines of all micro-batches."""
+    out = _detected(spark, sf)
+    stats = spark.read.schema("n bigint, min_score double, mean_score double, max_score double").json(f"{out}/score_stats")
+    total = stats.agg(F.sum("n").alias("n"), F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))
+    lines = spark.read.schema("value string").text(f"{out}/log").agg(F.count(F.lit(1)).alias("log_lines"))
+    return rounded(total, ["min_score", "max_score"]).withColumn("log_lines", lines.scalar())
 
 
 @check("stream_alert_counts", f"WITH {ALERTS} SELECT ts_us // 3600000000 * 3600 AS step, level, count(*) AS n FROM alerts GROUP BY 1, 2")

@@ -60,9 +60,12 @@ _MARK = "\x01"
 
 def flow_id_parts(flow_id: Column) -> Column:
     """the four endpoint texts of a flow id as an array; each row tries both layouts, null if neither fits."""
-    by_port = F.split(F.regexp_replace(flow_id, FLOW_ID_IP_PORT, f"$1{_MARK}$3{_MARK}$2{_MARK}$4"), _MARK)
-    by_ip = F.split(F.regexp_replace(flow_id, FLOW_ID_IP_IP, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK)
-    return F.coalesce(*[F.get(F.filter(F.array(a), lambda p: F.size(p) == 4), F.lit(0)) for a in (by_port, by_ip)])
+    by_port = F.regexp_replace(flow_id, FLOW_ID_IP_PORT, f"$1{_MARK}$3{_MARK}$2{_MARK}$4")
+    by_ip = F.regexp_replace(flow_id, FLOW_ID_IP_IP, f"$1{_MARK}$2{_MARK}$3{_MARK}$4")
+    # A text with a colon can have the first layout, another only the second; a layout that fits replaces the text.
+    found = F.when(F.instr(flow_id, ":") > 0, F.when(flow_id.rlike(FLOW_ID_IP_PORT), by_port).otherwise(by_ip)).otherwise(by_ip)
+    parts = F.split(found, _MARK)
+    return F.when(F.instr(found, _MARK) > 0, parts)
 
 
 def flow_id_endpoints(parts: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +19,20 @@ def _as_of(alerts: DataFrame, as_of: datetime | None) -> Column:
     return alerts.agg(F.max("ts")).scalar() if as_of is None else F.lit(as_of).cast("timestamp")
 
 
+def newest(alerts: DataFrame) -> datetime | None:
+    """Time of the newest alert of a log stored by day; only the newest day is read."""
+    day = alerts.agg(F.max("day")).first()[0]
+    return None if day is None else alerts.where(F.col("day") == F.lit(day)).agg(F.max("ts")).first()[0]
+
+
 def in_range(alerts: DataFrame, seconds: int, as_of: datetime | None = None) -> DataFrame:
-    """Alerts of the trailing range."""
+    """Alerts of the trailing range. With a given time, a log that is stored by day opens only the range's days."""
     end = _as_of(alerts, as_of)
     start = end - F.make_dt_interval(secs=F.lit(seconds))
+    if as_of is not None and "day" in alerts.columns:
+        # A day more on either side, so that the time zone of the session does not matter.
+        first, last = as_of.date() - timedelta(days=1 + -(-seconds // 86_400)), as_of.date() + timedelta(days=1)
+        alerts = alerts.where(F.col("day").between(F.lit(first), F.lit(last)))
     return alerts.where((F.col("ts") > start) & (F.col("ts") <= end))
 
 

@@ -68,6 +68,19 @@ def write_alerts_by_level(alerts: DataFrame, path: str, mode: str = "append") ->
     alerts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("level").parquet(path)
 
 
+def store_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
+    """K4: parquet with ``ts``, partitioned by day (UTC) and level, so that a question of minutes opens one day."""
+    rows = alerts if "ts" in alerts.columns else with_alert_time(alerts)
+    rows = rows.withColumn("day", F.to_date(F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd")))
+    order = ["day", "level", "ts"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("day", "level").parquet(path)
+
+
+def read_alert_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored alerts, with ``ts``, ``day`` and ``level``."""
+    return spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
+
+
 def read_alerts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Alerts with ``ts``, their event time."""
     reader = spark.read.schema(ALERT)

@@ -123,6 +123,23 @@ def test_runs_with_other_checkpoints_keep_earlier_alerts(spark, tmp_path):
     assert read_alerts(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_a_question_of_minutes_opens_one_day(spark, tmp_path):
+    from flowtide.operators.dashboards import alert_rate, newest
+    from flowtide.sources.tables import read_alert_store, store_alerts
+
+    rows = [(f"2024-01-{d:02d}T12:{m:02d}:00+00:00", "a", "b", 1, 2, "tcp", -0.3, "RED") for d in (1, 9, 20) for m in (1, 2)]
+    ddl = "timestamp string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, score double, level string"
+    store_alerts(spark.createDataFrame(rows, ddl), str(tmp_path / "log"))
+    log = read_alert_store(spark, str(tmp_path / "log"))
+    now = newest(log)
+    rate = alert_rate(log, 120, "RED", as_of=now)
+    assert rate.first().rate == pytest.approx(2 / 120)
+    scan = rate._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in scan
+    days = [f for f in rate.inputFiles() if "day=" in f]
+    assert days and newest(log.limit(0)) is None
+
+
 def labelled_flows(spark, n=1500):
     cols = [F.lit(0).cast("bigint").alias("window"), F.lit("a").alias("src_ip"), F.lit("b").alias("dst_ip"),
             (F.col("id") % 7).cast("int").alias("src_port"), F.lit(2).alias("dst_port"), F.lit("tcp").alias("protocol")]
