@@ -267,6 +267,29 @@ def train_model(spark, sf):
     return spark.createDataFrame([row], "offset double, red double, yellow double, contamination double, train_rows bigint, trees int")
 
 
+@check(
+    "train_properties",
+    f"""{UNI}, n AS (SELECT count(*) AS n FROM flows) SELECT n AS train_rows, TRUE AS scores_in_range, TRUE AS red_below_limit,
+        TRUE AS candidate_chosen, TRUE AS same_for_any_partitioning FROM n""",
+)
+def train_properties(spark, sf):
+    """What must hold of any trained model, whatever its trees."""
+    flows = materialise(with_label(uni_flows(spark, sf)), "flows")
+    params = TrainParams(trees=20)
+    model, again = (train(flows.repartition(n), params, version="check") for n in (3, 5))
+    raw = F.col("score") + F.lit(model.offset)
+    scores = score_flows(flows, model).agg(F.bool_and((raw > -1) & (raw < 0))).first()[0]
+    row = (
+        model.card["train_rows"],
+        scores,
+        model.red <= -0.02,
+        model.card["contamination_used"] in CANDIDATES,
+        abs(model.offset - again.offset) < 1e-9 and abs(model.red - again.red) < 1e-9,
+    )
+    names = ["scores_in_range", "red_below_limit", "candidate_chosen", "same_for_any_partitioning"]
+    return spark.createDataFrame([row], ", ".join(["train_rows bigint", *[f"{n} boolean" for n in names]]))
+
+
 @check("model_card", f"""{UNI} SELECT 'check' AS version, 'extended' AS feature_set, CAST(0.02 AS DOUBLE) AS contamination_config, CAST(20 AS INTEGER) AS n_estimators,
   count(*) AS train_rows, '{",".join(FEATURES)}' AS columns_numeric FROM flows""")
 def model_card_query(spark, sf):

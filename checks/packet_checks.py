@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowtide.functions.addresses import parse_flow_id
 from flowtide.functions.coerce import flag_to_int
 from flowtide.operators.flows import (
+    active_flows,
     bounded,
     canonicalise,
     flow_states,
@@ -172,6 +173,29 @@ def flows_csv_roundtrip(spark, sf):
     )
 
 
+@check(
+    "flows_csv_any_order",
+    f"""{UNI} SELECT "window", {KEY}, bidirectional_packets, tcp_syn_count, CAST(1 AS INTEGER) AS label,
+        floor(iat_std * 1e4 + 0.5) / 1e4 AS iat_std FROM flows""",
+)
+def flows_csv_any_order(spark, sf):
+    """Columns of a CSV file are found by name: label first, the rest backwards, and one that is not known."""
+    path = fresh_dir(spark, "flows-any-order")
+    table = uni_flows(spark, sf)
+    table.select(F.lit(1).alias("label"), F.lit("x").alias("note"), *reversed(table.columns)).write.csv(path, header=True)
+    back = read_flows(spark, path, "csv")
+    return back.select("window", *FLOW_KEY, "bidirectional_packets", "tcp_syn_count", "label", r4("iat_std").alias("iat_std"))
+
+
+@check(
+    "packet_active_flows",
+    f"""WITH {PACKETS}, {windowed('packets')} SELECT count(*) AS active_flows FROM (
+          SELECT DISTINCT {KEY} FROM windowed WHERE "window" = (SELECT max("window") FROM windowed))""",
+)
+def packet_active_flows(spark, sf):
+    return active_flows(with_window(packets(spark, sf), WINDOW))
+
+
 @check("cic_flow_id", f"WITH {RAW} SELECT row_key, {flow_id_sql('c0')} FROM raw")
 def cic_flow_id(spark, sf):
     return parse_flow_id(raw_labelled(spark, sf).select("row_key", "Flow ID"), "Flow ID")

@@ -74,6 +74,13 @@ def with_window(packets: DataFrame, window_seconds: int = 5, base_us: int | None
     return packets.withColumn("window", window_index(F.col("ts_us"), base, window_seconds))
 
 
+def active_flows(windowed: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A5: flows of the newest window, one row; those are the ones that may still grow."""
+    newest = windowed.agg(F.max("window")).scalar()
+    current = windowed.where(F.col("window") == newest).select(*(keys or FLOW_KEY)).distinct()
+    return current.agg(F.count(F.lit(1)).alias("active_flows"))
+
+
 def bounded(packets: DataFrame, minutes: float, base_us: int | None = None) -> DataFrame:
     """Packets of the first minutes only."""
     base = base_time(packets) if base_us is None else F.lit(base_us).cast("bigint")
