@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import HASH_BITS, hash60
+from ..storage import materialise
 
 BUCKET_BITS = 18
 # Up to this many groups the table of limits (one row per group) is broadcast; beyond, it is joined by shuffle.
@@ -83,13 +84,11 @@ def _hit(running: DataFrame, count: str, wanted: Column) -> DataFrame:
 
 
 def _collect(table: DataFrame, group: list[str]) -> tuple[DataFrame, bool]:
-    """A table of one row per group, broadcast if its length is within bounds, and whether some copies are shared."""
-    renamed = table.withColumnsRenamed({g: f"_g_{g}" for g in group})
-    rows = renamed.limit(BROADCAST_GROUPS + 1).collect()
-    if len(rows) > BROADCAST_GROUPS:
-        return renamed, True
-    small = table.sparkSession.createDataFrame(rows, renamed.schema)
-    return F.broadcast(small), any("_take" in r and r["_take"] < r["_copies"] for r in rows)
+    """A stored table of one row per group, broadcast if its length is within bounds, and whether some copies are shared."""
+    stored = materialise(table.withColumnsRenamed({g: f"_g_{g}" for g in group}), "limits")
+    shared = F.count_if(F.col("_take") < F.col("_copies")) if "_take" in stored.columns else F.count(F.lit(None))
+    groups, partial = stored.agg(F.count(F.lit(1)), shared).first()
+    return (F.broadcast(stored) if groups <= BROADCAST_GROUPS else stored), bool(partial)
 
 
 def _same_group(group: list[str]) -> Column:

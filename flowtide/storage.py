@@ -18,12 +18,13 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    return _local_root(spark.sparkContext.applicationId)
+    return _local_folder(spark.sparkContext.applicationId).name
 
 
 @cache
-def _local_root(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"flowtide-{application}-")
+def _local_folder(application: str) -> tempfile.TemporaryDirectory:
+    """Removed when the Python process ends."""
+    return tempfile.TemporaryDirectory(prefix=f"flowtide-{application}-", ignore_cleanup_errors=True)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
