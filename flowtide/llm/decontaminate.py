@@ -7,7 +7,8 @@ of themselves, so that a window at the largest allowed distance is met with ``TA
 verified by exact word edit distance, of the window and of its end moved by what the edits allow.
 
 Before the walk, windows that cannot be near any item go: one within k edits of an item of n words has at most k words
-outside the benchmark's vocabulary, and holds all but k of the item's words that are rare in the benchmark. Items travel to the tasks in blocks of bounded size; all texts are read for each block.
+outside the benchmark's vocabulary, and holds all but k of the item's words that are rare in the benchmark. Items travel
+to the tasks in blocks of bounded size; all texts are read for each block.
 
 Cases: words are runs of letters and digits, lower-cased; a null or empty text has no window; items without words match
 nothing, equal items all match; rows may repeat and null ids are kept; columns other than id and text are not read. Empty

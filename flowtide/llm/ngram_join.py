@@ -286,7 +286,8 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
     # Each set of candidates in blocks; a node goes to every pair of blocks that its own is part of.
     sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     bins = max(partitions(spark), 1 + roots.count() // (2 * BLOCK))
-    dealt = salted_join(roots, sizes, ["root"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = salted_join(roots, sizes, ["root"], ["node"]).withColumn("block", block)
     signed = dealt.join(sigs.select("node", "sig").dropDuplicates(["node"]), "node")
     wanted = dealt.join(texts.select("node", "least"), "node").select(F.col("node").alias("n"), "least")
     held = slim.where("worded").select(
