@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtide.operators.alerts import iso_utc, level_column, log_line, score_stats, threshold_columns, to_alerts
+from flowtide.operators.alerts import log_line, score_stats, threshold_columns, to_alerts
 from flowtide.operators.calibration import CANDIDATES, decision_offsets, f1_table, red_threshold
 from flowtide.operators.features import feature_quantiles, fit_scaler, inject_outliers, scale_features, scaler_row, select_features
 from flowtide.operators.forest import fit_forest, forest_nodes, score_rows
@@ -30,7 +30,7 @@ from .adapters import (
     uni_flows,
     with_label,
 )
-from .registry import check, r4, rounded, sql_hash60, sql_r4, sql_uniform
+from .registry import check, rounded, sql_hash60, sql_r4, sql_uniform
 
 ID = ["window", *FLOW_KEY]
 FEATURES = FEATURES_EXTENDED
