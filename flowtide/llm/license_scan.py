@@ -1,7 +1,8 @@
 """License scans: known sentences become identifiers, and ordered rules recognise licences in the identifier sequence.
 
-A text is cut into sentences, each is normalised (lower-case A-Z, digits, single blanks) and looked up; the identifiers of
-the known ones, in order, are matched against the rules. A rule takes its identifiers away, so that a longer rule that
+A text is normalised (lower-case A-Z, digits, single blanks) with marks where sentences and lines end; the known sentences
+that stand between marks are found, however the lines are wrapped and whatever comment signs they begin with. Their
+identifiers, in order, are matched against the rules. A rule takes its identifiers away, so that a longer rule that
 stands earlier wins over its parts; known sentences that no rule takes are reported as unmatched.
 
 Cases: a null or empty text has no licence; rows may repeat, each is scanned by itself; columns other than id and text are
@@ -83,29 +84,36 @@ RULES = [
     ("GPL-3.0-or-later", ["spdx.gpl3"]),
     ("BSD-3-Clause", ["spdx.bsd3"]),
 ]
-#: Sentences end at a line end that closes a paragraph or a sign of the end before a gap; lines of one sentence join.
+#: Ends of sentences in the SQL twin. Notices have ':', ';' and line ends inside their sentences, so the scan takes those as
+#: places where a known sentence may begin or end, not as ends.
 SENTENCE_END = r"(?:[.!?:;][\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n)"
+#: What no known sentence runs across, and what one may run across or begin or end at; and their marks.
+HARD_END, SOFT_END = r"[.!?][\x20\x09-\x0D]+", r"[:;][\x20\x09-\x0D]+|\n"
+_HARD, _SOFT = "\x01", "\x02"
 #: Texts without any of these words hold no known sentence.
 HINT = r"[lL][iI][cC][eE][nN][sS]|[cC][oO][pP][yY]|[rR][eE][dD][iI][sS][tT]|[wW][aA][rR][rR][aA][nN]"
 HINT += r"|[eE][nN][dD][oO][rR][sS]|[pP][eE][rR][mM][iI][sS][sS][iI][oO][nN]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """The text in normal form (lower-case A-Z, digits, single blanks) with a mark at each hard or soft end."""
+    out = F.translate(text, _UPPER + _HARD + _SOFT, _LOWER + "  ")
+    out = F.regexp_replace(F.regexp_replace(out, HARD_END, _HARD), SOFT_END, _SOFT)
+    out = F.regexp_replace(F.concat(F.lit(_HARD), out, F.lit(_HARD)), f"[^a-z0-9{_HARD}{_SOFT}]+", " ")
+    out = F.regexp_replace(out, f"[ {_SOFT}]*{_HARD}[ {_HARD}{_SOFT}]*", _HARD)
+    return F.regexp_replace(out, f" *{_SOFT}[ {_SOFT}]*", _SOFT)
 
 
 def known_sentences(text: Column) -> Column:
-    """Identifiers of the known sentences, in order; a line on its own counts as a sentence too."""
+    """Identifiers of the known sentences, in order: those that stand between two ends of any kind, with soft ends for
+    blanks. Of sentences that begin at one place the longest counts."""
     book = F.create_map(*[x for k, v in SENTENCES.items() for x in (F.lit(v), F.lit(k))])
-    whole = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.array(s))
-
-    def lookup(parts):
-        found = F.element_at(book, normalised(parts[0]))
-        lines = F.transform(F.split(parts[0], "\n", -1), lambda line: F.element_at(book, normalised(line)))
-        return F.when(found.isNotNull(), F.array(found)).otherwise(lines)
-
-    ids = F.filter(F.flatten(F.transform(whole, lookup)), lambda i: i.isNotNull())
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    any_known = "|".join(s.replace(" ", f"[ {_SOFT}]") for s in longest)
+    places = F.lit(f"(?<=[{_HARD}{_SOFT}])(?:{any_known})(?=[{_HARD}{_SOFT}])")
+    found = F.regexp_extract_all(marked(text), places, F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(book, F.translate(s, _SOFT, " ")))
     return F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
 
 

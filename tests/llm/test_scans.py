@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -53,6 +54,79 @@ def test_longer_rules_win_and_odd_tables(spark):
     assert license_scan.scan(documents(spark, [])).collect() == []
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General \
+Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any \
+later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied \
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+BSD2 = """Copyright (c) 2020, A. Writer
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the \
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following \
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following \
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated \
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the \
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit \
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the \
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE \
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS""",
+    "BSD-2-Clause": BSD2 + "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS",
+    "BSD-3-Clause": BSD2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products \
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS""",
+    "Apache-2.0": """Copyright 2020 A. Writer
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the \
+License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law""",
+    "GPL-3.0-or-later": GPL.format(":", ",", 3),
+    "GPL-2.0-or-later": GPL.format(";", ";", 2),
+}
+SPDX = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0-or-later", "BSD-3-Clause": "BSD-3-Clause"}
+
+
+def test_notices_are_recognised_wrapped_and_behind_comment_signs(spark):
+    texts, want = [], []
+    for licence, notice in NOTICES.items():
+        for width in (30, 60, 75, 1000):
+            kept = {"break_long_words": False, "break_on_hyphens": False}
+            lines = [x for p in notice.split("\n") for x in (textwrap.wrap(p, width, **kept) or [""])]
+            for sign in ("", "# ", " * ", "// ", ";; "):
+                texts.append("\n".join(f"{sign}{x}".rstrip() for x in ["tool.c: a tool", *lines]))
+                want.append(licence)
+    for name, licence in SPDX.items():
+        line = f"SPDX-License-Identifier: {name}"
+        texts += [line, f"#!/bin/sh\n# {line}\n# Copyright 2020 A\nx=1", f"/* {line} */\nint x;", f"<!-- {line} -->\n"]
+        want += [licence] * 4
+    texts += ["SPDX-License-Identifier: MIT OR Zlib", "Not released under the MIT license"]
+    got = {r.doc_id: r for r in license_scan.scan(documents(spark, texts)).collect()}
+    for i, licence in enumerate(want):
+        assert (got[i].licences, got[i].unmatched) == ([licence], []), texts[i]
+    assert not got[len(want)].sentence_ids and not got[len(want) + 1].sentence_ids
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
