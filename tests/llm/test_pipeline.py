@@ -42,6 +42,18 @@ def test_planted_cases_go_and_clean_documents_stay(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(kept["benchmark decontamination"])
 
 
+def test_a_cut_document_stays_with_its_remaining_text(spark):
+    rng = random.Random(22)
+    footer = "\n".join(" ".join(prose(rng, 6).split()) for _ in range(24))
+    own = [" ".join(prose(rng, n).split()) for n in (60, 44, 20, 2)]
+    texts = [f"{x}\n\n{footer}" for x in own] + [footer, footer]
+    docs = documents(spark, texts)
+    cut = {r.doc_id: r for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert {0, 1, 2, 3} <= set(cut) and 5 not in cut and cut[0].text == texts[0]
+    for i in (1, 2, 3):
+        assert cut[i].text.startswith(own[i]) and cut[i].n_chars == len(cut[i].text) < len(texts[i])
+
+
 def test_run_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
