@@ -21,10 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut from the texts. A document goes only if it was nothing but copies or the cut leaves
-    no word of it; all others stay with their remaining text, however short."""
+    """Repeated chunks of lines, and repeated runs of 50 words or more wherever they begin, are cut from the texts. A
+    document goes only if it was nothing but copies or the cut leaves no word of it; all others stay with their remaining
+    text, however short."""
     some_left = (F.size("removed_lines") == 0) | (F.size(words_of(whole_text())) > 0)
-    cut = line_dedup.deduplicate(docs).where(~F.col("emptied") & some_left)
+    cut = line_dedup.deduplicate(docs, passages=True).where(~F.col("emptied") & some_left)
     kind = docs.schema["n_chars"].dataType
     return cut.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 

@@ -81,6 +81,51 @@ def test_line_dedup_of_odd_tables(spark):
     assert got == sorted([(1, None, False), (2, "", True), (2, "", True), (None, "a\nb", False)], key=str)
 
 
+def plain_runs(texts):
+    """Lines of all runs of 50 words or more that stand at an earlier place, by trying every run."""
+    seen, gone = {}, [set() for _ in texts]
+    for d, t in enumerate(texts):
+        lines = t.split("\n")
+        n = [len(WORDS(x)) for x in lines]
+        for a in range(len(lines)):
+            for z in range(a, len(lines)):
+                if n[a] and n[z] and sum(n[a:z + 1]) >= 50:
+                    if seen.setdefault("\n".join(lines[a:z + 1]), (d, a)) != (d, a):
+                        gone[d] |= set(range(a, z + 1))
+    return gone
+
+
+def test_every_repeated_run_of_50_words_goes_wherever_it_begins(spark):
+    rng = random.Random(17)
+
+    def line(n):
+        return " ".join(prose(rng, n).split())
+
+    passages = ["\n".join(line(w) for w in sizes) for sizes in (
+        (43, 9), (25, 25), (30, 5, 30), (17, 17, 17), (20, 10, 10, 10, 20), (10, 10, 10, 10, 10, 10), (24, 25))]
+    passages.append(f"{line(20)}\n\n{line(20)}\n \n{line(20)}")
+    texts = []
+    for i in range(64):
+        parts = [line(rng.randrange(1, 30)) for _ in range(rng.randrange(4))]
+        parts += [passages[i % 8]] + rng.sample(passages, rng.randrange(2))
+        rng.shuffle(parts)
+        texts.append("\n".join(parts) + rng.choice(["", "\n", "\n\n"]))
+    texts += [line(1), "", "\n".join([line(3)] * 600), "\n".join(line(rng.randrange(4)) for _ in range(700))]
+    texts.append(texts[-1].split("\n", 300)[300])
+    runs = plain_runs(texts[:-2]) + [set(), set(range(len(texts[-1].split("\n"))))]
+    got = {r.doc_id: r for r in line_dedup.deduplicate(documents(spark, texts), passages=True).collect()}
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        chunks = {x for x in got[i].removed_lines} - runs[i]
+        worded = {x for x in runs[i] if WORDS(lines[x])}
+        assert worded <= set(got[i].removed_lines), i
+        assert all(any(lines[x] in u.split("\n") for u in texts[:i]) or lines.index(lines[x]) < x for x in chunks), i
+        kept = [x for k, x in enumerate(lines) if k not in set(got[i].removed_lines)]
+        assert got[i].text == ("" if got[i].emptied else "\n".join(kept))
+    assert any(runs[i] - set(r.removed_lines) for i, r in
+               enumerate(sorted(line_dedup.deduplicate(documents(spark, texts)).collect(), key=lambda r: r.doc_id)))
+
+
 def plain_links(texts, threshold=0.8):
     """Class (least id), links and copies by all pairs."""
     def cut(t):
