@@ -310,9 +310,13 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
     classes = components(found.where("a != b").select("a", "b"), "classes")
 
     named = texts.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    # The first text of a class: that of the least id, a null one last; of texts that share it, the lower node.
+    lowest = named.groupBy("root").agg(
+        F.min("least").alias("class_id"),
+        F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))["node"].alias("first_node"))
     judged = salted_join(named, lowest, ["root"], ["node"]).join(links, "node", "left").select(
-        "sha", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+        "sha", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies",
+        (F.col("node") == F.col("first_node")).alias("first_text"))
     out = salted_join(ids, judged, ["sha"], ["id"], "left", salts=4)
     return out.select(
         "id",
@@ -320,14 +324,15 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
         F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"),
-        (~F.col("worded") | F.col("class_id").eqNullSafe(F.col("id"))).alias("is_first"),
+        (~F.col("worded") | (F.col("first_text") & F.col("class_id").eqNullSafe(F.col("id")))).alias("is_first"),
     )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of ``docs``: id, ``class_id``, ``n_links`` (other texts it reaches the threshold with), ``n_copies``
-    (rows of its very text) and ``is_first`` (its id is the class id)."""
+    (rows of its very text) and ``is_first`` (its id is the class id; where texts of a class share that id, or all ids are
+    null, only rows of one of them)."""
     return _classes(docs, id_col, text, threshold).drop("sha").withColumnRenamed("id", id_col)
 
 
