@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, license_scan, line_dedup, lm_score, ngram_join, packing, reply_trees
-from . import secret_scan, token_counts
+from . import decontaminate, fill_in_middle, host_rules, license_scan, line_dedup, lm_score, ngram_join, packing, reply_trees
+from . import secret_scan, token_counts, url_filter, vector_codes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,3 +284,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.listed(F.col("known")), 256).alias("base_sha256"),
         secret_scan.listed(F.concat("known", "found")).alias("spans"),
     )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s
+  FROM documents),
+h AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4
+  FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+    coalesce(array_to_string(u[b + 1:n], ''), '') AS q
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || q || '<P>' || p || '<M>' || m
+    ELSE '<P>' || p || '<S>' || q || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_in_middle.restored(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op12_vector_codes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes.rows).select(
+        "vec_id", "code", "error", "label_error",
+        F.lit(vector_codes.books_digest(codes.books)).alias("codebooks_sha256"))
+
+
+#: What is known of hosts and paths, with the verdict.
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op13_url_filter")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judge(pages, model, URL_RULES).drop("score")
