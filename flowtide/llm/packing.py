@@ -1,8 +1,9 @@
 """Best-fit packing: token pieces into sequences of one capacity, exact complements first.
 
 A document's ids and the end id form one piece, or, when longer than the capacity, full pieces after a shorter first one.
-Only how many pieces have each length matters for the plan, so it is made from at most ``capacity`` counts: gaps are filled
-exactly by one, two or three available lengths, and what is left is packed best fit, longest first. Each piece then finds
+Only how many pieces have each length matters for the plan, so it is made from at most ``capacity`` counts: an index of the
+sums of one, two and three lengths gives combinations that fill gaps exactly while they last, and what is left is packed
+best fit, longest first. Each piece then finds
 its place in the plan by its rank among the pieces of its length.
 
 Cases: a null or empty text is a piece of the end id alone; rows may repeat, each is packed; null ids are kept; columns
@@ -11,10 +12,13 @@ other than id and text are not read. An empty table gives an empty result. Texts
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,102 +29,71 @@ from flowtide.storage import materialise
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a Python worker remembers; then it forgets all and starts anew.
-CACHE_WORDS = 800_000
 #: Pieces per bucket that are ranked in one sort, about.
 BUCKET_ROWS = 50_000
-#: A blank that is not followed by a visible character: such texts are cut by the slower rule.
-ODD_GAP = re.compile(r" (?!\S)")
+#: Signs that libraries and Unicode versions may sort differently into letters, digits, blanks and others.
+ODD = re.compile("[^\t\n\r -~\u00a1-\u02af\u2010-\u2027\u20ac]")
+#: Where the pre-tokenizer cuts whatever stands around.
 CUT = re.compile(r"(?= \S)")
-#: Signs that form a word of their own behind a letter (the apostrophe does not).
-SIGNS = ".,;:!?#$%&*|<>()+-/=@[]^_`{}~\"\\"
-#: Letters that are letters in every Unicode version: words of these are one word for the pre-tokenizer too.
-PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ʯ]+")
 
 
-class _Cached(dict):
-    """Ids of a piece after a fixed head (a blank or nothing), as little-endian bytes.
+def _as_bytes() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable Latin-1 for itself, the others in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    Signs behind a letter, and what follows a line end, are separate words for the pre-tokenizer: such pieces are put
-    together from their parts, so that the parts are what is remembered.
-    """
-
-    def __init__(self, encode, head: str, bare=None):
-        self.encode, self.head = encode, head
-        self.bare = self if bare is None else bare
-        self.line_end = encode("\n")
-
-    def __missing__(self, piece: str) -> bytes:
-        if "\n" in piece:
-            first, *rest = piece.split("\n")
-            if all(p and not p[0].isspace() and not p[-1].isspace() for p in (first, *rest)):
-                return self.line_end.join([self[first], *map(self.bare.__getitem__, rest)])
-        stem = piece.rstrip(SIGNS)
-        if stem and len(stem) < len(piece) and stem[-1] < "ʰ" and stem[-1].isalpha():
-            known = stem in self
-            ids = self[stem] + self.bare[piece[len(stem):]]
-            if not known:
-                return ids
-        else:
-            ids = self.encode(self.head + piece)
-        self[piece] = ids
-        return ids
-
-
-class _Symbols(dict):
-    """The vocabulary's signs for the bytes of a character."""
-
-    def __init__(self, signs):
-        self.signs = signs
 
-    def __missing__(self, code: int) -> str:
-        self[code] = self.signs(chr(code))
-        return self[code]
+def ranks_of(vocabulary: str) -> dict[bytes, int] | None:
+    """The tokens of a byte-level vocabulary file with their ranks, if merging by rank is what its rules say; else None."""
+    model = json.loads(Path(vocabulary).read_text(encoding="utf-8"))
+    rules, pre, known = model["model"], model.get("pre_tokenizer") or {}, _as_bytes()
+    plain = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+             and not model.get("normalizer") and not rules.get("dropout") and not rules.get("ignore_merges")
+             and not rules.get("continuing_subword_prefix") and not rules.get("end_of_word_suffix"))
+    if not plain:
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in rules["merges"]]
+    made = [rules["vocab"].get(a + b, -1) for a, b in pairs]
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    tokens = {t: i for t, i in rules["vocab"].items() if t not in special}
+    if made != sorted(set(made)) or any(c not in known for t in tokens for c in t):
+        return None
+    return {bytes(known[c] for c in t): i for t, i in tokens.items()}
 
 
 class TokenIds:
-    """Ids of whole texts; words that were seen before come from a bounded cache.
+    """Ids of whole texts, as little-endian bytes.
 
-    A text is cut before lone blanks, where the pre-tokenizer cuts too; words of plain letters go straight to the merging
-    model. A text that holds a special string goes to the library whole.
+    Merging by rank gives the ids that the library's merge rules give, several times as fast. Words with signs that the
+    two may sort differently go to the library, and so does a whole text that holds a special string.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.model = self.tokenizer.model
-        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.symbols = _Symbols(lambda c: byte_level.pre_tokenize_str(c)[0][0])
-        self.straight = self.tokenizer.normalizer is None and "ByteLevel" in repr(self.tokenizer.pre_tokenizer)
+        ranks = ranks_of(vocabulary)
+        self.ranked = ranks and tiktoken.Encoding(
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.bare = _Cached(self.encode, "")
-        self.spaced = _Cached(self.encode, " ", self.bare)
 
-    def encode(self, piece: str) -> bytes:
-        if self.straight and PLAIN_WORD.fullmatch(piece):
-            ids = [t.id for t in self.model.tokenize(piece.translate(self.symbols))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def by_library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def of(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.straight or (self.special and self.special.search(text)):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        for known in (self.spaced, self.bare):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        if ODD_GAP.search(text):
-            parts = CUT.split(text)
-            return b"".join([
-                self.spaced[p[1:]] if i and p[0] == " " and p[1:] else self.encode(p) for i, p in enumerate(parts) if p
-            ])
-        first, *rest = text.split(" ")
-        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        if not self.ranked or (self.special and self.special.search(text)):
+            ids = self.by_library(text)
+        elif not ODD.search(text):
+            ids = self.ranked(text)
+        else:
+            ids = []
+            for odd, words in groupby(CUT.split(text), lambda w: ODD.search(w) is not None):
+                ids += (self.by_library if odd else self.ranked)("".join(words))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _READERS: dict[str, TokenIds] = {}
@@ -157,38 +130,80 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
-def exact_fill(gap: int, left: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
-    """One, two or three (at ``most``) available lengths with the sum ``gap``; the longest first one that works.
+class SumIndex:
+    """Combinations of one, two and three lengths by their sum, under counts ``left`` that only go down.
 
-    ``left[n]``: how many pieces of length n are left.
+    Pairs are indexed by their sum as their longer lengths, triples as their longest ones (the rest of a triple is a pair
+    of the remaining sum). A combination that has run out never comes back, so each list is read from where the last one
+    that had pieces left was found. Of several combinations the one with the longest length comes first.
     """
-    if gap < len(left) and left[gap]:
-        return (gap,)
-    for size in range(2, most + 1):
-        for a in range(gap - 1, 0, -1):
-            if not left[a]:
-                continue
-            left[a] -= 1
-            rest = gap - a
-            if size == 2:
-                found = (a, rest) if rest <= a and left[rest] else None
-            else:
-                found = None
-                high = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-                good = high[(left[high] > 0) & (left[rest - high] > 0) & ((2 * high != rest) | (left[high] > 1))]
-                if len(good):
-                    found = (a, int(good[0]), rest - int(good[0]))
-            left[a] += 1
-            if found:
-                return found
-    return None
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        have = np.flatnonzero(left)[::-1]
+        longer, shorter = np.meshgrid(have, have, indexing="ij")
+        fits = (shorter <= longer) & (longer + shorter < len(left))
+        self.pairs = self._listed(longer[fits], (longer + shorter)[fits])
+        sums = np.array(sorted(self.pairs), dtype=np.int64)
+        longest, rest = np.meshgrid(have, sums, indexing="ij")
+        # The longer one of the remaining pair is at least half of its sum, and at most the longest one.
+        fits = (rest <= 2 * longest) & (longest + rest < len(left))
+        self.triples = self._listed(longest[fits], (longest + rest)[fits])
+        self.pair_at: dict[int, int] = {}
+        self.triple_at: dict[int, int] = {}
+
+    @staticmethod
+    def _listed(lengths: np.ndarray, sums: np.ndarray) -> dict[int, list[int]]:
+        order = np.lexsort((-lengths, sums))
+        keys, begin = np.unique(sums[order], return_index=True)
+        return {int(k): part.tolist() for k, part in zip(keys, np.split(lengths[order], begin[1:]))}
+
+    def _has(self, *lengths: int) -> bool:
+        return all(self.left[n] >= lengths.count(n) for n in lengths)
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self._has(total) else None
+
+    def pair(self, total: int, taken: tuple[int, ...] = (), most: int | None = None) -> tuple[int, ...] | None:
+        """A pair of available lengths of at most ``most``, beside those already ``taken``."""
+        longer = self.pairs.get(total, [])
+        at = self.pair_at.get(total, 0)
+        while at < len(longer) and not self._has(longer[at], total - longer[at]):
+            at += 1
+        self.pair_at[total] = at
+        for a in longer[at:]:
+            if (most is None or a <= most) and self._has(a, total - a, *taken):
+                return a, total - a
+        return None
+
+    def triple(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        longest = self.triples.get(total, [])
+        at = self.triple_at.get(total, 0)
+        while at < len(longest) and not self.left[longest[at]]:
+            at += 1
+        self.triple_at[total] = at
+        for a in longest[at:]:
+            if self._has(a, *taken):
+                rest = self.pair(total - a, (*taken, a), a)
+                if rest:
+                    return a, *rest
+        return None
+
+    def fill(self, gap: int, taken: tuple[int, ...] = (), most: int = 3) -> tuple[int, ...] | None:
+        """One, two or three (at ``most``) available lengths with the sum ``gap``; fewer ones first."""
+        found = self.single(gap) if gap < len(self.left) and self._has(gap, *taken) else None
+        if found is None and most >= 2:
+            found = self.pair(gap, taken)
+        if found is None and most >= 3:
+            found = self.triple(gap, taken)
+        return found
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences) that use up ``counts`` (length to pieces).
 
-    Gaps filled by many short pieces leave few of them for the rest, so plans with complements of up to three, two and one
-    lengths are made, and the shortest one counts.
+    Gaps are filled by combinations of up to three lengths. As gaps filled by many short pieces leave few of them for the
+    rest, the plan is also made with pairs and with singles at most, and the one with the fewest sequences counts.
     """
     return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
 
@@ -197,12 +212,11 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
+    index = SumIndex(left)
     plan: list[tuple[tuple[int, ...], int]] = []
     for length in range(capacity, 0, -1):
         while left[length]:
-            left[length] -= 1
-            fill = () if length == capacity else exact_fill(capacity - length, left, most)
-            left[length] += 1
+            fill = () if length == capacity else index.fill(capacity - length, (length,), most)
             if fill is None:
                 break
             pattern = (length, *fill)

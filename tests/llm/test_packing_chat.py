@@ -1,10 +1,12 @@
 """Packing and reply trees: exact round trips, bounds and brute force."""
 
 import hashlib
+import itertools
 import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -201,3 +203,45 @@ def test_reply_trees_of_odd_tables(spark):
     rows = spark.createDataFrame([(1, 0, None, None), (1, 0, "user", "x"), (1, 0, "user", "x")],
                                  "conv_id bigint, turn bigint, role string, text string")
     assert reply_trees.conversations(conversation_nodes(rows)).collect()[0].n_turns == 3
+
+
+def test_fills_equal_brute_force():
+    rng = random.Random(21)
+    for _ in range(40):
+        capacity = rng.choice([12, 30])
+        left = np.array([rng.choice([0, 0, 1, 2, 5]) for _ in range(capacity + 1)])
+        left[0] = 0
+        index = packing.SumIndex(left)
+        for _ in range(30):
+            gap = rng.randrange(1, capacity)
+            taken = (rng.choice(np.flatnonzero(left).tolist()),) if left.any() and rng.random() < 0.5 else ()
+            spare = left.copy()
+            np.subtract.at(spare, list(taken), 1)
+            ways = [w for size in (1, 2, 3) for w in itertools.combinations_with_replacement(range(capacity, 0, -1), size)
+                    if sum(w) == gap and all(spare[n] >= w.count(n) for n in w)]
+            found = index.fill(gap, taken)
+            assert (found is None) == (not ways)
+            if found:
+                assert found in ways and len(found) == len(ways[0]) and found[0] == ways[0][0]
+                for n in found:
+                    left[n] -= 1
+
+
+def test_ids_equal_those_of_the_library():
+    rng = random.Random(22)
+    signs = [" ", " ", " ", "\n", "\t", "a", "b", "Z", "é", "ß", "1", "2", "'s", "'", "’", "ll", ".", ",", "<|endoftext|>",
+             "日", "本", " ", " ", "́", "🙂", "ʰ", "ɐ", "_", "\r", "\x0b", "\x00", "\u0085", "½", "٣", "Ж"]
+    library, ids = Tokenizer.from_file(PATH), packing.TokenIds(PATH)
+    assert ids.ranked is not None
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 25)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.of(text) == struct.pack(f"<{len(want)}I", *want), repr(text)
+
+
+def test_vocabularies_of_other_kinds_go_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, library = packing.TokenIds(path), Tokenizer.from_file(path)
+    assert ids.ranked is None
+    want = library.encode("Some Words here", add_special_tokens=False).ids
+    assert ids.of("Some Words here") == struct.pack(f"<{len(want)}I", *want)
