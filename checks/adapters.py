@@ -231,9 +231,9 @@ CASE WHEN event_id % 31 = 0 THEN 'Capturing on ''eth0'''
 END"""
 
 
-def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """packets -> decoded text lines with rejects and status lines among them."""
-    p = packets(spark, sf_dir).withColumnRenamed("seq", "event_id")
+def packet_lines(spark: SparkSession, sf_dir: str, wanted: str = "TRUE") -> DataFrame:
+    """packets (or those ``wanted``) -> decoded text lines with rejects and status lines among them."""
+    p = packets(spark, sf_dir).where(wanted).withColumnRenamed("seq", "event_id")
     secs = F.expr("concat(ts_us div 1000000, '.', lpad(cast(ts_us % 1000000 as string), 6, '0'))")
     text = p.withColumns({"secs": secs, "sp": F.col("src_port").cast("string"), "dp": F.col("dst_port").cast("string"), "len": F.col("frame_len").cast("string")})
     return text.select(F.expr(LINE_EXPR_SPARK).alias("value"))

@@ -13,10 +13,15 @@ from flowtide.sources.packets import IngestListener, observe_ingest, parse_packe
 from flowtide.sources.tables import read_alerts, with_alert_time
 from flowtide.storage import fresh_dir
 from flowtide.streaming.detect import start_detection, stream_alert_counts
-from flowtide.streaming.flows import live_flows, stream_flows
+from flowtide.streaming.flows import stream_flow_states, stream_flows
+from flowtide.streaming.idle import live_flows, rocksdb_state
+from flowtide.streaming.ingest import accepted_packets, corrected_states, ingest_metrics, late_states, start_ingest
 from flowtide.streaming.replay import end_marker, replay
 
-from .adapters import ALERTS, AS_OF, FLOW_SELECT, LINES, PACKETS, ROUNDED, UNI, UNI_SQL, WINDOW, alert_rows, fixed_model, flows_cte, packet_files, packets, windowed
+from .adapters import (
+    ALERTS, AS_OF, FLOW_SELECT, KEY, LINES, PACKETS, ROUNDED, UNI, UNI_SQL, WINDOW, alert_rows, fixed_model, flows_cte,
+    packet_files, packet_lines, packets, windowed,
+)
 from .model_checks import ALERT_SQL, FIXED_YELLOW, SCORED
 from .registry import check, rounded, sql_r4
 
@@ -50,9 +55,9 @@ def _base(rows) -> int:
 
 @check("stream_flow_windows", UNI_SQL)
 def stream_flow_windows(spark, sf):
-    """Streamed flows of all windows equal the batch flows."""
+    """Streamed flows of all windows equal the batch flows; the first micro-batch sets the time base, a restart keeps it."""
     rows = packets(spark, sf)
-    build = partial(stream_flows, window_seconds=WINDOW, watermark=DELAY, base_us=_base(rows))
+    build = partial(stream_flows, window_seconds=WINDOW, watermark=DELAY, base_us=None, checkpoint=fresh_dir(spark, "base"))
     with state_partitions(spark):
         out = replay(spark, _halves(rows, True), build)
     return rounded(out.drop("batch_id"), ROUNDED)
@@ -85,8 +90,9 @@ def stream_idle_flush(spark, sf):
         done = spark.read.schema(batch.schema).parquet(f"{sink}/batch_id={batch_id}")
         seen.append(done.agg(F.sum("bidirectional_packets")).first()[0] or 0)
 
-    with state_partitions(spark):
-        flows = live_flows(spark.readStream.schema(rows.schema).parquet(source), WINDOW, base, idle_seconds=3)
+    with state_partitions(spark), rocksdb_state(spark):
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        flows = live_flows(stream, WINDOW, base, idle_seconds=3, join_seconds=2)
         writer = flows.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
         query = writer.trigger(processingTime="1 second").start()
         try:
@@ -117,6 +123,63 @@ def stream_late_data(spark, sf):
     return rounded(out.drop("batch_id"), ROUNDED)
 
 
+# Lines whose packets come in a second step: those with an even number and the signups.
+SECOND_STEP = "(seq % 2 = 0 OR syn = 1)"
+STEPS = LINES.replace("lines AS (\n  SELECT ", f"lines AS (\n  SELECT CAST({SECOND_STEP} AS BIGINT) AS step, ").replace(
+    "SELECT seq, string_split", "SELECT seq, step, string_split").replace("SELECT seq, CASE WHEN regexp", "SELECT seq, step, CASE WHEN regexp")
+BASE = "(SELECT min(ts_us) FROM judged WHERE valid AND step = 0)"
+NEWEST = "(SELECT max(ts_us) FROM judged WHERE valid AND step = 0)"
+NUMBER = f"CAST(floor((ts_us - {BASE}) / {WINDOW}000000.0) AS BIGINT)"
+
+
+def _ingested(spark, sf) -> str:
+    """All lines through the intake, in two steps with a restart between them."""
+    source, out, checkpoint = (fresh_dir(spark, f"intake-{n}") for n in ("lines", "out", "checkpoint"))
+    for wanted in (f"NOT {SECOND_STEP}", SECOND_STEP):
+        packet_lines(spark, sf, wanted).write.mode("append").text(source)
+        stream = read_packet_lines_stream(spark, source)
+        start_ingest(stream, out, checkpoint, WINDOW, 3600, {"availableNow": True}).awaitTermination()
+    return out
+
+
+@check(
+    "stream_ingest_stats",
+    f"""WITH {STEPS} SELECT step AS batch_id, count(*) AS total_lines, count(*) FILTER (valid) AS parsed,
+          count(*) FILTER (NOT valid) AS skipped, {BASE} AS base_us, max(ts_us) FILTER (valid) AS newest_us,
+          count(*) FILTER (valid AND step = 1 AND ({NUMBER} + 1) * {WINDOW}000000 + {BASE} <= {NEWEST} - 3600000000) AS late
+        FROM judged GROUP BY step""",
+)
+def stream_ingest_stats(spark, sf):
+    """The counters of each micro-batch, as a table, over a restart."""
+    rows = ingest_metrics(spark, _ingested(spark, sf))
+    return rows.select("batch_id", "total_lines", "parsed", "skipped", "base_us", "newest_us", "late")
+
+
+@check(
+    "stream_late_corrections",
+    f"""WITH {STEPS}, rows AS (SELECT {NUMBER} AS "window", * FROM judged WHERE valid)
+        SELECT "window", {KEY}, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes,
+          CAST(sum(CASE WHEN protocol = 'tcp' THEN syn ELSE 0 END) AS BIGINT) AS syn, min(ts_us) AS first_us, max(ts_us) AS last_us,
+          bool_or(step = 1 AND ("window" + 1) * {WINDOW}000000 + {BASE} <= {NEWEST} - 3600000000) AS revised
+        FROM rows GROUP BY ALL""",
+)
+def stream_late_corrections(spark, sf):
+    """T5: flows given out in time, joined with what came late: every packet counts once, over restarts."""
+    out = _ingested(spark, sf)
+    base = ingest_metrics(spark, out).agg(F.min("base_us")).first()[0]
+    sink, checkpoint = fresh_dir(spark, "flows"), fresh_dir(spark, "flows-checkpoint")
+    accepted = spark.read.schema(PACKET).parquet(f"{out}/accepted/*")
+    with state_partitions(spark):
+        for step in range(2):
+            if step:
+                end_marker(accepted, 3 * WINDOW).write.parquet(f"{out}/accepted/batch_id=1000000")
+            states = stream_flow_states(accepted_packets(spark, out), WINDOW, DELAY, base)
+            writer = states.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            writer.trigger(availableNow=True).start(sink).awaitTermination()
+    whole = corrected_states(spark.read.parquet(sink), late_states(spark, out, WINDOW, base))
+    return whole.select("window", *KEY.split(", "), "packets", "bytes", "syn", "first_us", "last_us", "revised")
+
+
 def _detected(spark, sf) -> str:
     """Packets to flows to alerts in one stream of several micro-batches, restarted between two of them."""
     rows = packets(spark, sf)
@@ -125,8 +188,8 @@ def _detected(spark, sf) -> str:
     first, last = _halves(rows, True)
     with state_partitions(spark):
         for step in (first, last):
-            step.coalesce(1).write.mode("append").parquet(source)
-            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            step.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
             flows = stream_flows(stream, WINDOW, DELAY, base)
             query = start_detection(flows, fixed_model(), out, checkpoint, as_of=AS_OF, trigger={"availableNow": True})
             query.awaitTermination()

@@ -50,22 +50,21 @@ def address_key(ip: Column) -> Column:
 
 
 # The two layouts of a flow id, groups in the order they appear.
-FLOW_ID_IP_PORT = r"^([^:]+):(\d+)-([^:]+):(\d+)-(.+)$"
-FLOW_ID_IP_IP = r"^([^-]+)-([^-]+)-(\d+)-(\d+)-(.+)$"
+FLOW_ID_IP_PORT = r"([^:]+):(\d+)-([^:]+):(\d+)-(.+)"
+FLOW_ID_IP_IP = r"([^-]+)-([^-]+)-(\d+)-(\d+)-(.+)"
 UNKNOWN_IP = "0.0.0.0"
-
-
 _MARK = "\x01"
 
 
 def flow_id_parts(flow_id: Column) -> Column:
-    """the four endpoint texts of a flow id as an array; each row tries both layouts, null if neither fits."""
-    by_port = F.regexp_replace(flow_id, FLOW_ID_IP_PORT, f"$1{_MARK}$3{_MARK}$2{_MARK}$4")
-    by_ip = F.regexp_replace(flow_id, FLOW_ID_IP_IP, f"$1{_MARK}$2{_MARK}$3{_MARK}$4")
-    # A text with a colon can have the first layout, another only the second; a layout that fits replaces the text.
-    found = F.when(F.instr(flow_id, ":") > 0, F.when(flow_id.rlike(FLOW_ID_IP_PORT), by_port).otherwise(by_ip)).otherwise(by_ip)
+    """the four endpoint texts of a flow id as an array; each row tries both layouts, null if neither fits.
+
+    One pattern holds both; the groups of the layout that does not fit are empty in the replacement.
+    """
+    either = f"^(?:{FLOW_ID_IP_PORT}|{FLOW_ID_IP_IP})$"
+    found = F.regexp_replace(flow_id, either, _MARK.join(("$1$6", "$3$7", "$2$8", "$4$9")))
     parts = F.split(found, _MARK)
-    return F.when(F.instr(found, _MARK) > 0, parts)
+    return F.when(F.size(parts) == 4, parts)
 
 
 def flow_id_endpoints(parts: Column) -> dict[str, Column]:

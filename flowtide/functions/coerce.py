@@ -22,13 +22,15 @@ def flag_to_int(flag: Column) -> Column:
     return F.coalesce(flag.cast("string").rlike(TRUE_FLAG).cast("int"), F.lit(0))
 
 
-# What a number may begin with: other text is not handed to the cast, which would raise and catch an error per cell.
-NUMBER_START = r"^\s*([+\-.0-9]|[iI][nN][fF])"
+def _may_be_number(text: Column) -> Column:
+    """False for text whose first sign is a letter that begins no number: the cast would raise and catch an error for it."""
+    first = F.ascii(text)
+    return first.between(1, ord("9")) | first.isin(ord("i"), ord("I"))
 
 
 def to_double(text: Column) -> Column:
     """number or null; NaN counts as missing."""
-    return F.nanvl(F.when(text.rlike(NUMBER_START), text.try_cast("double")), F.lit(None).cast("double"))
+    return F.nanvl(F.when(_may_be_number(text), text.try_cast("double")), F.lit(None).cast("double"))
 
 
 def to_double_or_zero(text: Column) -> Column:

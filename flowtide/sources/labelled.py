@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import csv
 import logging
-import re
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +28,6 @@ from ..schemas import LABELLED_COLUMNS
 from ..storage import materialise
 
 LOG = logging.getLogger(__name__)
-# Characters that have a meaning in a path pattern.
-_GLOB_SIGNS = re.compile(r"([\[\]{}*?\\])")
 
 # Accepted header names of each logical field, best first.
 SYNONYMS = {
@@ -85,19 +82,35 @@ def resolve_header(names: list[str]) -> dict[str, int]:
     return found
 
 
-def _endpoints(field: dict[str, Column]) -> dict[str, Column]:
-    """Explicit addresses, else the flow id (then its ports win), else 0.0.0.0; ports default to 0."""
+#: Where the endpoints of a layout come from.
+EXPLICIT, BY_FLOW_ID, NOWHERE = range(3)
+
+
+def endpoint_kind(mapping: dict[str, int]) -> int:
+    """Explicit addresses win over the flow id."""
+    if "src_ip" in mapping and "dst_ip" in mapping:
+        return EXPLICIT
+    return BY_FLOW_ID if "flow_id" in mapping else NOWHERE
+
+
+def _endpoints(field: dict[str, Column], kinds: set[int], kind: Column) -> dict[str, Column]:
+    """Explicit addresses, else the flow id (then its ports win), else 0.0.0.0; ports default to 0.
+
+    ``kinds`` are those that occur, ``kind`` is that of the row.
+    """
 
     def port(name):
         return F.coalesce(whole(to_double_or_zero(field[name])).try_cast("int"), F.lit(0)) if name in field else F.lit(0)
 
-    explicit = {"src_port": port("src_port"), "dst_port": port("dst_port")}
-    if "src_ip" in field and "dst_ip" in field:
-        ips = {n: F.coalesce(field[n], F.lit("nan")) for n in ("src_ip", "dst_ip")}
-        return {**ips, **explicit}
-    if "flow_id" in field:
-        return flow_id_endpoints(field["flow_id"])
-    return {"src_ip": F.lit(UNKNOWN_IP), "dst_ip": F.lit(UNKNOWN_IP), **explicit}
+    ports = {"src_port": port("src_port"), "dst_port": port("dst_port")}
+    ways = {NOWHERE: {"src_ip": F.lit(UNKNOWN_IP), "dst_ip": F.lit(UNKNOWN_IP), **ports}}
+    if EXPLICIT in kinds:
+        ways[EXPLICIT] = {n: F.coalesce(field[n], F.lit("nan")) for n in ("src_ip", "dst_ip")} | ports
+    if BY_FLOW_ID in kinds:
+        ways[BY_FLOW_ID] = flow_id_endpoints(field["flow_id"])
+    if len(kinds) == 1:
+        return ways[min(kinds)]
+    return {n: F.coalesce(*[F.when(kind == k, ways[k][n]) for k in sorted(kinds)]) for n in ways[NOWHERE]}
 
 
 def normalise_labelled(
@@ -110,12 +123,33 @@ def normalise_labelled(
     keep = keep or []
     data = [c for c in raw.columns if c not in keep]
     mapping = resolve_header(data) if mapping is None else mapping
-    source = {f: F.col(f"`{data[i]}`") for f, i in mapping.items()}
-    if "src_ip" in source and "dst_ip" in source:
-        source.pop("flow_id", None)
+    return normalise_layouts(raw, data, [mapping], None, keep)
+
+
+def normalise_layouts(
+    raw: DataFrame, data: list[str], layouts: list[dict[str, int]], which: Column | None, keep: list[str]
+) -> DataFrame:
+    """The same for rows of several layouts: ``data`` are the text columns by position, ``which`` a row's layout."""
+    kinds = [endpoint_kind(m) for m in layouts]
+    fields = [f for f in SYNONYMS if any(f in m for m in layouts)]
+    if BY_FLOW_ID not in kinds and "flow_id" in fields:
+        fields.remove("flow_id")
+
+    def by_layout(values: list[Column | None]) -> Column:
+        """The value of the row's layout; null where its layout has none."""
+        if which is None:
+            return values[0]
+        first = {}
+        for i, v in enumerate(values):
+            if v is not None:
+                first.setdefault(str(v), (v, []))[1].append(i)
+        return F.coalesce(*[F.when(which.isin(ids), v) for v, ids in first.values()])
+
+    source = {f: by_layout([F.col(f"`{data[m[f]]}`") if f in m else None for m in layouts]) for f in fields}
     if "flow_id" in source:
         source["flow_id"] = flow_id_parts(source["flow_id"])
-    raw = raw.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"_{f}") for f, c in source.items()])
+    kind = by_layout([F.lit(k) for k in kinds]).alias("_kind")
+    raw = raw.select(*[F.col(f"`{c}`") for c in keep], kind, *[c.alias(f"_{f}") for f, c in source.items()])
     field = {f: F.col(f"_{f}") for f in source}
 
     def optional(name, convert, default):
@@ -125,7 +159,7 @@ def normalise_labelled(
     size = at_least(whole(to_double_or_zero(field["fwd_bytes"]) + to_double_or_zero(field["bwd_bytes"])), 0)
     base = raw.select(
         *[F.col(f"`{c}`") for c in keep],
-        *[c.alias(n) for n, c in _endpoints(field).items()],
+        *[c.alias(n) for n, c in _endpoints(field, set(kinds), F.col("_kind")).items()],
         protocol_name(field["protocol"]).alias("protocol"),
         at_least(micros_to_seconds(field["flow_duration_us"]), MIN_DURATION).alias("flow_duration"),
         packets.alias("bidirectional_packets"),
@@ -148,66 +182,107 @@ def normalise_labelled(
     ).select(*keep, *LABELLED_COLUMNS)
 
 
-def list_files(spark: SparkSession, pattern: str) -> dict[str, str]:
-    """Files that match a glob, sorted: the path to read, by the name that the file column of a scan gives it.
+def list_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, path) of the files that match a glob: the name that a scan's file column gives, and the plain path.
 
-    Both come from one scan, as the two differ where a path holds a blank or another escaped character. Only the listing
-    reaches the driver; no content is read.
+    Both come from one scan, as the two differ where a path holds a blank or another escaped character. No content is read.
     """
-    files = spark.read.format("binaryFile").load(pattern).select("_metadata.file_path", "path")
-    return {r.file_path: r.path for r in sorted(files.collect())}
+    files = spark.read.format("binaryFile").load(pattern)
+    return files.select(F.col("_metadata.file_path").alias("source_file"), "path")
 
 
-def read_header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of a text file, through the codec that its name tells, on any file system that Spark can read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(conf).open(target)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
-        text = stream if codec is None else codec.createInputStream(stream)
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
-    finally:
-        stream.close()
+#: What the tasks can unpack themselves, by the end of the file name.
+_PACKED = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
+_OTHERS = (".deflate", ".lz4", ".snappy", ".lzo", ".zstd")
 
 
-def header_groups(
-    spark: SparkSession, files: list[str], threads: int = 16, skipped: dict[str, str] | None = None
-) -> dict[tuple[str, ...], list[str]]:
-    """Usable files grouped by their exact header; ``skipped`` takes the reason of each other file.
+def _open_header(name: str, path: str) -> tuple[str | None, str]:
+    """First line of a file and "read"; "unreadable" where there is none to read, "closed" if this task cannot tell."""
+    from pyarrow import ArrowException, CompressedInputStream, fs
 
-    Reading files with different headers in one CSV scan would map columns by position, without an error.
+    if path.endswith(_OTHERS):
+        return None, "closed"
+    try:
+        if path.startswith(("file:", "/")):
+            files, place = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            files, place = fs.FileSystem.from_uri(name)
+    except (ArrowException, ValueError, OSError):
+        return None, "closed"
+    packed = next((c for end, c in _PACKED.items() if path.endswith(end)), None)
+    try:
+        with files.open_input_stream(place, compression=None) as raw:
+            text = CompressedInputStream(raw, packed) if packed else raw
+            held = b""
+            while b"\n" not in held and b"\r" not in held and (more := text.read(65536)):
+                held += more
+    except FileNotFoundError:
+        # Another machine's folder, or a file that has gone: the engine's own readers decide.
+        return None, "closed"
+    except (ArrowException, OSError):
+        return None, "unreadable"
+    return held.replace(b"\r", b"\n").split(b"\n", 1)[0].decode("utf-8", "replace"), "read"
+
+
+def header_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, path, line) of all files of a glob, stored; ``line`` is null if none can be read.
+
+    Tasks open the files, each reads as much as its first line takes. What they cannot open (file systems or codecs that
+    only the engine's readers know) is read by a text scan instead.
     """
 
-    def first_line(path: str) -> str | Exception | None:
-        try:
-            return read_header_line(spark, path)
-        except Py4JJavaError as error:
-            return error
-
-    with ThreadPoolExecutor(threads) as pool:
-        lines = list(pool.map(first_line, files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    skipped = {} if skipped is None else skipped
-    for path, line in zip(files, lines):
-        if isinstance(line, Exception):
-            skipped[path] = "unreadable header"
-            continue
-        header = tuple(_split_header(line or ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_open_header(n, p) for n, p in zip(*(batch.column(c).to_pylist() for c in ("source_file", "path")))]
+            lines, states = zip(*found) if found else ((), ())
+            columns = [batch.column("source_file"), batch.column("path"), pa.array(lines, pa.string()), pa.array(states, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["source_file", "path", "line", "state"])
+
+    schema = "source_file string, path string, line string, state string"
+    opened = materialise(list_files(spark, pattern).mapInArrow(run, schema), "headers")
+    closed = opened.where("state = 'closed'").select("source_file", "path")
+    if closed.isEmpty():
+        return opened.drop("state")
+    text = spark.read.option("ignoreCorruptFiles", True).text(pattern).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("at"))
+    first = text.where("start = 0").groupBy("source_file").agg(F.min_by("value", "at").alias("line"))
+    return materialise(
+        opened.where("state <> 'closed'").drop("state").unionByName(closed.join(first, "source_file", "left")), "headers")
+
+
+@dataclass
+class Layouts:
+    """The distinct usable layouts with the width of the widest, and the stored table (source_file, path, layout, reason)."""
+
+    mappings: list[dict[str, int]]
+    width: int
+    files: DataFrame
+
+
+def find_layouts(spark: SparkSession, pattern: str) -> Layouts:
+    """Which layout each file of a glob has, or why it is not usable. The driver sees the distinct headers only."""
+    lines = header_lines(spark, pattern)
+    rows, mappings, width = [], [], 0
+    for (line,) in sorted(lines.where("line IS NOT NULL").select("line").distinct().collect()):
+        header = _split_header(line)
         try:
-            resolve_header(list(header))
+            mapping = resolve_header(header)
         except KeyError as error:
-            skipped[path] = error.args[0]
+            rows.append((line, None, error.args[0]))
             continue
-        groups.setdefault(header, []).append(path)
-    return groups
+        rows.append((line, len(mappings), None))
+        mappings.append(mapping)
+        width = max(width, len(header))
+    known = spark.createDataFrame(rows, "line string, layout int, reason string")
+    judged = lines.join(F.broadcast(known), "line", "left")
+    reason = F.when(F.col("line").isNull(), "unreadable header").otherwise(F.col("reason")).alias("reason")
+    return Layouts(mappings, width, materialise(judged.select("source_file", "path", "layout", reason), "file-layouts"))
 
 
 def skipped_files(spark: SparkSession, pattern: str) -> DataFrame:
     """P10: (path, reason) of the files of a glob that ``read_labelled`` leaves out."""
-    skipped: dict[str, str] = {}
-    header_groups(spark, list(list_files(spark, pattern).values()), skipped=skipped)
-    return spark.createDataFrame(sorted(skipped.items()), "path string, reason string")
+    return find_layouts(spark, pattern).files.where("layout IS NULL").select("path", "reason")
 
 
 def _split_header(line: str) -> list[str]:
@@ -220,48 +295,71 @@ def quotas(limit: int, files: list[str]) -> dict[str, int]:
     return {path: share + (i < extra) for i, path in enumerate(files)}
 
 
+def file_quotas(files: DataFrame, limit: int) -> DataFrame:
+    """L1: the same as a table (source_file, quota), with files in the order of their names.
+
+    Files are numbered range by range, so their list is not sorted in one task; one row per range is summed up.
+    """
+    ranges = materialise(
+        files.select("source_file").repartitionByRange("source_file").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return files.select("source_file", F.lit(0).cast("bigint").alias("quota"))
+    share, extra = divmod(limit, total)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("source_file")) + F.col("before") - 1
+    numbered = ranges.withColumnRenamed("range", "r").join(
+        F.broadcast(sizes.select("range", before.alias("before"))), F.col("r") == F.col("range"))
+    return numbered.select("source_file", (F.lit(share) + (place < extra).cast("bigint")).alias("quota"))
+
+
+#: Files up to which the table of layouts is broadcast; beyond, it is joined by shuffle.
+BROADCAST_FILES = 1_000_000
+
+
 def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int = 42) -> DataFrame:
-    """All usable files of a glob in the normalised schema; with a limit, a uniform sample of each file."""
-    files = list_files(spark, pattern)
-    skipped: dict[str, str] = {}
-    groups = header_groups(spark, list(files.values()), skipped=skipped)
-    for path, reason in skipped.items():
-        LOG.warning("skipped %s: %s", path, reason)
-    if not groups:
+    """All usable files of a glob in the normalised schema; with a limit, a uniform sample of each file.
+
+    All layouts are read by one scan, by position, and each row finds its fields by the layout of its file.
+    """
+    found = find_layouts(spark, pattern)
+    skipped, usable, n = found.files.agg(
+        F.count_if(F.col("layout").isNull()), F.count("layout"), F.count(F.lit(1))).first()
+    if skipped:
+        LOG.warning("%d of %d files of %s are not usable; skipped_files tells why", skipped, n, pattern)
+    if not usable:
         raise ValueError(f"no usable file matches {pattern}")
-    parts = []
-    for header, paths in groups.items():
-        names = [f"c{i}" for i in range(len(header))]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(
-            [_GLOB_SIGNS.sub(r"\\\1", p) for p in paths])
-        raw = raw.select(F.col("_metadata.file_path").alias("source_file"), *names)
-        parts.append(normalise_labelled(raw, resolve_header(list(header)), keep=["source_file"]))
-    table = reduce(DataFrame.unionByName, parts)
+    names = [f"c{i}" for i in range(found.width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(pattern)
+    files = found.files.where("layout IS NOT NULL").select("source_file", "layout")
+    placed = raw.select(F.col("_metadata.file_path").alias("source_file"), *names).join(
+        F.broadcast(files) if n <= BROADCAST_FILES else files, "source_file")
+    table = normalise_layouts(placed, names, found.mappings, F.col("layout"), ["source_file"])
     if table.isEmpty():
         raise ValueError(f"no flow in the files of {pattern}")
     if limit <= 0:
         return table.drop("source_file")
     # Sampling reads its input three times; parsing all files once and reading the table is cheaper.
     table = materialise(table, "labelled")
-    paths = {p for group in groups.values() for p in group}
-    usable = [name for name, p in files.items() if p in paths]
-    return quota_sample(table, quotas(limit, usable), "source_file", seed).drop("source_file")
+    return quota_sample(table, file_quotas(files, limit), "source_file", seed).drop("source_file")
 
 
 def quota_sample(
-    table: DataFrame, quota: dict[str, int], source: str, seed: int = 42, key: list[str] | None = None
+    table: DataFrame, quota: dict[str, int] | DataFrame, source: str, seed: int = 42, key: list[str] | None = None
 ) -> DataFrame:
     """L1/L2: from each source its quota of rows, a uniform sample that depends on seed and row content only.
 
-    A source whose quota is 0 gives no rows, nor do rows without a source; a named source without a quota is an error.
-    Sources are files, so the quota table
-    is as long as the file list.
+    A source whose quota is 0 gives no rows, nor do rows without a source. With a table (source, ``quota``), sources that
+    it lacks give none; a dictionary must name all.
     """
-    spark = table.sparkSession
-    schema = T.StructType([T.StructField(source, T.StringType()), T.StructField("quota", T.LongType())])
-    share = spark.createDataFrame([(s, int(q)) for s, q in quota.items()], schema)
-    unknown = table.where(F.col(source).isNotNull()).select(source).distinct().join(share, source, "left_anti").limit(1).collect()
-    if unknown:
-        raise ValueError(f"no quota for source {unknown[0][0]!r}")
+    share = quota
+    if isinstance(quota, dict):
+        schema = T.StructType([T.StructField(source, T.StringType()), T.StructField("quota", T.LongType())])
+        share = table.sparkSession.createDataFrame([(s, int(q)) for s, q in quota.items()], schema)
+        named = table.where(F.col(source).isNotNull()).select(source).distinct()
+        unknown = named.join(share, source, "left_anti").limit(1).collect()
+        if unknown:
+            raise ValueError(f"no quota for source {unknown[0][0]!r}")
     return smallest_per_group(table, [source], seed, key or [c for c in table.columns if c != source], quota=share)

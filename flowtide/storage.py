@@ -37,3 +37,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def move_into_place(spark: SparkSession, path: str, target: str) -> bool:
+    """Rename a finished folder, unless there is none or the target is there already; says whether it did."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, goal = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    files = source.getFileSystem(conf)
+    if files.exists(goal) or not files.exists(source):
+        return False
+    files.mkdirs(goal.getParent())
+    return files.rename(source, goal)

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.coerce import MIN_DURATION
 from ..operators.flows import (
     GAP_SUMS,
     SECOND,
@@ -22,8 +17,9 @@ from ..operators.flows import (
     state_features,
     window_index,
 )
-from ..schemas import FLOW_EXTENDED, FLOW_KEY
+from ..schemas import FLOW_KEY
 from ..sources.packets import with_event_time
+from ..storage import move_into_place
 
 
 def _gap_state(stamps: Column) -> dict[str, Column]:
@@ -48,6 +44,45 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
 
 
+def stored_base(spark: SparkSession, checkpoint: str) -> int | None:
+    """The time base that is kept with a checkpoint."""
+    try:
+        return spark.read.schema("base_us bigint").json(f"{checkpoint}/time-base").first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def stream_base(packets: DataFrame, checkpoint: str, wait_seconds: float | None = None) -> int:
+    """The time base of a stream: the first time in its first micro-batch with packets, found once.
+
+    It is kept below ``checkpoint``, so that a restart goes on with the same windows. The stream is read by a query of its
+    own until the base is found; with ``wait_seconds`` it is an error if no packet comes for so long.
+    """
+    spark = packets.sparkSession
+    base = stored_base(spark, checkpoint)
+    if base is not None:
+        return base
+
+    def look(batch: DataFrame, _: int) -> None:
+        first = batch.agg(F.min("ts_us")).first()[0]
+        if first is not None:
+            found = spark.createDataFrame([(first,)], "base_us bigint").coalesce(1)
+            found.write.mode("overwrite").json(f"{checkpoint}/time-base-aside")
+            move_into_place(spark, f"{checkpoint}/time-base-aside", f"{checkpoint}/time-base")
+
+    probe = packets.select("ts_us").writeStream.foreachBatch(look).option("checkpointLocation", f"{checkpoint}/base-probe").start()
+    try:
+        waited = 0.0
+        while (base := stored_base(spark, checkpoint)) is None:
+            if probe.awaitTermination(0.2) or (wait_seconds is not None and (waited := waited + 0.2) > wait_seconds):
+                raise TimeoutError("no packet came that could set the time base")
+    finally:
+        probe.stop()
+    return base
+
+
 def stream_flow_states(
     packets: DataFrame, window_seconds: int, watermark: str, base_us: int = 0, direction: str = "uni"
 ) -> DataFrame:
@@ -116,80 +151,14 @@ def stream_flows(
     packets: DataFrame,
     window_seconds: int = 5,
     watermark: str = "5 seconds",
-    base_us: int = 0,
+    base_us: int | None = 0,
     direction: str = "uni",
     feature_set: str = "extended",
+    checkpoint: str | None = None,
 ) -> DataFrame:
-    """Flows of closed windows as a stream."""
+    """Flows of closed windows as a stream. Without a base the first packets set it, as kept in ``checkpoint``."""
+    if base_us is None:
+        if checkpoint is None:
+            raise ValueError("name the checkpoint folder that is to keep the time base")
+        base_us = stream_base(packets, checkpoint)
     return state_features(stream_flow_states(packets, window_seconds, watermark, base_us, direction), feature_set)
-
-
-LIVE_STATE = (
-    "packets bigint, bytes bigint, bytes_sq bigint, syn bigint, fin bigint, rst bigint, "
-    "gaps bigint, gap_sum bigint, gap_spread double, first_us bigint, last_us bigint"
-)
-
-
-def _add_packets(state: tuple | None, part: pd.DataFrame, tcp: bool) -> tuple:
-    """The state of a flow after one more batch of its packets, taken in time order within the batch."""
-    part = part.sort_values("ts_us", kind="stable")
-    ts, size = part["ts_us"].to_numpy("int64"), part["frame_len"].to_numpy("int64")
-    old = state or (0, 0, 0, 0, 0, 0, 0, 0, 0.0, int(ts[0]), 0)
-    gaps = np.diff(ts if state is None else np.concatenate([[old[10]], ts])).clip(min=0)
-    flags = [int(part[f].sum()) if tcp else 0 for f in ("syn", "fin", "rst")]
-    sums = [a + b for a, b in zip(old, [len(ts), int(size.sum()), int((size * size).sum()), *flags])]
-    moments = _add_gaps(old[6:9], gaps)
-    return (*sums, *moments, min(old[9], int(ts[0])), int(ts[-1]))
-
-
-def _add_gaps(old: tuple, gaps: np.ndarray) -> tuple:
-    """Count, sum and sum of squared deviations of the gaps, joined with those of a new batch."""
-    n, total, spread = old
-    if len(gaps) == 0:
-        return n, total, spread
-    mean = float(gaps.mean())
-    spread += float(((gaps - mean) ** 2).sum())
-    if n:
-        spread += (mean - total / n) ** 2 * n * len(gaps) / (n + len(gaps))
-    return n + len(gaps), total + int(gaps.sum()), spread
-
-
-def _finished_row(key: tuple, state: tuple) -> list:
-    """The flow row of a state, in the order of the extended flow schema."""
-    n, size, size_sq, syn, fin, rst, gaps, gap_sum, gap_spread, first, last = state
-    duration = max(MIN_DURATION, (last - first) / 1e6)
-    size_std = max(0, n * size_sq - size * size) ** 0.5 / n
-    gap_mean = gap_sum / gaps / 1e6 if gaps else 0.0
-    gap_std = (gap_spread / gaps) ** 0.5 / 1e6 if gaps else 0.0
-    features = [n, size, size / n, size_std, duration, syn, fin, rst, gap_mean, gap_std, size / n, n / duration]
-    return [*key, *features]
-
-
-def live_flows(packets: DataFrame, window_seconds: int = 5, base_us: int = 0, idle_seconds: int | None = None) -> DataFrame:
-    """Flows given out once they have been idle, by the wall clock, for max(2, window) seconds.
-
-    Each flow holds eleven numbers, whatever its length. Its packets of one trigger are put in time order together; gaps
-    follow arrival order across triggers only, and are never below zero. A flow that goes on after it was
-    given out starts anew, as a second row. A source limit per trigger bounds what one flow brings at a time.
-    """
-    idle_ms = 1000 * (idle_seconds or max(2, window_seconds))
-    names = FLOW_EXTENDED.names
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            row = _finished_row(key, state.get)
-            state.remove()
-            yield pd.DataFrame([row], columns=names)
-            return
-        known = state.get if state.exists else None
-        parts = list(batches)
-        if parts:
-            known = _add_packets(known, pd.concat(parts, ignore_index=True), key[5] == "tcp")
-        if known is not None:
-            state.update(known)
-            state.setTimeoutDuration(idle_ms)
-
-    window = window_index(F.col("ts_us"), F.lit(base_us).cast("bigint"), window_seconds)
-    grouped = packets.withColumn("window", window).groupBy("window", *FLOW_KEY)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout
-    return grouped.applyInPandasWithState(update, FLOW_EXTENDED, LIVE_STATE, "append", timeout)

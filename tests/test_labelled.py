@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.addresses import parse_flow_id
 from flowtide.schemas import FLOW_NORMALISED, LABELLED_COLUMNS
-from flowtide.sources.labelled import header_groups, list_files, normalise_labelled, normalise_name, read_labelled, resolve_header
+from flowtide.sources.labelled import (
+    _open_header, file_quotas, find_layouts, header_lines, list_files, normalise_labelled, normalise_name, quotas, read_labelled, resolve_header,
+)
 from flowtide.sources.synthetic import synthetic_flows
 
 SHORT = (
@@ -59,10 +61,10 @@ def files(tmp_path):
 
 
 def test_mixed_headers(spark, files):
-    names = list_files(spark, f"{files}/*.csv")
-    assert len(names) == 5
-    groups = header_groups(spark, names)
-    assert sorted(len(v) for v in groups.values()) == [1, 1, 1]
+    assert list_files(spark, f"{files}/*.csv").count() == 5
+    found = find_layouts(spark, f"{files}/*.csv")
+    assert sorted(r.layout for r in found.files.where("layout IS NOT NULL").collect()) == [0, 1, 2]
+    assert sorted(r.reason[:25] for r in found.files.where("layout IS NULL").collect()) == ["missing required columns:"] * 2
     table = read_labelled(spark, f"{files}/*.csv")
     assert table.schema.names == LABELLED_COLUMNS
     assert [f.dataType for f in table.schema] == [f.dataType for f in FLOW_NORMALISED]
@@ -88,6 +90,45 @@ def test_mixed_headers(spark, files):
     assert sorted(r.label for r in flow_ids) == [0, 1]
 
 
+def test_tasks_open_the_files(spark, files, monkeypatch):
+    """No file is opened from the driver, and a text scan finds the same first lines as the tasks do."""
+    from flowtide.sources import labelled
+
+    want = sorted(map(tuple, header_lines(spark, f"{files}/*.csv").collect()))
+    assert len(want) == 5 and all(w[2] is not None for w in want)
+    seen = []
+    monkeypatch.setattr(labelled, "_open_header", lambda name, path: seen.append(path) or (None, "closed"))
+    scanned = sorted(map(tuple, header_lines(spark, f"{files}/*.csv").collect()))
+    assert seen == []
+    assert [(n, p, line or "") for n, p, line in scanned] == want
+
+
+def test_first_lines_through_codecs(tmp_path):
+    import bz2
+    import gzip
+
+    text = "a,b\r\n1,2\n" + "x" * 200_000
+    (tmp_path / "p.csv").write_text(text)
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "b.csv.bz2").write_bytes(bz2.compress(text.encode()))
+    (tmp_path / "broken.csv.gz").write_bytes(b"no archive")
+    for name in ("p.csv", "g.csv.gz", "b.csv.bz2"):
+        assert _open_header(f"file:{tmp_path}/{name}", f"file:{tmp_path}/{name}") == ("a,b", "read")
+    assert _open_header("", f"file:{tmp_path}/broken.csv.gz") == (None, "unreadable")
+    assert _open_header("", f"file:{tmp_path}/gone.csv") == (None, "closed")
+    assert _open_header("viewfs://x/y.csv", "viewfs://x/y.csv") == (None, "closed")
+    assert _open_header("", f"file:{tmp_path}/p.csv.lz4") == (None, "closed")
+
+
+def test_quotas_of_files_without_the_driver(spark):
+    names = [f"f{i:03}" for i in range(37)]
+    table = spark.createDataFrame([(n,) for n in names], "source_file string").repartition(5)
+    for limit in (0, 5, 37, 100):
+        got = {r.source_file: r.quota for r in file_quotas(table, limit).collect()}
+        assert got == quotas(limit, names)
+    assert file_quotas(table.limit(0), 5).count() == 0
+
+
 def test_no_usable_file(spark, tmp_path):
     write(tmp_path, "d.csv", "Protocol,Flow Duration", "6,1")
     with pytest.raises(ValueError):
