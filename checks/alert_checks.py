@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowtide.operators import rollup
 from flowtide.operators.dashboards import (
     alert_rate,
     avg_score_series,
@@ -26,6 +27,7 @@ from flowtide.sources.tables import (
     write_alerts_by_level,
 )
 from flowtide.storage import fresh_dir
+from flowtide.streaming.alert_tail import read_rollup, start_alert_tail, tail_alerts
 
 from .adapters import ALERTS, alert_rows
 from .registry import check, r4, rounded, sql_r4
@@ -160,3 +162,54 @@ def dash_levels(spark, sf):
 @check("dash_level_filter", f"WITH {ALERTS} SELECT src_ip, count(*) AS n FROM alerts WHERE level IN ('RED') GROUP BY src_ip")
 def dash_level_filter(spark, sf):
     return by_level(_alerts(spark, sf), ["RED"]).groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rolled(spark, sf):
+    """The rollup that a stream over the growing log keeps, in two runs with a restart between them."""
+    log, out, checkpoint = (fresh_dir(spark, f"tail-{n}") for n in ("log", "out", "checkpoint"))
+    rows = alert_rows(spark, sf)
+    for step, part in enumerate((rows.where("src_port % 2 = 0"), rows.where("src_port % 2 = 1"))):
+        write_alerts(part, f"{log}/step={step}")
+        start_alert_tail(tail_alerts(spark, f"{log}/step=*"), out, checkpoint, {"availableNow": True}).awaitTermination()
+    return read_rollup(spark, out)
+
+
+NOW = "(SELECT (max(ts_us) + 999999) // 1000000 * 1000000 FROM alerts)"
+
+
+@check("rollup_alert_rate", f"WITH {ALERTS} SELECT count(*) / {DAY}.0 AS rate FROM alerts WHERE ts_us > {NOW} - {DAY}000000")
+def rollup_alert_rate(spark, sf):
+    return rollup.alert_rate(rolled(spark, sf), DAY)
+
+
+@check("rollup_red_rate", f"WITH {ALERTS} SELECT count(*) FILTER (level = 'RED') / 300.0 AS rate FROM alerts WHERE ts_us > {NOW} - 300000000")
+def rollup_red_rate(spark, sf):
+    return rollup.alert_rate(rolled(spark, sf), 300, "RED")
+
+
+@check("rollup_level_series", f"WITH {ALERTS} SELECT ts_us // 3600000000 * 3600 AS step, level, count(*) AS n FROM alerts GROUP BY 1, 2")
+def rollup_level_series(spark, sf):
+    return rollup.level_series(rolled(spark, sf), 3600).withColumn("step", F.unix_seconds("step"))
+
+
+@check(
+    "rollup_avg_score_by_label",
+    f"WITH {ALERTS} SELECT ts_us // {DAY}000000 * {DAY} AS step, level, src_ip, dst_ip, {sql_r4('avg(score)', 'avg_score')} FROM alerts GROUP BY 1, 2, 3, 4",
+)
+def rollup_avg_score_by_label(spark, sf):
+    series = rollup.avg_score_series(rolled(spark, sf), DAY, ["level", "src_ip", "dst_ip"])
+    return rounded(series.withColumn("step", F.unix_seconds("step")), ["avg_score"])
+
+
+@check("rollup_top_src", f"WITH {ALERTS} SELECT src_ip, count(*) AS n FROM alerts WHERE ts_us > {NOW} - {DAY}000000 GROUP BY src_ip ORDER BY n DESC, src_ip LIMIT 10")
+def rollup_top_src(spark, sf):
+    return rollup.top_ips(rolled(spark, sf), "src_ip", DAY)
+
+
+@check(
+    "rollup_rate_series",
+    f"""WITH {ALERTS}, seconds AS (SELECT level, ts_us // 1000000 AS second, count(*) AS n FROM alerts GROUP BY 1, 2)
+        SELECT level, second, sum(n) OVER (PARTITION BY level ORDER BY second RANGE BETWEEN 6999 PRECEDING AND CURRENT ROW) / 7000.0 AS rate FROM seconds""",
+)
+def rollup_rate_series(spark, sf):
+    return rollup.rate_series(rolled(spark, sf), 7000)

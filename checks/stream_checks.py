@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from flowtide.schemas import ALERT, PACKET
 from flowtide.sources.packets import IngestListener, observe_ingest, parse_packets, read_packet_lines_stream, valid_packets
-from flowtide.sources.tables import read_alerts, with_alert_time
+from flowtide.sources.tables import read_alerts, read_alerts_stream
 from flowtide.storage import fresh_dir
+from flowtide.streaming.alert_tail import start_alert_tail, tail_alerts, tail_progress
 from flowtide.streaming.detect import start_detection, stream_alert_counts
 from flowtide.streaming.flows import stream_flow_states, stream_flows
 from flowtide.streaming.idle import live_flows, rocksdb_state
@@ -221,16 +222,37 @@ def stream_score_stats(spark, sf):
     return rounded(total, ["min_score", "max_score"]).withColumn("log_lines", lines.scalar())
 
 
-@check("stream_alert_counts", f"WITH {ALERTS} SELECT ts_us // 3600000000 * 3600 AS step, level, count(*) AS n FROM alerts GROUP BY 1, 2")
+BROKEN = "src_port % 50 = 7"
+
+
+@check(
+    "stream_alert_counts",
+    f"""WITH {ALERTS} SELECT ts_us // 3600000000 * 3600 AS step, level, count(*) AS n FROM alerts WHERE NOT ({BROKEN}) GROUP BY 1, 2
+        UNION ALL SELECT NULL, 'broken', count(*) FROM alerts WHERE {BROKEN}""",
+)
 def stream_alert_counts_query(spark, sf):
-    """Update mode: the last count given out for a step and level is the final one."""
+    """A growing folder of JSON lines, some of them cut off, in two runs with a restart. Update mode: the last count given
+    out for a step and level is the final one; the progress table counts the broken lines."""
+    log, out, counts, *checkpoints = (fresh_dir(spark, f"log-{n}") for n in ("lines", "out", "counts", "c1", "c2"))
     rows = alert_rows(spark, sf)
-    steps = [rows.where(F.col("level") == "RED"), rows.where(F.col("level") != "RED")]
-    build = lambda alerts: stream_alert_counts(with_alert_time(alerts), 3600, "60 days")
+    line = F.to_json(F.struct(*ALERT.names))
+    text = rows.select(F.when(F.expr(BROKEN), F.substring(line, 1, 40)).otherwise(line).alias("value"), "level")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
+
     with state_partitions(spark):
-        out = replay(spark, steps, build, mode="update", name="alerts")
-    last = out.groupBy("step", "level").agg(F.max_by("n", "batch_id").alias("n"))
-    return last.withColumn("step", F.unix_seconds("step"))
+        for wanted in ("level = 'RED'", "level <> 'RED'"):
+            text.where(wanted).select("value").write.mode("append").text(log)
+            series = stream_alert_counts(read_alerts_stream(spark, log), 3600, "60 days")
+            writer = series.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoints[0])
+            writer.trigger(availableNow=True).start().awaitTermination()
+            start_alert_tail(tail_alerts(spark, log), out, checkpoints[1], {"availableNow": True}).awaitTermination()
+    given = spark.read.parquet(counts)
+    last = given.groupBy("step", "level").agg(F.max_by("n", "batch_id").alias("n"))
+    broken = tail_progress(spark, out).agg(F.sum("broken").alias("n"))
+    none = F.lit(None).cast("bigint").alias("step")
+    return last.withColumn("step", F.unix_seconds("step")).unionByName(broken.select(none, F.lit("broken").alias("level"), "n"))
 
 
 @check(

@@ -75,6 +75,11 @@ def rate_series(alerts: DataFrame, seconds: int = RANGE_SECONDS) -> DataFrame:
     groups of the frame have a fixed greatest size and a busy level spreads over many tasks.
     """
     seconds_seen = alerts.groupBy("level", F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    return trailing_rates(seconds_seen, seconds)
+
+
+def trailing_rates(seconds_seen: DataFrame, seconds: int) -> DataFrame:
+    """Trailing rates from (level, second, n), one row per level and second."""
     chunk_len = max(CHUNK_SECONDS, seconds)
     own = F.floor(F.col("second") / F.lit(chunk_len)).cast("bigint")
     reach = F.floor((F.col("second") + F.lit(seconds - 1)) / F.lit(chunk_len)).cast("bigint")
