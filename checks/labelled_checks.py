@@ -11,7 +11,7 @@ from flowtide.schemas import FLOW_KEY, LABELLED_COLUMNS
 from flowtide.sources.labelled import normalise_labelled, quota_sample, quotas, read_labelled, skipped_files
 from flowtide.sources.synthetic import SERVICE_PORTS, synthetic_kind
 from flowtide.operators.sampling import seeded_shuffle
-from flowtide.storage import fresh_dir
+from flowtide.storage import fresh_dir, materialise
 
 from .adapters import NORMALISED, RAW, RAW_COLUMNS, raw_labelled, table
 from .registry import check, rounded, sql_hash60, sql_uniform
@@ -71,7 +71,7 @@ def write_odd_files(spark, sf) -> str:
     for flag, options in {"A": {}, "N": {"compression": "gzip"}, "R": {}}.items():
         names = [n for n in RAW_COLUMNS if n != "Label" or flag != "R"]
         part = li.where(F.col("l_returnflag") == flag).select(*[F.expr(RAW_COLUMNS[n]).alias(n) for n in names])
-        part.coalesce(1).write.options(header=True, **options).csv(f"{folder}/part {flag}")
+        part.repartition(3, "l_orderkey").write.options(header=True, **options).csv(f"{folder}/part {flag}")
     return f"{folder}/*/*.csv*"
 
 
@@ -110,7 +110,8 @@ QUOTA = 1000
 def cic_quota_sample(spark, sf):
     flows = normalise_labelled(raw_labelled(spark, sf), keep=["row_key"])
     sourced = flows.withColumn("source", F.substring(F.split_part("row_key", F.lit("-"), F.lit(6)), 1, 1))
-    picked = quota_sample(sourced, quotas(QUOTA, ["A", "N", "R"]), "source", 42, key=["row_key"])
+    # The sample reads its input three times.
+    picked = quota_sample(materialise(sourced, "sourced"), quotas(QUOTA, ["A", "N", "R"]), "source", 42, key=["row_key"])
     return picked.select("source", "row_key", "label", "bidirectional_packets")
 
 
