@@ -28,6 +28,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WORD_GAP}]+"), lambda w: w != F.lit(""))
 
 
+#: Lines whose running sums are taken at once.
+_BLOCK = 256
+
+
+def sums_before(numbers: Column) -> Column:
+    """For an array of numbers, the sums of those before each; in blocks, so that long arrays take no square of time."""
+
+    def plain(values):
+        zero = F.array(F.lit(0).cast("bigint"))
+        sums = F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(sums, 1, F.size(sums) - 1)
+
+    def total(values):
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")),
+                         lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
+    return let(blocks, lambda bs: let(plain(F.transform(bs, total)), lambda sums: F.flatten(
+        F.transform(bs, lambda block, b: F.transform(plain(block), lambda v: v + F.get(sums, b))))))
+
+
 def salted_join(large: DataFrame, small: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
     """Equi-join whose hot keys spread over ``salts`` partitions: each row of ``small`` is repeated once per salt.

@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 
 from flowtide.storage import materialise
 
-from .common import WORD_GAP, let, salted_join
+from .common import WORD_GAP, let, salted_join, sums_before
 
 WINDOW = 2
 BASE = 31
 DIVISOR = 4
 LONG_WORDS = 50
 _BITS = 28
-#: Lines whose running sums are taken at once.
-_BLOCK = 256
 
 
 def line_hash(line: Column) -> Column:
@@ -93,23 +91,6 @@ def _counts(piece) -> Column:
     return (piece["n_worded"] >= 2) | (piece["n_words"] >= LONG_WORDS)
 
 
-def _before(numbers: Column) -> Column:
-    """For an array of numbers, the sums of those before each; in blocks, so that long arrays take no square of time."""
-
-    def plain(values):
-        zero = F.array(F.lit(0).cast("bigint"))
-        sums = F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return F.slice(sums, 1, F.size(sums) - 1)
-
-    def total(values):
-        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")),
-                         lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
-    return let(blocks, lambda bs: let(plain(F.transform(bs, total)), lambda sums: F.flatten(
-        F.transform(bs, lambda block, b: F.transform(plain(block), lambda v: v + F.get(sums, b))))))
-
-
 def windows(text: Column) -> Column:
     """Array of (start, n_lines, hash): for each line with words the shortest run of ``LONG_WORDS`` words that it begins and
     the shortest that it ends, if of two or more lines (a longer line is a chunk)."""
@@ -136,7 +117,7 @@ def windows(text: Column) -> Column:
                     w["a"].alias("start"), k.alias("n_lines"),
                     F.xxhash64(F.array_join(F.slice(lines, w["a"] + 1, k), "\n"), F.lit(1)).alias("hash"))))
 
-            return let(F.struct(line_of.alias("at"), _before(n).alias("before")),
+            return let(F.struct(line_of.alias("at"), sums_before(n).alias("before")),
                        lambda s: with_places(s["at"], s["before"]))
 
         return let(F.transform(lines, _word_count), with_counts)

@@ -41,48 +41,70 @@ def _quoted(text: str) -> str:
 
 
 def _license_sql() -> str:
+    """Marks, known sentences and rules as the operator has them: of the sentences that begin behind a mark and end before
+    one, the longest of each place, from the left, without overlap."""
     book = ", ".join(f"({_quoted(v)}, {_quoted(k)})" for k, v in license_scan.SENTENCES.items())
+    single = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.SINGLE.items())
+    hard, soft = license_scan._HARD, license_scan._SOFT
+    marked = f"translate(coalesce(text, ''), '{license_scan._UPPER}{hard}{soft}', '{license_scan._LOWER}  ')"
+    for pattern, new in [
+        (license_scan.HARD_END, hard), (license_scan.SOFT_END, soft)]:
+        marked = f"regexp_replace({marked}, '{pattern}', '{new}', 'g')"
+    marked = f"'{hard}' || {marked} || '{hard}'"
+    for pattern, new in [
+        (f"[^a-z0-9{hard}{soft}]+", " "), (f"[ {soft}]*{hard}[ {hard}{soft}]*", hard), (f" *{soft}[ {soft}]*", soft),
+        *license_scan.VARIANTS]:
+        marked = f"regexp_replace({marked}, '{pattern}', '{new}', 'g')"
+    longest = max(map(len, license_scan.SENTENCES.values()))
     steps, last = [], "ids"
     for i, (licence, wanted) in enumerate(license_scan.RULES):
         key = _quoted("".join(f"<{w}>" for w in wanted))
         n = f"((length(rest) - length(replace(rest, {key}, ''))) // length({key}))"
         steps.append(
-            f"r{i} AS (SELECT doc_id, replace(rest, {key}, '|') AS rest, "
+            f"r{i} AS (SELECT rid, replace(rest, {key}, '|') AS rest, "
             f"list_concat(hits, list_transform(range({n}), lambda k: {_quoted(licence)})) AS hits FROM {last})")
         last = f"r{i}"
-    normal = "trim(regexp_replace(translate({0}, '{1}', '{2}'), '[^a-z0-9]+', ' ', 'g'))"
-
-    def normalised(x):
-        return normal.format(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
     return rf"""
-WITH book(sentence, id) AS (VALUES {book}),
-parts AS (
-  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS part
-  FROM (SELECT doc_id, string_split_regex(text, '{license_scan.SENTENCE_END}') AS p FROM documents)),
-lines AS (
-  SELECT doc_id, i, 0 AS j, part AS piece FROM parts
-  UNION ALL
-  SELECT doc_id, i, generate_subscripts(string_split(part, chr(10)), 1), unnest(string_split(part, chr(10)))
-  FROM parts),
-known AS (SELECT doc_id, i, j, id FROM lines JOIN book ON sentence = {normalised("piece")}),
+WITH RECURSIVE book(sentence, id) AS (VALUES {book}), single(id, licence) AS (VALUES {single}),
+d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+m AS (SELECT rid, {marked} AS m FROM d WHERE regexp_matches(coalesce(text, ''), '{license_scan.HINT}')),
+places AS (
+  SELECT rid, m, p FROM (SELECT rid, m, unnest(range(1, length(m))) AS p FROM m) WHERE substr(m, p, 1) IN ('{hard}', '{soft}')),
+starts AS (SELECT rid, p, substr(m, p + 1, {longest + 1}) AS raw FROM places),
+known AS (
+  SELECT rid, p, max_by(id, length(sentence)) AS id, max(length(sentence)) AS n
+  FROM starts JOIN book ON starts_with(translate(raw, '{soft}', ' '), sentence)
+  WHERE substr(raw, length(sentence) + 1, 1) IN ('{hard}', '{soft}') GROUP BY rid, p),
 taken AS (
-  SELECT k.* FROM known k
-  WHERE j = 0 OR NOT EXISTS (SELECT 1 FROM known o WHERE o.doc_id = k.doc_id AND o.i = k.i AND o.j = 0)),
+  SELECT * FROM (SELECT rid, min(p) AS p, arg_min(id, p) AS id, arg_min(n, p) AS n FROM known GROUP BY rid)
+  UNION ALL
+  SELECT * FROM (
+    SELECT t.rid, min(k.p) AS p, arg_min(k.id, k.p) AS id, arg_min(k.n, k.p) AS n
+    FROM taken t JOIN known k ON k.rid = t.rid AND k.p >= t.p + t.n + 1 GROUP BY t.rid)),
 ids AS (
-  SELECT doc_id, coalesce(string_agg('<' || id || '>', '' ORDER BY i, j), '') AS rest, []::VARCHAR[] AS hits,
-  FROM documents LEFT JOIN taken USING (doc_id) GROUP BY doc_id),
-{", ".join(steps)}
-SELECT r.doc_id, (length(ids.rest) - length(replace(ids.rest, '<', '')))::INT AS n_sentences,
-  array_to_string(list_sort(r.hits), ',') AS licences,
-  array_to_string(list_filter(string_split_regex(r.rest, '[<>|]+'), lambda x: x <> ''), ',') AS unmatched
-FROM {last} r JOIN ids USING (doc_id)
+  SELECT rid, coalesce(string_agg('<' || id || '>', '' ORDER BY p), '') AS rest, []::VARCHAR[] AS hits
+  FROM d LEFT JOIN taken USING (rid) GROUP BY rid),
+{", ".join(steps)},
+loose AS (
+  SELECT rid, i, id, licence
+  FROM (SELECT rid, generate_subscripts(x, 1) AS i, unnest(x) AS id
+        FROM (SELECT rid, list_filter(string_split_regex(rest, '[<>|]+'), lambda x: x <> '') AS x FROM {last}))
+  LEFT JOIN single USING (id)),
+told AS (
+  SELECT rid, list(licence) FILTER (licence IS NOT NULL) AS alone,
+    string_agg(id, ',' ORDER BY i) FILTER (licence IS NULL) AS unmatched FROM loose GROUP BY rid)
+SELECT d.doc_id, (length(ids.rest) - length(replace(ids.rest, '<', '')))::INT AS n_sentences,
+  array_to_string(list_sort(list_concat(r.hits, coalesce(alone, []))), ',') AS licences, coalesce(unmatched, '') AS unmatched
+FROM d JOIN {last} r USING (rid) JOIN ids USING (rid) LEFT JOIN told USING (rid)
 """
 
 
 @query("op2_license_scan", _license_sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_columns(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def license_columns(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("sentence_ids").alias("n_sentences"),

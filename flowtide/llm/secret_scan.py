@@ -4,16 +4,18 @@ One model learns random strings, the other ordinary identifiers, both from label
 is a secret when the log-likelihood ratio of the two exceeds ``MIN_LOG_ODDS``. Everything is built from column functions.
 
 Cases: a null text counts as empty and has no spans; rows may repeat, each is scanned by itself; columns other than id and
-text are not read. An empty table gives an empty result. Texts are scanned whole. With no samples of a class its model is
-flat. Runs that touch a span of a known form are not reported again.
+text are not read. An empty table gives an empty result. Texts are scanned whole, in time that grows as they do. With no
+samples of a class its model is flat. Of a run that touches spans of known forms, the parts outside them are judged.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, whole_text, words_of
+from .common import let, sums_before, whole_text, words_of
 
 #: Known forms: kind, pattern, group that must be long, its least length.
 FORMS = [
@@ -34,6 +36,8 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_LOG_ODDS = 14.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
+#: Stand-ins for the alphabet's characters, from the code points that are left to private use.
+STAND_INS = "".join(chr(0xE000 + i) for i in range(len(ALPHABET)))
 #: Distinct texts that labelled samples are taken from, at most (by smallest hash).
 SAMPLE_TEXTS = 4000
 SMOOTHING = 0.5
@@ -42,30 +46,24 @@ SMOOTHING = 0.5
 def spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Array of (start, kind, end, value) of the leftmost non-overlapping matches whose group is long enough."""
 
+    none = F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>")
+
     def located(gaps):
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        found = F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"), whole.alias("hit"), value.alias("value"))
-        empty = F.filter(
-            F.array(F.struct(F.lit(0).alias("start"), F.lit(kind).alias("kind"), F.lit(0).alias("end"),
-                             F.lit("").alias("value"))),
-            lambda s: s["start"] > 0,
-        )
-
-        def step(acc, m):
-            start = acc["at"] + F.length(m["gap"])
-            end = start + F.length(m["hit"])
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
-                            m["value"].alias("value"))
-            return F.struct(
-                end.alias("at"),
-                F.when(F.length(m["value"]) >= least, F.concat(acc["spans"], F.array(span)))
-                .otherwise(acc["spans"]).alias("spans"),
-            )
-
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        none = F.size(gaps) == 1
-        return F.when(none, empty).otherwise(F.aggregate(found, start, step, lambda acc: acc["spans"]))
+        hits = F.arrays_zip(
+            F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+        return F.when(F.size(gaps) == 1, none).otherwise(let(hits, with_hits))
+
+    def with_hits(hits):
+        lengths = F.transform(hits, lambda m: (F.length(m["gap"]) + F.length(m["hit"])).cast("bigint"))
+        return let(sums_before(lengths), lambda before: F.filter(
+            F.transform(hits, lambda m, i: span(m, F.get(before, i).cast("int") + F.length(m["gap"]))),
+            lambda s: F.length(s["value"]) >= least))
+
+    def span(m, start):
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m["hit"])).alias("end"),
+                        m["value"].alias("value"))
 
     return let(F.split(text, pattern, -1), located)
 
@@ -143,14 +141,53 @@ def log_odds(run: Column, ratios: list[float]) -> Column:
     )
 
 
-def markov_spans(text: Column, known: Column, ratios: list[float]) -> Column:
-    """Runs with letters that touch no known span and look random."""
+def _hide(pattern: str, group: int, least: int):
+    """A function of a text that moves the characters of long enough matches to their stand-ins."""
+    def hidden(text):
+        return let(F.split(text, pattern, -1), lambda gaps: moved(text, gaps))
+
+    def moved(text, gaps):
+        hits = F.arrays_zip(
+            F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+        parts = F.transform(hits, lambda m: F.concat(m["gap"], F.when(
+            F.length(m["value"]) >= least, F.translate(m["hit"], ALPHABET, STAND_INS)).otherwise(m["hit"])))
+        return F.array_join(F.concat(parts, F.array(F.element_at(gaps, -1))), "")
+
+    return hidden
+
+
+def _seen_through(pattern: str) -> str:
+    """A pattern of plain characters and sets of ranges that also takes stand-ins for them."""
+    def either(c: str) -> str:
+        return STAND_INS[ALPHABET.index(c)]
+
+    def ranges(found: re.Match) -> str:
+        more = re.sub(r"([A-Za-z0-9])-([A-Za-z0-9])", lambda m: f"{either(m[1])}-{either(m[2])}", found[1])
+        return f"[{found[1]}{more}]"
 
-    def wanted(s):
-        apart = ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-        return s["value"].rlike("[A-Za-z]") & apart & (log_odds(s["value"], ratios) > F.lit(MIN_LOG_ODDS))
+    head, rest = re.fullmatch(r"([A-Z]*)(.*)", pattern).groups()
+    return "".join(f"[{c}{either(c)}]" for c in head) + re.sub(r"\[([^\]]*)\]", ranges, rest)
 
-    return F.filter(spans(text, len(FORMS), RUN, 0, 16), wanted)
+
+def outside_known(text: Column) -> Column:
+    """The text, equally long, with no character left that a run could have inside a span of a known form.
+
+    Characters are moved to stand-ins one form after the other, and later forms see through them, so that each form hides
+    what it matches in the text itself.
+    """
+    out = F.translate(text, STAND_INS, "\ufffd" * len(STAND_INS))
+    for i, (_, pattern, group, least) in enumerate(FORMS):
+        out = let(out, _hide(pattern if i == 0 else _seen_through(pattern), group, least))
+    return out
+
+
+def markov_spans(text: Column, known: Column, ratios: list[float]) -> Column:
+    """Runs with letters, or their parts outside known spans, that look random."""
+    rest = F.when(F.size(known) > 0, outside_known(text)).otherwise(text)
+    random = let(rest, lambda t: spans(t, len(FORMS), RUN, 0, 16))
+    return F.filter(random, lambda s: s["value"].rlike("[A-Za-z]") & (log_odds(s["value"], ratios) > F.lit(MIN_LOG_ODDS)))
 
 
 def listed(found: Column) -> Column:

@@ -4,31 +4,42 @@ import random
 import re
 import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 
-from flowtide.llm import decontaminate, license_scan
+from flowtide.llm import decontaminate, license_scan, queries
 
+from ..oracle import differences
 from .helpers import SF, documents, prose
 
 S = license_scan.SENTENCES
 
 
 def plain_licences(text):
+    """The rules over the pieces between marks: at each piece the longest run of pieces that is a known sentence."""
     def normal(s):
         return re.sub("[^a-z0-9]+", " ", "".join(c.lower() if c.isascii() else c for c in s)).strip()
 
-    book = {v: k for k, v in S.items()}
-    ids = []
-    for part in re.split(license_scan.SENTENCE_END, text):
-        found = [book.get(normal(part))]
-        ids += [i for i in (found if found[0] else [book.get(normal(x)) for x in part.split("\n")]) if i]
+    book, ids = {v: k for k, v in S.items()}, []
+    for part in re.split(license_scan.HARD_END + r"|\n[\x20\x09\x0D]*\n", text):
+        part = "\x02".join(filter(None, map(normal, re.split(license_scan.SOFT_END, part))))
+        for pattern, one_form in license_scan.VARIANTS:
+            part = re.sub(pattern, one_form, part)
+        pieces, at = part.split("\x02"), 0
+        while at < len(pieces):
+            end = next((e for e in range(len(pieces), at, -1) if " ".join(pieces[at:e]) in book), None)
+            if end:
+                ids.append(book[" ".join(pieces[at:end])])
+            at = end or at + 1
     rest, hits = "".join(f"<{i}>" for i in ids), []
     for licence, wanted in license_scan.RULES:
         key = "".join(f"<{w}>" for w in wanted)
         hits += [licence] * rest.count(key)
         rest = rest.replace(key, "|")
-    return ids, sorted(hits), [x for x in re.split(r"[<>|]+", rest) if x]
+    left = [x for x in re.split(r"[<>|]+", rest) if x]
+    return ids, sorted(hits + [license_scan.SINGLE[x] for x in left if x in license_scan.SINGLE]), [
+        x for x in left if x not in license_scan.SINGLE]
 
 
 def test_licences_equal_plain_python(spark):
@@ -54,6 +65,7 @@ def test_longer_rules_win_and_odd_tables(spark):
     assert license_scan.scan(documents(spark, [])).collect() == []
 
 
+# Wording of public licence notices.
 GPL = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General \
 Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any \
 later version.
@@ -104,6 +116,59 @@ Unless required by applicable law""",
     "GPL-3.0-or-later": GPL.format(":", ",", 3),
     "GPL-2.0-or-later": GPL.format(";", ";", 2),
 }
+GNU = GPL.split("PURPOSE")[0]
+NOTICES |= {
+    "LGPL-2.1-or-later": GNU.format(";", ";", 2.1).replace("program", "library").replace("General", "Lesser General")
+    + "PURPOSE.  See the GNU\nLesser General Public License for more details.",
+    "AGPL-3.0-or-later": GNU.format(":", ",", 3).replace("General", "Affero General")
+    + "PURPOSE.  See the GNU Affero General Public License for more details.",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL \
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby \
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL \
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be \
+held liable.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it \
+and redistribute it freely, subject to the following restrictions:
+
+1. The origin""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public \
+License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring \
+rights to this software to the public domain worldwide. This""",
+}
+#: Texts of a holder's own name.
+OWN = BSD2 + """
+3. Neither the name of the Regents of the University nor the names of its contributors may be used to endorse or promote \
+products derived from this software without specific prior written permission.
+"""
+
+
+def test_sql_finds_the_same_in_notices(spark):
+    texts = [OWN, OWN.replace("3. Neither", "3. All advertising materials mentioning features or use of this software must display "
+                              "the following acknowledgement:\nThis product.\n4. Neither"), None, ""]
+    for notice in [*NOTICES.values(), *(f"SPDX-License-Identifier: {t}" for t in license_scan.TAGS)]:
+        for width in (30, 75, 1000):
+            lines = [x for p in notice.split("\n") for x in (textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False) or [""])]
+            texts += ["\n".join(f"{sign}{x}".rstrip() for x in ["tool.c: a tool", *lines]) for sign in ("", " * ", "# ")]
+    docs = documents(spark, texts)
+    got = queries.license_columns(license_scan.scan(docs)).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert differences(got, con.sql(queries.ORACLES["op2_license_scan"]).df()) == ""
+    told = dict(zip(got["doc_id"], got["licences"]))
+    assert told[0] == "BSD-3-Clause" and told[1] == "BSD-4-Clause" and told[2] == told[3] == ""
+    want = [x for n in [*NOTICES, *license_scan.TAGS] for x in [n] * 9]
+    assert [told[i + 4] for i in range(len(want))] == want
+    assert len(set(license_scan.SINGLE.values()) | {n for n, _ in license_scan.RULES}) >= 25
+
+
 SPDX = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0-or-later", "BSD-3-Clause": "BSD-3-Clause"}
 
 
