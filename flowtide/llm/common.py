@@ -61,20 +61,23 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], salt_by: li
     return spread.join(copies, [*keys, salt], how).drop(salt)
 
 
-def spread_join(large: DataFrame, small: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+def spread_join(large: DataFrame, small: DataFrame, key: str, rows: str, how: str = "inner",
+                salt_by: list[str] | None = None) -> DataFrame:
     """Equi-join with ``small`` (one row per key; ``rows``: how many rows of ``large`` have that key, at least 1).
 
     A key with more rows than an average partition is dealt over as many partitions as its rows would fill. There are
     fewer such keys than partitions, so their list is broadcast, and ``small`` grows by fewer rows than twice the
-    partitions. Both sides are read twice: hand in stored tables. Keys that are not in ``small`` go to one partition each.
+    partitions. Rows of a hot key are dealt by a hash of ``salt_by``, or else in turn, which only a stored ``large`` allows
+    (a lost task must deal them the same way). ``small`` is read three times: hand in a stored one.
     """
     spark = large.sparkSession
     parts = partitions(spark)
     total = small.agg(F.sum(rows)).first()[0] or 1
     fill = F.ceil(F.col(rows) * F.lit(parts) / F.lit(float(total))).cast("bigint")
     hot = small.where(F.col(rows) * F.lit(parts) > total).select(key, fill.alias("__fill"))
+    turn = F.monotonically_increasing_id() if salt_by is None else F.xxhash64(*salt_by)
     dealt = large.join(F.broadcast(hot), key, "left").withColumn(
-        "__salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__fill")), F.lit(0))).drop("__fill")
+        "__salt", F.coalesce(F.pmod(turn, F.col("__fill")), F.lit(0))).drop("__fill")
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), fill - 1))).drop(rows)
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 

@@ -3,8 +3,10 @@
 Texts and items are sequences of normalised words. The CGK walk copies a word and then moves on or stays, by a random bit of
 that word and step, so that two sequences of small edit distance get outputs of small Hamming distance. Tables of sampled
 outputs make windows and items meet; the number of tables follows from the measured agreement of items with edited copies
-of themselves, so that a window at the largest allowed distance is met with ``TARGET_RECALL``. Windows that meet an item are
-verified by exact word edit distance, of the window and of its end moved by what the edits allow.
+of themselves, so that a window at the largest allowed distance is met with ``TARGET_RECALL`` (``Index.recall`` has what
+fresh copies gave, by size). Where the most tables do not reach it, every window of that size is compared with every item of
+it. Windows that meet an item are verified by exact word edit distance, of the window and of its end moved by what the edits
+allow.
 
 Before the walk, windows that cannot be near any item go: one within k edits of an item of n words has at most k words
 outside the benchmark's vocabulary, and holds all but k of the item's words that are rare in the benchmark. Items travel
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 #: Edits allowed for each word of an item, and the chance that a window at that distance is met.
 MAX_EDIT_SHARE = 0.2
 TARGET_RECALL = 0.99
-#: Sampled outputs that form one key, walks, and the most tables that are built (enough for the target by far).
+#: Sampled outputs that form one key, and the most tables that are built.
 SAMPLED = 5
 MOST_TABLES = 400
 TABLES_PER_WALK = 16
@@ -107,6 +109,8 @@ class Index:
         walks = -(-MOST_TABLES // TABLES_PER_WALK)
         self.walks = Walks(3 * longest, walks)
         self._rare_words([ws for _, ws in named if ws], shared)
+        self.recall: dict[int, float] = {}
+        self.all_pairs: set[int] = set()
         self.tables: dict[int, list[tuple[int, np.ndarray, dict[int, list[int]]]]] = {
             n: self._tables(n, ks) for n, ks in self.by_size.items()
         }
@@ -160,14 +164,36 @@ class Index:
                     break
             if met.mean() >= TARGET_RECALL:
                 break
+        built = self._enough(n, ks, positions, walks, min(MOST_TABLES, need + need // 2)) if allowed(n) else 1
         out = []
-        for w, p in positions[:min(MOST_TABLES, need + need // 2) if allowed(n) else 1]:
+        for w, p in positions[:built]:
             table: dict[int, list[int]] = {}
             for k, key in zip(ks, keys(walks[w][:len(ks), p]).tolist()):
                 table.setdefault(key, []).append(k)
             out.append((w, p, table))
         return out
 
+    def _enough(self, n: int, ks: list[int], positions: list[tuple[int, np.ndarray]], walks: list[np.ndarray], built: int) -> int:
+        """So many tables that fresh copies are met with the target; if even the most do not, no table serves."""
+        rng = np.random.default_rng(_SEED * 37 + n)
+        likes = np.resize(np.arange(len(ks)), max(TRIALS, len(ks)))
+        rows = [self._edited(self.items[ks[i]][1], rng) for i in likes]
+        starts, codes = np.cumsum([0] + [len(r) for r in rows[:-1]]), np.concatenate(rows)
+        met, at, copies = np.zeros(len(likes), bool), 0, {}
+        while at < built:
+            w, p = positions[at]
+            if w not in copies:
+                copies = {w: self.walks.embed(codes, starts, n, w, 2 * n)}
+            met |= (walks[w][likes][:, p] == copies[w][:, p]).all(axis=1)
+            at += 1
+            if at == built and met.mean() < TARGET_RECALL and built < MOST_TABLES:
+                built = min(MOST_TABLES, built + max(1, built // 4))
+        self.recall[n] = float(met.mean())
+        if self.recall[n] < TARGET_RECALL:
+            self.all_pairs.add(n)
+            return 0
+        return built
+
     def windows(self, numbers: np.ndarray) -> dict[int, np.ndarray]:
         """Per item size, the starts of the windows that may be near an item, in a row of word numbers."""
         out: dict[int, list[np.ndarray]] = {}
@@ -224,8 +250,12 @@ class Index:
         found = set()
         flat, starts = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
         of_size = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
-        for walk in range(max((t[-1][0] for n, t in self.tables.items() if n in of_size), default=-1) + 1):
+        for n in self.all_pairs & of_size.keys():
+            found.update(itertools.product(of_size.pop(n).tolist(), self.by_size[n]))
+        for walk in range(max((t[-1][0] for n, t in self.tables.items() if n in of_size and t), default=-1) + 1):
             tables = [(n, p, t) for n in of_size for w, p, t in self.tables[n] if w == walk]
+            if not tables:
+                continue
             rows = np.concatenate([of_size[n] for n in dict.fromkeys(n for n, _, _ in tables)])
             upto = max(int(p.max()) for _, p, _ in tables) + 1
             outputs = np.zeros((len(codes), upto), np.uint64)

@@ -4,7 +4,7 @@ Equal texts are one node. Nodes that share a band of MinHash values are candidat
 compared block by block: hash values are compared a few at a time, and a pair goes as soon as the posterior probability
 (uniform prior) that its similarity reaches the threshold falls below ``TOLERANCE``. What stays is verified exactly on the
 shingle sets. A block task gives link counts and a spanning forest of its links, never the pairs, so large groups of near
-copies cost comparisons but no rows. Sets larger than a block are dealt out as pairs of blocks.
+copies cost comparisons but no rows. Sets larger than a block, in texts or in bytes, are dealt out as pairs of blocks.
 
 Cases: shingles are ``SHINGLE`` words in a row; a text of fewer words is one shingle of them all; a null, empty or blank
 text has no shingle and is a class of its own; rows may repeat and belong to the same class; null ids are kept; the class
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowtide.storage import materialise
 
-from .common import partitions, salted_join
+from .common import partitions, salted_join, spread_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,8 +37,8 @@ HASHES = BANDS * ROWS
 #: Hash values compared between two looks at the posterior, and the probability below which a pair goes.
 STEP = 16
 TOLERANCE = 1e-6
-#: Nodes of one side of a block comparison.
-BLOCK = 1024
+#: Nodes of one side of a block comparison, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 256, 32_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MULTIPLIERS, _SHIFTS = (
     np.random.default_rng(20240501).integers(1, 2**32, (2, HASHES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
@@ -171,7 +171,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the least node of each connected set; ``edges`` are pairs (a, b) of bigint, stored.
+    """(node, root): the least node of each connected set; ``edges`` are pairs (a, b) of nodes, stored.
 
     First each node hands its smaller neighbours on to the least of them: a group of near copies, whose members share many
     of them, shrinks to about one edge a member. Then, each round, every node takes the least root among its own and its
@@ -225,12 +225,12 @@ def _signatures(texts: DataFrame) -> DataFrame:
                 flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_pydict({
-                    "node": pa.array(nodes, pa.int64()),
+                    "node": pa.array(nodes, pa.binary()),
                     "bands": pa.ListArray.from_arrays(offsets, pa.array(flat)),
                     "sig": pa.array(sigs, pa.binary()),
                 })
 
-    return texts.mapInArrow(run, "node bigint, bands array<bigint>, sig binary")
+    return texts.mapInArrow(run, "node binary, bands array<bigint>, sig binary")
 
 
 def _compare(threshold: float):
@@ -258,8 +258,8 @@ def _compare(threshold: float):
             for k, n in zip(*np.unique(np.concatenate([i, j]), return_counts=True)):
                 links[nodes[k]] = links.get(nodes[k], 0) + int(n)
             edges += [(nodes[a], nodes[b]) for a, b in _forest(i, j)]
-        rows = [(int(n), int(n), k) for n, k in links.items()] + [(int(a), int(b), 0) for a, b in edges]
-        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
+        rows = [(n, n, k) for n, k in links.items()] + [(a, b, 0) for a, b in edges]
+        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"links": "int64"})
 
     return compare
 
@@ -270,28 +270,39 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
     slim = slim.withColumn("worded", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     digest = F.sha2("text", 256)
 
-    # Nodes are texts, numbered by 64 bits of their digest: at 10^9 texts two meet with a chance of 3 %.
-    ids = materialise(slim.select("id", "worded", F.when(F.col("worded"), digest).alias("sha")), "text-ids")
-    texts = ids.where("worded").groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"))
-    texts = materialise(texts.withColumn("node", F.conv(F.substring("sha", 1, 16), 16, -10).cast("bigint")), "texts")
+    # Nodes are texts, known by 128 bits of their digest.
+    def node_of(sha):
+        return F.unhex(F.substring(sha, 1, 32))
+
+    ids = materialise(slim.select(
+        "id", "worded", F.when(F.col("worded"), digest).alias("sha"), F.octet_length("text").alias("bytes")), "text-ids")
+    texts = ids.where("worded").groupBy("sha").agg(
+        F.min("id").alias("least"), F.count("*").alias("n_copies"), F.first("bytes").alias("bytes"))
+    texts = materialise(texts.withColumn("node", node_of(F.col("sha"))), "texts")
 
     sigs = _signatures(slim.where("worded").select(
-        F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint").alias("node"), "text"))
+        node_of(digest).alias("node"), "text"))
     sigs = materialise(sigs, "signatures")
     in_band = sigs.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
-    least = in_band.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z")
-    stars = salted_join(in_band, least.select("band", "a"), ["band"], ["node"], salts=4).where("node != a")
+    least = in_band.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = spread_join(in_band, materialise(least, "bands"), "band", "n", salt_by=["node"]).where("node != a")
     roots = components(materialise(stars.select("a", F.col("node").alias("b")).distinct(), "stars"), "candidates")
 
     # Each set of candidates in blocks; a node goes to every pair of blocks that its own is part of.
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    bins = max(partitions(spark), 1 + roots.count() // (2 * BLOCK))
+    held_bytes = F.sum(F.col("bytes").cast("bigint"))
+    sizes = roots.join(texts.select("node", "bytes"), "node").groupBy("root").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(held_bytes / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"),
+        held_bytes.alias("bytes"))
+    sizes = materialise(sizes, "sizes")
+    in_small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bins = max(partitions(spark), 1 + roots.count() // (2 * BLOCK), 1 + in_small // BLOCK_BYTES)
+    sizes = sizes.drop("bytes")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = salted_join(roots, sizes, ["root"], ["node"]).withColumn("block", block)
     signed = dealt.join(sigs.select("node", "sig").dropDuplicates(["node"]), "node")
     wanted = dealt.join(texts.select("node", "least"), "node").select(F.col("node").alias("n"), "least")
     held = slim.where("worded").select(
-        "id", F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint").alias("node"), "text")
+        "id", node_of(digest).alias("node"), "text")
     # One row of each text: its least id; the copies' rows spread, as the id is part of the key.
     held = held.join(wanted.hint("shuffle_hash"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("least")),
                      "left_semi").select("node", "text").dropDuplicates(["node"])
@@ -305,7 +316,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataF
         (F.col("blocks") == 1).alias("small"),
     )
     found = materialise(
-        ready.groupBy("small", "bin").applyInPandas(_compare(threshold), "a bigint, b bigint, links bigint"), "links")
+        ready.groupBy("small", "bin").applyInPandas(_compare(threshold), "a binary, b binary, links bigint"), "links")
     links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     classes = components(found.where("a != b").select("a", "b"), "classes")
 

@@ -217,3 +217,19 @@ def test_components(spark):
     got = dict(map(tuple, ngram_join.components(spark.createDataFrame(chain, "a bigint, b bigint"), "t").collect()))
     assert {n: r for n, r in got.items() if n <= 40} == {i: 0 for i in range(41)}
     assert [got[n] for n in (100, 101, 103)] == [100] * 3
+
+
+def test_long_near_copies_in_one_class(spark, monkeypatch):
+    """Texts of a megabyte that are near copies of each other go in blocks of bounded bytes, and lose no link."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 5_000_000)
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150_000)]
+    texts = []
+    for i in range(20):
+        own = list(words)
+        own[i * 1000:i * 1000 + 3] = [f"own{i}", "was", "here"]
+        texts.append(" ".join(own))
+    rows = ngram_join.near_duplicates(documents(spark, [*texts, texts[0], "another text of some words here"])).collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert {by_id[i].class_id for i in range(21)} == {0} and by_id[21].class_id == 21
+    assert {by_id[i].n_links for i in range(21)} == {19} and by_id[0].n_copies == 2

@@ -244,6 +244,36 @@ def test_recall_at_the_largest_distance_and_no_false_leak(spark):
         assert plain_distance(decontaminate.words_of(items[k][1]), window) == r.edits
 
 
+@pytest.mark.parametrize("tables", [400, 1])
+def test_all_windows_near_an_item_are_found(spark, monkeypatch, tables):
+    """Against brute force over every window of every text, planted or near by chance; with too few tables too."""
+    monkeypatch.setattr(decontaminate, "MOST_TABLES", tables)
+    rng = random.Random(20)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(6, 13)))) for k in range(25)]
+    texts = [" ".join(rng.choices([*words, "zz"], k=rng.randrange(0, 60))) for _ in range(60)]
+    texts += [" ".join([*rng.choices(words, k=5), *edited(rng, items[k % 25][1].split(), 1)]) for k in range(50)]
+    index = decontaminate.Index(items)
+    assert (index.all_pairs != set()) == (tables == 1)
+    assert all(r >= decontaminate.TARGET_RECALL or n in index.all_pairs for n, r in index.recall.items())
+    want = {}
+    for t, text in enumerate(texts):
+        row = text.split()
+        for k, item in items:
+            item = item.split()
+            most = decontaminate.allowed(len(item))
+            near = [plain_distance(item, row[a:b]) for a in range(len(row))
+                    for b in range(max(a + 1, a + len(item) - most), min(len(row), a + len(item) + most) + 1)]
+            if near and min(near) <= most:
+                want[t, k] = min(near)
+    docs = documents(spark, texts)
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(
+        docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(want) > 50 and got.keys() <= want.keys() and len(got) >= (0.97 if tables > 1 else 1) * len(want)
+    assert all(e >= want[key] for key, e in got.items())
+    assert sum(e == want[key] for key, e in got.items()) >= 0.97 * len(got)
+
+
 def test_whole_items_in_all_documents_are_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
