@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtide.operators.alerts import log_line, score_stats, threshold_columns, to_alerts
-from flowtide.operators.calibration import CANDIDATES, decision_offsets, f1_table, red_threshold
+from flowtide.operators.calibration import CANDIDATES, calibration_table, decision_offsets, f1_table, red_threshold
 from flowtide.operators.features import feature_quantiles, fit_scaler, inject_outliers, scale_features, scaler_row, select_features
 from flowtide.operators.forest import fit_forest, forest_nodes, score_rows
 from flowtide.operators.sampling import stratified_split
 from flowtide.plans.detect import detect_batch, score_flows
 from flowtide.plans.train import TrainParams, train
-from flowtide.schemas import ALERT, FEATURES_EXTENDED, FLOW_KEY
+from flowtide.functions.hashing import uniform
+from flowtide.schemas import ALERT, FEATURES_EXTENDED, FLOW_KEY, present_features
 from flowtide.sources.registry import latest_versions, load_model, save_model
 from flowtide.sources.tables import read_alerts
 from flowtide.storage import fresh_dir, materialise
@@ -45,6 +46,18 @@ def feature_matrix(spark, sf):
     return rounded(_features(spark, sf), FEATURES)
 
 
+LACKING = ["iat_std", "tcp_rst_count", "packets_per_second"]
+ADAPTED = [c for c in FEATURES if c not in LACKING]
+
+
+@check("feature_matrix_adaptive", f"""{UNI} SELECT "window", {KEY}, {", ".join(sql_r4(f"CAST({c} AS DOUBLE)", c) for c in ADAPTED)} FROM flows""")
+def feature_matrix_adaptive(spark, sf):
+    """Of the extended features those that a table has, after the base ones."""
+    flows = uni_flows(spark, sf).drop(*LACKING)
+    columns = present_features(flows.columns)
+    return rounded(select_features(flows, columns, keep=ID), columns)
+
+
 SCALER_COLUMNS = ", ".join(
     f"{sql_r4(f'avg({c})', f'mean_{c}')}, {sql_r4(f'CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END', f'scale_{c}')}" for c in FEATURES
 )
@@ -183,6 +196,35 @@ def f1_by_contamination(spark, sf):
     return rounded(f1_table(scored, CUTS, score="score"), ["precision", "recall", "f1"])
 
 
+# Scores of the small forest with a little noise, so that no two are equal at a cut; a fifth of each label is held out.
+NOISY_KEY = ", ".join(f"CAST({c} AS VARCHAR)" for c in ['"window"', *FLOW_KEY])
+NOISY = f"""noisy AS (
+  SELECT *, score + 0.01 * {sql_uniform("'42'", "'noise'", NOISY_KEY)} AS raw_score,
+    row_number() OVER (PARTITION BY label ORDER BY {sql_hash60("'42'", NOISY_KEY)}) <= floor(count(*) OVER (PARTITION BY label) * 0.2) AS is_val
+  FROM labelled)"""
+TRIED = " UNION ALL ".join(f"SELECT {i} AS place, CAST({c} AS DOUBLE) AS contamination, quantile_cont(raw_score, {c}) AS cut FROM noisy WHERE NOT is_val" for i, c in enumerate(CANDIDATES))
+
+
+@check(
+    "calibration_choice",
+    f"""{UNI}, {SCORED}, {LABELLED}, {NOISY}, tried AS ({TRIED}), counts AS (
+          SELECT place, contamination, cut, count(*) FILTER (raw_score < cut AND label = 1) AS tp,
+            count(*) FILTER (raw_score < cut AND label = 0) AS fp, count(*) FILTER (raw_score >= cut AND label = 1) AS fn
+          FROM tried, noisy WHERE is_val GROUP BY ALL),
+        rates AS (SELECT *, tp / greatest(1, tp + fp) AS p, tp / greatest(1, tp + fn) AS r FROM counts),
+        scores AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM rates)
+        SELECT contamination, {sql_r4("cut", "cut")}, tp, fp, fn, {sql_r4("f1", "f1")},
+          row_number() OVER (ORDER BY f1 DESC, place) = 1 AS chosen FROM scores""",
+)
+def calibration_choice(spark, sf):
+    """M6: offsets on the fitted rows, F1 on the held-out ones, and the choice."""
+    flows = with_label(scored_flows(spark, sf))
+    noise = uniform("42", "noise", *[F.col(c).cast("string") for c in ID])
+    rows = materialise(flows.select(*ID, "label", (F.col("score") + 0.01 * noise).alias("raw_score")), "noisy")
+    table = calibration_table(stratified_split(rows, "label", key=ID))
+    return rounded(table.withColumnRenamed("offset", "cut"), ["cut", "f1"]).select("contamination", "cut", "tp", "fp", "fn", "f1", "chosen")
+
+
 @check(
     "red_threshold",
     f"""{UNI}, {SCORED}, {LABELLED}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
+def detection_time(as_of: str | None = None) -> str:
+    """The one time that all alerts of a batch carry, in all its outputs: the given one, else now."""
+    return datetime.now(timezone.utc).isoformat(timespec="microseconds") if as_of is None else as_of
+
+
 def to_alerts(scored: DataFrame, red: float, yellow: float, as_of: Column | str | None = None) -> DataFrame:
     """Alert rows of the flows with ``score`` below yellow; all of a batch carry one detection time."""
     if as_of is None:

@@ -52,6 +52,20 @@ def best_contamination(table: DataFrame) -> float:
     return max(rows, key=rows.get)
 
 
+def calibration_table(scored: DataFrame, candidates: list[float] | None = None, rows: int | None = None) -> DataFrame:
+    """M6: offset and F1 of each candidate, and which one is ``chosen``; ``scored`` has raw_score, label and is_val.
+
+    Offsets come from the fitted rows (``rows`` of them), F1 from the held-out ones.
+    """
+    offsets = decision_offsets(scored.where(~F.col("is_val")), candidates or CANDIDATES, rows=rows)
+    table = f1_table(scored.where("is_val"), offsets)
+    known = scored.sparkSession.createDataFrame(
+        [(i, c, o) for i, (c, o) in enumerate(offsets.items())], "place int, contamination double, offset double")
+    judged = known.join(table, "contamination")
+    best = judged.agg(F.min_by("place", F.struct(-F.col("f1"), "place"))).scalar()
+    return judged.withColumn("chosen", F.col("place") == best)
+
+
 def red_threshold(decisions: DataFrame, label: str | None = None, score: str = "score", rows: int | None = None) -> float:
     """Just below the 1st percentile of benign scores, at most -0.02; without labels below the least score."""
     if label is not None:

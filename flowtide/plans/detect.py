@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alerts import resolve_threshold, score_stats, to_alerts
+from ..operators.alerts import detection_time, resolve_threshold, score_stats, to_alerts
 from ..operators.features import clean
 from ..operators.forest import score_column
 from ..schemas import FLOW_KEY
@@ -45,7 +45,8 @@ def detect_batch(
     limits = resolve_threshold(model.red, red), resolve_threshold(model.yellow, yellow)
     scored = materialise(score_flows(flows, model).select(*FLOW_KEY, "score"), "scored")
     stats = score_stats(scored).first().asDict()
-    write_alerts(to_alerts(scored, *limits, as_of), f"{out}/alerts_json", "json", batch_id)
-    write_alerts(to_alerts(scored, *limits, as_of), f"{out}/alerts_csv", "csv", batch_id)
+    alerts = to_alerts(scored, *limits, detection_time(as_of))
+    write_alerts(alerts, f"{out}/alerts_json", "json", batch_id)
+    write_alerts(alerts, f"{out}/alerts_csv", "csv", batch_id)
     stats["alerts"] = scored.where(F.col("score") < F.lit(limits[1])).count()
     return stats

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.alerts import DEFAULT_YELLOW
-from ..operators.calibration import CANDIDATES, best_contamination, decision_offsets, f1_table, red_threshold
+from ..operators.calibration import calibration_table, decision_offsets, red_threshold
 from ..operators.features import fit_scaler, inject_outliers, outlier_count, scale_features, select_features
 from ..operators.forest import SAMPLE, TREES, Forest, fit_forest, score_rows
 from ..operators.sampling import number_rows, stratified_split
@@ -42,8 +42,7 @@ def calibrate(data: DataFrame, columns: list[str], p: TrainParams, candidates: l
     rows = fitted.count()
     forest = _fit(fitted, columns, p, rows)
     scored = materialise(score_rows(split, forest).select("raw_score", "label", "is_val"), "calibration")
-    offsets = decision_offsets(scored.where(~F.col("is_val")), candidates or CANDIDATES, rows=rows)
-    return best_contamination(f1_table(scored.where("is_val"), offsets))
+    return calibration_table(scored, candidates, rows).where("chosen").first()["contamination"]
 
 
 def train(

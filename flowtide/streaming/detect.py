@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.alerts import log_line, resolve_threshold, score_stats, to_alerts
+from ..operators.alerts import detection_time, log_line, resolve_threshold, score_stats, to_alerts
 from ..plans.detect import score_expression
 from ..schemas import FLOW_KEY
 from ..sources.registry import Model
@@ -54,7 +54,7 @@ def start_detection(
             if scored.isEmpty():
                 return
             put(score_stats(scored).coalesce(1), "score_stats", "json", batch_id)
-            alerts = to_alerts(scored, *limits, as_of)
+            alerts = to_alerts(scored, *limits, detection_time(as_of))
             if not alerts.isEmpty():
                 write_alerts(alerts, f"{out}/alerts_json", "json", batch_id, run)
                 write_alerts(alerts, f"{out}/alerts_csv", "csv", batch_id, run)
