@@ -182,3 +182,21 @@ def test_flow_tables(spark, tmp_path):
     write_flows(flows.limit(0), str(tmp_path / "none"), label=0)
     with pytest.raises(ValueError):
         read_flows(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("tracked", [8192, 16])
+def test_top_addresses_by_sketch_are_exact(spark, monkeypatch, tracked):
+    """Skewed and flat counts, ties and nulls; with a sketch that is too small all addresses are counted."""
+    from flowtide.operators import dashboards
+
+    monkeypatch.setattr(dashboards, "TRACKED", tracked)
+    base = spark.range(20_000).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") % 300))
+    skewed = F.concat(F.lit("10.0.0."), F.floor(F.sqrt(F.pmod(F.xxhash64("id"), F.lit(10_000)))).cast("string"))
+    kinds = {"skewed": skewed, "flat": F.concat(F.lit("ip"), (F.col("id") % 5000).cast("string")),
+             "few": F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string"))}
+    for name, ip in kinds.items():
+        alerts = base.withColumn("src_ip", ip)
+        got = [tuple(r) for r in dashboards.top_ips(alerts, "src_ip", 400, 10).collect()]
+        counts = alerts.groupBy("src_ip").count().orderBy(F.desc("count"), "src_ip").limit(10).collect()
+        assert got == [tuple(r) for r in counts], name
+    assert dashboards.top_ips(base.limit(0).withColumn("src_ip", F.lit("x")), "src_ip").collect() == []
