@@ -17,12 +17,12 @@ from flowtide.sources.tables import (
 )
 
 FLOWS = [
-    ("192.168.1.1", "10.0.0.1", 12345, 80, "tcp", -0.2),
-    ("192.168.1.2", "10.0.0.2", 23456, 443, "udp", -0.07),
-    ("192.168.1.3", "10.0.0.3", 34567, 8080, "tcp", 0.1),
+    ("172.20.0.4", "10.9.0.11", 40100, 25, "udp", -0.31),
+    ("172.20.0.5", "10.9.0.12", 40200, 993, "tcp", -0.08),
+    ("172.20.0.6", "10.9.0.13", 40300, 161, "udp", 0.15),
 ]
 DDL = "src_ip string, dst_ip string, src_port bigint, dst_port bigint, protocol string, score double"
-AS_OF = "2025-08-10T14:56:25.859833"
+AS_OF = "2023-03-04T05:06:07.000008"
 
 
 @pytest.fixture
@@ -33,8 +33,8 @@ def scored(spark):
 def test_levels_and_fields(scored):
     rows = to_alerts(scored, -0.1, -0.05, AS_OF).orderBy("score").collect()
     assert [tuple(r) for r in rows] == [
-        (AS_OF, "192.168.1.1", "10.0.0.1", 12345, 80, "tcp", -0.2, "RED"),
-        (AS_OF, "192.168.1.2", "10.0.0.2", 23456, 443, "udp", -0.07, "YELLOW"),
+        (AS_OF, "172.20.0.4", "10.9.0.11", 40100, 25, "udp", -0.31, "RED"),
+        (AS_OF, "172.20.0.5", "10.9.0.12", 40200, 993, "tcp", -0.08, "YELLOW"),
     ]
     assert [(f.name, f.dataType) for f in to_alerts(scored, -0.1, -0.05).schema] == [(f.name, f.dataType) for f in ALERT]
 
@@ -67,10 +67,10 @@ def test_times_do_not_depend_on_the_session_zone(spark):
 
 def test_stats_and_lines(scored):
     r = score_stats(scored).first()
-    assert (r.n, r.min_score, r.max_score) == (3, -0.2, 0.1) and r.mean_score == pytest.approx(-0.17 / 3)
+    assert (r.n, r.min_score, r.max_score) == (3, -0.31, 0.15) and r.mean_score == pytest.approx(-0.08)
     lines = [r.line for r in log_line(to_alerts(scored, -0.1, -0.05, AS_OF)).orderBy("score").collect()]
-    assert lines[0] == "ANOMALY RED 192.168.1.1:12345 -> 10.0.0.1:80 TCP score=-0.2000"
-    assert lines[1].startswith("Anomaly YELLOW 192.168.1.2:23456")
+    assert lines[0] == "ANOMALY RED 172.20.0.4:40100 -> 10.9.0.11:25 UDP score=-0.3100"
+    assert lines[1].startswith("Anomaly YELLOW 172.20.0.5:40200")
 
 
 @pytest.mark.parametrize("fmt", ["csv", "json"])

@@ -29,14 +29,16 @@ def packets_of(key, sizes, gaps, syn=0, fin=0, rst=0, start=T0):
     return [(t, key[0], key[1], key[2], key[3], key[4], s, *f) for t, s, f in zip(times, sizes, flags)]
 
 
-F1 = ("192.168.1.1", "10.0.0.1", 12345, 80, "tcp")
-F2 = ("10.0.0.2", "192.168.1.2", 54321, 443, "tcp")
-F3 = ("192.168.1.3", "10.0.0.3", 33333, 53, "udp")
+F1 = ("192.168.1.1", "10.3.0.7", 40001, 8443, "tcp")
+F2 = ("10.3.0.9", "192.168.1.2", 40002, 22, "tcp")
+F3 = ("192.168.1.3", "10.3.0.8", 40003, 123, "udp")
 GOLDEN = [
-    (F1, [80, 90, 100, 110, 120, 130, 140, 150, 160, 420], [0.1, 0.15, 0.2, 0.15, 0.1, 0.2, 0.25, 0.2, 0.15], (1, 1, 0),
-     (10, 1500, 150, 93.273791, 1.5, 1, 1, 0, 0.166667, 0.047140, 150, 6.666667)),
-    (F2, [800, 1000, 1200, 1000, 1000], [0.5] * 4, (1, 0, 0), (5, 5000, 1000, 126.491106, 2.0, 1, 0, 0, 0.5, 0, 1000, 2.5)),
-    (F3, [80, 80], [0.1], (0, 0, 0), (2, 160, 80, 0, 0.1, 0, 0, 0, 0.1, 0, 80, 20)),
+    (F1, [64, 1500, 52, 720, 333, 52, 98], [0.02, 0.4, 0.07, 0.31, 0.5, 0.08], (2, 1, 0),
+     (7, 2819, 402.714286, 501.874405, 1.38, 2, 1, 0, 0.23, 0.182757, 402.714286, 5.072464)),
+    (F2, [1460, 1460, 40, 1460], [0.25, 1.25, 0.5], (1, 0, 1),
+     (4, 4420, 1105.0, 614.878037, 2.0, 1, 0, 1, 0.666667, 0.424918, 1105.0, 2.0)),
+    (F3, [70, 310, 70], [0.2, 0.6], (0, 0, 0),
+     (3, 450, 150.0, 113.137085, 0.8, 0, 0, 0, 0.4, 0.2, 150.0, 3.75)),
     (F1, [90, 100, 110] + [100] * 7, [0.1, 0.2] + [0.1] * 7, (1, 1, 0), (10, 1000, 100, 4.472136, 1.0, 1, 1, 0, 0.111111, 0.031427, 100, 10)),
     (F1, [77], [], (1, 0, 1), (1, 77, 77, 0, 1e-6, 1, 0, 1, 0, 0, 77, 1e6)),
     (F3, [40, 60], [0.0], (2, 2, 2), (2, 100, 50, 10, 1e-6, 0, 0, 0, 0, 0, 50, 2e6)),
@@ -140,7 +142,7 @@ def test_bidirectional_merges_both_ways(make_packets):
     row = flows(make_packets(there + back), 5, "bi").collect()
     assert len(row) == 1
     r = row[0]
-    assert (r.src_ip, r.src_port, r.dst_ip, r.protocol) == ("10.0.0.1", 80, "192.168.1.1", "tcp")
+    assert (r.src_ip, r.src_port, r.dst_ip, r.protocol) == (F1[1], F1[3], F1[0], "tcp")
     assert (r.bidirectional_packets, r.bidirectional_bytes, r.tcp_syn_count, r.tcp_fin_count) == (3, 220, 1, 1)
     assert (r.iat_mean, r.iat_std) == (0.5, 0.0)
 
