@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ALERT, FLOW_LABELLED
+from ..storage import move_into_place
 
 
 def write_flows(
@@ -76,9 +81,62 @@ def store_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("day", "level").parquet(path)
 
 
+COMMIT = "gen string, file string"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """(gen, file): which generations of rewritten files are valid, and the files that each replaces."""
+    try:
+        return spark.read.schema(COMMIT).parquet(f"{path}_commits/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT)
+
+
+def _store_files(spark: SparkSession, path: str) -> DataFrame:
+    """Stored alerts with the ``_file`` that holds them: appended ones and those of valid generations, less replaced files."""
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+
+    commits = _commits(spark, path)
+    gens = [r["gen"] for r in commits.select("gen").distinct().collect()]
+    rows = placed(spark.read.parquet(path))
+    if not gens:
+        return rows
+    rewritten = placed(spark.read.parquet(f"{path}_compacted").where(F.col("gen").isin(gens))).drop("gen")
+    return rows.unionByName(rewritten).join(commits.select(F.col("file").alias("_file")), "_file", "left_anti")
+
+
 def read_alert_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored alerts, with ``ts``, ``day`` and ``level``."""
-    return spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
+    """The stored alerts, with ``ts``, ``day`` and ``level``; each once, whether their day was compacted or not."""
+    return _store_files(spark, path).drop("_file").withColumn("day", F.col("day").cast("date"))
+
+
+def compact_store(spark: SparkSession, path: str, day: date, fresh: str | None = None) -> int:
+    """K4: rewrite the many files of a day as a few, sorted ones; says how many files they replace.
+
+    The new files lie beside the store and count for nothing until a commit names them and what they replace; it is moved
+    into place as a whole, so a reader sees the old files or the new ones, never both. Replaced files stay for readers that
+    have begun; ``replaced_files`` lists them.
+    """
+    gen = fresh or uuid.uuid4().hex
+    old = _store_files(spark, path).where(F.col("day") == F.lit(day))
+    files = [r["_file"] for r in old.select("_file").distinct().collect()]
+    if len(files) < 2:
+        return 0
+    order = ["level", "ts"]
+    new = old.drop("_file").withColumn("gen", F.lit(gen)).repartitionByRange(*order).sortWithinPartitions(*order)
+    new.write.mode("append").partitionBy("gen", "day", "level").parquet(f"{path}_compacted")
+    commit = spark.createDataFrame([(gen, f) for f in files], COMMIT)
+    commit.coalesce(1).write.mode("overwrite").parquet(f"{path}_aside/{gen}")
+    move_into_place(spark, f"{path}_aside/{gen}", f"{path}_commits/{gen}")
+    return len(files)
+
+
+def replaced_files(spark: SparkSession, path: str) -> DataFrame:
+    """K4: the files that no reader of the store opens any more once it has begun anew."""
+    return _commits(spark, path).select("file").distinct()
 
 
 def read_alerts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

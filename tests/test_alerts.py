@@ -200,3 +200,37 @@ def test_top_addresses_by_sketch_are_exact(spark, monkeypatch, tracked):
         counts = alerts.groupBy("src_ip").count().orderBy(F.desc("count"), "src_ip").limit(10).collect()
         assert got == [tuple(r) for r in counts], name
     assert dashboards.top_ips(base.limit(0).withColumn("src_ip", F.lit("x")), "src_ip").collect() == []
+
+
+def test_compaction_changes_no_answer_at_any_time(spark, tmp_path, monkeypatch):
+    """The same rows before, after the new files are written but not committed, and after; then again with more alerts."""
+    from flowtide.sources import tables
+
+    path = str(tmp_path / "store")
+    base = spark.range(600).select(
+        F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 400), "yyyy-MM-dd'T'HH:mm:ss+00:00").alias("timestamp"),
+        F.concat(F.lit("10.0.0."), F.col("id") % 7).alias("src_ip"), F.lit("10.9.9.9").alias("dst_ip"), F.lit(1).alias("src_port"),
+        F.lit(2).alias("dst_port"), F.lit("tcp").alias("protocol"), (-F.col("id") / 1000).alias("score"),
+        F.when(F.col("id") % 3 == 0, "RED").otherwise("YELLOW").alias("level"))
+    for part in range(4):
+        tables.store_alerts(base.where(F.col("score") * -1000 % 4 == part), path)
+
+    def shown():
+        return sorted(tuple(r) for r in tables.read_alert_store(spark, path).select("ts", "day", "level", "src_ip", "score").collect())
+
+    before = shown()
+    days = sorted({r[1] for r in before})
+    begun = tables.read_alert_store(spark, path)
+    monkeypatch.setattr(tables, "move_into_place", lambda *a: False)
+    assert len(before) == 600 and tables.compact_store(spark, path, days[1]) >= 4
+    assert shown() == before and tables.replaced_files(spark, path).count() == 0
+    monkeypatch.undo()
+    n = tables.compact_store(spark, path, days[1])
+    assert shown() == before and begun.count() == 600
+    assert tables.replaced_files(spark, path).count() == n
+    day = tables._store_files(spark, path).where(F.col("day") == F.lit(days[1]))
+    assert day.select("_file").distinct().count() < n
+    tables.store_alerts(base.where("score = 0"), path)
+    assert len(shown()) == 601
+    assert tables.compact_store(spark, path, days[1]) >= 0 and tables.compact_store(spark, path, days[0]) >= 2
+    assert len(shown()) == 601 and sorted(set(shown())) == sorted(set(before))
