@@ -92,7 +92,7 @@ def cic_file_limit(spark, sf):
 )
 def cic_skipped_files(spark, sf):
     part = F.regexp_extract("path", "part(?: |%20)([A-Z])/", 1).alias("part")
-    return skipped_files(spark, write_odd_files(spark, sf)).select(part, "reason")
+    return skipped_files(spark, write_odd_files(spark, sf)).select(part, "reason").distinct()
 
 
 QUOTA = 1000
