@@ -41,6 +41,8 @@ BLOCK_CHARS = 500_000
 #: Edited copies of the items of one size, at least, on which the number of tables is measured; half as many
 #: again are built.
 TRIALS = 300
+#: Windows whose keys are made at once.
+STEP_ROWS = 50_000
 #: Texts whose words stand in one row.
 BATCH_TEXTS = 128
 _WORD = re.compile(r"[^\W_]+")
@@ -91,6 +93,27 @@ class Walks:
         return out
 
 
+class Tables:
+    """The tables of one size and walk: sampled places (a row for each table), and the keys of the items in all of them."""
+
+    def __init__(self, places: np.ndarray, outputs: np.ndarray, items: np.ndarray):
+        self.places = places
+        found = keys(outputs, places)
+        order = np.argsort(found, axis=None, kind="stable")
+        self.found, self.items = found.ravel()[order], np.repeat(items, len(places))[order]
+
+    def meetings(self, outputs: np.ndarray) -> list[tuple[int, int]]:
+        """(row of ``outputs``, item) pairs that have a key in common."""
+        out = []
+        for at in range(0, len(outputs), STEP_ROWS):
+            met = keys(outputs[at:at + STEP_ROWS], self.places).ravel()
+            low = np.searchsorted(self.found, met)
+            hits = np.flatnonzero(self.found[np.minimum(low, len(self.found) - 1)] == met)
+            for place, a, b in zip(hits.tolist(), low[hits].tolist(), np.searchsorted(self.found, met[hits], "right").tolist()):
+                out += [(at + place // len(self.places), k) for k in self.items[a:b].tolist()]
+        return out
+
+
 class Index:
     """The tables of one block of items."""
 
@@ -102,6 +125,7 @@ class Index:
         self.number = {w: i for i, w in enumerate(shared, 1)}
         self.codes = np.array([UNKNOWN] + [xxhash.xxh3_64_intdigest(w) | 2 for w in shared], np.uint64)
         self.items = [(key, self.codes[[self.number[w] for w in ws]]) for key, ws in named if ws]
+        self.word_sets = [set(codes.tolist()) for _, codes in self.items]
         self.by_size: dict[int, list[int]] = {}
         for k, (_, codes) in enumerate(self.items):
             self.by_size.setdefault(len(codes), []).append(k)
@@ -111,9 +135,7 @@ class Index:
         self._rare_words([ws for _, ws in named if ws], shared)
         self.recall: dict[int, float] = {}
         self.all_pairs: set[int] = set()
-        self.tables: dict[int, list[tuple[int, np.ndarray, dict[int, list[int]]]]] = {
-            n: self._tables(n, ks) for n, ks in self.by_size.items()
-        }
+        self.tables: dict[int, dict[int, Tables]] = {n: self._tables(n, ks) for n, ks in self.by_size.items()}
 
     def _rare_words(self, texts: list[list[str]], shared: Counter) -> None:
         """For each word number, the items it is rare in; for each item, how many a near window must hold, and its span."""
@@ -144,7 +166,7 @@ class Index:
                 copy.insert(at, other[e])
         return np.concatenate([np.array(copy, np.uint64), other])[:2 * len(item)]
 
-    def _tables(self, n: int, ks: list[int]) -> list[tuple[int, np.ndarray, dict[int, list[int]]]]:
+    def _tables(self, n: int, ks: list[int]) -> dict[int, Tables]:
         rng = np.random.default_rng(_SEED * 31 + n)
         likes = np.resize(np.arange(len(ks)), max(TRIALS, len(ks)))
         rows = [self.items[k][1] for k in ks] + [self._edited(self.items[ks[i]][1], rng) for i in likes]
@@ -165,13 +187,10 @@ class Index:
             if met.mean() >= TARGET_RECALL:
                 break
         built = self._enough(n, ks, positions, walks, min(MOST_TABLES, need + need // 2)) if allowed(n) else 1
-        out = []
+        by_walk: dict[int, list[np.ndarray]] = {}
         for w, p in positions[:built]:
-            table: dict[int, list[int]] = {}
-            for k, key in zip(ks, keys(walks[w][:len(ks), p]).tolist()):
-                table.setdefault(key, []).append(k)
-            out.append((w, p, table))
-        return out
+            by_walk.setdefault(w, []).append(p)
+        return {w: Tables(np.stack(p), walks[w][:len(ks)], np.array(ks)) for w, p in by_walk.items()}
 
     def _enough(self, n: int, ks: list[int], positions: list[tuple[int, np.ndarray]], walks: list[np.ndarray], built: int) -> int:
         """So many tables that fresh copies are met with the target; if even the most do not, no table serves."""
@@ -252,18 +271,14 @@ class Index:
         of_size = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
         for n in self.all_pairs & of_size.keys():
             found.update(itertools.product(of_size.pop(n).tolist(), self.by_size[n]))
-        for walk in range(max((t[-1][0] for n, t in self.tables.items() if n in of_size and t), default=-1) + 1):
-            tables = [(n, p, t) for n in of_size for w, p, t in self.tables[n] if w == walk]
-            if not tables:
-                continue
-            rows = np.concatenate([of_size[n] for n in dict.fromkeys(n for n, _, _ in tables)])
-            upto = max(int(p.max()) for _, p, _ in tables) + 1
+        for walk in sorted({w for n in of_size for w in self.tables[n]}):
+            tables = {n: self.tables[n][walk] for n in of_size if walk in self.tables[n]}
+            rows = np.concatenate([of_size[n] for n in tables])
+            upto = max(int(t.places.max()) for t in tables.values()) + 1
             outputs = np.zeros((len(codes), upto), np.uint64)
             outputs[rows] = self.walks.embed(flat, starts[rows], sizes[rows], walk, upto)
-            for n, p, table in tables:
-                met = keys(outputs[of_size[n][:, None], p])
-                for place in np.flatnonzero(np.isin(met, np.fromiter(table, np.uint64, len(table)))):
-                    found.update((int(of_size[n][place]), k) for k in table[int(met[place])])
+            for n, table in tables.items():
+                found.update((int(of_size[n][row]), k) for row, k in table.meetings(outputs[of_size[n]]))
         return sorted(found)
 
     def leaks(self, texts: Iterator[list[str]]) -> list[tuple[int, object, int, int, int]]:
@@ -281,6 +296,11 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for w, k in self.candidates(windows[:, 2], stretch):
             t, first, n, left = windows[w].tolist()
+            # Windows of a text and item come by their start: behind an exact copy no better one follows, and one that lacks
+            # more of the item's words than edits are allowed is not near.
+            if best.get((t, k), (1,))[0] == 0 or len(self.word_sets[k].difference(
+                    stretch[w, :min(n + allowed(n), left)].tolist())) > allowed(n):
+                continue
             row = edit_distance(self.items[k][1], stretch[w, :min(n + allowed(n), left)], allowed(n))
             end = int(row.argmin())
             if row[end] <= allowed(n):
@@ -289,10 +309,11 @@ class Index:
         return [(t, self.items[k][0], a, b, d) for (t, k), (d, a, b) in sorted(best.items())]
 
 
-def keys(sampled: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(sampled), np.uint64)
-    for column in sampled.T.copy():
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+def keys(outputs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The key of each row in each table, from its outputs at the table's places; tables have different keys."""
+    out = np.arange(1, len(places) + 1, dtype=np.uint64) * np.uint64(0xC4CEB9FE1A85EC53) + np.zeros((len(outputs), 1), np.uint64)
+    for column in places.T:
+        out = (out ^ outputs[:, column]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
