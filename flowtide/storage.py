@@ -27,9 +27,27 @@ def _local_folder(application: str) -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix=f"flowtide-{application}-", ignore_cleanup_errors=True)
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the folders that this application got from ``fresh_dir``; says how many there were.
+
+    For the end of a job: tables that are read from them, the results of operators included, are gone then.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        removed += folder.getFileSystem(conf).delete(folder, True)
+    return removed
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

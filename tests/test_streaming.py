@@ -1,4 +1,5 @@
 import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -245,3 +246,15 @@ def test_scratch_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_root(spark) == (named.rstrip("/") if named else shared_root(spark))
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
+
+
+def test_scratch_is_removed_at_the_end_of_a_job(spark, monkeypatch):
+    from flowtide import storage
+
+    monkeypatch.setattr(storage, "_MADE", {})
+    table = storage.materialise(spark.range(5), "gone")
+    unused = fresh_dir(spark, "never-written")
+    assert table.count() == 5 and unused
+    path = storage._MADE[spark.sparkContext.applicationId][0]
+    assert storage.remove_scratch(spark) == 1 and storage.remove_scratch(spark) == 0
+    assert not Path(path.removeprefix("file:").replace("//", "/")).exists()
