@@ -14,7 +14,6 @@ are not read. An empty table gives an empty result. Urls are read whole, at any
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
