@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from flowtide.schemas import ALERT, PACKET
 from flowtide.sources.packets import IngestListener, observe_ingest, parse_packets, read_packet_lines_stream, valid_packets
-from flowtide.sources.tables import read_alerts, read_alerts_stream
+from flowtide.sources.tables import read_alerts, read_alerts_stream, with_alert_time
 from flowtide.storage import fresh_dir
 from flowtide.streaming.alert_tail import start_alert_tail, tail_alerts, tail_progress
 from flowtide.streaming.detect import start_detection, stream_alert_counts
 from flowtide.streaming.flows import stream_flow_states, stream_flows
 from flowtide.streaming.idle import live_flows, rocksdb_state
 from flowtide.streaming.ingest import accepted_packets, corrected_states, ingest_metrics, late_states, start_ingest
+from flowtide.streaming.rates import stream_rate_series
 from flowtide.streaming.replay import end_marker, replay
 
 from .adapters import (
@@ -222,6 +223,21 @@ def stream_score_stats(spark, sf):
     return rounded(total, ["min_score", "max_score"]).withColumn("log_lines", lines.scalar())
 
 
+@check(
+    "stream_rate_series",
+    f"""WITH {ALERTS}, seconds AS (SELECT level, ts_us // 1000000 AS second, count(*) AS n FROM alerts GROUP BY 1, 2)
+        SELECT level, second, sum(n) OVER (PARTITION BY level ORDER BY second RANGE BETWEEN 6999 PRECEDING AND CURRENT ROW) / 7000.0 AS rate FROM seconds""",
+)
+def stream_rate_series_query(spark, sf):
+    """Trailing rates of a stream that is restarted, closed by a row far behind the last alert."""
+    rows = with_alert_time(alert_rows(spark, sf)).select("ts", "level")
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select("ts", F.lit(None).cast("string").alias("level"))
+    steps = [rows.where("level = 'RED'"), rows.where("level <> 'RED'").unionByName(last)]
+    with state_partitions(spark):
+        out = replay(spark, steps, lambda alerts: stream_rate_series(alerts, 7000, "60 days"), name="rates")
+    return out.drop("batch_id")
+
+
 BROKEN = "src_port % 50 = 7"
 
 
