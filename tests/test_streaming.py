@@ -167,6 +167,24 @@ def test_a_hot_flow_spreads_over_its_slices(spark):
     assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
+def test_idle_flows_cost_by_rows_not_by_keys(spark):
+    """60,000 flows of two or three slices each, with packets of one time stamp: the batch answer within 90 seconds."""
+    n = spark.range(240_000)
+    flow, at = F.expr("id div 4"), F.expr("id % 4")
+    rows = n.select(
+        (F.lit(T0) + F.when(at == 3, 2).otherwise(at) * 1_500_000).alias("ts_us"), F.concat(F.lit("10.0.0."), flow % 200).alias("src_ip"),
+        F.lit("2.2.2.2").alias("dst_ip"), flow.cast("int").alias("src_port"), F.lit(2).alias("dst_port"),
+        F.when(flow % 2 == 0, "tcp").otherwise("udp").alias("protocol"), (F.col("id") % 1400 + 40).cast("int").alias("frame_len"),
+        (at == 1).cast("int").alias("syn"), F.lit(None).cast("int").alias("fin"), F.lit(0).alias("rst"))
+    source, checkpoint = fresh_dir(spark, "many"), fresh_dir(spark, "many-c")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    with rocksdb_state(spark):
+        flows_out = live_flows(stream, 600, T0, idle_seconds=3, slice_seconds=2, join_seconds=2)
+        got, _ = run_until(flows_out, checkpoint, lambda rows: len(rows) >= 60_000, 90)
+    assert rounded_rows(got) == rounded(flows(rows.fillna(0, ["fin"]), 600, base_us=T0))
+
+
 def rounded_rows(rows):
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
 
