@@ -25,6 +25,11 @@ def _order_text(columns: list[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
 
 
+def row_hash(seed: int, key: list[str]) -> Column:
+    """The hash by which rows are ordered; worth storing where a table is sampled, as that reads it three times."""
+    return hash60(seed, *_order_text(key))
+
+
 def flag_smallest(
     df: DataFrame,
     group: list[str],
@@ -33,15 +38,19 @@ def flag_smallest(
     quota: DataFrame | None = None,
     fraction: float | None = None,
     name: str = "chosen",
+    hashed: str | None = None,
 ) -> DataFrame:
     """Flag the ``quota`` (or ``floor(fraction * n)``) rows of each group that come first in hash order.
 
-    ``quota`` has the group columns and ``quota``; groups that it lacks have none. Ties in the hash go by key text.
+    ``quota`` has the group columns and ``quota``; groups that it lacks have none. Ties in the hash go by key text, which
+    is made for rows of the last bucket only. ``hashed`` names a column that holds ``row_hash`` of the key already.
     """
-    order = {"_h": hash60(seed, *_order_text(key)), "_key": F.concat_ws("\x01", *_order_text(key))}
-    limits, partial = _collect(_limits(df.withColumns(order).select(*group, *order), group, quota, fraction), group)
+    text = F.concat_ws("\x01", *_order_text(key))
+    keyed = df.withColumn("_h", F.col(hashed) if hashed else row_hash(seed, key))
+    limits, partial = _collect(_limits(keyed, group, text, quota, fraction), group)
     ends = [f"_g_{g}" for g in group]
-    placed = df.withColumns(order).join(limits, _same_group(group), "left")
+    placed = keyed.join(limits, _same_group(group), "left")
+    placed = placed.withColumn("_key", F.when(F.col("_h") == F.col("_last_h"), text))
     last = (F.col("_h") == F.col("_last_h")) & (F.col("_key") == F.col("_last_key"))
     first = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col("_key") < F.col("_last_key")))
     if not partial:
@@ -51,7 +60,7 @@ def flag_smallest(
     return sure.unionByName(_share_copies(placed.where(shared).drop(*ends), df.columns, group, name))
 
 
-def _limits(keyed: DataFrame, group: list[str], quota: DataFrame | None, fraction: float | None) -> DataFrame:
+def _limits(keyed: DataFrame, group: list[str], text: Column, quota: DataFrame | None, fraction: float | None) -> DataFrame:
     """One row per group: the last wanted (hash, key), how many rows have it, and how many of those are wanted."""
     bucketed = keyed.withColumn("_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
     counts = bucketed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -66,6 +75,7 @@ def _limits(keyed: DataFrame, group: list[str], quota: DataFrame | None, fractio
 
     cut, _ = _collect(cut, group)
     edge = bucketed.join(cut, _same_group(group) & (F.col("_b") == F.col("_cut")))
+    edge = edge.select(*group, "_h", text.alias("_key"), "_need")
     folded = edge.groupBy(*group, "_h", "_key", "_need").agg(F.count(F.lit(1)).alias("_copies"))
     placed = folded.withColumn("_upto", _running("_copies", whole, ["_h", "_key"]))
     return _hit(placed.withColumnRenamed("_need", "_wanted"), "_copies", F.col("_wanted")).select(

@@ -23,7 +23,7 @@ from ..functions.coerce import (
     to_double_or_zero,
     whole,
 )
-from ..operators.sampling import smallest_per_group
+from ..operators.sampling import row_hash, smallest_per_group
 from ..schemas import LABELLED_COLUMNS
 from ..storage import materialise
 
@@ -322,6 +322,8 @@ def file_quotas(files: DataFrame, limit: int) -> DataFrame:
 
 #: Files up to which the table of layouts is broadcast; beyond, it is joined by shuffle.
 BROADCAST_FILES = 1_000_000
+#: Unusable files up to which the scan leaves them out by name; beyond, their rows are read and dropped by the join.
+NAMED_FILES = 10_000
 
 
 def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int = 42) -> DataFrame:
@@ -339,6 +341,9 @@ def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int =
     names = [f"c{i}" for i in range(found.width)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(pattern)
+    if 0 < skipped <= NAMED_FILES:
+        unusable = [r[0] for r in found.files.where("layout IS NULL").select("source_file").collect()]
+        raw = raw.where(~F.col("_metadata.file_path").isin(unusable))
     files = found.files.where("layout IS NOT NULL").select("source_file", "layout")
     placed = raw.select(F.col("_metadata.file_path").alias("source_file"), *names).join(
         F.broadcast(files) if n <= BROADCAST_FILES else files, "source_file")
@@ -347,18 +352,20 @@ def read_labelled(spark: SparkSession, pattern: str, limit: int = 0, seed: int =
         raise ValueError(f"no flow in the files of {pattern}")
     if limit <= 0:
         return table.drop("source_file")
-    # Sampling reads its input three times; parsing all files once and reading the table is cheaper.
-    table = materialise(table, "labelled")
-    return quota_sample(table, file_quotas(files, limit), "source_file", seed).drop("source_file")
+    # Sampling reads its input three times; parsing and hashing all rows once and reading the table is cheaper.
+    table = materialise(table.withColumn("row_hash", row_hash(seed, LABELLED_COLUMNS)), "labelled")
+    picked = quota_sample(table, file_quotas(files, limit), "source_file", seed, LABELLED_COLUMNS, "row_hash")
+    return picked.drop("source_file", "row_hash")
 
 
 def quota_sample(
-    table: DataFrame, quota: dict[str, int] | DataFrame, source: str, seed: int = 42, key: list[str] | None = None
+    table: DataFrame, quota: dict[str, int] | DataFrame, source: str, seed: int = 42, key: list[str] | None = None,
+    hashed: str | None = None,
 ) -> DataFrame:
     """L1/L2: from each source its quota of rows, a uniform sample that depends on seed and row content only.
 
     A source whose quota is 0 gives no rows, nor do rows without a source. With a table (source, ``quota``), sources that
-    it lacks give none; a dictionary must name all.
+    it lacks give none; a dictionary must name all. ``hashed``: see ``flag_smallest``.
     """
     share = quota
     if isinstance(quota, dict):
@@ -368,4 +375,5 @@ def quota_sample(
         unknown = named.join(share, source, "left_anti").limit(1).collect()
         if unknown:
             raise ValueError(f"no quota for source {unknown[0][0]!r}")
-    return smallest_per_group(table, [source], seed, key or [c for c in table.columns if c != source], quota=share)
+    key = key or [c for c in table.columns if c not in (source, hashed)]
+    return smallest_per_group(table, [source], seed, key, quota=share, hashed=hashed)
