@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowtide.schemas import FLOW_KEY, LABELLED_COLUMNS
 from flowtide.sources.labelled import normalise_labelled, quota_sample, quotas, read_labelled, skipped_files
 from flowtide.sources.synthetic import SERVICE_PORTS, synthetic_kind
-from flowtide.operators.sampling import seeded_shuffle
+from flowtide.operators.sampling import row_hash, seeded_shuffle
 from flowtide.storage import fresh_dir, materialise
 
 from .adapters import NORMALISED, RAW, RAW_COLUMNS, raw_labelled, table
@@ -109,10 +109,12 @@ QUOTA = 1000
 )
 def cic_quota_sample(spark, sf):
     flows = normalise_labelled(raw_labelled(spark, sf), keep=["row_key"])
-    sourced = flows.withColumn("source", F.substring(F.split_part("row_key", F.lit("-"), F.lit(6)), 1, 1))
+    source = F.substring(F.split_part("row_key", F.lit("-"), F.lit(6)), 1, 1).alias("source")
+    wanted = ["row_key", "label", "bidirectional_packets"]
     # The sample reads its input three times.
-    picked = quota_sample(materialise(sourced, "sourced"), quotas(QUOTA, ["A", "N", "R"]), "source", 42, key=["row_key"])
-    return picked.select("source", "row_key", "label", "bidirectional_packets")
+    sourced = materialise(flows.select(source, *wanted, row_hash(42, ["row_key"]).alias("row_hash")), "sourced")
+    picked = quota_sample(sourced, quotas(QUOTA, ["A", "N", "R"]), "source", 42, ["row_key"], "row_hash")
+    return picked.select("source", *wanted)
 
 
 def _kinds(spark, sf) -> DataFrame:
