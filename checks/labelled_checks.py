@@ -64,14 +64,19 @@ def cic_multi_header(spark, sf):
     return rounded(read_labelled(spark, f"{write_layouts(spark, sf)}/*/*.csv"), LABELLED_ROUNDED)
 
 
+# Rows of one file: a compressed one is read by one task.
+FILE_ROWS = 250_000
+
+
 def write_odd_files(spark, sf) -> str:
-    """Files in a folder with a blank: one as text, one compressed, one without a label."""
+    """Files in a folder with a blank: a third as text, one compressed, one without a label, each as three files at least."""
     folder = f"{fresh_dir(spark, 'labelled')}/a b"
     li = table(spark, sf, "lineitem")
+    rows = {flag: n for flag, n in li.groupBy("l_returnflag").count().collect()}
     for flag, options in {"A": {}, "N": {"compression": "gzip"}, "R": {}}.items():
         names = [n for n in RAW_COLUMNS if n != "Label" or flag != "R"]
-        part = li.where(F.col("l_returnflag") == flag).select(*[F.expr(RAW_COLUMNS[n]).alias(n) for n in names])
-        part.repartition(3, "l_orderkey").write.options(header=True, **options).csv(f"{folder}/part {flag}")
+        part = li.where(F.col("l_returnflag") == flag).repartition(3 + rows.get(flag, 0) // FILE_ROWS, "l_orderkey")
+        part.select(*[F.expr(RAW_COLUMNS[n]).alias(n) for n in names]).write.options(header=True, **options).csv(f"{folder}/part {flag}")
     return f"{folder}/*/*.csv*"
 
 
