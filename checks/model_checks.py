@@ -309,6 +309,10 @@ def train_model(spark, sf):
     return spark.createDataFrame([row], "offset double, red double, yellow double, contamination double, train_rows bigint, trees int")
 
 
+# Flows by which the partitions of this query multiply.
+PART_FLOWS = 250_000
+
+
 @check(
     "train_properties",
     f"""{UNI}, n AS (SELECT count(*) AS n FROM flows) SELECT n AS train_rows, TRUE AS scores_in_range, TRUE AS red_below_limit,
@@ -318,7 +322,8 @@ def train_properties(spark, sf):
     """What must hold of any trained model, whatever its trees."""
     flows = materialise(with_label(uni_flows(spark, sf)), "flows")
     params = TrainParams(trees=20)
-    model, again = (train(flows.repartition(n), params, version="check") for n in (3, 5))
+    parts = 1 + flows.count() // PART_FLOWS
+    model, again = (train(flows.repartition(n * parts), params, version="check") for n in (3, 5))
     raw = F.col("score") + F.lit(model.offset)
     scores = score_flows(flows, model).agg(F.bool_and((raw > -1) & (raw < 0))).first()[0]
     row = (
