@@ -23,7 +23,6 @@ word pairs share a count if 48 bits of their hashes are equal, which befalls a p
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -31,6 +30,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +43,15 @@ PART_WORDS, PART_PAIRS = 500_000, 2_000_000
 BURN_IN, SAMPLES, PROPOSALS = 1, 2, 3
 #: Customers of a dish up to which its tables are drawn from a table of weights.
 EXACT_CUSTOMERS = 256
+#: Tables of dishes of more customers that are listed with their weights, and rows of the list for twice the customers.
+LISTED, GRID = 256, 16
 #: Byte that stands for a word's start and end, and how many there are with it.
 EDGE, SYMBOLS = 256, 257
 BYTE_DISCOUNT, BYTE_STRENGTH, WORD_STRENGTH, PAIR_STRENGTH = 0.5, 1.0, 1.0, 1.0
 BYTE_SWEEPS = 3
 PAIR_BITS = 48
+#: Pairs whose tables are drawn at once.
+PAIRS_AT_ONCE = 500_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -71,19 +75,130 @@ def _log_stirling(discount: float) -> list[np.ndarray]:
     return rows
 
 
+@cache
+def _steps(discount: float, n: int) -> tuple[np.ndarray, float]:
+    """For n customers, what the weight of one more table is over that of t = 1, 2... tables, but for the opening (it
+    falls with t); and the largest opening for which products of all steps are still numbers."""
+    logs = np.diff(_log_stirling(discount)[n])
+    low, high = -50.0, 600.0
+    while high - low > 0.1:
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.maximum(logs + middle, 0).sum() < 600 else (low, middle)
+    return np.exp(logs), math.exp(low)
+
+
 def _drawn(c, base, others, discount, strength, uniform) -> np.ndarray:
     """Tables of dishes of up to ``EXACT_CUSTOMERS`` customers, drawn from their exact distribution by uniform numbers."""
-    stirling = _log_stirling(discount)
     out = np.ones(len(c), np.int64)
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(2, EXACT_CUSTOMERS + 2))
+    order = np.flatnonzero(c > 1)
+    few = c[order].astype(np.uint16)
+    by_size = np.argsort(few, kind="stable")
+    order, few = order[by_size], few[by_size]
+    ends = np.searchsorted(few, np.arange(2, EXACT_CUSTOMERS + 2).astype(np.uint16))
     for n, a, b in zip(range(2, EXACT_CUSTOMERS + 1), ends, ends[1:]):
-        for at in range(a, b, 200_000 // n):
-            rows = order[at:min(b, at + 200_000 // n)]
-            opening = (strength + discount * (others[rows, None] + np.arange(n))) * base[rows, None]
-            logits = stirling[n] + np.cumsum(np.log(np.maximum(opening, 1e-290)), axis=1)
-            weight = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
-            out[rows] = 1 + (weight < uniform[rows, None] * weight[:, -1:]).sum(axis=1)
+        if a == b:
+            continue
+        rows = order[a:b]
+        steps, most = _steps(discount, n)
+        last = (strength + discount * (others[rows] + n)) * base[rows]
+        if n > 8:
+            by_opening = np.argsort(last)
+            rows, last = rows[by_opening], last[by_opening]
+        direct = last < most
+        for part in np.array_split(rows[direct], 1 + len(rows) * n // 1_000_000):
+            if len(part):
+                out[part] = _by_products(n, steps, base[part], others[part], discount, strength, uniform[part])
+        for part in np.array_split(rows[~direct], 1 + (~direct).sum() * n // 200_000):
+            if len(part):
+                opening = (strength + discount * (others[part, None] + np.arange(n))) * base[part, None]
+                logits = _log_stirling(discount)[n] + np.cumsum(np.log(np.maximum(opening, 1e-290)), axis=1)
+                out[part] = _picked(logits, uniform[part])
+    return out
+
+
+def _picked(logits: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """The number from 1 that a uniform number picks by weights, for each row of their logarithms."""
+    weight = np.cumsum(np.exp(logits - logits.max(axis=1, keepdims=True)), axis=1)
+    return 1 + (weight < uniform[:, None] * weight[:, -1:]).sum(axis=1)
+
+
+def _by_products(n, steps, base, others, discount, strength, uniform) -> np.ndarray:
+    """Tables of dishes of n customers, by running products of the steps; those too small to change a sum are left out."""
+    first, more = (strength + discount * others) * base, discount * base
+    weight = np.ones(len(base))
+    sums = [weight]
+    for t in range(1, n):
+        weight = weight * (steps[t - 1] * (first + t * more))
+        sums.append(sums[-1] + weight)
+        if t % 4 == 0 and t < n - 1 and (weight * (n - t) < 1e-17 * sums[-1]).all() and (
+                steps[t] * (first + n * more) < 1).all():
+            break
+    target = uniform * sums[-1]
+    out = np.ones(len(base), np.int64)
+    for at in sums[:-1]:
+        out += at < target
+    return out
+
+
+@cache
+def _log_stirling_many(discount: float) -> np.ndarray:
+    """As ``_log_stirling`` (but for a constant a row) for 1 to ``LISTED`` tables of 256 * 2**(g / ``GRID``) customers,
+    g = 0, 1..., up to 2**48.
+
+    By the chances of t tables in a restaurant of this discount and strength 0: customer by customer up to 2**14, then as
+    the birth process that they become, whose steps from one g to the next are alike.
+    """
+    t = np.arange(1, LISTED + 1)
+    chance, n, rows = np.eye(1, LISTED)[0], 1, []
+    for g in range(6 * GRID + 1):
+        upto = round(256 * 2 ** (g / GRID))
+        for k in range(n, upto):
+            opened = chance * (discount * t / k)
+            chance = chance - opened
+            chance[1:] += opened[:-1]
+        n = upto
+        rows.append(chance)
+    stays = 2 ** (-discount / GRID)
+    log_choose = np.tril(log_gamma(t[:, None] * 1.0) - log_gamma(t * 1.0) - log_gamma(np.maximum(t[:, None] - t + 1.0, 1)))
+    births = np.tril(np.exp(np.tril(log_choose + t * math.log(stays) + (t[:, None] - t) * math.log1p(-stays))))
+    while len(rows) <= 40 * GRID:
+        rows.append(births @ rows[-1])
+    return np.log(np.maximum(np.stack(rows), 1e-300)) - (t - 1) * math.log(discount) - log_gamma(t * 1.0)
+
+
+def _drawn_many(c, base, others, discount, strength, uniform, other_uniform) -> np.ndarray:
+    """Tables of dishes of more than ``EXACT_CUSTOMERS`` customers, drawn by uniform numbers.
+
+    From their distribution, with its weights between two numbers of customers of a grid, while ``LISTED`` tables hold it;
+    beyond, where it is close to one, from the normal distribution of the same mode and width.
+    """
+    listed = _log_stirling_many(discount)
+    out = np.ones(len(c), np.int64)
+    place = np.clip(np.log2(c / 256) * GRID, 0, len(listed) - 1.001)
+    todo = np.arange(len(c))
+    for upto in (16, LISTED):
+        wide = []
+        for rows in np.array_split(todo, 1 + len(todo) * upto // 400_000):
+            g, f = place[rows].astype(np.int64), (place[rows] % 1)[:, None]
+            opening = (strength + discount * (others[rows, None] + np.arange(upto))) * base[rows, None]
+            opening[:, 0] = 1
+            logits = (1 - f) * listed[g, :upto] + f * listed[g + 1, :upto] + np.cumsum(np.log(np.maximum(opening, 1e-290)), axis=1)
+            narrow = (logits[:, -1] < logits.max(axis=1) - 20) & (logits[:, -1] < logits[:, -2] - 0.1)
+            out[rows[narrow]] = _picked(logits[narrow], uniform[rows[narrow]])
+            wide.append(rows[~narrow])
+        todo = np.concatenate(wide)
+    if len(todo):
+        c, base, alpha = c[todo], np.maximum(base[todo], 1e-290), strength / discount + others[todo]
+        plain = _strength_of(c, base, alpha, discount)
+        mean = _mean_tables(c, plain, discount)
+        # The plain restaurant's spread, less what the openings of the true one grow slower with each table.
+        x = plain / discount
+        square = (x + 1) / discount * np.exp(log_gamma(plain + 2 * discount + c) + log_gamma(plain + 1) - log_gamma(
+            plain + 2 * discount) - log_gamma(plain + c))
+        spread = np.maximum(square - (x + mean) - (x + mean) ** 2, 1e-9 * mean)
+        spread = 1 / np.maximum(1 / spread + 1 / (x + mean) - 1 / (alpha + mean), 1e-300)
+        normal = np.sqrt(-2 * np.log(1 - uniform[todo])) * np.cos(2 * np.pi * other_uniform[todo])
+        out[todo] = np.clip(np.round(mean + np.sqrt(spread) * normal), 1, c)
     return out
 
 
@@ -242,73 +357,96 @@ class State:
         return np.logaddexp(own, new) - np.log(WORD_STRENGTH + self.customers)
 
 
+def squeezed(data) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Numbers as compressed planes of their bytes."""
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+    return squeezed(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    planes = np.frombuffer(loosened(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
 
 
-class _Numbers(dict):
-    """Numbers of words, in the order they come."""
+def word_blob(words: pa.Array) -> bytes:
+    """Words, which hold no white space, as one row."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+    return squeezed(pc.binary_join(lists, b"\n")[0].as_py())
+
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def word_array(data: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([loosened(data)], pa.binary()), b"\n").values
+
+
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """Words of each text and the empty word as its end, which is what stands behind a last space."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), "", pc.binary_join_element_wise(trimmed, " ", "")))
 
 
 def chunked(docs: DataFrame, id_col: str, text: str, held_out: Column) -> DataFrame:
     """Rows of whole documents: ids, what is held out, tokens per document, distinct words with their training count,
-    and the tokens as numbers of those words. The empty word is the end token."""
+    the tokens as numbers of those words, and the distinct pairs of them with their training count. The empty word is the
+    end token."""
     slim = docs.select(F.col(id_col).cast("string").alias("id"), held_out.alias("held"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, made = TaskContext.get().partitionId(), 0
-        held_docs, chars, numbers = [], 0, _Numbers()
+        task, made, chars, pieces = TaskContext.get().partitionId(), 0, 0, []
 
         def finished() -> pa.RecordBatch:
-            ids, held, parts = zip(*held_docs)
-            tokens, lengths = np.concatenate(parts), [len(p) for p in parts]
-            train = np.repeat(~np.array(held, bool), lengths)
-            seen = np.bincount(tokens[train], minlength=len(numbers)).astype(np.uint32)
+            rows = pa.Table.from_batches(pieces).combine_chunks()
+            words = tokens_of(rows["text"].combine_chunks().cast(pa.string()))
+            lengths, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+            tokens, held = coded.indices.to_numpy().astype(np.uint32), rows["held"].to_pylist()
+            trained = _trained(held, lengths)
+            seen = np.bincount(tokens[trained], minlength=len(coded.dictionary)).astype(np.uint32)
+            pairs, at = keyed(tokens, len(seen))
+            pair_seen = np.bincount(at[trained], minlength=len(pairs)).astype(np.uint32)
+            words = word_blob(coded.dictionary)
+            del coded
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_pydict({
                 "chunk": pa.array([(task << 32) + made], pa.int64()),
-                "ids": pa.array([list(ids)], pa.list_(pa.string())),
-                "held": pa.array([list(held)], pa.list_(pa.bool_())),
-                "lengths": pa.array([lengths], pa.list_(pa.int64())),
-                "n_words": pa.array([len(numbers)], pa.int64()),
-                "words": pa.array([zlib.compress(b"\n".join(numbers), 1)], pa.binary()),
+                "ids": pa.array([rows["id"].to_pylist()], pa.list_(pa.string())),
+                "held": pa.array([held], pa.list_(pa.bool_())),
+                "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
+                "n_words": pa.array([len(seen)], pa.int64()),
+                "words": pa.array([words], pa.binary()),
                 "seen": pa.array([packed(seen)], pa.binary()),
                 "tokens": pa.array([packed(tokens)], pa.binary()),
+                "pairs": pa.array([packed(np.diff(pairs, prepend=np.uint64(0)))], pa.binary()),
+                "pair_seen": pa.array([packed(pair_seen)], pa.binary()),
             })
 
         for batch in batches:
-            for key, held, value in zip(*(batch.column(k) for k in ("id", "held", "text"))):
-                data = value.as_py().encode().lower()
-                if held_docs and chars + len(data) > CHUNK_CHARS:
+            begin = 0
+            for at, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                if chars and chars + size > CHUNK_CHARS:
+                    pieces.append(batch.slice(begin, at - begin))
                     yield finished()
-                    made, chars, held_docs, numbers = made + 1, 0, [], _Numbers()
-                words = data.split()
-                words.append(b"")
-                tokens = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-                held_docs.append((key.as_py(), bool(held.as_py()), tokens))
-                chars += len(data)
-        if held_docs:
+                    made, chars, pieces, begin = made + 1, 0, [], at
+                chars += size
+            pieces.append(batch.slice(begin))
+        if any(piece.num_rows for piece in pieces):
             yield finished()
 
     return slim.mapInArrow(run, "chunk bigint, ids array<string>, held array<boolean>, lengths array<bigint>, "
-                           "n_words bigint, words binary, seen binary, tokens binary")
+                           "n_words bigint, words binary, seen binary, tokens binary, pairs binary, pair_seen binary")
 
 
 def word_list(data: bytes) -> list[bytes]:
-    return zlib.decompress(data).split(b"\n")
+    return loosened(data).split(b"\n")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -336,12 +474,12 @@ def _by_part(part: np.ndarray, parts: int) -> list[np.ndarray]:
 
 @dataclass
 class Pairs:
-    """Distinct pairs of a chunk by the order of their hashes: words (local numbers), and the pair of each token."""
+    """Distinct pairs of a chunk by the order of their hashes: words (local numbers), and the pair of each token if asked."""
 
     hashes: np.ndarray
     before: np.ndarray
     word: np.ndarray
-    at: np.ndarray
+    at: np.ndarray | None = None
 
 
 def order_of(values: np.ndarray) -> np.ndarray:
@@ -365,16 +503,33 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], at
 
 
-def pairs_of(tokens: np.ndarray, hashes: np.ndarray) -> Pairs:
-    """Each token with the one before; before the first text's first word stands the end token, as before all others."""
+def keyed(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a token and the one before, as numbers in order, and the pair of each token. Before the first text's
+    first word stands the end token, as before all others."""
     before = np.concatenate([tokens[-1:], tokens[:-1]])
-    _, place, at = distinct(before.astype(np.uint64) * np.uint64(len(hashes)) + tokens)
-    before, word = before[place], tokens[place]
+    found, _, at = distinct(before.astype(np.uint64) * np.uint64(n) + tokens)
+    return found, at
+
+
+def hashed(keys: np.ndarray, hashes: np.ndarray) -> tuple[Pairs, np.ndarray]:
+    """Pairs of numbers of ``keyed`` by the order of their hashes, and that order."""
+    before, word = (x.astype(np.uint32) for x in np.divmod(keys, np.uint64(len(hashes))))
     h = _mixed(hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[word]) >> np.uint64(64 - PAIR_BITS)
     order = order_of(h)
+    return Pairs(h[order], before[order], word[order]), order
+
+
+def pairs_of(tokens: np.ndarray, hashes: np.ndarray) -> Pairs:
+    keys, at = keyed(tokens, len(hashes))
+    pairs, order = hashed(keys, hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return Pairs(h[order], before[order], word[order], rank[at])
+    pairs.at = rank[at]
+    return pairs
+
+
+def pairs_kept(data: bytes, hashes: np.ndarray) -> tuple[Pairs, np.ndarray]:
+    return hashed(np.cumsum(unpacked(data, np.uint64), dtype=np.uint64), hashes)
 
 
 def _trained(held, lengths) -> np.ndarray:
@@ -386,9 +541,9 @@ def ask_words(chunks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data, seen in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "seen"))):
-                words, counts = word_list(data), unpacked(seen, np.uint32)
-                places = _by_part(_part(word_hashes(words), parts, 64), parts)
-                rows = [(p, zlib.compress(b"\n".join([words[i] for i in at.tolist()]), 1), packed(counts[at]))
+                words, counts = word_array(data), unpacked(seen, np.uint32)
+                places = _by_part(_part(word_hashes(word_list(data)), parts, 64), parts)
+                rows = [(p, word_blob(words.take(pa.array(at))), packed(counts[at]))
                         for p, at in enumerate(places) if len(at)]
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
@@ -399,16 +554,14 @@ def ask_words(chunks: DataFrame, parts: int) -> DataFrame:
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk")
-        numbers: dict[bytes, int] = {}
-        places, counts = [], []
-        for data, seen in zip(frame["words"], frame["seen"]):
-            words = word_list(data)
-            places.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
-            counts.append(unpacked(seen, np.uint32))
-        c = np.bincount(np.concatenate(places), np.concatenate(counts), minlength=len(numbers)).astype(np.int64)
+        coded = pa.chunked_array([word_array(data) for data in frame["words"]]).combine_chunks().dictionary_encode()
+        counts = [unpacked(seen, np.uint32) for seen in frame["seen"]]
+        numbers = coded.indices.to_numpy().astype(np.uint32)
+        places = np.split(numbers, np.cumsum([len(n) for n in counts])[:-1])
+        c = np.bincount(numbers, np.concatenate(counts), minlength=len(coded.dictionary)).astype(np.int64)
         once, twice = int((c == 1).sum()), int((c == 2).sum())
         return pd.DataFrame({
-            "part": [key[0]], "words": [zlib.compress(b"\n".join(numbers), 1)], "c": [packed(c)],
+            "part": [key[0]], "words": [word_blob(coded.dictionary)], "c": [packed(c)],
             "chunks": [frame["chunk"].tolist()], "places": [[packed(p) for p in places]],
             "n": [int(c.sum())], "v": [int((c > 0).sum())], "once": [once], "twice": [twice]})
 
@@ -422,11 +575,9 @@ def ask_pairs(chunks: DataFrame, parts: int) -> DataFrame:
     and which of them the chunk is to count as distinct; once and twice are sums for a part, on one of its rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("chunk", "held", "lengths", "words", "tokens")]
-            for chunk, held, lengths, words, tokens in zip(*columns):
-                tokens = unpacked(tokens.as_py(), np.uint32)
-                pairs = pairs_of(tokens, word_hashes(word_list(words.as_py())))
-                counts = np.bincount(pairs.at, _trained(held.as_py(), lengths.as_py()), len(pairs.hashes)).astype(np.uint32)
+            for chunk, words, kept, seen in zip(*(batch.column(c) for c in ("chunk", "words", "pairs", "pair_seen"))):
+                pairs, order = pairs_kept(kept.as_py(), word_hashes(word_list(words.as_py())))
+                counts = unpacked(seen.as_py(), np.uint32)[order]
                 rows = [(p, packed(np.diff(pairs.hashes[at], prepend=np.uint64(0))), packed(counts[at]))
                         for p, at in enumerate(_by_part(_part(pairs.hashes, parts, PAIR_BITS), parts)) if len(at)]
                 yield pa.RecordBatch.from_pydict({
@@ -435,7 +586,7 @@ def ask_pairs(chunks: DataFrame, parts: int) -> DataFrame:
                     "steps": pa.array([r[1] for r in rows], pa.binary()), "seen": pa.array([r[2] for r in rows], pa.binary()),
                 })
 
-    asked = chunks.select("chunk", "held", "lengths", "words", "tokens").mapInArrow(
+    asked = chunks.select("chunk", "words", "pairs", "pair_seen").mapInArrow(
         run, "part int, chunk bigint, steps binary, seen binary")
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -449,7 +600,7 @@ def ask_pairs(chunks: DataFrame, parts: int) -> DataFrame:
             mine = at[begin:begin + len(n)]
             own = (n > 0) & ~claimed[mine]
             claimed[mine[own]] = True
-            rows.append((packed(np.minimum(c[mine], 2**32 - 1).astype(np.uint32)), zlib.compress(np.packbits(own).tobytes(), 1)))
+            rows.append((packed(np.minimum(c[mine], 2**32 - 1).astype(np.uint32)), squeezed(np.packbits(own).tobytes())))
             begin += len(n)
         first = np.arange(len(rows)) == 0
         return pd.DataFrame({
@@ -464,7 +615,7 @@ def _pair_counts(answers: pd.DataFrame, sizes: int) -> tuple[np.ndarray, np.ndar
     """Counts and ownership of all pairs of a chunk, in order of their hashes."""
     answers = answers.sort_values("part")
     counts = [unpacked(c, np.uint32) for c in answers["c"]]
-    own = [np.unpackbits(np.frombuffer(zlib.decompress(o), np.uint8))[:len(c)] for o, c in zip(answers["own"], counts)]
+    own = [np.unpackbits(np.frombuffer(loosened(o), np.uint8))[:len(c)] for o, c in zip(answers["own"], counts)]
     c, mine = np.concatenate(counts).astype(np.int64), np.concatenate(own).astype(bool)
     assert len(c) == sizes
     return c, mine
@@ -480,7 +631,7 @@ class Asked:
     """
 
     hashes: np.ndarray
-    tokens: np.ndarray
+    tokens: np.ndarray | None
     pairs: Pairs
     seen: np.ndarray
     own: np.ndarray
@@ -491,28 +642,33 @@ class Asked:
     tables: np.ndarray | None = None
 
 
-ANSWERS = "kind int, asker bigint, part int, c binary, a binary, b binary"
 OF_PAIRS, OF_WORDS, KEPT = range(3)
 
 
-def _kind(rows: DataFrame, kind: int, **columns: str) -> DataFrame:
-    """Rows as answers: of pairs (c, a: own), of words (c, a: chances, b: followed), or tables kept (a)."""
+def _kind(rows: DataFrame, kind: int, turn: int = 0, **columns: str) -> DataFrame:
+    """Rows as answers: of pairs (c, a: own), of words (c, a: chances, b: followed), or tables kept (a); ``turn`` is the
+    sweep of the contexts that they belong to."""
     values = [F.col(columns[k]) if k in columns else F.lit(None).cast("binary") for k in ("c", "a", "b")]
-    return rows.select(F.lit(kind).alias("kind"), F.col("chunk").alias("asker"), "part",
+    return rows.select(F.lit(kind).alias("kind"), F.lit(turn).alias("turn"), F.col("chunk").alias("asker"), "part",
                        *[v.alias(k) for v, k in zip(values, ("c", "a", "b"))])
 
 
-def read_answers(row: pd.Series, answers: pd.DataFrame, parts: int, novel: float) -> Asked:
+def read_answers(row: pd.Series, answers: pd.DataFrame) -> Asked:
     hashes = word_hashes(word_list(row["words"]))
-    tokens = unpacked(row["tokens"], np.uint32)
-    pairs = pairs_of(tokens, hashes)
+    tokens = unpacked(row["tokens"], np.uint32) if "tokens" in row else None
+    pairs = pairs_kept(row["pairs"], hashes)[0] if tokens is None else pairs_of(tokens, hashes)
+    of_pairs = answers[answers["kind"] == OF_PAIRS].rename(columns={"a": "own"})
+    return Asked(hashes, tokens, pairs, *_pair_counts(of_pairs, len(pairs.hashes)))
+
+
+def read_turn(out: Asked, answers: pd.DataFrame, turn: int, parts: int, novel: float) -> None:
+    """What the sweep before left of words and, if there was one, of the pairs' tables."""
+    answers = answers[(answers["kind"] != OF_PAIRS) & (answers["turn"] == turn)]
     by_kind = {k: rows for k, rows in answers.groupby("kind")}
-    of_pairs = by_kind[OF_PAIRS].rename(columns={"a": "own"})
-    out = Asked(hashes, tokens, pairs, *_pair_counts(of_pairs, len(pairs.hashes)))
     if OF_WORDS in by_kind:
         told = by_kind[OF_WORDS].set_index("part")
-        out.c, out.followed, out.spelled = (np.zeros(len(hashes), k) for k in (np.int64, np.int64, np.float64))
-        for part, at in enumerate(_by_part(_part(hashes, parts, 64), parts)):
+        out.c, out.followed, out.spelled = (np.zeros(len(out.hashes), k) for k in (np.int64, np.int64, np.float64))
+        for part, at in enumerate(_by_part(_part(out.hashes, parts, 64), parts)):
             if len(at):
                 a = told.loc[part]
                 out.c[at], out.followed[at] = unpacked(a["c"], np.int64), unpacked(a["b"], np.int64)
@@ -520,22 +676,25 @@ def read_answers(row: pd.Series, answers: pd.DataFrame, parts: int, novel: float
         out.base = np.where(out.c > 0, np.exp(out.spelled), novel)
     if KEPT in by_kind:
         out.tables = unpacked(by_kind[KEPT].iloc[0]["a"], np.uint32).astype(float)
-    return out
 
 
-def seat_pairs(chunks: DataFrame, answers: DataFrame, parts: int, discount: float, novel: float = 0.0) -> DataFrame:
-    """Tables of all pairs: one each while the chunks have no answers about words, else drawn given those.
+def seat_pairs(chunks: DataFrame, answers: DataFrame, parts: int, discount: float, novel: float = 0.0,
+               turn: int = 0) -> DataFrame:
+    """Tables of all pairs: one each while the chunks have no answers about words, else drawn given those and, but in the
+    first sweep, the tables that pairs have.
 
     Rows (part, chunk, followed, follows): sums over the pairs that a chunk counts, of the tables at which its words stand
     first and second, in the order it asked; and with a part of -1 the tables of all its pairs (followed).
     """
     def run(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        known = read_answers(chunk.iloc[0], answers, parts, novel)
+        known = read_answers(chunk.iloc[0], answers)
+        read_turn(known, answers, turn, parts, novel)
         pairs, t = known.pairs, np.minimum(known.seen, 1)
         rows = []
         if known.c is not None:
-            others = np.maximum(known.followed[pairs.before] - 1, 0)
-            t = pair_tables(known.seen, known.base[pairs.word], others, discount, pairs.hashes)
+            now = t if known.tables is None else known.tables
+            others = np.maximum(known.followed[pairs.before] - now, 0)
+            t = pair_tables(known.seen, known.base[pairs.word], others, discount, pairs.hashes, turn)
             rows.append((-1, packed(t.astype(np.uint32)), None))
         n, own = len(known.hashes), known.own
         sums = [np.bincount(w[own], t[own], n).astype(np.int64) for w in (pairs.before, pairs.word)]
@@ -544,29 +703,39 @@ def seat_pairs(chunks: DataFrame, answers: DataFrame, parts: int, discount: floa
         return pd.DataFrame({"part": [r[0] for r in rows], "chunk": key[0], "followed": [r[1] for r in rows],
                              "follows": [r[2] for r in rows]})
 
-    slim = chunks.select("chunk", "words", "tokens").groupBy("chunk")
+    slim = chunks.select("chunk", "words", "pairs").groupBy("chunk")
     return slim.cogroup(answers.groupBy("asker")).applyInPandas(
         run, "part int, chunk bigint, followed binary, follows binary")
 
 
-def opened(words: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+def opened(words: DataFrame, sums: DataFrame, seated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The word restaurant (part, words, c: its customers, which are the tables of contexts), and what answers need (part,
-    tokens: in training, followed, chunks, places)."""
+    tokens: in training, followed, chunks, places). With ``seated`` (part, t), the restaurant has those tables (t) still."""
+    sums = sums.select("part", "chunk", "followed", "follows")
+    if seated is not None:
+        # No chunk has a number below 0.
+        sums = sums.unionByName(seated.select("part", F.lit(-1).cast("bigint").alias("chunk"), F.col("t").alias("followed"),
+                                              F.lit(None).cast("binary").alias("follows")))
+
     def run(key, word: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         row, sums = word.iloc[0], sums.sort_values("chunk")
         n = len(unpacked(row["c"], np.int64))
+        kept, sums = sums[sums["chunk"] < 0], sums[sums["chunk"] >= 0]
         places = np.concatenate([unpacked(p, np.uint32) for p in row["places"]])
         totals = []
         for name in ("followed", "follows"):
             values = np.concatenate([unpacked(s, np.int64) for s in sums[name]])
             totals.append(np.bincount(places, values, minlength=n).astype(np.int64))
         return pd.DataFrame({"part": [key[0]], "words": [row["words"]], "tokens": [row["c"]], "followed": [packed(totals[0])],
-                             "c": [packed(totals[1])], "chunks": [row["chunks"]], "places": [row["places"]]})
+                             "c": [packed(totals[1])], "t": [None if kept.empty else kept.iloc[0]["followed"]],
+                             "chunks": [row["chunks"]], "places": [row["places"]]})
 
     joined = words.select("part", "words", "c", "chunks", "places").groupBy("part").cogroup(sums.groupBy("part")).applyInPandas(
-        run, "part int, words binary, tokens binary, followed binary, c binary, chunks array<bigint>, places array<binary>")
+        run, "part int, words binary, tokens binary, followed binary, c binary, t binary, chunks array<bigint>, "
+        "places array<binary>")
     stored = materialise(joined, "opened")
-    return stored.select("part", "words", "c"), stored.select("part", "tokens", "followed", "chunks", "places")
+    kept = [] if seated is None else ["t"]
+    return stored.select("part", "words", "c", *kept), stored.select("part", "tokens", "followed", "chunks", "places")
 
 
 def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -579,7 +748,7 @@ def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 held = np.flatnonzero(t > 0)
                 if not len(held):
                     continue
-                keys, lengths = triples(pa.array(word_list(data), pa.binary()).take(pa.array(held)))
+                keys, lengths = triples(word_array(data).take(pa.array(held)))
                 counts = np.bincount(keys, np.repeat(t[held], lengths))
                 found = np.flatnonzero(counts)
                 counts = counts[found].astype(np.int64)
@@ -600,7 +769,7 @@ def sweep(words: DataFrame, state: State, count_in: bool, reseat: bool, fresh: b
         state = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                listed = pa.array(word_list(row["words"]), pa.binary())
+                listed = word_array(row["words"])
                 c = unpacked(row["c"], np.int64).astype(float)
                 t, p = unpacked(row["t"], np.int64), unpacked(row["p"], np.float32).astype(float)
                 spelled = state.spelling.log_spelling(listed)
@@ -627,16 +796,22 @@ def sweep(words: DataFrame, state: State, count_in: bool, reseat: bool, fresh: b
 
 
 def with_first_seating(words: DataFrame) -> DataFrame:
-    """A table for each word with customers, and no chance counted in yet."""
+    """A table for each word with customers, or those it has (t) as far as its customers fill them; no chance counted in yet."""
+    carried = "t" in words.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [unpacked(c, np.int64) for c in batch.column("c").to_pylist()]
+            tables = [np.minimum(c, 1) for c in counts]
+            if carried:
+                had = [unpacked(t, np.int64) for t in batch.column("t").to_pylist()]
+                tables = [np.clip(h, t, c) for h, t, c in zip(had, tables, counts)]
             yield pa.RecordBatch.from_pydict({
                 "part": batch.column("part"), "words": batch.column("words"), "c": batch.column("c"),
-                "t": pa.array([packed(np.minimum(c, 1)) for c in counts], pa.binary()),
+                "t": pa.array([packed(t) for t in tables], pa.binary()),
                 "p": pa.array([packed(np.full(len(c), -np.inf, np.float32)) for c in counts], pa.binary()),
                 "customers": pa.array([int(c.sum()) for c in counts], pa.int64()),
-                "tables": pa.array([int((c > 0).sum()) for c in counts], pa.int64()),
+                "tables": pa.array([int(t.sum()) for t in tables], pa.int64()),
                 "once": pa.array([int((c == 1).sum()) for c in counts], pa.int64()),
                 "twice": pa.array([int((c == 2).sum()) for c in counts], pa.int64()),
             })
@@ -651,20 +826,21 @@ def _discount(once: int, twice: int) -> float:
 
 def learn(words: DataFrame, seed: int, burn_in: int, samples: int) -> tuple[DataFrame, float]:
     """Chances of the words of stored (part, words, c), averaged over samples: (part, p: their natural logarithms and that of
-    ``samples``), and the chance that a token is any word that the training documents lack. Without a sweep of burn-in, the
-    first sample is the first seating."""
+    ``samples``, t: tables at last), and the chance that a token is any word that the training documents lack. Without a sweep
+    of burn-in, the first sample is the first seating; that is of the tables t where the words have such."""
+    carried = "t" in words.columns
     words = materialise(with_first_seating(words), "seated-0")
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables", "once", "twice")]).first()
     discount, tables, novel = _discount(*total[2:]), total[1], 0.0
     for turn in range(1, burn_in + samples + 1):
         state = State(ByteModel(*spelling_counts(words), seed + turn), total[0], tables, discount)
         sampled, last = turn > burn_in, turn == burn_in + samples
-        words = materialise(sweep(words, state, sampled, not last, turn == 1, seed + 100 + turn), f"seated-{turn}")
+        words = materialise(sweep(words, state, sampled, not last, turn == 1 and not carried, seed + 100 + turn), f"seated-{turn}")
         tables, spelled = words.agg(F.coalesce(F.sum("tables"), F.lit(0)), F.coalesce(F.sum("spelled"), F.lit(0.0))).first()
         if sampled:
             new = WORD_STRENGTH + state.discount * state.tables
             novel += new / (WORD_STRENGTH + state.customers) * max(1 - spelled, 1e-12)
-    return words.select("part", "p"), novel / samples
+    return words.select("part", "p", "t"), novel / samples
 
 
 def answer_words(facts: DataFrame, chances: DataFrame, samples: int) -> DataFrame:
@@ -683,26 +859,32 @@ def answer_words(facts: DataFrame, chances: DataFrame, samples: int) -> DataFram
         run, "chunk bigint, part int, p binary, c binary, followed binary")
 
 
-def pair_tables(c, base, others, discount: float, hashes: np.ndarray) -> np.ndarray:
-    """Tables of pairs, drawn by uniform numbers that follow from their hashes: every chunk draws the same for a pair.
-
-    Dishes of more than ``EXACT_CUSTOMERS`` customers take their mean number of tables, from which draws differ little.
-    """
+def pair_tables(c, base, others, discount: float, hashes: np.ndarray, turn: int = 0) -> np.ndarray:
+    """Tables of pairs, drawn by uniform numbers that follow from their hashes and the sweep: every chunk draws the same."""
+    if len(c) > PAIRS_AT_ONCE:
+        blocks = [slice(at, at + PAIRS_AT_ONCE) for at in range(0, len(c), PAIRS_AT_ONCE)]
+        return np.concatenate([pair_tables(c[b], base[b], others[b], discount, hashes[b], turn) for b in blocks])
     c = c.astype(float)
     out = np.minimum(c, 1)
+
+    def uniform(at, salt):
+        return (_mixed(hashes[at] + np.uint64((0x9E3779B97F4A7C15 * (1 + 3 * turn + salt)) % 2**64)) >> np.uint64(11)) * 2.0**-53
+
     few = np.flatnonzero((c > 1) & (c <= EXACT_CUSTOMERS))
-    uniform = (_mixed(hashes[few] + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
-    out[few] = _drawn(c[few], base[few], others[few], discount, PAIR_STRENGTH, uniform)
+    out[few] = _drawn(c[few], base[few], others[few], discount, PAIR_STRENGTH, uniform(few, 0))
     many = np.flatnonzero(c > EXACT_CUSTOMERS)
     if len(many):
-        plain = _strength_of(c[many], np.maximum(base[many], 1e-290), PAIR_STRENGTH / discount + others[many], discount)
-        out[many] = np.clip(np.round(_mean_tables(c[many], plain, discount)), 1, c[many])
+        out[many] = _drawn_many(
+            c[many], base[many], others[many], discount, PAIR_STRENGTH, uniform(many, 2), uniform(many, 1))
     return out
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", sweeps: int = 1,
+          samples: int = 1) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score and perplexity.
 
+    The contexts take ``sweeps`` sweeps in turn with words and bytes; the chances after the last ``samples`` are averaged.
+
     ``score`` takes all words that the training documents lack as one, as the base does: its chance is what the model
     leaves for them together. ``spelled_score`` has each of them with the chance of its very spelling instead.
     ``perplexity`` is that of ``score``, per token.
@@ -721,22 +903,33 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     first, facts = opened(words, seat_pairs(chunks, counted, word_parts, discount))
     chances, novel = learn(first, 1, 0, 1)
     told = _kind(answer_words(facts, chances, 1), OF_WORDS, c="c", a="p", b="followed")
-    seated = materialise(seat_pairs(chunks, counted.unionByName(told), word_parts, discount, novel), "pair-tables")
-    restaurant, facts = opened(words, seated.where("part >= 0"))
-    chances, novel = learn(restaurant, 1001, BURN_IN, SAMPLES)
-    told = _kind(answer_words(facts, chances, SAMPLES), OF_WORDS, c="c", a="p", b="followed")
-    answers = counted.unionByName(told).unionByName(_kind(seated.where("part < 0"), KEPT, a="followed"))
+    answers, novels, averaged = counted, {}, max(1, SAMPLES // samples)
+    for turn in range(sweeps):
+        drawn = seat_pairs(chunks, counted.unionByName(told), word_parts, discount, novel, *([turn] if turn else []))
+        seated = materialise(drawn, f"pair-tables-{turn}")
+        restaurant, facts = opened(words, seated.where("part >= 0"), chances if turn else None)
+        chances, novel = learn(restaurant, 1001 * (turn + 1), BURN_IN, averaged)
+        told = _kind(answer_words(facts, chances, averaged), OF_WORDS, turn + 1, c="c", a="p", b="followed").unionByName(
+            _kind(seated.where("part < 0"), KEPT, turn + 1, a="followed"))
+        if turn >= sweeps - samples:
+            answers, novels[turn + 1] = answers.unionByName(told), novel
 
     def run(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = chunk.iloc[0]
-        known = read_answers(row, answers, word_parts, novel)
-        pairs, tokens, c = known.pairs, known.tokens, known.c
-        context, tables = c[pairs.before], known.followed[pairs.before]
-        own = np.maximum(known.seen - discount * known.tables, 0)
-        chance = (own + (PAIR_STRENGTH + discount * tables) * known.base[pairs.word]) / (PAIR_STRENGTH + context)
-        lack = np.where(c > 0, 0.0, known.spelled - math.log(max(novel, 1e-300)))[pairs.word]
+        known = read_answers(row, answers)
+        pairs, tokens = known.pairs, known.tokens
+        chance, spelled = np.zeros(len(pairs.hashes)), np.zeros(len(pairs.hashes))
+        for turn, novel in novels.items():
+            read_turn(known, answers, turn, word_parts, novel)
+            context, tables = known.c[pairs.before], known.followed[pairs.before]
+            own = np.maximum(known.seen - discount * known.tables, 0)
+            one = (own + (PAIR_STRENGTH + discount * tables) * known.base[pairs.word]) / (PAIR_STRENGTH + context)
+            lack = np.where(known.c > 0, 0.0, known.spelled - math.log(max(novel, 1e-300)))
+            chance += one / len(novels)
+            spelled += one * np.exp(lack)[pairs.word] / len(novels)
+        c = known.c
         with np.errstate(divide="ignore"):
-            logs = np.log10(chance)
+            logs, spelled_logs = np.log10(chance), np.log10(spelled)
         lengths = np.asarray(row["lengths"], np.int64)
         begin = np.cumsum(lengths) - lengths
         out = pd.DataFrame({
@@ -747,7 +940,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
             "train_tokens": n,
             "base_score": np.add.reduceat(np.log10((c + 1) / (n + v + 1))[tokens], begin),
             "score": np.add.reduceat(logs[pairs.at], begin),
-            "spelled_score": np.add.reduceat((logs + lack / math.log(10))[pairs.at], begin),
+            "spelled_score": np.add.reduceat(spelled_logs[pairs.at], begin),
         })
         out["perplexity"] = 10 ** np.minimum(-out["score"] / out["n_tokens"], 300)
         return out
