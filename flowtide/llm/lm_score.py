@@ -76,43 +76,42 @@ def _log_stirling(discount: float) -> list[np.ndarray]:
 
 
 @cache
-def _steps(discount: float, n: int) -> tuple[np.ndarray, float]:
-    """For n customers, what the weight of one more table is over that of t = 1, 2... tables, but for the opening (it
-    falls with t); and the largest opening for which products of all steps are still numbers."""
-    logs = np.diff(_log_stirling(discount)[n])
-    low, high = -50.0, 600.0
-    while high - low > 0.1:
-        middle = (low + high) / 2
-        low, high = (middle, high) if np.maximum(logs + middle, 0).sum() < 600 else (low, middle)
-    return np.exp(logs), math.exp(low)
+def _steps(discount: float, customers: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the weight of one more table is over that of t = 1, 2... tables, but for the opening, by t and number of
+    customers (it falls with t); and, by number of customers, an opening below which products of all steps are numbers."""
+    logs, most = np.full((customers + 1, customers + 1), -np.inf), np.zeros(customers + 1)
+    for n in range(2, customers + 1):
+        logs[n, :n - 1] = np.diff(_log_stirling(discount)[n])
+        low, high = -50.0, 600.0
+        while high - low > 0.1:
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.maximum(logs[n, :n - 1] + middle, 0).sum() < 600 else (low, middle)
+        most[n] = math.exp(low)
+    return np.exp(logs).T.copy(), most
 
 
 def _drawn(c, base, others, discount, strength, uniform) -> np.ndarray:
     """Tables of dishes of up to ``EXACT_CUSTOMERS`` customers, drawn from their exact distribution by uniform numbers."""
     out = np.ones(len(c), np.int64)
-    order = np.flatnonzero(c > 1)
-    few = c[order].astype(np.uint16)
-    by_size = np.argsort(few, kind="stable")
-    order, few = order[by_size], few[by_size]
-    ends = np.searchsorted(few, np.arange(2, EXACT_CUSTOMERS + 2).astype(np.uint16))
-    for n, a, b in zip(range(2, EXACT_CUSTOMERS + 1), ends, ends[1:]):
-        if a == b:
-            continue
-        rows = order[a:b]
-        steps, most = _steps(discount, n)
-        last = (strength + discount * (others[rows] + n)) * base[rows]
-        if n > 8:
-            by_opening = np.argsort(last)
-            rows, last = rows[by_opening], last[by_opening]
-        direct = last < most
-        for part in np.array_split(rows[direct], 1 + len(rows) * n // 1_000_000):
-            if len(part):
-                out[part] = _by_products(n, steps, base[part], others[part], discount, strength, uniform[part])
-        for part in np.array_split(rows[~direct], 1 + (~direct).sum() * n // 200_000):
-            if len(part):
-                opening = (strength + discount * (others[part, None] + np.arange(n))) * base[part, None]
-                logits = _log_stirling(discount)[n] + np.cumsum(np.log(np.maximum(opening, 1e-290)), axis=1)
-                out[part] = _picked(logits, uniform[part])
+    rows = np.flatnonzero(c > 1)
+    if not len(rows):
+        return out
+    steps, most = _steps(discount, EXACT_CUSTOMERS)
+    n, base, others, uniform = c[rows].astype(np.int64), base[rows], others[rows], uniform[rows]
+    first, more = (strength + discount * others) * base, discount * base
+    # Dishes of about as many tables go together.
+    direct = first + n * more < most[n]
+    expected = np.log2(np.clip(steps[0][n] * first, 1e-9, 1e9)) * 64
+    order = np.argsort(expected.astype(np.int16), kind="stable")
+    order = order[direct[order]]
+    for part in np.array_split(order, 1 + len(order) // 8192):
+        out[rows[part]] = _by_products(n[part], steps, first[part], more[part], uniform[part])
+    for size in np.unique(n[~direct]):
+        alike = np.flatnonzero(~direct & (n == size))
+        for part in np.array_split(alike, 1 + len(alike) * size // 200_000):
+            opening = first[part, None] + more[part, None] * np.arange(size)
+            logits = _log_stirling(discount)[size] + np.cumsum(np.log(np.maximum(opening, 1e-290)), axis=1)
+            out[rows[part]] = _picked(logits, uniform[part])
     return out
 
 
@@ -122,19 +121,16 @@ def _picked(logits: np.ndarray, uniform: np.ndarray) -> np.ndarray:
     return 1 + (weight < uniform[:, None] * weight[:, -1:]).sum(axis=1)
 
 
-def _by_products(n, steps, base, others, discount, strength, uniform) -> np.ndarray:
-    """Tables of dishes of n customers, by running products of the steps; those too small to change a sum are left out."""
-    first, more = (strength + discount * others) * base, discount * base
-    weight = np.ones(len(base))
-    sums = [weight]
-    for t in range(1, n):
-        weight = weight * (steps[t - 1] * (first + t * more))
+def _by_products(n, steps, first, more, uniform) -> np.ndarray:
+    """Tables of dishes of n customers, by running products of the steps, until what is left is below 1e-12 of the whole."""
+    weight, out = np.ones(len(n)), np.ones(len(n), np.int64)
+    sums, most = [weight], int(n.max(initial=1))
+    for t in range(1, most):
+        weight = weight * steps[t - 1][n] * (first + t * more)
         sums.append(sums[-1] + weight)
-        if t % 4 == 0 and t < n - 1 and (weight * (n - t) < 1e-17 * sums[-1]).all() and (
-                steps[t] * (first + n * more) < 1).all():
+        if t % 2 == 0 and (weight * most < 1e-12 * sums[-1]).all() and (steps[t][n] * (first + n * more) < 1).all():
             break
     target = uniform * sums[-1]
-    out = np.ones(len(base), np.int64)
     for at in sums[:-1]:
         out += at < target
     return out
@@ -709,8 +705,7 @@ def seat_pairs(chunks: DataFrame, answers: DataFrame, parts: int, discount: floa
 
 
 def opened(words: DataFrame, sums: DataFrame, seated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The word restaurant (part, words, c: its customers, which are the tables of contexts), and what answers need (part,
-    tokens: in training, followed, chunks, places). With ``seated`` (part, t), the restaurant has those tables (t) still."""
+    """The word restaurant (part, words, c: its customers, which are the tables of contexts), and (part, followed). With ``seated`` (part, t), the restaurant has those tables (t) still."""
     sums = sums.select("part", "chunk", "followed", "follows")
     if seated is not None:
         # No chunk has a number below 0.
@@ -726,16 +721,14 @@ def opened(words: DataFrame, sums: DataFrame, seated: DataFrame | None = None) -
         for name in ("followed", "follows"):
             values = np.concatenate([unpacked(s, np.int64) for s in sums[name]])
             totals.append(np.bincount(places, values, minlength=n).astype(np.int64))
-        return pd.DataFrame({"part": [key[0]], "words": [row["words"]], "tokens": [row["c"]], "followed": [packed(totals[0])],
-                             "c": [packed(totals[1])], "t": [None if kept.empty else kept.iloc[0]["followed"]],
-                             "chunks": [row["chunks"]], "places": [row["places"]]})
+        return pd.DataFrame({"part": [key[0]], "words": [row["words"]], "followed": [packed(totals[0])],
+                             "c": [packed(totals[1])], "t": [None if kept.empty else kept.iloc[0]["followed"]]})
 
-    joined = words.select("part", "words", "c", "chunks", "places").groupBy("part").cogroup(sums.groupBy("part")).applyInPandas(
-        run, "part int, words binary, tokens binary, followed binary, c binary, t binary, chunks array<bigint>, "
-        "places array<binary>")
+    joined = words.select("part", "words", "c", "places").groupBy("part").cogroup(sums.groupBy("part")).applyInPandas(
+        run, "part int, words binary, followed binary, c binary, t binary")
     stored = materialise(joined, "opened")
     kept = [] if seated is None else ["t"]
-    return stored.select("part", "words", "c", *kept), stored.select("part", "tokens", "followed", "chunks", "places")
+    return stored.select("part", "words", "c", *kept), stored.select("part", "followed")
 
 
 def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -829,13 +822,14 @@ def learn(words: DataFrame, seed: int, burn_in: int, samples: int) -> tuple[Data
     ``samples``, t: tables at last), and the chance that a token is any word that the training documents lack. Without a sweep
     of burn-in, the first sample is the first seating; that is of the tables t where the words have such."""
     carried = "t" in words.columns
-    words = materialise(with_first_seating(words), "seated-0")
+    words = with_first_seating(words)
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables", "once", "twice")]).first()
     discount, tables, novel = _discount(*total[2:]), total[1], 0.0
     for turn in range(1, burn_in + samples + 1):
         state = State(ByteModel(*spelling_counts(words), seed + turn), total[0], tables, discount)
         sampled, last = turn > burn_in, turn == burn_in + samples
-        words = materialise(sweep(words, state, sampled, not last, turn == 1 and not carried, seed + 100 + turn), f"seated-{turn}")
+        swept = sweep(words, state, sampled, not last, turn == 1 and not carried, seed + 100 + turn)
+        words = materialise(swept.drop("words", "c") if last else swept, f"seated-{turn}")
         tables, spelled = words.agg(F.coalesce(F.sum("tables"), F.lit(0)), F.coalesce(F.sum("spelled"), F.lit(0.0))).first()
         if sampled:
             new = WORD_STRENGTH + state.discount * state.tables
@@ -843,20 +837,21 @@ def learn(words: DataFrame, seed: int, burn_in: int, samples: int) -> tuple[Data
     return words.select("part", "p", "t"), novel / samples
 
 
-def answer_words(facts: DataFrame, chances: DataFrame, samples: int) -> DataFrame:
+def answer_words(words: DataFrame, facts: DataFrame, chances: DataFrame, samples: int) -> DataFrame:
     """(chunk, part, p, c, followed): for each chunk and part, in the order asked, the chance of each word, its training
     tokens, and the tables of the context that it is."""
-    def run(key, fact: pd.DataFrame, chance: pd.DataFrame) -> pd.DataFrame:
-        row = fact.iloc[0]
-        p = unpacked(chance.iloc[0]["p"], np.float32) - np.float32(math.log(samples))
-        c, followed = unpacked(row["tokens"], np.int64), unpacked(row["followed"], np.int64)
+    def run(key, word: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        row = word.iloc[0]
+        p = unpacked(found["p"].dropna().iloc[0], np.float32) - np.float32(math.log(samples))
+        c, followed = unpacked(row["c"], np.int64), unpacked(found["followed"].dropna().iloc[0], np.int64)
         places = [unpacked(x, np.uint32) for x in row["places"]]
         return pd.DataFrame({
             "chunk": list(row["chunks"]), "part": key[0], "p": [packed(p[x]) for x in places],
             "c": [packed(c[x]) for x in places], "followed": [packed(followed[x]) for x in places]})
 
-    return facts.groupBy("part").cogroup(chances.groupBy("part")).applyInPandas(
-        run, "chunk bigint, part int, p binary, c binary, followed binary")
+    found = facts.unionByName(chances.select("part", "p"), allowMissingColumns=True)
+    asked = words.select("part", "c", "chunks", "places").groupBy("part")
+    return asked.cogroup(found.groupBy("part")).applyInPandas(run, "chunk bigint, part int, p binary, c binary, followed binary")
 
 
 def pair_tables(c, base, others, discount: float, hashes: np.ndarray, turn: int = 0) -> np.ndarray:
@@ -902,14 +897,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     counted = _kind(pairs, OF_PAIRS, c="c", a="own")
     first, facts = opened(words, seat_pairs(chunks, counted, word_parts, discount))
     chances, novel = learn(first, 1, 0, 1)
-    told = _kind(answer_words(facts, chances, 1), OF_WORDS, c="c", a="p", b="followed")
+    told = _kind(answer_words(words, facts, chances, 1), OF_WORDS, c="c", a="p", b="followed")
     answers, novels, averaged = counted, {}, max(1, SAMPLES // samples)
     for turn in range(sweeps):
         drawn = seat_pairs(chunks, counted.unionByName(told), word_parts, discount, novel, *([turn] if turn else []))
         seated = materialise(drawn, f"pair-tables-{turn}")
         restaurant, facts = opened(words, seated.where("part >= 0"), chances if turn else None)
         chances, novel = learn(restaurant, 1001 * (turn + 1), BURN_IN, averaged)
-        told = _kind(answer_words(facts, chances, averaged), OF_WORDS, turn + 1, c="c", a="p", b="followed").unionByName(
+        told = _kind(answer_words(words, facts, chances, averaged), OF_WORDS, turn + 1, c="c", a="p", b="followed").unionByName(
             _kind(seated.where("part < 0"), KEPT, turn + 1, a="followed"))
         if turn >= sweeps - samples:
             answers, novels[turn + 1] = answers.unionByName(told), novel
