@@ -43,6 +43,8 @@ BLOCK_CHARS = 500_000
 TRIALS = 300
 #: Windows whose keys are made at once.
 STEP_ROWS = 50_000
+#: Windows that walk at once.
+CACHED_ROWS = 8_000
 #: Texts whose words stand in one row.
 BATCH_TEXTS = 128
 _WORD = re.compile(r"[^\W_]+")
@@ -83,14 +85,18 @@ class Walks:
 
     def embed(self, codes: np.ndarray, starts: np.ndarray, n, walk: int, upto: int) -> np.ndarray:
         """The first ``upto`` outputs of the windows of n words (one or one each) at ``starts``; after its end, 0."""
-        place = np.zeros(len(starts), np.int64)
-        out = np.zeros((len(starts), upto), np.uint64)
-        for step in range(upto):
-            inside = place < n
-            word = codes[np.minimum(starts + place, len(codes) - 1)]
-            out[:, step] = np.where(inside, word, np.uint64(0))
-            place += ((word * self.factors[walk, step]) >> np.uint64(63)).astype(np.int64)
-        return out
+        # An output is a row, so that each step writes one piece of memory; blocks of windows stay in the cache.
+        out = np.zeros((upto, len(starts)), np.uint64)
+        ends = starts + n
+        for a in range(0, len(starts), CACHED_ROWS):
+            b = min(a + CACHED_ROWS, len(starts))
+            at, end = starts[a:b].astype(np.int64), ends[a:b]
+            for step in range(upto):
+                # Behind its end a window stays there: its outputs are 0, whatever the bits.
+                word = np.where(at < end, codes.take(at, mode="clip"), np.uint64(0))
+                out[step, a:b] = word
+                at += ((word * self.factors[walk, step]) >> np.uint64(63)).view(np.int64)
+        return out.T
 
 
 class Tables:
@@ -102,16 +108,19 @@ class Tables:
         order = np.argsort(found, axis=None, kind="stable")
         self.found, self.items = found.ravel()[order], np.repeat(items, len(places))[order]
 
-    def meetings(self, outputs: np.ndarray) -> list[tuple[int, int]]:
-        """(row of ``outputs``, item) pairs that have a key in common."""
-        out = []
+    def meetings(self, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``outputs`` and items that have a key in common."""
+        rows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(outputs), STEP_ROWS):
             met = keys(outputs[at:at + STEP_ROWS], self.places).ravel()
             low = np.searchsorted(self.found, met)
             hits = np.flatnonzero(self.found[np.minimum(low, len(self.found) - 1)] == met)
-            for place, a, b in zip(hits.tolist(), low[hits].tolist(), np.searchsorted(self.found, met[hits], "right").tolist()):
-                out += [(at + place // len(self.places), k) for k in self.items[a:b].tolist()]
-        return out
+            low = low[hits]
+            count = np.searchsorted(self.found, met[hits], "right") - low
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            rows.append(at + np.repeat(hits // len(self.places), count))
+            items.append(self.items[np.repeat(low, count) + within])
+        return np.concatenate(rows), np.concatenate(items)
 
 
 class Index:
@@ -266,20 +275,23 @@ class Index:
 
     def candidates(self, sizes: np.ndarray, codes: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) pairs that meet in some table; ``codes`` has a row for each window."""
-        found = set()
+        # Pairs as one number: window times the items, and item.
+        found, many = [np.empty(0, np.int64)], len(self.items)
         flat, starts = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
         of_size = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
         for n in self.all_pairs & of_size.keys():
-            found.update(itertools.product(of_size.pop(n).tolist(), self.by_size[n]))
+            found.append((of_size.pop(n)[:, None] * many + np.array(self.by_size[n])).ravel())
         for walk in sorted({w for n in of_size for w in self.tables[n]}):
             tables = {n: self.tables[n][walk] for n in of_size if walk in self.tables[n]}
             rows = np.concatenate([of_size[n] for n in tables])
             upto = max(int(t.places.max()) for t in tables.values()) + 1
-            outputs = np.zeros((len(codes), upto), np.uint64)
-            outputs[rows] = self.walks.embed(flat, starts[rows], sizes[rows], walk, upto)
+            outputs, end = self.walks.embed(flat, starts[rows], sizes[rows], walk, upto), 0
             for n, table in tables.items():
-                found.update((int(of_size[n][row]), k) for row, k in table.meetings(outputs[of_size[n]]))
-        return sorted(found)
+                begin, end = end, end + len(of_size[n])
+                row, item = table.meetings(outputs[begin:end])
+                found.append(np.unique(of_size[n][row] * many + item))
+        window, item = np.divmod(np.unique(np.concatenate(found)), many)
+        return list(zip(window.tolist(), item.tolist()))
 
     def leaks(self, texts: Iterator[list[str]]) -> list[tuple[int, object, int, int, int]]:
         """(text, item, first word, end word, edits) of the nearest window of each text and item that are near."""
