@@ -254,9 +254,11 @@ def seat(c, base, others, discount, strength, rng, now=None) -> np.ndarray:
         def log_weight(t):
             return t * np.log(base) + log_gamma(alpha + t) - log_gamma(plain / discount + t)
 
-        t = _seated(c, plain, discount, rng) if now is None else np.asarray(now)[many]
-        for _ in range(PROPOSALS):
-            new = _seated(c, plain, discount, rng)
+        # Proposals do not depend on what was accepted: all are seated together, in one loop over their tables.
+        times = PROPOSALS + (now is None)
+        proposed = list(_seated(np.tile(c, times), np.tile(plain, times), discount, rng).reshape(times, -1))
+        t = proposed.pop() if now is None else np.asarray(now)[many]
+        for new in proposed:
             accept = np.log(rng.random(len(c))) < log_weight(new) - log_weight(t)
             t = np.where(accept, new, t)
         out[many] = t
