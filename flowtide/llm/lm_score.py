@@ -50,8 +50,8 @@ EDGE, SYMBOLS = 256, 257
 BYTE_DISCOUNT, BYTE_STRENGTH, WORD_STRENGTH, PAIR_STRENGTH = 0.5, 1.0, 1.0, 1.0
 BYTE_SWEEPS = 3
 PAIR_BITS = 48
-#: Pairs whose tables are drawn at once.
-PAIRS_AT_ONCE = 500_000
+#: Pairs whose tables are drawn at once, and words that are spelled at once.
+PAIRS_AT_ONCE, WORDS_AT_ONCE = 500_000, 50_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -317,26 +317,50 @@ class ByteModel:
 
     def log_spelling(self, words: pa.Array) -> np.ndarray:
         """Natural logarithm of the chance of each spelling."""
-        keys, lengths = triples(words)
-        if not len(lengths):
-            return np.zeros(0)
-        values = self.log[self.row[keys // SYMBOLS], keys % SYMBOLS]
-        return np.add.reduceat(values, np.cumsum(lengths) - lengths)
+        out = [np.zeros(0)]
+        for begin in range(0, len(words), WORDS_AT_ONCE):
+            keys, lengths = triples(words[begin:begin + WORDS_AT_ONCE])
+            values = self.log[self.row[keys // SYMBOLS], keys % SYMBOLS]
+            out.append(np.add.reduceat(values, np.cumsum(lengths) - lengths))
+        return np.concatenate(out)
 
 
-def triples(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(byte before the last, last, byte) of each byte and of the end of each word, as numbers; and how many per word."""
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, and how many each has."""
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-    lengths = np.diff(offsets).astype(np.int64)
-    line = np.full(len(data) + 3 * len(lengths), EDGE, np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]], np.diff(offsets).astype(np.int64)
+
+
+def triples(words: pa.Array, symbols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(byte before the last, last, byte) of each byte and of the end of each word, as numbers; and how many per word. With
+    ``symbols``, a list in order of all that occur, the numbers are made of places in it."""
+    data, lengths = _bytes_of(words)
+    code, base = np.arange(SYMBOLS, dtype=np.int32), SYMBOLS
+    if symbols is not None:
+        code[symbols], base = np.arange(len(symbols), dtype=np.int32), len(symbols)
+    line = np.full(len(data) + 3 * len(lengths), code[EDGE], np.int32)
     row = np.repeat(np.arange(len(lengths)), lengths)
-    line[np.arange(len(data)) + 3 * row + 2] = data
+    line[np.arange(len(data)) + 3 * row + 2] = code[data]
     begin = np.cumsum(lengths + 3) - (lengths + 3)
     here = np.ones(len(line), bool)
     here[begin] = here[begin + 1] = False
     at = np.flatnonzero(here)
-    return (line[at - 2] * SYMBOLS + line[at - 1]) * SYMBOLS + line[at], lengths + 1
+    return (line[at - 2] * np.int32(base) + line[at - 1]) * np.int32(base) + line[at], lengths + 1
+
+
+def weighted_triples(words: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct triples of words, in order, and the sums of their weights. What is held grows with the bytes
+    that occur, not with all that could."""
+    symbols = np.append(np.flatnonzero(np.bincount(_bytes_of(words)[0], minlength=EDGE)), EDGE)
+    size = len(symbols)
+    sums = np.zeros(size**3)
+    for begin in range(0, len(words), WORDS_AT_ONCE):
+        keys, lengths = triples(words[begin:begin + WORDS_AT_ONCE], symbols)
+        counts = np.bincount(keys, np.repeat(weights[begin:begin + WORDS_AT_ONCE], lengths))
+        sums[:len(counts)] += counts
+    found = np.flatnonzero(sums)
+    numbers = (symbols[found // size**2] * SYMBOLS + symbols[found // size % size]) * SYMBOLS + symbols[found % size]
+    return numbers, sums[found].astype(np.int64)
 
 
 @dataclass
@@ -707,7 +731,9 @@ def seat_pairs(chunks: DataFrame, answers: DataFrame, parts: int, discount: floa
 
 
 def opened(words: DataFrame, sums: DataFrame, seated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The word restaurant (part, words, c: its customers, which are the tables of contexts), and (part, followed). With ``seated`` (part, t), the restaurant has those tables (t) still."""
+    """The word restaurant (part, words, c: its customers, which are the tables of contexts), and (part, followed). With
+    ``seated`` (part, t), the restaurant has those tables (t) still, as far as its customers fill them; else each word with
+    customers is to have one. Sums of a part: of customers and tables, and of words with one and two customers."""
     sums = sums.select("part", "chunk", "followed", "follows")
     if seated is not None:
         # No chunk has a number below 0.
@@ -723,50 +749,59 @@ def opened(words: DataFrame, sums: DataFrame, seated: DataFrame | None = None) -
         for name in ("followed", "follows"):
             values = np.concatenate([unpacked(s, np.int64) for s in sums[name]])
             totals.append(np.bincount(places, values, minlength=n).astype(np.int64))
-        return pd.DataFrame({"part": [key[0]], "words": [row["words"]], "followed": [packed(totals[0])],
-                             "c": [packed(totals[1])], "t": [None if kept.empty else kept.iloc[0]["followed"]]})
+        c, t = totals[1], np.minimum(totals[1], 1)
+        if not kept.empty:
+            t = np.clip(unpacked(kept.iloc[0]["followed"], np.int64), t, c)
+        return pd.DataFrame({"part": [key[0]], "words": [row["words"]], "followed": [packed(totals[0])], "c": [packed(c)],
+                             "t": [None if kept.empty else packed(t)], "customers": [int(c.sum())], "tables": [int(t.sum())],
+                             "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]})
 
     joined = words.select("part", "words", "c", "places").groupBy("part").cogroup(sums.groupBy("part")).applyInPandas(
-        run, "part int, words binary, followed binary, c binary, t binary")
+        run, "part int, words binary, followed binary, c binary, t binary, customers bigint, tables bigint, once bigint, "
+        "twice bigint")
     stored = materialise(joined, "opened")
     kept = [] if seated is None else ["t"]
-    return stored.select("part", "words", "c", *kept), stored.select("part", "followed")
+    return (stored.select("part", "words", "c", *kept, "customers", "tables", "once", "twice"),
+            stored.select("part", "followed"))
+
+
+def _tables(t: bytes | None, c: bytes) -> np.ndarray:
+    """Tables of words: one for each with customers, where none have been seated yet."""
+    return np.minimum(unpacked(c, np.int64), 1) if t is None else unpacked(t, np.int64)
 
 
 def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Byte triples of (words, t) with the tables as weights; summed in the tasks, then by Spark, then at most 257 ** 3."""
+    """Byte triples of (words, c, t) with the tables as weights; summed in the tasks, then by Spark, then at most 257 ** 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, t in zip(batch.column("words").to_pylist(), batch.column("t").to_pylist()):
-                t = unpacked(t, np.int64)
+            for data, c, t in zip(*(batch.column(x) for x in ("words", "c", "t"))):
+                t = _tables(t.as_py(), c.as_py())
                 held = np.flatnonzero(t > 0)
                 if not len(held):
                     continue
-                keys, lengths = triples(word_array(data).take(pa.array(held)))
-                counts = np.bincount(keys, np.repeat(t[held], lengths))
-                found = np.flatnonzero(counts)
-                counts = counts[found].astype(np.int64)
+                found, counts = weighted_triples(word_array(data.as_py()).take(pa.array(held)), t[held])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.int64()), "n": pa.array(counts, pa.int64())})
 
-    counted = words.select("words", "t").mapInArrow(run, "key bigint, n bigint")
+    counted = words.select("words", "c", "t").mapInArrow(run, "key bigint, n bigint")
     table = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
     return table["key"].to_numpy(), table["n"].to_numpy().astype(float)
 
 
 def sweep(words: DataFrame, state: State, count_in: bool, reseat: bool, fresh: bool, seed: int) -> DataFrame:
-    """One pass over the parts (part, words, c, t, p): adds the sample's chances to exp(p) if ``count_in``; seats the
-    customers if ``reseat``. ``tables`` and ``spelled`` are sums of the part: of tables, and of the chances that the sampled
+    """One pass over the parts (part, words, c, t, p): adds the sample's chances to exp(p), 0 while p is null, if
+    ``count_in``; seats the customers if ``reseat``. ``tables`` and ``spelled`` are sums of the part: of tables, and of the chances that the sampled
     state spells a word that training holds. Chances are kept in single precision, a relative 1e-7."""
     shared = words.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
                 listed = word_array(row["words"])
-                c = unpacked(row["c"], np.int64).astype(float)
-                t, p = unpacked(row["t"], np.int64), unpacked(row["p"], np.float32).astype(float)
+                c, t = unpacked(row["c"], np.int64).astype(float), _tables(row["t"], row["c"])
+                p = np.full(len(c), -np.inf) if row["p"] is None else unpacked(row["p"], np.float32).astype(float)
                 spelled = state.spelling.log_spelling(listed)
                 held = np.flatnonzero(c > 0)
                 known = float(np.exp(spelled[held]).sum()) if count_in else 0.0
@@ -790,43 +825,18 @@ def sweep(words: DataFrame, state: State, count_in: bool, reseat: bool, fresh: b
         run, "part int, words binary, c binary, t binary, p binary, tables bigint, spelled double")
 
 
-def with_first_seating(words: DataFrame) -> DataFrame:
-    """A table for each word with customers, or those it has (t) as far as its customers fill them; no chance counted in yet."""
-    carried = "t" in words.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [unpacked(c, np.int64) for c in batch.column("c").to_pylist()]
-            tables = [np.minimum(c, 1) for c in counts]
-            if carried:
-                had = [unpacked(t, np.int64) for t in batch.column("t").to_pylist()]
-                tables = [np.clip(h, t, c) for h, t, c in zip(had, tables, counts)]
-            yield pa.RecordBatch.from_pydict({
-                "part": batch.column("part"), "words": batch.column("words"), "c": batch.column("c"),
-                "t": pa.array([packed(t) for t in tables], pa.binary()),
-                "p": pa.array([packed(np.full(len(c), -np.inf, np.float32)) for c in counts], pa.binary()),
-                "customers": pa.array([int(c.sum()) for c in counts], pa.int64()),
-                "tables": pa.array([int(t.sum()) for t in tables], pa.int64()),
-                "once": pa.array([int((c == 1).sum()) for c in counts], pa.int64()),
-                "twice": pa.array([int((c == 2).sum()) for c in counts], pa.int64()),
-            })
-
-    return words.mapInArrow(run, "part int, words binary, c binary, t binary, p binary, customers bigint, tables bigint, "
-                            "once bigint, twice bigint")
-
-
 def _discount(once: int, twice: int) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
 
 
 def learn(words: DataFrame, seed: int, burn_in: int, samples: int) -> tuple[DataFrame, float]:
-    """Chances of the words of stored (part, words, c), averaged over samples: (part, p: their natural logarithms and that of
+    """Chances of the words of ``opened`` (part, words, c), averaged over samples: (part, p: their natural logarithms and that of
     ``samples``, t: tables at last), and the chance that a token is any word that the training documents lack. Without a sweep
     of burn-in, the first sample is the first seating; that is of the tables t where the words have such."""
-    carried = "t" in words.columns
-    words = with_first_seating(words)
+    carried, none = "t" in words.columns, F.lit(None).cast("binary")
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables", "once", "twice")]).first()
     discount, tables, novel = _discount(*total[2:]), total[1], 0.0
+    words = words.select("part", "words", "c", (F.col("t") if carried else none).alias("t"), none.alias("p"))
     for turn in range(1, burn_in + samples + 1):
         state = State(ByteModel(*spelling_counts(words), seed + turn), total[0], tables, discount)
         sampled, last = turn > burn_in, turn == burn_in + samples
