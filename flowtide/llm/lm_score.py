@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.storage import materialise
+from flowtide.storage import materialise, release_shuffles
 
 #: Characters of the texts of one chunk (one longer text is a chunk by itself).
 CHUNK_CHARS = 16_000_000
@@ -912,6 +912,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     told = _kind(answer_words(words, facts, chances, 1), OF_WORDS, c="c", a="p", b="followed")
     answers, novels, averaged = counted, {}, max(1, SAMPLES // samples)
     for turn in range(sweeps):
+        release_shuffles(docs.sparkSession)
         drawn = seat_pairs(chunks, counted.unionByName(told), word_parts, discount, novel, *([turn] if turn else []))
         seated = materialise(drawn, f"pair-tables-{turn}")
         restaurant, facts = opened(words, seated.where("part >= 0"), chances if turn else None)
@@ -920,6 +921,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
             _kind(seated.where("part < 0"), KEPT, turn + 1, a="followed"))
         if turn >= sweeps - samples:
             answers, novels[turn + 1] = answers.unionByName(told), novel
+    release_shuffles(docs.sparkSession)
 
     def run(key, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = chunk.iloc[0]

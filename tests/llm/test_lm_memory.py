@@ -1,6 +1,7 @@
 """What the language model's steps hold at a time."""
 
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowtide.llm import lm_score
+from flowtide.storage import materialise, release_shuffles
 
 from .helpers import documents
 
@@ -64,3 +66,31 @@ def test_a_task_runs_python_once_at_a_time(spark, monkeypatch):
     for name, plan in plans:
         for task in plan.split("Exchange"):
             assert sum(task.count(x) for x in ("MapInArrow ", "GroupsInPandas ")) < 2, name
+
+
+def test_shuffles_of_past_sweeps_are_released(spark, monkeypatch):
+    """Before each sweep, and before the scores."""
+    done, seat_pairs = [], lm_score.seat_pairs
+    monkeypatch.setattr(lm_score, "release_shuffles", lambda s: done.append("release"))
+    monkeypatch.setattr(lm_score, "seat_pairs", lambda *args: (done.append("sweep"), seat_pairs(*args))[1])
+    docs = documents(spark, ["the cat sits on the mat"] * 3)
+    lm_score.score(docs, F.col("doc_id") % 5 == 2, sweeps=2)
+    assert done == ["sweep", "release", "sweep", "release", "sweep", "release"]
+
+
+def test_release_deletes_shuffles_of_past_queries(spark):
+    def kept():
+        return set(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.shuffleStatuses().keySet()))
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = kept()
+    table = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    made = kept() - before
+    assert made
+    spark.range(10).count()
+    for _ in range(20):
+        release_shuffles(spark)
+        if not made & kept():
+            break
+        time.sleep(0.2)
+    assert not made & kept() and table.count() == 7
